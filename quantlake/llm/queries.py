@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quantlake.llm import language, pieces, quality, rules
+from quantlake.llm import language, minhash, pieces, quality, rules
 
 QUERIES = {
     "op3_language": language.op3_language,
     "op7_pieces": pieces.op7_pieces,
     "op8_quality": quality.op8_quality,
     "op9_rules": rules.op9_rules,
+    "op10_minhash": minhash.op10_minhash,
 }
 ORACLE_SQL: dict[str, str] = {}
