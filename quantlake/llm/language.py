@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantlake.llm.common import id_bucket, small_batches
+from quantlake.llm.common import Workspace, id_bucket, small_batches
 
 UNDETERMINED = "und"
 WORD = re.compile(r"[^\W\d_]+")
@@ -20,11 +20,11 @@ WORD = re.compile(r"[^\W\d_]+")
 
 @dataclass
 class LanguageModel:
-    """Log frequencies by language: ``words[0]`` are whole words, ``grams[n]`` character n-grams of ^word$."""
+    """Log frequencies by language: units[0] are whole words and units[n] n-grams of ^word$, logs[n] a row for each."""
 
     languages: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[int, dict[str, np.ndarray]]
+    units: list[list[str]]
+    logs: list[np.ndarray]
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -33,7 +33,7 @@ def grams_of(word: str, n: int) -> list[str]:
 
 
 def fit(
-    spark: SparkSession, docs: DataFrame, *, max_docs: int = 20_000, max_words: int = 60_000, max_grams: int = 40_000, order: int = 4
+    spark: SparkSession, docs: DataFrame, *, max_docs: int = 20_000, max_words: int = 40_000, max_grams: int = 15_000, order: int = 4
 ) -> LanguageModel:
     """Learn from ``docs`` (text, lang), of which about ``max_docs`` labelled rows are used, chosen by a hash of the text.
 
@@ -41,6 +41,7 @@ def fit(
     n-grams, so its size is bounded and it can be broadcast. Rows without text or lang teach nothing.
     """
     small_batches(spark)
+    work = Workspace(spark, "language")
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang")
     n = rows.count()
     share = min(1.0, max_docs / max(n, 1))
@@ -61,33 +62,22 @@ def fit(
         return pd.DataFrame({"word": [k[0] for k in found], "lang": [k[1] for k in found], "n": list(found.values())})
 
     counts = rows.mapInPandas(count, "word string, lang string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
+    counts = work.save(counts, "counts")
+    languages = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
     padded = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
-    size = F.lit(0)
-    parts = counts.withColumn("size", size).withColumnRenamed("word", "unit")
+    parts = counts.select(F.col("word").alias("unit"), "lang", "n", F.lit(0).alias("size"))
     for k in range(1, order + 1):
-        # Words are short; a "word" of thousands of letters has no more n-grams than letters.
         pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - (k - 1), F.lit(1))), lambda i, k=k: F.substr(padded, i, F.lit(k)))
         parts = parts.unionByName(counts.select(F.explode(pieces).alias("unit"), "lang", "n", F.lit(k).alias("size")))
-    totals = parts.groupBy("size", "unit", "lang").agg(F.sum("n").alias("n"))
-    by_unit = totals.groupBy("size", "unit").agg(
-        F.sum("n").alias("n"), F.collect_list(F.struct("lang", "n")).alias("langs")
-    )
-    tables = []
+    by_lang = [F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).cast("double").alias(f"n{i}") for i, lang in enumerate(languages)]
+    totals = work.save(parts.groupBy("size", "unit").agg(F.sum("n").alias("n"), *by_lang), "totals")
+    units, logs = [], []
     for k in range(order + 1):
-        best = by_unit.where(F.col("size") == k).orderBy(F.desc("n"), "unit").limit(max_grams if k else max_words)
-        tables.append(best.select("unit", "langs").toPandas())
-    languages = sorted({x["lang"] for t in tables[:1] for langs in t["langs"] for x in langs})
-    index = {lang: i for i, lang in enumerate(languages)}
-
-    def logs(table: pd.DataFrame) -> dict[str, np.ndarray]:
-        counts = np.zeros((len(table), len(languages)))
-        for i, langs in enumerate(table["langs"]):
-            for x in langs:
-                counts[i, index[x["lang"]]] = x["n"]
-        out = np.log(counts + 0.1) - np.log(counts.sum(0) + 0.1 * (len(table) + 1))
-        return dict(zip(table["unit"], out, strict=True))
-
-    return LanguageModel(languages, logs(tables[0]), {k: logs(tables[k]) for k in range(1, order + 1)})
+        best = totals.where(F.col("size") == k).orderBy(F.desc("n"), "unit").limit(max_grams if k else max_words).toPandas()
+        found = best[[f"n{i}" for i in range(len(languages))]].to_numpy(float)
+        units.append(best["unit"].tolist())
+        logs.append((np.log(found + 0.1) - np.log(found.sum(0) + 0.1 * (len(best) + 1))).astype(np.float32))
+    return LanguageModel(languages, units, logs)
 
 
 class Scorer:
@@ -95,18 +85,18 @@ class Scorer:
 
     def __init__(self, model: LanguageModel, limit: int = 200_000) -> None:
         self.model, self.limit = model, limit
-        self.base = np.array(list(model.words.values())) if model.words else np.zeros((0, len(model.languages)))
+        self.grams = [dict(zip(u, range(len(u)), strict=True)) for u in model.units]
         self.forget()
 
     def forget(self) -> None:
-        self.rows = dict(zip(self.model.words, range(len(self.model.words)), strict=True))
-        self.table = np.vstack([self.base, np.zeros((self.limit, len(self.model.languages)))])
+        self.rows = dict(self.grams[0])
+        self.table = np.vstack([self.model.logs[0], np.zeros((self.limit, len(self.model.languages)), np.float32)])
 
     def backoff(self, word: str) -> np.ndarray:
-        for n in sorted(self.model.grams, reverse=True):
-            known = self.model.grams[n]
+        for n in range(len(self.grams) - 1, 0, -1):
+            known = self.grams[n]
             if found := [known[g] for g in grams_of(word, n) if g in known]:
-                return np.mean(found, axis=0) if len(found) > 1 else found[0]
+                return self.model.logs[n][found].mean(0)
         return np.zeros(len(self.model.languages))
 
     def row(self, word: str) -> int:
@@ -124,7 +114,7 @@ class Scorer:
             if len(self.rows) + len(block) > len(self.table):
                 self.forget()
             get, row = self.rows.get, self.row
-            total += self.table[[i if (i := get(w)) is not None else row(w) for w in block]].sum(0)
+            total += self.table[[i if (i := get(w)) is not None else row(w) for w in block]].sum(0, dtype=float)
         shares = np.exp(total - total.max())
         shares /= shares.sum()
         best = int(shares.argmax())
