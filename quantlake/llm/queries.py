@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quantlake.llm import language, minhash, pieces, quality, rules
+from quantlake.llm import language, minhash, mixing, pieces, quality, rules
 
 QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
     "op3_language": language.op3_language,
     "op7_pieces": pieces.op7_pieces,
     "op8_quality": quality.op8_quality,
