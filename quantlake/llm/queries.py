@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quantlake.llm import language, minhash, mixing, pieces, quality, rules
+from quantlake.llm import language, minhash, mixing, pieces, quality, rules, vectors
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_vectors": vectors.op2_vectors,
     "op3_language": language.op3_language,
     "op7_pieces": pieces.op7_pieces,
     "op8_quality": quality.op8_quality,
