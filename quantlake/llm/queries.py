@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from quantlake.llm import language, minhash, mixing, pieces, quality, rules, vectors, warc
+from quantlake.llm import language, minhash, mixing, pieces, quality, rules, suffixes, vectors, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_vectors": vectors.op2_vectors,
     "op3_language": language.op3_language,
     "op4_warc": warc.op4_warc,
+    "op5_suffixes": suffixes.op5_suffixes,
     "op7_pieces": pieces.op7_pieces,
     "op8_quality": quality.op8_quality,
     "op9_rules": rules.op9_rules,
     "op10_minhash": minhash.op10_minhash,
 }
-ORACLE_SQL = {"op4_warc": warc.OP4_SQL}
+ORACLE_SQL = {"op4_warc": warc.OP4_SQL, "op5_suffixes": suffixes.OP5_SQL}
