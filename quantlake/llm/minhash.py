@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from quantlake.llm.common import WordHashes, Workspace, components, mix, ngram_hashes, small_batches
 
 WORDS, BANDS, ROWS, PERCENT = 5, 20, 3, 75
-#: A pair of at least 75 % agrees in 45 of 60 coordinates on average; 24 is over six standard deviations less.
-LEAST_AGREEMENT = 24
+#: A pair of at least 75 % agrees in 45 of 60 coordinates on average; 28 is five standard deviations less.
+LEAST_AGREEMENT = 28
 
 
 def shingles(text: str | None, words: WordHashes, n: int = WORDS) -> np.ndarray:
@@ -26,18 +26,29 @@ def shingles(text: str | None, words: WordHashes, n: int = WORDS) -> np.ndarray:
 
 
 def signature(found: np.ndarray, size: int = BANDS * ROWS) -> np.ndarray:
-    """Circulant MinHash over the ring of 64-bit integers: one permutation places a shingle, coordinate k shifts the place
+    """Circulant MinHash over the ring of 32-bit integers: one permutation places a shingle, coordinate k shifts the place
     by k and takes the least value under the second permutation."""
-    out = np.full(size, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(found), 4096):
-        place = mix(found[at : at + 4096] ^ np.uint64(0x6A09E667F3BCC909))
-        for k in range(size):
-            out[k] = min(out[k], mix(place + np.uint64(k)).min())
-    return out
+    out = np.full(size, np.iinfo(np.uint32).max, np.uint32)
+    shifts = np.arange(size, dtype=np.uint32)[:, None]
+    places = permuted((found >> np.uint64(32)).astype(np.uint32), 0x6A09E667)
+    for at in range(0, len(places), 512):
+        out = np.minimum(out, permuted(places[at : at + 512] + shifts, 0xBB67AE85).min(1))
+    return out.view(np.int32)
+
+
+def permuted(x: np.ndarray, key: int) -> np.ndarray:
+    """A permutation of 32-bit integers: xor-shifts and odd multiplications."""
+    x = x ^ np.uint32(key)
+    x ^= x >> np.uint32(16)
+    x *= np.uint32(0x85EBCA6B)
+    x ^= x >> np.uint32(13)
+    x *= np.uint32(0xC2B2AE35)
+    x ^= x >> np.uint32(16)
+    return x
 
 
 def sketches(spark: SparkSession, docs: DataFrame, n: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, set_id (128-bit digest of the shingle set, null if empty) and the signature's low halves."""
+    """doc_id, n_shingles, set_id (128-bit digest of the shingle set, null if empty) and sig, the signature."""
     small_batches(spark)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -47,8 +58,7 @@ def sketches(spark: SparkSession, docs: DataFrame, n: int = WORDS) -> DataFrame:
             for text in batch["text"]:
                 found = shingles(text, words, n)
                 if len(found):
-                    sig = (signature(found) & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-                    out.append((len(found), xxhash.xxh128_digest(found.tobytes()), sig))
+                    out.append((len(found), xxhash.xxh128_digest(found.tobytes()), signature(found)))
                 else:
                     out.append((0, None, None))
             yield pd.DataFrame(out, columns=["n_shingles", "set_id", "sig"]).assign(doc_id=batch["doc_id"].astype("Int64"))
@@ -57,11 +67,11 @@ def sketches(spark: SparkSession, docs: DataFrame, n: int = WORDS) -> DataFrame:
     return rows.mapInPandas(work, "n_shingles long, set_id binary, sig array<int>, doc_id long")
 
 
-def verified(spark: SparkSession, pairs: DataFrame, texts: DataFrame, percent: int, n: int) -> DataFrame:
-    """Those ``pairs`` (a, b) whose full shingle sets reach ``percent``; ``texts`` has node and text."""
+def compared(spark: SparkSession, pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """``pairs`` (a, b) with na, nb and both: the sizes of their full shingle sets and of what these share."""
 
-    @F.pandas_udf("boolean")
-    def linked(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.pandas_udf("na long, nb long, both long")
+    def sizes(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         words = WordHashes()
         for left, right in batches:
             last, out, x = None, [], np.empty(0, np.uint64)
@@ -69,24 +79,29 @@ def verified(spark: SparkSession, pairs: DataFrame, texts: DataFrame, percent: i
                 if p != last:
                     last, x = p, shingles(p, words, n)
                 y = shingles(q, words, n)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                out.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pd.Series(out)
+                out.append((len(x), len(y), len(np.intersect1d(x, y, assume_unique=True))))
+            yield pd.DataFrame(out, columns=["na", "nb", "both"])
 
     rows = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("_p")), "a")
     rows = rows.join(texts.select(F.col("node").alias("b"), F.col("text").alias("_q")), "b")
-    return rows.where(linked("_p", "_q")).select("a", "b")
+    return rows.select("a", "b", sizes("_p", "_q").alias("_s")).select("a", "b", "_s.*")
+
+
+def linked(compared: DataFrame, percent: int) -> DataFrame:
+    return compared.where(F.col("both") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
 def near_duplicates(
-    spark: SparkSession, docs: DataFrame, *, percent: int = PERCENT, n: int = WORDS, rounds: int = 2
+    spark: SparkSession, docs: DataFrame, *, percent: int = PERCENT, n: int = WORDS
 ) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs`` (doc_id, text).
 
     Documents with the same shingle set are one class, named by its smallest doc_id; classes that share a band are
-    candidates. A class is first compared with one class of each band it is in, so a large group costs as many
-    comparisons as it has members. Then all pairs of a band that these links have not yet joined are compared, if their
-    sizes allow the similarity and enough coordinates of their signatures agree; so no candidate pair stays open.
+    candidates. A class is first compared with the most central class of each band it is in, the one with most
+    candidates, so a large group costs as many comparisons as it has members; what is left of a band likewise. Then all
+    pairs of a band that these links have not yet joined are compared, if enough coordinates of their signatures agree
+    and the similarity is possible: two classes share at most the fewer of the shingles that either shares with the
+    band's centre, and the fewer of those that it has in common with any other open class.
 
     Null and empty texts, and texts without words, have no shingles and link with nothing, nor do rows without doc_id
     (their component_id is null and they are kept). Rows that repeat a doc_id with the same text belong to one class
@@ -101,10 +116,12 @@ def near_duplicates(
     bands = F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.slice("sig", i * ROWS + 1, ROWS))
     )
-    members = classes.select("node", "size", F.explode(bands).alias("band"))
+    members = classes.select("node", "size", F.posexplode(bands).alias("i", "band"))
     shared = members.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high"))
-    shared = work.save(shared.where("low <> high"), "shared")
-    members = work.save(members.join(shared.drop("n"), "band"), "members")
+    shared = work.save(shared.where("low <> high").select("band", "n"), "shared")
+    members = work.save(members.join(shared, "band"), "members")
+    central = work.save(members.groupBy("node").agg(F.sum("n").alias("central")), "central")
+    members = work.save(members.drop("n").join(central, "node"), "members")
     nodes = members.select("node").distinct()
     # The text of a class is that of its smallest document; rows that repeat it are told apart by their shingles' digest.
     owners = full.join(nodes, full["doc_id"] == nodes["node"]).select("node", "set_id").join(classes.select("node", "set_id"), ["node", "set_id"])
@@ -114,36 +131,44 @@ def near_duplicates(
     ids = full.join(classes.select("set_id", "node"), "set_id").where("doc_id <> node")
     twice = ids.join(classes.select(F.col("node").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     links = work.save(twice.distinct(), "links")
-    tried = None
-    for k in range(rounds):
-        hub = F.col("low") if k == 0 else F.col("high")
-        now = labelled(spark, work, members, links) if k else members.withColumn("c", F.col("node"))
-        if k:
-            tops = members.select("band", "high").distinct().join(components_of(spark, work, links, "high"), "high").select("band", F.col("c").alias("hub_c"))
-            now = now.join(tops, "band").where("c <> hub_c")
-        pairs = now.where(F.col("node") != hub).select(F.least("node", hub).alias("a"), F.greatest("node", hub).alias("b"), "size").distinct()
-        pairs = work.save(pairs.select("a", "b").distinct(), "pairs")
-        fresh = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
-        links = work.save(links.union(verified(spark, fresh, texts, percent, n)), "links")
-        tried = pairs if tried is None else tried.union(pairs)
-
-    now = labelled(spark, work, members, links)
+    centres = work.save(hubs(members), "hubs")
+    pairs = members.join(centres, "band").transform(pairs_with, "hub")
+    pairs = work.save(compared(spark, pairs, texts, n), "pairs")
+    links = work.save(links.union(linked(pairs, percent)), "links")
+
+    now = labelled(spark, work, members.join(centres, "band"), links)
+    tops = now.where("node = hub").select("band", F.col("c").alias("top_c"))
+    outside = now.join(work.save(tops, "tops"), "band").where("c <> top_c")
+    more = outside.drop("hub").join(hubs(outside), "band").transform(pairs_with, "hub").join(pairs, ["a", "b"], "left_anti")
+    more = work.save(compared(spark, more, texts, n), "pairs")
+    links = work.save(links.union(linked(more, percent)), "links")
+
+    now = labelled(spark, work, members.join(centres, "band"), links)
     groups = now.groupBy("band", "c").agg(F.count("*").alias("n"))
     most = groups.groupBy("band").agg(F.max(F.struct("n", "c")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
     most = work.save(most.select("band", F.col("top.c").alias("top_c")), "open")
-    open_ = work.save(now.join(most, "band").join(classes.select("node", "sig"), "node"), "open_members")
-    left = open_.where("c <> top_c").select("band", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("size").alias("sa"), F.col("sig").alias("ga"))
-    right = open_.select("band", F.col("node").alias("b"), F.col("c").alias("cb"), F.col("size").alias("sb"), F.col("sig").alias("gb"), "top_c")
-    agree = F.aggregate(F.zip_with("ga", "gb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+    open_ = work.save(now.join(most, "band"), "open_members")
+    common = work.save(shared_shingles(spark, texts.join(open_.select("node").distinct(), "node", "left_semi"), n), "common")
+    of_hub = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("hub"), "both"), F.struct(F.col("b").alias("node"), F.col("a").alias("hub"), "both"))).alias("p")).select("p.*")
+    open_ = open_.join(classes.select("node", "sig"), "node").join(common, "node").join(of_hub, ["node", "hub"], "left")
+    open_ = work.save(open_.withColumn("core", F.coalesce("both", "size")), "open_members")
+    sides = ("node", "c", "size", "sig", "common", "core")
+    left = open_.where("c <> top_c").select("band", "i", *(F.col(x).alias(f"{x}_a") for x in sides))
+    right = open_.select("band", "top_c", *(F.col(x).alias(f"{x}_b") for x in sides))
+    most_shared = F.least("core_a", "core_b") + F.least(F.col("common_a") - F.col("core_a"), F.col("common_b") - F.col("core_b"))
+    same = F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int"))
+    agree = F.aggregate(same, F.lit(0), lambda s, x: s + x)
+    earlier = F.exists(F.sequence(F.lit(0), F.col("i") - 1, F.lit(1)), lambda j: F.slice("sig_a", j * ROWS + 1, ROWS) == F.slice("sig_b", j * ROWS + 1, ROWS))
     match = (
-        (F.col("ca") != F.col("cb"))
-        & ((F.col("cb") == F.col("top_c")) | (F.col("a") < F.col("b")))
-        & (100 * F.least("sa", "sb") >= percent * F.greatest("sa", "sb"))
+        (F.col("c_a") != F.col("c_b"))
+        & ((F.col("c_b") == F.col("top_c")) | (F.col("node_a") < F.col("node_b")))
+        & (100 * most_shared >= percent * (F.col("size_a") + F.col("size_b") - most_shared))
         & (agree >= LEAST_AGREEMENT)
+        & ~F.when(F.col("i") > 0, earlier).otherwise(F.lit(False))
     )
-    rest = left.join(right, "band").where(match).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = work.save(rest.join(tried, ["a", "b"], "left_anti"), "rest")
-    links = work.save(links.union(verified(spark, rest, texts, percent, n)), "links")
+    rest = left.join(right, "band").where(match).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+    rest = rest.distinct().join(pairs, ["a", "b"], "left_anti").join(more, ["a", "b"], "left_anti")
+    links = work.save(links.union(linked(compared(spark, work.save(rest, "rest"), texts, n), percent)), "links")
 
     found = components(spark, work, links).withColumnRenamed("component", "c")
     named = classes.select("set_id", "node").join(found, "node", "left")
@@ -152,6 +177,33 @@ def near_duplicates(
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def hubs(members: DataFrame) -> DataFrame:
+    """band and hub, the node of the band with most candidates."""
+    top = members.groupBy("band").agg(F.max(F.struct("central", (-F.col("node")).alias("minus"))).alias("top"))
+    return top.select("band", (-F.col("top.minus")).alias("hub"))
+
+
+def pairs_with(members: DataFrame, hub: str) -> DataFrame:
+    rows = members.where(F.col("node") != F.col(hub))
+    return rows.select(F.least("node", hub).alias("a"), F.greatest("node", hub).alias("b")).distinct()
+
+
+def shared_shingles(spark: SparkSession, texts: DataFrame, n: int) -> DataFrame:
+    """node and common: how many shingles of each of ``texts`` (node, text) occur in another of them."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = WordHashes()
+        for batch in batches:
+            for node, text in zip(batch["node"], batch["text"], strict=True):
+                yield pd.DataFrame({"node": node, "shingle": shingles(text, words, n).view(np.int64)})
+
+    rows = texts.mapInPandas(work, "node long, shingle long")
+    one = rows.groupBy("shingle").agg(F.count("*").alias("k"), F.min("node").alias("node"))
+    own = one.where("k = 1").groupBy("node").agg(F.count("*").alias("own"))
+    sizes = rows.groupBy("node").agg(F.count("*").alias("size"))
+    return sizes.join(own, "node", "left").select("node", (F.col("size") - F.coalesce("own", F.lit(0))).alias("common"))
+
+
 def components_of(spark: SparkSession, work: Workspace, links: DataFrame, name: str) -> DataFrame:
     return components(spark, work, links).select(F.col("node").alias(name), F.col("component").alias("c"))
 
