@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quantlake.llm import language, minhash, mixing, pieces, quality, rules, suffixes, vectors, warc
+from quantlake.llm import hmm, language, minhash, mixing, pieces, quality, rules, suffixes, vectors, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -10,9 +10,20 @@ QUERIES = {
     "op3_language": language.op3_language,
     "op4_warc": warc.op4_warc,
     "op5_suffixes": suffixes.op5_suffixes,
+    "op6_hmm": hmm.op6_hmm,
     "op7_pieces": pieces.op7_pieces,
     "op8_quality": quality.op8_quality,
     "op9_rules": rules.op9_rules,
     "op10_minhash": minhash.op10_minhash,
 }
 ORACLE_SQL = {"op4_warc": warc.OP4_SQL, "op5_suffixes": suffixes.OP5_SQL}
+
+
+def pipeline(spark, sf_dir: str):
+    """The whole corpus pipeline of corpus_pipeline.py."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline
