@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -54,8 +55,10 @@ class Workspace:
 
     def sweep(self) -> None:
         """Spark removes shuffle files when the driver's JVM collects the plans that made them."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.3)
 
 
 def id_bucket(col: str, modulus: int) -> Column:

@@ -5,7 +5,9 @@ same q-grams (its anchors) are chosen. So only suffixes at anchors are put in bu
 
 1. Anchors go to buckets by their q-gram. Within a bucket, anchors with the same context (all bytes of the passages that
    can contain the anchor) are one class, and all but the smallest document of a class are settled: their passages repeat.
-2. Buckets with several classes are refined with one context for each class: identifiers of q-grams at all offsets of the
+   A passage reaches HALF bytes beyond the q-gram on one side at least, so a class stays open only if another one has the
+   same bytes there.
+2. Buckets with open classes are refined with their contexts: identifiers of q-grams at all offsets of the
    contexts, refined by sorting on the pairs (own identifier, identifier at the later offset), doubling the length and
    reusing the new identifiers, until they tell apart passages of LENGTH bytes. A passage is repeated in the smallest
    document of a class if a smaller document has the same identifier.
@@ -31,7 +33,8 @@ WINDOW = LENGTH - Q + 1
 BEFORE, CONTEXT = LENGTH - Q, 2 * LENGTH - Q
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.iinfo(np.int64).max
-ENTRY = np.dtype([("h", "u8"), ("c", "u8"), ("doc", "i8"), ("row", "u4"), ("at", "u4")])
+HALF = (LENGTH - Q) // 2
+ENTRY = np.dtype([("h", "u8"), ("c", "u8"), ("left", "u2"), ("right", "u2"), ("doc", "i8"), ("row", "u4"), ("at", "u4")])
 
 
 def rolling(x: np.ndarray, length: int) -> np.ndarray:
@@ -78,17 +81,12 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return at, h[at]
 
 
-def contexts(data: bytes, at: np.ndarray) -> np.ndarray:
-    """The CONTEXT bytes around each anchor as 16-bit numbers; 256 beyond the ends of the text."""
-    x = np.full(len(data) + 2 * CONTEXT, 256, np.uint16)
-    x[CONTEXT : CONTEXT + len(data)] = np.frombuffer(data, np.uint8)
-    return x[(at + CONTEXT - BEFORE)[:, None] + np.arange(CONTEXT)]
-
-
-def context_hashes(data: bytes, at: np.ndarray) -> np.ndarray:
+def context_hashes(data: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of each anchor's context, and of its q-gram with the HALF bytes to the left and to the right."""
     x = np.zeros(len(data) + 2 * CONTEXT, np.uint64)
     x[CONTEXT : CONTEXT + len(data)] = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)
-    return mix(rolling(x, CONTEXT)[at + CONTEXT - BEFORE])
+    whole, side = rolling(x, CONTEXT), rolling(x, Q + HALF)
+    return mix(whole[at + CONTEXT - BEFORE]), mix(side[at + CONTEXT - HALF]), mix(side[at + CONTEXT])
 
 
 def settle(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,7 +161,9 @@ def deal(docs: DataFrame, buckets: int, chunk: int = 400_000) -> DataFrame:
                     continue
                 at, h = anchors(data)
                 some = np.empty(len(at), ENTRY)
-                some["h"], some["c"], some["doc"], some["row"], some["at"] = h >> np.uint64(16), context_hashes(data, at) >> np.uint64(16), doc, row_tag(data), at
+                c, left, right = context_hashes(data, at)
+                some["h"], some["c"], some["left"], some["right"] = h >> np.uint64(16), c >> np.uint64(16), left >> np.uint64(48), right >> np.uint64(48)
+                some["doc"], some["row"], some["at"] = doc, row_tag(data), at
                 held.append(some)
             if sum(map(len, held)) > chunk:
                 yield send(held)
@@ -187,7 +187,7 @@ def deal(docs: DataFrame, buckets: int, chunk: int = 400_000) -> DataFrame:
 def classes(dealt: DataFrame, buckets: int) -> DataFrame:
     """Settled anchors by document, and of those that stay open the ones whose bucket has several classes.
 
-    (doc, row, at, h, c, bits): bits is _ALL for settled anchors and 0 for open ones.
+    (doc, row, at, h, bits): bits is _ALL for settled anchors and 0 for open ones.
     """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -196,11 +196,15 @@ def classes(dealt: DataFrame, buckets: int) -> DataFrame:
         def finish() -> Iterator[pd.DataFrame]:
             if open_:
                 settled, own = settle(np.concatenate(open_))
-                many = np.ones(len(own), bool)
-                if len(own):
-                    first = np.r_[True, own["h"][1:] != own["h"][:-1]]
-                    group = np.cumsum(first) - 1
-                    many = (np.minimum.reduceat(own["c"], np.flatnonzero(first)) != np.maximum.reduceat(own["c"], np.flatnonzero(first)))[group]
+                many = np.zeros(len(own), bool)
+                for side in ("left", "right"):
+                    key = (own["h"] << np.uint64(16)) | own[side]
+                    order = np.argsort(key, kind="stable")  # classes of a bucket stay together
+                    first = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]][: len(own)])
+                    if len(first):
+                        c = own["c"][order]
+                        several = np.minimum.reduceat(c, first) != np.maximum.reduceat(c, first)
+                        many[order] |= np.repeat(several, np.diff(np.r_[first, len(own)]))
                 yield from rows(settled, _ALL)
                 yield from rows(own[many], 0)
             for some in done:
@@ -217,10 +221,10 @@ def classes(dealt: DataFrame, buckets: int) -> DataFrame:
     def rows(entries: np.ndarray, bits: int) -> Iterator[pd.DataFrame]:
         for at in range(0, len(entries), 50_000):
             some = entries[at : at + 50_000]
-            yield pd.DataFrame({"doc": some["doc"], "row": some["row"].astype(np.int64), "at": some["at"].astype(np.int32), "h": some["h"].astype(np.int64), "c": some["c"].astype(np.int64), "bits": np.full(len(some), bits, np.int64)})
+            yield pd.DataFrame({"doc": some["doc"], "row": some["row"].astype(np.int64), "at": some["at"].astype(np.int32), "h": some["h"].astype(np.int64), "bits": np.full(len(some), bits, np.int64)})
 
     spread = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return spread.mapInPandas(work, "doc long, row long, at int, h long, c long, bits long")
+    return spread.mapInPandas(work, "doc long, row long, at int, h long, bits long")
 
 
 def repeated(spark: SparkSession, work: Workspace, docs: DataFrame, buckets: int) -> DataFrame:
@@ -229,32 +233,26 @@ def repeated(spark: SparkSession, work: Workspace, docs: DataFrame, buckets: int
     found = work.save(classes(dealt, buckets), "classes")
     work.sweep()
 
-    asked = found.where("bits = 0").groupBy("doc", "row").agg(F.collect_list(F.struct("at", "h", "c")).alias("asks"))
+    asked = found.where("bits = 0").groupBy("doc", "row").agg(F.collect_list(F.struct("at", "h")).alias("asks"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for doc, row, data, asks in zip(batch["doc"], batch["row"], batch["data"], batch["asks"], strict=True):
                 if row_tag(data) != row:
                     continue
-                at, h, c = (np.array([a[k] for a in asks]) for k in ("at", "h", "c"))
-                around = contexts(data, at)
-                yield pd.DataFrame({"h": h, "c": c, "doc": doc, "row": row, "at": at.astype(np.int32), "context": [x.tobytes() for x in around.astype("<u2")]})
+                at, h = (np.array([a[k] for a in asks]) for k in ("at", "h"))
+                padded = b"\0" * CONTEXT + data + b"\0" * CONTEXT
+                around = [padded[i : i + CONTEXT] for i in (at + CONTEXT - BEFORE).tolist()]
+                yield pd.DataFrame({"h": h, "doc": doc, "row": row, "at": at.astype(np.int32), "size": len(data), "context": around})
 
-    schema = "h long, c long, doc long, row long, at int, context binary"
     texts = docs.select("doc", "data").join(asked, "doc")
-    cuts = texts.select("doc", "row", "data", "asks").mapInPandas(cut, schema)
-    cuts = work.save(cuts, "contexts")
-    work.sweep()
-
-    # One context stands for a class; a class has one document here, in which it may occur at several places.
-    one = cuts.groupBy("h", "c").agg(F.min("doc").alias("doc"), F.first("context").alias("context"))
+    cuts = texts.select("doc", "row", "data", "asks").mapInPandas(cut, "h long, doc long, row long, at int, size int, context binary")
 
     def refined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
         for batch in batches:
             batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            last = batch["h"].iloc[-1] if len(batch) else None
-            ready = batch["h"] != last
+            ready = batch["h"] != batch["h"].iloc[-1]
             rest = batch[~ready]
             if ready.any():
                 yield answer(batch[ready])
@@ -262,16 +260,18 @@ def repeated(spark: SparkSession, work: Workspace, docs: DataFrame, buckets: int
             yield answer(rest)
 
     def answer(group: pd.DataFrame) -> pd.DataFrame:
-        rows = np.frombuffer(b"".join(group["context"]), "<u2").reshape(-1, CONTEXT)
+        rows = np.frombuffer(b"".join(group["context"]), np.uint8).reshape(-1, CONTEXT).astype(np.uint16)
+        place = (group["at"].to_numpy() - BEFORE)[:, None] + np.arange(CONTEXT)
+        rows[(place < 0) | (place >= group["size"].to_numpy()[:, None])] = 256
         bits = refine(rows, group["doc"].to_numpy(), group["h"].to_numpy())
-        out = pd.DataFrame({"h": group["h"].to_numpy(), "c": group["c"].to_numpy(), "bits": bits})
-        return out[bits != 0]
+        return group[["doc", "row", "at"]].assign(bits=bits)[bits != 0]
 
-    answers = one.repartition(buckets, "h").sortWithinPartitions("h").mapInPandas(refined, "h long, c long, bits long")
+    answers = cuts.repartition(buckets, "h").sortWithinPartitions("h").mapInPandas(refined, "doc long, row long, at int, bits long")
     answers = work.save(answers, "answers")
+    del texts, cuts
     work.sweep()
     marks = found.where("bits <> 0").select("doc", "row", "at", "bits")
-    marks = marks.union(cuts.select("h", "c", "doc", "row", "at").join(answers, ["h", "c"]).select("doc", "row", "at", "bits"))
+    marks = marks.union(answers)
     return marks.groupBy("doc", "row").agg(F.collect_list(F.struct("at", "bits")).alias("marks"))
 
 
