@@ -1,4 +1,327 @@
 """Every market query with the SQL it is checked against."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from quantlake.functions import windows as fw
+from quantlake.sources.bars import DAY, bars, bars_sql, by_symbol, dirty_bars, dirty_sql, read
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def C(name: str) -> Column:  # noqa: N802
+    return F.col(name)
+
+
+def query(name: str, sql: str):
+    def add(f):
+        QUERIES[name], ORACLE_SQL[name] = f, sql
+        return f
+
+    return add
+
+
+def over_bars(name: str, sqls: dict[str, str], columns: Callable[[], dict[str, Column]], period: str = "week") -> None:
+    """A query of indicator columns over bars, rounded to 8 places. ``columns`` is called when a session is there."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return bars(spark, sf_dir, period).select("symbol", "date", *(F.round(c, 8).alias(k) for k, c in columns().items()))
+
+    sql = f"{bars_sql(period)}, t AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS t FROM bars) SELECT symbol, date, "
+    query(name, sql + ", ".join(f"round({x}, 8) AS {k}" for k, x in sqls.items()) + " FROM t")(run)
+
+
+# Scans and spans
+
+COLUMNS = ["symbol", "date", "open", "high", "low", "close", "volume", "turnover", "trades", "delivery_qty", "prev_close"]
+query("bars_week", f"{bars_sql()} SELECT {', '.join(COLUMNS)} FROM bars")(lambda s, d: bars(s, d).select(*COLUMNS))
+query("bars_day", f"{bars_sql(DAY)} SELECT {', '.join(COLUMNS)} FROM bars")(lambda s, d: bars(s, d, DAY).select(*COLUMNS))
+query("src_trading_days", f"{bars_sql(DAY)} SELECT DISTINCT date FROM bars")(lambda s, d: bars(s, d, DAY).select("date").distinct())
+query("src_row_count", f"{bars_sql()} SELECT count(*) AS n FROM bars")(lambda s, d: bars(s, d).agg(F.count("*").alias("n")))
+query(
+    "src_prices_scan",
+    f"{bars_sql()} SELECT symbol, date, close FROM bars WHERE symbol IN ('Brand#11', 'Brand#23') AND date BETWEEN DATE '1994-01-01' AND DATE '1995-12-31'",
+)(lambda s, d: bars(s, d).where(C("symbol").isin("Brand#11", "Brand#23") & C("date").between("1994-01-01", "1995-12-31")).select("symbol", "date", "close"))
+query(
+    "agg_symbol_span",
+    f"{bars_sql(DAY)} SELECT symbol, min(date) AS first_seen, max(date) AS last_seen, count(*) AS n_days FROM bars GROUP BY symbol",
+)(lambda s, d: bars(s, d, DAY).groupBy("symbol").agg(F.min("date").alias("first_seen"), F.max("date").alias("last_seen"), F.count("*").alias("n_days")))
+query(
+    "agg_registry",
+    f"{bars_sql(DAY)}, s AS (SELECT symbol, max(date) AS last_seen FROM bars GROUP BY symbol) SELECT symbol, last_seen, last_seen < DATE '1998-12-31' - 60 AS delisted FROM s",
+)(lambda s, d: bars(s, d, DAY).groupBy("symbol").agg(F.max("date").alias("last_seen")).withColumn("delisted", C("last_seen") < F.date_sub(F.lit("1998-12-31").cast("date"), 60)))
+query("agg_rows_per_day", f"{bars_sql(DAY)} SELECT date, count(*) AS n FROM bars GROUP BY date")(lambda s, d: bars(s, d, DAY).groupBy("date").agg(F.count("*").alias("n")))
+query("agg_panel_coverage", f"{bars_sql()} SELECT date, count(DISTINCT symbol) AS symbols FROM bars GROUP BY date")(lambda s, d: bars(s, d).groupBy("date").agg(F.countDistinct("symbol").alias("symbols")))
+
+# The quality gate: row rules in their order; the first that a row breaks owns it.
+
+ROW_RULES = {
+    "T2_validity_high_low": "high < low",
+    "T2_validity_high_bounds": "high < greatest(open, close)",
+    "T2_validity_low_bounds": "low > least(open, close)",
+    "T2_validity_positive_prices": "least(open, high, low, close) <= 0 OR open IS NULL OR high IS NULL OR low IS NULL OR close IS NULL",
+    "T2_validity_non_negative_volume": "volume < 0 OR turnover < 0",
+    "T2_validity_delivery_bounds": "delivery_qty > volume",
+}
+BATCH_RULES = {
+    "T2_validity_turnover_reconciles": "volume > 0 AND turnover > 0 AND (turnover / volume < low * 0.95 OR turnover / volume > high * 1.05)",
+    "T5_plausibility_circuit_breach": "prev_close > 0 AND abs(close / prev_close - 1) * 100 > 20",
+    "T5_plausibility_zero_volume_move": "volume = 0 AND prev_close IS NOT NULL AND (close <> prev_close OR close IS NULL)",
+}
+for _name, _rule in (ROW_RULES | BATCH_RULES).items():
+    query(_name, f"{dirty_sql()} SELECT symbol, date FROM dirty WHERE {_rule}")(lambda s, d, rule=_rule: dirty_bars(s, d).where(rule).select("symbol", "date"))
+OWNER = "CASE " + " ".join(f"WHEN {rule} THEN '{name}'" for name, rule in ROW_RULES.items()) + " END"
+
+
+def gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dirty_bars(spark, sf_dir).withColumn("held_by", F.expr(OWNER))
+
+
+def accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gated(spark, sf_dir).where("held_by IS NULL")
+
+
+GATED = f"{dirty_sql()}, gated AS (SELECT *, {OWNER} AS held_by FROM dirty), ok AS (SELECT * FROM gated WHERE held_by IS NULL)"
+query("gate_run", f"{GATED} SELECT symbol, date, held_by FROM gated")(lambda s, d: gated(s, d).select("symbol", "date", "held_by"))
+query("gate_held_by_rule", f"{GATED} SELECT held_by, count(*) AS n FROM gated WHERE held_by IS NOT NULL GROUP BY held_by")(
+    lambda s, d: gated(s, d).where("held_by IS NOT NULL").groupBy("held_by").agg(F.count("*").alias("n"))
+)
+query(
+    "gate_verdict",
+    f"{GATED} SELECT date, CASE WHEN count(held_by) = count(*) THEN 'rejected' WHEN count(held_by) > 0 THEN 'quarantined' ELSE 'pass' END AS verdict FROM gated GROUP BY date",
+)(lambda s, d: gated(s, d).groupBy("date").agg(F.when(F.count("held_by") == F.count("*"), "rejected").when(F.count("held_by") > 0, "quarantined").otherwise("pass").alias("verdict")))
+query(
+    "T4_continuity_prev_close",
+    f"{GATED}, p AS (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY date) AS prior FROM ok) SELECT symbol, date FROM p WHERE abs(prev_close - prior) / prior > 0.005",
+)(lambda s, d: accepted(s, d).withColumn("prior", F.lag("close").over(by_symbol())).where("abs(prev_close - prior) / prior > 0.005").select("symbol", "date"))
+query(
+    "T5_plausibility_volume_spike",
+    f"{GATED}, m AS (SELECT *, median(volume) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 120 PRECEDING AND 1 PRECEDING) AS m FROM ok) SELECT symbol, date FROM m WHERE m > 0 AND volume / m > 50",
+)(
+    lambda s, d: accepted(s, d)
+    .withColumn("m", F.percentile("volume", F.lit(0.5)).over(by_symbol().rowsBetween(-120, -1)))
+    .where("m > 0 AND volume / m > 50")
+    .select("symbol", "date")
+)
+query(
+    "T3_completeness_row_count",
+    f"""{bars_sql(DAY)}, n AS (SELECT date, count(*) AS n FROM bars GROUP BY date), m AS (SELECT *, median(n) OVER (ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS m FROM n)
+    SELECT date, n FROM m WHERE m > 0 AND abs(n - m) / m > 0.25""",
+)(
+    # One row for each trading day: a window over days, not over rows.
+    lambda s, d: bars(s, d, DAY).groupBy("date").agg(F.count("*").alias("n"))
+    .withColumn("m", F.percentile("n", F.lit(0.5)).over(Window.orderBy("date").rowsBetween(-20, -1)))
+    .where("m > 0 AND abs(n - m) / m > 0.25").select("date", "n")
+)
+query(
+    "T3_completeness_trading_day",
+    f"{bars_sql(DAY)} SELECT DISTINCT date FROM bars WHERE isodow(date) >= 6 OR (month(date), day(date)) IN ((1, 26), (5, 1), (8, 15), (10, 2), (12, 25))",
+)(
+    lambda s, d: bars(s, d, DAY).select("date").distinct()
+    .where((F.weekday("date") >= 5) | F.date_format("date", "MM-dd").isin("01-26", "05-01", "08-15", "10-02", "12-25"))
+)
+query(
+    "T5_plausibility_staleness",
+    f"""{bars_sql()}, r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS r FROM bars)
+    SELECT symbol, count(DISTINCT close) = 1 AND count(*) >= 5 AS stale FROM r WHERE r <= 5 GROUP BY symbol""",
+)(
+    lambda s, d: bars(s, d).withColumn("r", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("date")))).where("r <= 5")
+    .groupBy("symbol").agg(((F.countDistinct("close") == 1) & (F.count("*") >= 5)).alias("stale"))
+)
+query(
+    "T6_cross_source_close_agreement",
+    f"{bars_sql()}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS t FROM bars), o AS (SELECT symbol, date, CASE WHEN t % 139 = 25 THEN close * 1.02 ELSE close END AS other FROM n) SELECT symbol, date FROM bars JOIN o USING (symbol, date) WHERE abs(close - other) / other * 100 > 1",
+)(
+    lambda s, d: (lambda b: b.join(b.select("symbol", "date", F.expr("CASE WHEN t % 139 = 25 THEN close * 1.02 ELSE close END").alias("other")), ["symbol", "date"]))(
+        bars(s, d).withColumn("t", F.row_number().over(by_symbol()))
+    ).where("abs(close - other) / other * 100 > 1").select("symbol", "date")
+)
+
+# Corporate actions and adjustment: (symbol, ex_date, purpose).
+
+ACTIONS = (
+    ("Brand#11", "1994-06-01", "FACE VALUE SPLIT FROM RS 10/- TO RS 2/-"),
+    ("Brand#11", "1996-03-04", "BONUS 1:1"),
+    ("Brand#23", "1995-01-02", "BONUS ISSUE 3:5"),
+    ("Brand#34", "1995-07-03", "RIGHTS 1:4 @ PREMIUM RS 90/-"),
+    ("Brand#45", "1996-01-01", "DIVIDEND RS 5.50 PER SHARE"),
+    ("Brand#52", "1996-01-01", "SOMETHING UNEXPECTED"),
+)
+ACTIONS_SQL = "actions AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', DATE '{b}', '{c}')" for a, b, c in ACTIONS) + ") AS v(symbol, ex_date, purpose))"
+PARSED_SQL = f"""{ACTIONS_SQL}, x AS (SELECT *, regexp_extract(purpose, 'RS ([0-9.]+).*RS ([0-9.]+)', 1) AS a, regexp_extract(purpose, 'RS ([0-9.]+).*RS ([0-9.]+)', 2) AS b,
+    regexp_extract(purpose, '([0-9]+):([0-9]+)', 1) AS p, regexp_extract(purpose, '([0-9]+):([0-9]+)', 2) AS q FROM actions),
+  parsed AS (SELECT symbol, ex_date, CASE WHEN purpose LIKE '%SPLIT%' THEN 'split' WHEN purpose LIKE '%BONUS%' THEN 'bonus' WHEN purpose LIKE '%RIGHTS%' THEN 'rights' WHEN purpose LIKE '%DIVIDEND%' THEN 'dividend' ELSE 'other' END AS kind,
+    CASE WHEN purpose LIKE '%SPLIT%' THEN TRY_CAST(b AS DOUBLE) / TRY_CAST(a AS DOUBLE) WHEN purpose LIKE '%BONUS%' OR purpose LIKE '%RIGHTS%' THEN TRY_CAST(q AS DOUBLE) / (TRY_CAST(p AS DOUBLE) + TRY_CAST(q AS DOUBLE)) ELSE 1.0 END AS ratio,
+    purpose LIKE '%SPLIT%' OR purpose LIKE '%BONUS%' OR purpose LIKE '%DIVIDEND%' AS confident FROM x)"""
+
+
+def parsed(spark: SparkSession) -> DataFrame:
+    """kind, ratio and confident of each purpose; the first pattern that fits decides."""
+    rows = spark.createDataFrame(ACTIONS, "symbol string, ex_date string, purpose string").withColumn("ex_date", C("ex_date").cast("date"))
+    number = lambda pattern, k: F.regexp_extract("purpose", pattern, k).try_cast("double")
+    faces, ratio = r"(?is)RS ([0-9.]+).*RS ([0-9.]+)", r"(?is)([0-9]+):([0-9]+)"
+    has = lambda word: F.upper("purpose").contains(word)
+    kind = F.when(has("SPLIT"), "split").when(has("BONUS"), "bonus").when(has("RIGHTS"), "rights").when(has("DIVIDEND"), "dividend").otherwise("other")
+    value = F.when(C("kind") == "split", number(faces, 2) / number(faces, 1)).when(C("kind").isin("bonus", "rights"), number(ratio, 2) / (number(ratio, 1) + number(ratio, 2))).otherwise(1.0)
+    return rows.withColumn("kind", kind).select("symbol", "ex_date", "kind", value.alias("ratio"), C("kind").isin("split", "bonus", "dividend").alias("confident"))
+
+
+def adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices times the ratios of later actions: actions and bars in one order, a reverse running product; no range join."""
+    actions = parsed(spark).where("confident AND ratio <> 1").select("symbol", C("ex_date").alias("date"), "ratio")
+    rows = bars(spark, sf_dir).unionByName(actions, allowMissingColumns=True)
+    # An action on a bar's own date does not count: bars sort as if a day later.
+    rows = rows.withColumn("date_", F.unix_date(F.when(C("ratio").isNull(), F.date_add("date", 1)).otherwise(C("date"))))
+    later = Window.partitionBy("symbol").orderBy(F.desc("date_")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("factor", F.product(F.coalesce("ratio", F.lit(1.0))).over(later)).where("ratio IS NULL")
+    return rows.select("symbol", "date", "factor", (C("close") * C("factor")).alias("adj_close"), F.bround(C("volume") / C("factor")).cast("long").alias("adj_volume"))
+
+
+query("fn_parse_purpose", f"WITH {PARSED_SQL} SELECT * FROM parsed")(lambda s, d: parsed(s))
+query(
+    "agg_adjust_symbol",
+    f"""{bars_sql()}, {PARSED_SQL}, f AS (SELECT b.symbol, b.date, any_value(close) AS close, any_value(volume) AS volume, coalesce(product(ratio), 1.0) AS factor FROM bars b
+      LEFT JOIN parsed p ON p.symbol = b.symbol AND p.ex_date > b.date AND confident AND ratio <> 1 GROUP BY b.symbol, b.date)
+    SELECT symbol, date, round(factor, 8) AS factor, round(close * factor, 8) AS adj_close, CAST(round_even(volume / factor, 0) AS BIGINT) AS adj_volume FROM f""",
+)(lambda s, d: adjusted(s, d).select("symbol", "date", F.round("factor", 8).alias("factor"), F.round("adj_close", 8).alias("adj_close"), "adj_volume"))
+
+# Indicators
+
+W = "OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN {} PRECEDING AND CURRENT ROW)"
+LAG = "OVER (PARTITION BY symbol ORDER BY date)"
+
+
+def sql_rolling(f: str, x: str, n: int, least: int) -> str:
+    w = W.format(n - 1)
+    return f"CASE WHEN count({x}) {w} >= {least} THEN {f}({x}) {w} END"
+
+
+def sql_ewm(x: str, alpha: float, least: int) -> str:
+    b, w = 1 - alpha, W.format("UNBOUNDED")
+    return f"CASE WHEN count({x}) {w} >= {least} THEN pow({b!r}, t) * sum(CASE WHEN t = 0 THEN 1.0 ELSE {alpha!r} END * pow({b!r}, -t) * {x}) {w} END"
+
+
+def sql_ema(x: str, span: int) -> str:
+    return sql_ewm(x, 2 / (span + 1), span // 2)
+
+
+def mean(n: int) -> str:
+    return f"({sql_rolling('avg', 'close', n, n // 2)})"
+
+
+def typical() -> Column:
+    return (C("high") + C("low") + C("close")) / 3
+
+
+def positive(x: Column) -> Column:
+    return F.nullif(x, F.lit(0.0))
+
+
+ROC = {"1m": 21, "3m": 63, "6m": 126, "12m": 252}
+LOW14, HIGH14 = sql_rolling("min", "low", 14, 7), sql_rolling("max", "high", 14, 7)
+MID, SD = sql_rolling("avg", "close", 20, 10), sql_rolling("stddev_samp", "close", 20, 10)
+PEAK, HIGH52, LOW52 = sql_rolling("max", "close", 252, 21), sql_rolling("max", "high", 252, 21), sql_rolling("min", "low", 252, 21)
+VWAP = (sql_rolling("sum", "((high + low + close) / 3 * volume)", 20, 10), sql_rolling("sum", "CAST(volume AS DOUBLE)", 20, 10))
+
+over_bars("core_sma", {f"trend_sma_{n}": mean(n) for n in (20, 50, 200)}, lambda: {f"trend_sma_{n}": fw.sma(C("close"), n) for n in (20, 50, 200)})
+over_bars("core_ema", {f"trend_ema_{n}": sql_ema("close", n) for n in (12, 26, 50)}, lambda: {f"trend_ema_{n}": fw.ema(C("close"), n) for n in (12, 26, 50)})
+over_bars("core_rma", {"rma_14": sql_ewm("close", 1 / 14, 14)}, lambda: {"rma_14": fw.rma(C("close"), 14)})
+over_bars(
+    "trend_price_vs_sma",
+    {f"trend_price_vs_sma{n}": f"(close - {mean(n)}) / {mean(n)}" for n in (20, 50)},
+    lambda: {f"trend_price_vs_sma{n}": (C("close") - fw.sma(C("close"), n)) / fw.sma(C("close"), n) for n in (20, 50)},
+)
+over_bars("trend_macd", {"trend_macd": f"{sql_ema('close', 12)} - {sql_ema('close', 26)}"}, lambda: {"trend_macd": fw.ema(C("close"), 12) - fw.ema(C("close"), 26)})
+over_bars(
+    "momentum_roc",
+    {f"momentum_roc_{k}": f"(close / lag(close, {n}) {LAG} - 1) * 100" for k, n in ROC.items()},
+    lambda: {f"momentum_roc_{k}": (C("close") / F.lag("close", n).over(by_symbol()) - 1) * 100 for k, n in ROC.items()},
+)
+over_bars(
+    "momentum_stoch_k",
+    {"momentum_stoch_k": f"100 * (close - ({LOW14})) / nullif(({HIGH14}) - ({LOW14}), 0)"},
+    lambda: {"momentum_stoch_k": 100 * (C("close") - fw.rolling(F.min, C("low"), 14, 7)) / positive(fw.rolling(F.max, C("high"), 14, 7) - fw.rolling(F.min, C("low"), 14, 7))},
+)
+over_bars(
+    "volatility_bollinger",
+    {"volatility_bb_mid": MID, "volatility_bb_upper": f"({MID}) + 2 * ({SD})", "volatility_bb_lower": f"({MID}) - 2 * ({SD})"},
+    lambda: (lambda m, s: {"volatility_bb_mid": m, "volatility_bb_upper": m + 2 * s, "volatility_bb_lower": m - 2 * s})(fw.rolling(F.avg, C("close"), 20, 10), fw.rolling(F.stddev_samp, C("close"), 20, 10)),
+)
+over_bars("typical_price", {"typical_price": "(high + low + close) / 3"}, lambda: {"typical_price": typical()})
+over_bars(
+    "volume_vwap_20",
+    {"volume_vwap_20": f"({VWAP[0]}) / ({VWAP[1]})"},
+    lambda: {"volume_vwap_20": fw.rolling(F.sum, typical() * C("volume"), 20, 10) / fw.rolling(F.sum, C("volume").cast("double"), 20, 10)},
+)
+over_bars("volume_ratio", {"volume_ratio": f"volume / nullif({sql_rolling('avg', 'volume', 20, 5)}, 0)"}, lambda: {"volume_ratio": C("volume") / positive(fw.rolling(F.avg, C("volume"), 20, 5))})
+over_bars("regime_drawdown", {"regime_drawdown": f"(close - ({PEAK})) / ({PEAK})"}, lambda: {"regime_drawdown": (lambda p: (C("close") - p) / p)(fw.rolling(F.max, C("close"), 252, 21))})
+over_bars(
+    "regime_52w_position",
+    {"regime_52w_position": f"(close - ({LOW52})) / nullif(({HIGH52}) - ({LOW52}), 0)"},
+    lambda: {"regime_52w_position": (lambda h, x: (C("close") - x) / positive(h - x))(fw.rolling(F.max, C("high"), 252, 21), fw.rolling(F.min, C("low"), 252, 21))},
+)
+over_bars("fn_returns", {"simple_return": "close / prev_close - 1", "log_return": "ln(close / prev_close)"}, lambda: {"simple_return": C("close") / C("prev_close") - 1, "log_return": F.ln(C("close") / C("prev_close"))})
+over_bars("win_make_labels", {"forward": f"lead(close, 4) {LAG} / close - 1"}, lambda: {"forward": F.lead("close", 4).over(by_symbol()) / C("close") - 1})
+
+
+@query(
+    "win_xs_rank",
+    f"""{bars_sql()}, r AS (SELECT symbol, date, close / prev_close - 1 AS r FROM bars), k AS (SELECT *, rank() OVER (PARTITION BY date ORDER BY r NULLS LAST) AS k,
+      count(*) OVER (PARTITION BY date, r) AS ties, count(r) OVER (PARTITION BY date) AS n, count(*) OVER (PARTITION BY date) AS m FROM r)
+    SELECT symbol, date, round(CASE WHEN m >= 20 AND r IS NOT NULL THEN (k + (ties - 1) / 2.0) / n END, 8) AS return_xs FROM k""",
+)
+def win_xs_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bars(spark, sf_dir).withColumn("r", C("close") / C("prev_close") - 1)
+    return rows.select("symbol", "date", F.round(fw.rank_pct(C("r"), "date", 20, "symbol"), 8).alias("return_xs"))
+
+
+@query(
+    "screen_momentum",
+    f"""{GATED}, m AS (SELECT symbol, date, close, (close / lag(close, 4) OVER (PARTITION BY symbol ORDER BY date) - 1) * 100 AS roc,
+      row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS r FROM ok)
+    SELECT symbol, date, close, roc FROM m WHERE r = 1 AND roc IS NOT NULL ORDER BY roc DESC, symbol LIMIT 10""",
+)
+def screen_momentum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flagship: the gate's accepted bars, four-period momentum, the latest bar of each symbol, the best ten."""
+    newest = Window.partitionBy("symbol").orderBy(F.desc("date"))
+    rows = accepted(spark, sf_dir).withColumn("roc", (C("close") / F.lag("close", 4).over(by_symbol()) - 1) * 100)
+    rows = rows.withColumn("r", F.row_number().over(newest)).where("r = 1 AND roc IS NOT NULL")
+    return rows.select("symbol", "date", "close", "roc").orderBy(F.desc("roc"), "symbol").limit(10)
+
+
+# Scores against labels: calibration
+
+SCORED = "s AS (SELECT doc_id, quality AS y, ((doc_id * 37) % 100) / 100.0 AS p FROM labels)"
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "labels").select("doc_id", C("quality").alias("y"), ((C("doc_id") * 37) % 100 / 100.0).alias("p"))
+
+
+query("cal_brier", f"WITH {SCORED} SELECT round(avg((p - y) * (p - y)), 8) AS brier FROM s")(lambda s, d: scored(s, d).agg(F.round(F.avg((C("p") - C("y")) * (C("p") - C("y"))), 8).alias("brier")))
+_bin = "(CASE WHEN p > 0.1 THEN 1 ELSE 0 END" + "".join(f" + CASE WHEN p > {k / 10} THEN 1 ELSE 0 END" for k in range(2, 10)) + ")"
+query("cal_reliability", f"WITH {SCORED} SELECT CAST({_bin} AS INTEGER) AS bin, round(avg(p), 8) AS predicted, round(avg(y), 8) AS observed, count(*) AS n FROM s GROUP BY 1 HAVING count(*) >= 20")(
+    lambda s, d: scored(s, d).groupBy(F.expr(_bin).cast("int").alias("bin")).agg(F.round(F.avg("p"), 8).alias("predicted"), F.round(F.avg("y"), 8).alias("observed"), F.count("*").alias("n")).where("n >= 20")
+)
+query("bt_position", f"WITH {SCORED} SELECT doc_id, CASE WHEN p >= 0.55 THEN 1 WHEN p <= 0.45 THEN -1 ELSE 0 END AS position FROM s")(
+    lambda s, d: scored(s, d).select("doc_id", F.when(C("p") >= 0.55, 1).when(C("p") <= 0.45, -1).otherwise(0).alias("position"))
+)
+
+# Return metrics of each symbol
+
+RETURNS = f"{bars_sql()}, r AS (SELECT symbol, close / prev_close - 1 AS r FROM bars WHERE prev_close IS NOT NULL)"
+METRICS = {
+    "sharpe": "CASE WHEN count(r) < 2 OR stddev_pop(r) < 1e-15 THEN 0.0 ELSE avg(r) / stddev_pop(r) * sqrt(252) END",
+    "win_rate": "avg(CASE WHEN r > 0 THEN 1.0D ELSE 0.0D END)",
+    "profit_factor": "sum(CASE WHEN r > 0 THEN r ELSE 0 END) / nullif(abs(sum(CASE WHEN r < 0 THEN r ELSE 0 END)), 0)",
+    "total_return": "exp(sum(ln(1 + r))) - 1",
+}
+query("met_all", f"{RETURNS} SELECT symbol, " + ", ".join(f"round({x.replace('0D', '0')}, 8) AS {k}" for k, x in METRICS.items()) + " FROM r GROUP BY symbol")(
+    lambda s, d: bars(s, d).where("prev_close IS NOT NULL").select("symbol", F.expr("close / prev_close - 1").alias("r")).groupBy("symbol").agg(*(F.round(F.expr(x), 8).alias(k) for k, x in METRICS.items()))
+)
