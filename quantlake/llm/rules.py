@@ -46,7 +46,8 @@ def fit_ratio(spark: SparkSession, docs: DataFrame, trusted: DataFrame, *, bucke
     Each task sums its counts, so a task shuffles at most a row for each bucket, and the driver gets the model's size.
     """
     small_batches(spark)
-    marked = docs.select("doc_id", "text").join(trusted.select("doc_id", F.lit(True).alias("_trusted")).distinct(), "doc_id", "left")
+    good = trusted.select("doc_id", F.lit(True).alias("_trusted")).distinct().hint("merge")  # the same plan at every size
+    marked = docs.select("doc_id", "text").join(good, "doc_id", "left")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, total = WordHashes(), np.zeros((2, buckets), np.int64)
