@@ -228,25 +228,29 @@ def classes(dealt: DataFrame, buckets: int) -> DataFrame:
 
 
 def repeated(spark: SparkSession, work: Workspace, docs: DataFrame, buckets: int) -> DataFrame:
-    """(doc, row, marks array<struct<at, bits>>): bit o says that the passage from at - BEFORE + o is repeated."""
+    """(doc, row, ats, bits): bit o of an element of bits says that the passage from at - BEFORE + o is repeated."""
     dealt = deal(docs, buckets)
     found = work.save(classes(dealt, buckets), "classes")
     work.sweep()
 
-    asked = found.where("bits = 0").groupBy("doc", "row").agg(F.collect_list(F.struct("at", "h")).alias("asks"))
+    asked = found.where("bits = 0").groupBy("doc", "row").agg(F.collect_list("at").alias("ats"), F.collect_list("h").alias("hs"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for doc, row, data, asks in zip(batch["doc"], batch["row"], batch["data"], batch["asks"], strict=True):
-                if row_tag(data) != row:
-                    continue
-                at, h = (np.array([a[k] for a in asks]) for k in ("at", "h"))
+            batch = batch[[row_tag(x) == r for x, r in zip(batch["data"], batch["row"], strict=True)]]
+            if not len(batch):
+                continue
+            counts = batch["ats"].map(len).to_numpy()
+            around = []
+            for data, at in zip(batch["data"], batch["ats"], strict=True):
                 padded = b"\0" * CONTEXT + data + b"\0" * CONTEXT
-                around = [padded[i : i + CONTEXT] for i in (at + CONTEXT - BEFORE).tolist()]
-                yield pd.DataFrame({"h": h, "doc": doc, "row": row, "at": at.astype(np.int32), "size": len(data), "context": around})
+                around += [padded[i : i + CONTEXT] for i in (at + (CONTEXT - BEFORE)).tolist()]
+            out = {"h": np.concatenate(batch["hs"].tolist()), "doc": np.repeat(batch["doc"].to_numpy(), counts), "row": np.repeat(batch["row"].to_numpy(), counts)}
+            sizes = np.repeat(batch["data"].map(len).to_numpy(), counts)
+            yield pd.DataFrame(out | {"at": np.concatenate(batch["ats"].tolist()), "size": sizes, "context": around})
 
     texts = docs.select("doc", "data").join(asked, "doc")
-    cuts = texts.select("doc", "row", "data", "asks").mapInPandas(cut, "h long, doc long, row long, at int, size int, context binary")
+    cuts = texts.select("doc", "row", "data", "ats", "hs").mapInPandas(cut, "h long, doc long, row long, at int, size int, context binary")
 
     def refined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -272,16 +276,15 @@ def repeated(spark: SparkSession, work: Workspace, docs: DataFrame, buckets: int
     work.sweep()
     marks = found.where("bits <> 0").select("doc", "row", "at", "bits")
     marks = marks.union(answers)
-    return marks.groupBy("doc", "row").agg(F.collect_list(F.struct("at", "bits")).alias("marks"))
+    return marks.groupBy("doc", "row").agg(F.collect_list("at").alias("ats"), F.collect_list("bits").alias("bits"))
 
 
-def removed(data: bytes, marks: list) -> np.ndarray:
+def removed(data: bytes, at: np.ndarray | None, bits: np.ndarray | None) -> np.ndarray:
     """Which bytes of a text the repeated passages cover."""
     n = len(data)
     cover = np.zeros(n + 1, np.int64)
-    if marks is not None and len(marks):
-        at, bits = np.array([m["at"] for m in marks], np.int64), np.array([m["bits"] for m in marks], np.int64)
-        starts = (at - BEFORE)[:, None] + np.arange(CONTEXT - LENGTH + 1)
+    if at is not None:
+        starts = (at.astype(np.int64) - BEFORE)[:, None] + np.arange(CONTEXT - LENGTH + 1)
         starts = starts[(bits[:, None] >> np.arange(CONTEXT - LENGTH + 1)) & 1 == 1]
         starts = np.unique(starts[(starts >= 0) & (starts + LENGTH <= n)])
         cover[starts] += 1
@@ -310,17 +313,20 @@ def without_repeats(spark: SparkSession, docs: DataFrame, *, digest: bool = Fals
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = []
-            for doc, data, groups in zip(batch["doc"], batch["data"], batch["groups"], strict=True):
-                tag = row_tag(data) if groups is not None else None
-                here = next((g["marks"] for g in groups if g["row"] == tag), None) if groups is not None else None
-                gone = removed(data, here)
+            for doc, data, at, bits in zip(batch["doc"], batch["data"], batch["ats"], batch["bits"], strict=True):
+                gone = removed(data, at, bits)
                 kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
                 spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
                 found.append((doc, len(data), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest() if digest else kept.decode("utf-8", "ignore")))
             yield pd.DataFrame(found, columns=["doc", "n_bytes", "n_removed", "n_spans", out.split()[0]])
 
-    by_doc = marks.groupBy("doc").agg(F.collect_list(F.struct("row", "marks")).alias("groups"))
-    done = rows.join(by_doc, "doc", "left").mapInPandas(finish, f"doc long, n_bytes long, n_removed long, n_spans long, {out}")
+    tag = F.pandas_udf(lambda x: x.map(row_tag), "long")
+    told = marks.groupBy("doc").agg(F.count("*").alias("k"), F.first("row").alias("row"), F.first("ats").alias("ats"), F.first("bits").alias("bits"))
+    # Where texts share a doc_id, marks are told apart by the text's tag; elsewhere the id is enough.
+    shared = work.save(rows.groupBy("doc").agg(F.count("*").alias("k")).where("k > 1").select("doc"), "shared")
+    single = rows.join(shared, "doc", "left_anti").join(told.drop("k", "row"), "doc", "left")
+    several = rows.join(shared, "doc", "left_semi").withColumn("row", tag("data")).join(marks, ["doc", "row"], "left").select(*single.columns)
+    done = single.union(several).mapInPandas(finish, f"doc long, n_bytes long, n_removed long, n_spans long, {out}")
     doc_id = F.when(F.col("doc") != _NONE, F.col("doc")).alias("doc_id")
     return done.select(doc_id, "n_bytes", "n_removed", "n_spans", out.split()[0])
 
