@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import log10
 
 import numpy as np
 import pandas as pd
@@ -156,7 +157,7 @@ def train(coded: DataFrame, symbols: int, frequency: np.ndarray, *, states: int,
 
 
 def score(
-    spark: SparkSession, docs: DataFrame, *, states: int = 6, frequent: int = 2000, rounds: int = 3, seed: int = 1, chunk_bytes: int = 4 << 20
+    spark: SparkSession, docs: DataFrame, *, states: int = 6, frequent: int = 2000, rounds: int = 3, seed: int = 1, chunk_bytes: int = 6 << 20
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs`` (doc_id, text,
     held_out); what is learned, and the counts, come from all rows that are not held out.
@@ -202,34 +203,32 @@ def score(
         weight[shared + r["ending"]], kinds[shared + r["ending"]] = r["c"], r["v"]
     frequency = (weight + 0.5) / (weight + 0.5).sum()
 
-    answers = asked.select("chunk", "word", "ending").join(counts.select("word", "c"), "word")
+    answers = asked.select("chunk", "word").join(counts.select("word", "c"), "word")
 
     def code(key: tuple, texts: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
         count = dict(zip(words["word"].tolist(), words["c"].tolist(), strict=True))
-        known: dict[bytes, tuple[int, float, float, bool]] = {}
-        floor = np.log10(n + v + 1)
+        known: dict[bytes | None, int] = {}
+        facts: list[tuple[int, int, float]] = []  # symbol, count, log10 of the word's share of its symbol
 
-        def facts(word: bytes | None) -> tuple[int, float, float, bool]:
+        def learn(word: bytes | None) -> int:
             i = END if word is None else word_id(word)
-            c = count.get(i, 0)
-            symbol = symbol_of.get(i)
-            own = 0.0
+            c, symbol, own = count.get(i, 0), symbol_of.get(i), 0.0
             if symbol is None:
                 symbol = shared + ending(word)
-                own = np.log10((c + 1) / (weight[symbol] + kinds[symbol] + 1))
-            return symbol, np.log10(c + 1) - floor, own, c > 0
-
-        end, out = facts(None), []
-        for doc_id, held_out, text in zip(texts["doc_id"], texts["held_out"], texts["text"], strict=True):
-            found = []
-            for w in tokens(text):
-                f = known.get(w)
-                if f is None:
-                    known[w] = f = facts(w)
-                found.append(f)
-            found.append(end)
-            symbols, base, own, seen = zip(*found, strict=True)
-            out.append((doc_id, held_out, len(found), sum(seen), float(np.sum(base)), float(np.sum(own)), np.array(symbols, np.int16).tobytes()))
+                own = log10((c + 1) / (weight[symbol] + kinds[symbol] + 1))
+            facts.append((symbol, c, own))
+            known[word] = len(known)
+            return len(known) - 1
+
+        get, places = known.get, []
+        for text in texts["text"]:
+            places.append(np.array([k if (k := get(w)) is not None else learn(w) for w in [*tokens(text), None]], np.int64))
+        symbol, c, own = (np.array(x) for x in zip(*facts, strict=True))
+        base, symbol = np.log10((c + 1) / (n + v + 1)), symbol.astype(np.int16)
+        out = [
+            (doc_id, held_out, len(at), int((c[at] > 0).sum()), float(base[at].sum()), float(own[at].sum()), symbol[at].tobytes())
+            for doc_id, held_out, at in zip(texts["doc_id"], texts["held_out"], places, strict=True)
+        ]
         columns = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "own", "symbols"]
         return pd.DataFrame(out, columns=columns).astype({"doc_id": "Int64"})
 
