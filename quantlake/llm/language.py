@@ -56,7 +56,8 @@ def fit(
             if len(found) > 500_000:
                 yield frame(found)
                 found = Counter()
-        yield frame(found)
+        if found:
+            yield frame(found)
 
     def frame(found: Counter) -> pd.DataFrame:
         return pd.DataFrame({"word": [k[0] for k in found], "lang": [k[1] for k in found], "n": list(found.values())})
@@ -129,7 +130,8 @@ def predictor(spark: SparkSession, model: LanguageModel):
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(shared.value)
         for texts in batches:
-            yield pd.DataFrame([scorer.predict(t) for t in texts], columns=["lang_pred", "score"])
+            found = [scorer.predict(t) for t in texts]
+            yield pd.DataFrame({"lang_pred": np.array([f[0] for f in found], object), "score": np.array([f[1] for f in found], float)})
 
     def column(text: Column) -> Column:
         return predict(text)
