@@ -15,6 +15,8 @@ from quantlake.llm.common import WordHashes, Workspace, components, mix, ngram_h
 WORDS, BANDS, ROWS, PERCENT = 5, 20, 3, 75
 #: A pair of at least 75 % agrees in 45 of 60 coordinates on average; 28 is five standard deviations less.
 LEAST_AGREEMENT = 28
+#: Shingles are counted in so many parts of the hash space to bound what two classes share.
+PARTS = 64
 
 
 def shingles(text: str | None, words: WordHashes, n: int = WORDS) -> np.ndarray:
@@ -101,7 +103,9 @@ def near_duplicates(
     candidates, so a large group costs as many comparisons as it has members; what is left of a band likewise. Then all
     pairs of a band that these links have not yet joined are compared, if enough coordinates of their signatures agree
     and the similarity is possible: two classes share at most the fewer of the shingles that either shares with the
-    band's centre, and the fewer of those that it has in common with any other open class.
+    band's centre, and the fewer of those that it has in common with any other open class; and in each of PARTS parts
+    of the hash space at most the fewer of those that either has in common with any other, which tells copies apart that
+    were changed in different places.
 
     Null and empty texts, and texts without words, have no shingles and link with nothing, nor do rows without doc_id
     (their component_id is null and they are kept). Rows that repeat a doc_id with the same text belong to one class
@@ -152,10 +156,11 @@ def near_duplicates(
     of_hub = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("hub"), "both"), F.struct(F.col("b").alias("node"), F.col("a").alias("hub"), "both"))).alias("p")).select("p.*")
     open_ = open_.join(classes.select("node", "sig"), "node").join(common, "node").join(of_hub, ["node", "hub"], "left")
     open_ = work.save(open_.withColumn("core", F.coalesce("both", "size")), "open_members")
-    sides = ("node", "c", "size", "sig", "common", "core")
+    sides = ("node", "c", "size", "sig", "common", "core", "parts")
     left = open_.where("c <> top_c").select("band", "i", *(F.col(x).alias(f"{x}_a") for x in sides))
     right = open_.select("band", "top_c", *(F.col(x).alias(f"{x}_b") for x in sides))
     most_shared = F.least("core_a", "core_b") + F.least(F.col("common_a") - F.col("core_a"), F.col("common_b") - F.col("core_b"))
+    in_parts = F.aggregate(F.zip_with("parts_a", "parts_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
     same = F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int"))
     agree = F.aggregate(same, F.lit(0), lambda s, x: s + x)
     earlier = F.exists(F.sequence(F.lit(0), F.col("i") - 1, F.lit(1)), lambda j: F.slice("sig_a", j * ROWS + 1, ROWS) == F.slice("sig_b", j * ROWS + 1, ROWS))
@@ -163,6 +168,7 @@ def near_duplicates(
         (F.col("c_a") != F.col("c_b"))
         & ((F.col("c_b") == F.col("top_c")) | (F.col("node_a") < F.col("node_b")))
         & (100 * most_shared >= percent * (F.col("size_a") + F.col("size_b") - most_shared))
+        & (100 * in_parts >= percent * (F.col("size_a") + F.col("size_b") - in_parts))
         & (agree >= LEAST_AGREEMENT)
         & ~F.when(F.col("i") > 0, earlier).otherwise(F.lit(False))
     )
@@ -189,19 +195,29 @@ def pairs_with(members: DataFrame, hub: str) -> DataFrame:
 
 
 def shared_shingles(spark: SparkSession, texts: DataFrame, n: int) -> DataFrame:
-    """node and common: how many shingles of each of ``texts`` (node, text) occur in another of them."""
+    """node, parts and common: how many shingles of each of ``texts`` (node, text) occur in another of them, in each part
+    of the hash space and in all."""
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = WordHashes()
         for batch in batches:
             for node, text in zip(batch["node"], batch["text"], strict=True):
                 yield pd.DataFrame({"node": node, "shingle": shingles(text, words, n).view(np.int64)})
 
-    rows = texts.mapInPandas(work, "node long, shingle long")
-    one = rows.groupBy("shingle").agg(F.count("*").alias("k"), F.min("node").alias("node"))
-    own = one.where("k = 1").groupBy("node").agg(F.count("*").alias("own"))
-    sizes = rows.groupBy("node").agg(F.count("*").alias("size"))
-    return sizes.join(own, "node", "left").select("node", (F.col("size") - F.coalesce("own", F.lit(0))).alias("common"))
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = WordHashes()
+        for batch in batches:
+            parts = [np.bincount((shingles(t, words, n) % np.uint64(PARTS)).astype(np.int64), minlength=PARTS) for t in batch["text"]]
+            yield pd.DataFrame({"node": batch["node"], "all": parts})
+
+    one = texts.mapInPandas(emit, "node long, shingle long").groupBy("shingle").agg(F.count("*").alias("k"), F.min("node").alias("node"))
+    part = F.col("shingle").bitwiseAND(F.lit(PARTS - 1)).cast("int")
+    own = one.where("k = 1").groupBy("node", part.alias("part")).agg(F.count("*").cast("int").alias("own"))
+    own = own.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("part", "own"))).alias("own"))
+    rows = texts.mapInPandas(count, "node long, all array<int>").join(own, "node", "left")
+    alone = lambda i: F.coalesce(F.try_element_at("own", i), F.lit(0))
+    rows = rows.select("node", F.transform("all", lambda x, i: x - alone(i)).alias("parts"))
+    return rows.withColumn("common", F.aggregate("parts", F.lit(0), lambda s, x: s + x))
 
 
 def components_of(spark: SparkSession, work: Workspace, links: DataFrame, name: str) -> DataFrame:
