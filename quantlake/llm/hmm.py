@@ -7,10 +7,9 @@ that of its symbols under the Markov chain, times that of each word given its sy
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import log10
 
 import numpy as np
 import pandas as pd
@@ -29,12 +28,25 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def word_id(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word) - (1 << 63) or 1
+def word_ids(words: list[bytes]) -> np.ndarray:
+    """64-bit hash of each word as a signed integer that is not END."""
+    ids = (np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) ^ np.uint64(1 << 63)).view(np.int64)
+    ids[ids == END] = 1
+    return ids
 
 
-def ending(word: bytes) -> int:
-    return xxhash.xxh32_intdigest(word[-3:]) % ENDINGS
+def endings(words: list[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh32_intdigest(w[-3:]) for w in words), np.int64, len(words)) % ENDINGS
+
+
+def look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: int) -> np.ndarray:
+    """The value of each wanted key; ``keys`` are distinct, in any order."""
+    if not len(keys):
+        return np.full(len(wanted), default, np.int64)
+    order = np.argsort(keys)
+    keys, values = keys[order], values[order]
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], default)
 
 
 @dataclass
@@ -64,54 +76,49 @@ class Lanes:
         self.symbols = np.empty(len(flat), np.int64)
         self.symbols[place] = flat
 
-
-def forward(chain: Chain, lanes: Lanes, keep: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
-    """log10 likelihood of each lane, and with ``keep`` the scaled forward probabilities and scales."""
-    n, states = len(lanes.order), len(chain.start)
-    total = np.zeros(n)
-    alphas = np.empty((lanes.at[-1], states)) if keep else None
-    scales = np.empty(lanes.at[-1])
-    alpha = np.broadcast_to(chain.start, (n, states))
-    for t, width in enumerate(lanes.width):
-        now = alpha[:width] if t == 0 else alpha[:width] @ chain.step
-        part = slice(lanes.at[t], lanes.at[t + 1])
-        now = now * chain.emit[lanes.symbols[part]]
-        scale = now.sum(1)
-        alpha = now / scale[:, None]
-        scales[part] = scale
-        if keep:
-            alphas[part] = alpha
-    logs = np.log10(scales)
-    for t, width in enumerate(lanes.width):
-        total[:width] += logs[lanes.at[t] : lanes.at[t] + width]
-    out = np.empty(n)
-    out[lanes.order] = total
-    return out, alphas, scales if keep else None
+    def lanes(self) -> np.ndarray:
+        """The lane of each place."""
+        return np.arange(self.at[-1]) - np.repeat(self.at[:-1], self.width)
+
+    def before(self) -> np.ndarray:
+        """The place one step earlier in the same lane, for each place after the first step."""
+        return np.arange(self.at[1], self.at[-1]) - np.repeat(self.width[:-1], self.width[1:])
+
+
+def forward(chain: Chain, lanes: Lanes, keep: bool) -> tuple[np.ndarray | None, ...]:
+    """log10 likelihood of each text or, with ``keep``, in its place None and what expected() needs: scaled forward
+    probabilities (states x places), their scales, and the emission of each place's symbol."""
+    emitted = np.take(chain.emit.T, lanes.symbols, axis=1)
+    alphas, scales = np.empty_like(emitted), np.empty(lanes.at[-1])
+    step, at = np.ascontiguousarray(chain.step.T), lanes.at.tolist()
+    for t, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
+        now = alphas[:, a:b]
+        if t == 0:
+            now[:] = chain.start[:, None]
+        else:
+            np.matmul(step, alphas[:, at[t - 1] : at[t - 1] + b - a], out=now)
+        now *= emitted[:, a:b]
+        now /= now.sum(0, out=scales[a:b])
+    if keep:
+        return None, alphas, scales, emitted
+    out = np.empty(len(lanes.order))
+    out[lanes.order] = np.bincount(lanes.lanes(), weights=np.log10(scales))
+    return out, None, None, None
 
 
 def expected(chain: Chain, lanes: Lanes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected counts of starts, steps and emissions, summed over the lanes."""
-    _, alphas, scales = forward(chain, lanes, True)
-    states = len(chain.start)
-    starts, steps, emits = np.zeros(states), np.zeros((states, states)), np.zeros((len(chain.emit), states))
-    gammas = np.empty_like(alphas)
-    last = len(lanes.width) - 1
-    beta = np.ones((lanes.width[last], states))
-    for t in range(last, -1, -1):
-        width = lanes.width[t]
-        part = slice(lanes.at[t], lanes.at[t + 1])
-        if t < last:
-            after = slice(lanes.at[t + 1], lanes.at[t + 2])
-            wide = lanes.width[t + 1]
-            ahead = beta * chain.emit[lanes.symbols[after]] / scales[after][:, None]
-            steps += (alphas[part][:wide].T @ ahead) * chain.step
-            beta = np.ones((width, states))
-            beta[:wide] = ahead @ chain.step.T
-        gammas[part] = alphas[part] * beta
-    for s in range(states):
-        emits[:, s] = np.bincount(lanes.symbols, weights=gammas[:, s], minlength=len(chain.emit))
-    starts += gammas[: lanes.width[0]].sum(0)
-    return starts, steps, emits
+    _, alphas, scales, ahead = forward(chain, lanes, True)
+    betas, at = np.ones_like(alphas), lanes.at.tolist()
+    ahead /= scales
+    for t in range(len(lanes.width) - 1, 0, -1):
+        a, b = at[t], at[t + 1]
+        ahead[:, a:b] *= betas[:, a:b]
+        np.matmul(chain.step, ahead[:, a:b], out=betas[:, at[t - 1] : at[t - 1] + b - a])
+    steps = (alphas[:, lanes.before()] @ ahead[:, at[1] :].T) * chain.step
+    betas *= alphas
+    emits = np.stack([np.bincount(lanes.symbols, weights=gamma, minlength=len(chain.emit)) for gamma in betas], 1)
+    return betas[:, : at[1]].sum(1), steps, emits
 
 
 def batches_of(frames: Iterator[pd.DataFrame], most: int = 400_000) -> Iterator[pd.DataFrame]:
@@ -181,8 +188,10 @@ def score(
         for text, held_out in zip(group["text"], group["held_out"], strict=True):
             (seen if held_out else learned).update(tokens(text))
         texts = int((~group["held_out"]).sum())
-        words = list(learned.keys() | seen.keys())
-        return pd.DataFrame({"chunk": group["chunk"].iloc[0], "word": [END, *map(word_id, words)], "ending": [0, *map(ending, words)], "n": [texts, *(learned[w] for w in words)]})
+        words = [*learned, *(w for w in seen if w not in learned)]
+        n = np.zeros(len(words) + 1, np.int64)
+        n[: len(learned) + 1] = [texts, *learned.values()]
+        return pd.DataFrame({"chunk": group["chunk"].iloc[0], "word": np.r_[END, word_ids(words)], "ending": np.r_[0, endings(words)], "n": n})
 
     asked = work.save(rows.groupBy("chunk").applyInPandas(vocabulary, "chunk int, word long, ending int, n long"), "asked")
     work.sweep()
@@ -203,27 +212,21 @@ def score(
         weight[shared + r["ending"]], kinds[shared + r["ending"]] = r["c"], r["v"]
     frequency = (weight + 0.5) / (weight + 0.5).sum()
 
+    own_words, own_symbols = np.array(list(symbol_of), np.int64), np.array(list(symbol_of.values()), np.int64)
     answers = asked.select("chunk", "word").join(counts.select("word", "c"), "word")
 
     def code(key: tuple, texts: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        count = dict(zip(words["word"].tolist(), words["c"].tolist(), strict=True))
-        known: dict[bytes | None, int] = {}
-        facts: list[tuple[int, int, float]] = []  # symbol, count, log10 of the word's share of its symbol
-
-        def learn(word: bytes | None) -> int:
-            i = END if word is None else word_id(word)
-            c, symbol, own = count.get(i, 0), symbol_of.get(i), 0.0
-            if symbol is None:
-                symbol = shared + ending(word)
-                own = log10((c + 1) / (weight[symbol] + kinds[symbol] + 1))
-            facts.append((symbol, c, own))
-            known[word] = len(known)
-            return len(known) - 1
-
-        get, places = known.get, []
-        for text in texts["text"]:
-            places.append(np.array([k if (k := get(w)) is not None else learn(w) for w in [*tokens(text), None]], np.int64))
-        symbol, c, own = (np.array(x) for x in zip(*facts, strict=True))
+        known: dict[bytes | None, int] = defaultdict()  # a word's place among the chunk's distinct tokens
+        known.default_factory = known.__len__
+        places = [np.fromiter(map(known.__getitem__, [None, *tokens(text)]), np.int64) for text in texts["text"]]
+        places = [np.roll(x, -1) for x in places]  # the end comes last; its place is 0
+        distinct = list(known)[1:]
+        ids = np.r_[END, word_ids(distinct)]
+        c = look_up(words["word"].to_numpy(), words["c"].to_numpy(), ids, 0)
+        symbol = look_up(own_words, own_symbols, ids, -1)
+        rest = symbol < 0
+        symbol[rest] = shared + np.r_[0, endings(distinct)][rest]
+        own = np.where(rest, np.log10((c + 1) / (weight[symbol] + kinds[symbol] + 1)), 0.0)
         base, symbol = np.log10((c + 1) / (n + v + 1)), symbol.astype(np.int16)
         out = [
             (doc_id, held_out, len(at), int((c[at] > 0).sum()), float(base[at].sum()), float(own[at].sum()), symbol[at].tobytes())
