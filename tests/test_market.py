@@ -1,6 +1,6 @@
 import pytest
 
-from quantlake.plans import chains, market  # noqa: F401  registers its queries with market
+from quantlake.plans import calendar, chains, labels, market  # noqa: F401  the others register with market
 from tests.helpers import DATA, differences
 
 
