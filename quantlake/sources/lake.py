@@ -21,8 +21,9 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def _overwrite(rows: DataFrame, path: str, by: str) -> None:
-    """Only the partitions that ``rows`` has are replaced, when the job commits; others stay."""
-    writer = rows.repartition(by).sortWithinPartitions(by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    """Only the partitions that ``rows`` has are replaced, when the job commits; others stay. Rows are brought together by
+    partition, and one that is large is split over tasks at run time."""
+    writer = rows.hint("rebalance", F.col(by)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.option("compression", "zstd").partitionBy(by).parquet(path)
 
 
