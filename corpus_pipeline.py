@@ -13,6 +13,8 @@ from quantlake.llm import language, minhash, mixing, pieces, suffixes
 from quantlake.llm.common import Workspace, small_batches
 
 LEAST_SCORE = 0.5
+#: The number of a row inside a stage; doc_ids can repeat or be null, so no stage joins on them.
+ROW = "_pipeline_row"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,25 +26,43 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.where(kept).drop("_language")
 
 
+def numbered(work: Workspace, docs: DataFrame) -> DataFrame:
+    """``docs`` with ROW, a number of each row's own: ascending with doc_id, nulls last, and then with a hash of the row.
+
+    It is written out, so that every later read sees the same numbers; hash and doc_id together spread a doc_id that many
+    rows share, or lack, over the sorted parts.
+    """
+    rows = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64(*docs.columns)).withColumn(ROW, F.monotonically_increasing_id())
+    return work.save(rows, "numbered")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the smallest doc_id."""
-    kept = minhash.near_duplicates(spark, docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    """One row of each group of near duplicates, repeated rows included: the first by doc_id."""
+    work = Workspace(spark, "pipeline-minhash")
+    rows = numbered(work, docs)
+    work.sweep()
+    kept = minhash.near_duplicates(spark, rows.select(F.col(ROW).alias("doc_id"), "text")).where("kept")
+    return rows.join(kept.select(F.col("doc_id").alias(ROW)), ROW, "left_semi").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that a document with a smaller doc_id has; documents with nothing left go."""
-    kept = suffixes.without_repeats(spark, docs.select("doc_id", "text")).select(F.col("doc_id").alias("_id"), F.col("kept").alias("_text"))
-    changed = docs.drop("text").join(kept.where("_text <> ''"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    return changed.withColumn("text", F.col("_text")).withColumn("n_chars", F.length("_text").cast("long")).select(*docs.columns)
+    """Texts without the passages that an earlier row by doc_id has; documents with nothing left go."""
+    work = Workspace(spark, "pipeline-suffixes")
+    rows = numbered(work, docs)
+    work.sweep()
+    kept = suffixes.without_repeats(spark, rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), F.col("kept").alias("text"))
+    changed = rows.drop("text").join(kept.where("text <> ''"), ROW)
+    return changed.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, to the nearest whole number; sources get their target weights."""
-    taken = mixing.mix(spark, docs).where("size > 0")
-    copies = taken.select(F.col("doc_id").alias("_id"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_copies"))
-    rows = docs.join(copies.where("_copies > 0").dropDuplicates(["_id"]), F.col("doc_id").eqNullSafe(F.col("_id")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """Each row as often as the mix takes it, to the nearest whole number; sources get their target weights."""
+    work = Workspace(spark, "pipeline-mixing")
+    rows = numbered(work, docs)
+    work.sweep()
+    taken = mixing.mix(spark, rows, keep=(ROW,)).where("size > 0")
+    copies = taken.select(ROW, F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_copies")).where("_copies > 0")
+    return rows.join(copies, ROW).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +77,8 @@ STAGES = [
     ("mixing sources to target weights", mix_sources),
     ("SentencePiece encoding and decoding", encode_pieces),
 ]
-#: SQL has neither the language model nor the hash-shuffled blocks; tests/llm holds run() against brute force.
+#: SQL has neither the language model nor the hash-shuffled blocks; tests/llm/test_pipeline.py holds the stages that
+#: join against plain Python.
 ORACLE_SQL = None
 
 

@@ -83,6 +83,7 @@ def mix(
     block: int = 1024,
     seed: int = 11,
     rows_per_bucket: int = 64,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """doc_id, size, source_size, target and taken (words that the mix takes, repeats counted) of every row of ``docs``
     (doc_id, text, source).
@@ -94,12 +95,12 @@ def mix(
     takes its target rounded down, and no document more than ``most`` times its size.
 
     Sources are ordered by code point, null last. Null and empty texts have size 0 and are never taken. Repeated rows are
-    documents of their own; an empty table gives an empty result; reruns agree. Other columns are left out. The table of
-    sources, one row for each, is held on the driver; up to MOST_BROADCAST rows it is broadcast.
+    documents of their own; an empty table gives an empty result; reruns agree. Other columns are left out unless named in
+    ``keep``. The table of sources, one row for each, is held on the driver; up to MOST_BROADCAST rows it is broadcast.
     """
     work = Workspace(spark, "mixing")
     h = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
-    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), h.alias("h"))
+    sized = docs.select("doc_id", *keep, "source", n_words(F.col("text")).alias("size"), h.alias("h"))
     sized = work.save(sized, "sizes")
 
     totals = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
@@ -133,10 +134,10 @@ def mix(
     placed = placed.withColumn("bucket", F.shiftright(rank * F.col("buckets"), 32))
     sums = placed.groupBy("k", "bucket").agg(F.sum("size").alias("size"))
     offsets = work.save(running(sums), "offsets")
-    inside = W.Window.partitionBy("k", "bucket").orderBy("h", "doc_id").rowsBetween(W.Window.unboundedPreceding, -1)
+    inside = W.Window.partitionBy("k", "bucket").orderBy("h", "doc_id", *keep).rowsBetween(W.Window.unboundedPreceding, -1)
     placed = placed.join(offsets, ["k", "bucket"])
     placed = placed.withColumn("start", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    placed = work.save(placed.select("doc_id", "size", "k", "source_size", "target", "start"), "placed")
+    placed = work.save(placed.select("doc_id", *keep, "size", "k", "source_size", "target", "start"), "placed")
 
     slot = F.col("id")
     schedule = spark.range(slots).withColumn("point", van_der_corput(slot))
@@ -158,11 +159,11 @@ def mix(
     left = F.greatest(F.col("start") - F.col("block") * block, F.lit(0))
     right = F.least(F.col("start") + F.col("size") - F.col("block") * block, F.lit(block))
     taken = F.aggregate("takes", F.lit(0).cast("long"), lambda s, t: s + F.greatest(F.least(t, right) - left, F.lit(0)))
-    key = ["k", "start", "doc_id", "size", "source_size", "target"]
+    key = ["k", "start", "doc_id", *keep, "size", "source_size", "target"]
     found = pieces.join(takes, ["k", "block"], "left").select(*key, F.coalesce(taken, F.lit(0)).alias("taken"))
     found = found.groupBy(*key).agg(F.sum("taken").alias("taken"))
     empty = placed.where("size = 0").select(*key, F.lit(0).cast("long").alias("taken"))
-    return found.union(empty).select("doc_id", "size", "source_size", "target", "taken")
+    return found.union(empty).select("doc_id", *keep, "size", "source_size", "target", "taken")
 
 
 def running(sums: DataFrame, width: int = 1024) -> DataFrame:
