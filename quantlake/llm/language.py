@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,12 +19,18 @@ UNDETERMINED = "und"
 WORD = re.compile(r"[^\W\d_]+")
 
 
+#: Spark's xxhash64.
+SEED = 42
+STEP = 1 << 20
+
+
 @dataclass
 class LanguageModel:
-    """Log frequencies by language: units[0] are whole words and units[n] n-grams of ^word$, logs[n] a row for each."""
+    """Log frequencies by language: hashes[0] are those of whole words and hashes[n] of n-grams of ^word$, sorted; logs[n]
+    has a row for each. A unit is its 64-bit hash, so a unit of one language costs 8 bytes and 4 for each language."""
 
     languages: list[str]
-    units: list[list[str]]
+    hashes: list[np.ndarray]
     logs: list[np.ndarray]
 
 
@@ -32,20 +39,28 @@ def grams_of(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
-def fit(
-    spark: SparkSession, docs: DataFrame, *, max_docs: int = 20_000, max_words: int = 40_000, max_grams: int = 15_000, order: int = 4
-) -> LanguageModel:
-    """Learn from ``docs`` (text, lang), of which about ``max_docs`` labelled rows are used, chosen by a hash of the text.
+def grams_column(padded: Column, n: int) -> Column:
+    """grams_of() for a padded word of n characters at least. F.transform would give a second argument the place."""
+    return F.transform(F.sequence(F.lit(1), F.length(padded) - (n - 1)), lambda i: F.substr(padded, i, F.lit(n)))
+
+
+def sampled(docs: DataFrame, max_docs: int) -> DataFrame:
+    """Distinct texts (text, lang), about ``max_docs`` of each language, or all if it has fewer, chosen by their hash."""
+    rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang", F.xxhash64("text").alias("h"))
+    shares = rows.select("lang", "h").distinct().groupBy("lang").agg((F.lit(max_docs * STEP) / F.count("*")).alias("below"))
+    some = rows.join(F.broadcast(shares), "lang").where(F.pmod("h", F.lit(STEP)) < F.col("below"))
+    return some.groupBy("lang", "h").agg(F.first("text").alias("text")).select("text", "lang")
+
 
-    The model keeps the ``max_words`` most frequent words and, for each n up to ``order``, the ``max_grams`` most frequent
-    n-grams, so its size is bounded and it can be broadcast. Rows without text or lang teach nothing.
+def fit(spark: SparkSession, docs: DataFrame, *, max_docs: int = 20_000, order: int = 4) -> LanguageModel:
+    """Learn from ``docs`` (text, lang), of which about ``max_docs`` distinct texts of each language are used.
+
+    Every word of these and every n-gram up to ``order`` is in the model, whatever its frequency, so a large language does
+    not push out the units of a small one. Rows without text or lang teach nothing.
     """
     small_batches(spark)
     work = Workspace(spark, "language")
-    rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang")
-    n = rows.count()
-    share = min(1.0, max_docs / max(n, 1))
-    rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0))
+    rows = sampled(docs, max_docs)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: Counter = Counter()
@@ -68,42 +83,69 @@ def fit(
     padded = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
     parts = counts.select(F.col("word").alias("unit"), "lang", "n", F.lit(0).alias("size"))
     for k in range(1, order + 1):
-        pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - (k - 1), F.lit(1))), lambda i, k=k: F.substr(padded, i, F.lit(k)))
-        parts = parts.unionByName(counts.select(F.explode(pieces).alias("unit"), "lang", "n", F.lit(k).alias("size")))
-    by_lang = [F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).cast("double").alias(f"n{i}") for i, lang in enumerate(languages)]
-    totals = work.save(parts.groupBy("size", "unit").agg(F.sum("n").alias("n"), *by_lang), "totals")
-    units, logs = [], []
+        long_enough = counts.where(F.length(padded) >= k)
+        parts = parts.unionByName(long_enough.select(F.explode(grams_column(padded, k)).alias("unit"), "lang", "n", F.lit(k).alias("size")))
+    by_lang = [F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).cast("float").alias(f"n{i}") for i, lang in enumerate(languages)]
+    totals = parts.groupBy("size", F.xxhash64("unit").alias("h")).agg(*by_lang) if languages else parts.select("size", F.xxhash64("unit").alias("h"))
+    columns = [f"n{i}" for i in range(len(languages))]
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for size, some in batch.groupby("size"):
+                yield pd.DataFrame({"size": [size], "hashes": [some["h"].to_numpy().tobytes()], "counts": [some[columns].to_numpy(np.float32).tobytes()]})
+
+    packed = work.save(totals, "totals").mapInPandas(pack, "size int, hashes binary, counts binary").collect()
+    hashes, logs = [], []
     for k in range(order + 1):
-        best = totals.where(F.col("size") == k).orderBy(F.desc("n"), "unit").limit(max_grams if k else max_words).toPandas()
-        found = best[[f"n{i}" for i in range(len(languages))]].to_numpy(float)
-        units.append(best["unit"].tolist())
-        logs.append((np.log(found + 0.1) - np.log(found.sum(0) + 0.1 * (len(best) + 1))).astype(np.float32))
-    return LanguageModel(languages, units, logs)
+        own = [r for r in packed if r["size"] == k]
+        h = np.frombuffer(b"".join(r["hashes"] for r in own), np.int64)
+        found = np.frombuffer(b"".join(r["counts"] for r in own), np.float32).reshape(len(h), len(languages))
+        by_hash = np.argsort(h)
+        hashes.append(h[by_hash])
+        total = np.log(found.sum(0, dtype=float) + 0.1 * (len(h) + 1)).astype(np.float32)
+        logs.append(np.log(found[by_hash] + np.float32(0.1)) - total)
+    return LanguageModel(languages, hashes, logs)
 
 
 class Scorer:
-    """Sums log frequencies over words; remembers up to ``limit`` backed-off words."""
+    """Sums log frequencies over words; remembers up to ``limit`` of the words that it met."""
 
     def __init__(self, model: LanguageModel, limit: int = 200_000) -> None:
-        self.model, self.limit = model, limit
-        self.grams = [dict(zip(u, range(len(u)), strict=True)) for u in model.units]
+        self.model = model
+        self.table = np.zeros((limit, len(model.languages)), np.float32)
         self.forget()
 
     def forget(self) -> None:
-        self.rows = dict(self.grams[0])
-        self.table = np.vstack([self.model.logs[0], np.zeros((self.limit, len(self.model.languages)), np.float32)])
+        self.rows: dict[str, int] = {}
+
+    def find(self, units: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of logs[n], and which of ``units`` they belong to; those that were not learned are left out."""
+        hashes = self.model.hashes[n]
+        if not len(hashes):
+            return np.empty(0, int), np.empty(0, int)
+        wanted = np.array([xxhash.xxh64_intdigest(u.encode(), SEED) for u in units], np.uint64).view(np.int64)
+        at = np.searchsorted(hashes, wanted)
+        at[at == len(hashes)] = 0
+        there = np.flatnonzero(hashes[at] == wanted)
+        return at[there], there
+
+    def known(self, units: list[str], n: int) -> np.ndarray:
+        return self.find(units, n)[0]
 
     def backoff(self, word: str) -> np.ndarray:
-        for n in range(len(self.grams) - 1, 0, -1):
-            known = self.grams[n]
-            if found := [known[g] for g in grams_of(word, n) if g in known]:
+        for n in range(len(self.model.hashes) - 1, 0, -1):
+            if (grams := grams_of(word, n)) and len(found := self.known(grams, n)):
                 return self.model.logs[n][found].mean(0)
         return np.zeros(len(self.model.languages))
 
-    def row(self, word: str) -> int:
-        self.rows[word] = i = len(self.rows)
-        self.table[i] = self.backoff(word)
-        return i
+    def remember(self, words: list[str]) -> None:
+        at, there = self.find(words, 0)
+        start, learned = len(self.rows), set(there.tolist())
+        self.rows.update(zip(words, range(start, start + len(words)), strict=True))
+        self.table[start + there] = self.model.logs[0][at]
+        for i, word in enumerate(words):
+            if i not in learned:
+                self.table[start + i] = self.backoff(word)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = WORD.findall(text.lower()) if text else []
@@ -114,8 +156,9 @@ class Scorer:
             block = words[at : at + 50_000]
             if len(self.rows) + len(block) > len(self.table):
                 self.forget()
-            get, row = self.rows.get, self.row
-            total += self.table[[i if (i := get(w)) is not None else row(w) for w in block]].sum(0, dtype=float)
+            if new := [w for w in dict.fromkeys(block) if w not in self.rows]:
+                self.remember(new)
+            total += self.table[[self.rows[w] for w in block]].sum(0, dtype=float)
         shares = np.exp(total - total.max())
         shares /= shares.sum()
         best = int(shares.argmax())

@@ -46,6 +46,36 @@ def test_language(spark, docs, none):
     assert language.identify(spark, none, model).count() == 0
 
 
+def test_language_keeps_small_languages(spark):
+    """A large language with 45,000 words, and a small one whose words are rare and made of the same letters."""
+    rng = np.random.default_rng(5)
+    words = sorted({"".join(rng.choice(list("abcdefgh"), 8)) for _ in range(46_000)})
+    rng.shuffle(words)
+    small, large = words[:400], words[400:]
+    rows = [(" ".join(large[i : i + 100]), "en") for _ in range(2) for i in range(0, len(large), 100)]
+    rows = [(f"{t} {'x' * (k % 7 + 1)}", lang) for k, (t, lang) in enumerate(rows)] + [(" ".join(small[i : i + 10]), "es") for i in range(0, 400, 10)]
+    model = language.fit(spark, spark.createDataFrame(rows, "text string, lang string"))
+    scorer = language.Scorer(model)
+    assert all(scorer.predict(w)[0] == "es" for w in small)
+    assert all(scorer.predict(w)[0] == "en" for w in large[:2000])
+
+
+def test_language_learns_every_gram(spark):
+    words = ["a", "häuser", "straße", "été", "𝒜bc"]
+    model = language.fit(spark, spark.createDataFrame([(" ".join(words), "xx")], "text string, lang string"))
+    scorer = language.Scorer(model)
+    for n in range(1, 5):
+        grams = {g for w in words for g in language.grams_of(w, n)}
+        assert len(model.hashes[n]) == len(grams) == len(scorer.known(sorted(grams), n))
+
+
+def test_language_samples_each_language(spark):
+    rows = [(f"common{i % 50} other{i % 70}", "en") for i in range(4000)] + [(f"rare{chr(97 + i)}", "es") for i in range(20)]
+    used = language.sampled(spark.createDataFrame(rows + rows, "text string, lang string"), 100).collect()
+    assert sorted(r["text"] for r in used if r["lang"] == "es") == sorted(t for t, lang in rows if lang == "es")
+    assert len({r["text"] for r in used}) == len(used) and 50 <= sum(r["lang"] == "en" for r in used) <= 150
+
+
 @pytest.mark.parametrize("dropout", [0.0, 0.1])
 def test_pieces(spark, docs, none, dropout):
     import sentencepiece
