@@ -56,18 +56,18 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix takes it, to the nearest whole number; sources get their target weights."""
+    """Each row as often as the mix takes it, to the nearest whole number; sources get their target weights. ``copy`` numbers them."""
     work = Workspace(spark, "pipeline-mixing")
     rows = numbered(work, docs)
     work.sweep()
     taken = mixing.mix(spark, rows, keep=(ROW,)).where("size > 0")
     copies = taken.select(ROW, F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_copies")).where("_copies > 0")
-    return rows.join(copies, ROW).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    return rows.join(copies, ROW).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns, "copy")
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every document: doc_id, n_pieces, lossless and ids."""
-    return pieces.encode(spark, docs)
+    return pieces.encode(spark, docs, copy="copy" if "copy" in docs.columns else None)
 
 
 STAGES = [

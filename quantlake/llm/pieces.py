@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,22 +12,25 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantlake.llm.common import small_batches
+from quantlake.llm.common import mix, small_batches
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 _MASK = (1 << 64) - 1
+#: Characters of a unit whose merges are cached.
+SHORT = 40
 
 
 class Pieces:
     """Encodes and decodes with the pieces and scores of a SentencePiece BPE model that has all 256 byte pieces.
 
     Of the candidate merges on the agenda the best score (then the leftmost) comes first. A candidate is skipped if a hash
-    keyed by seed, variant, unit and place falls below ``dropout``; a later merge next to it makes a new candidate.
+    keyed by seed, document, place of the unit and place in it falls below ``dropout``; a later merge next to it makes a new
+    candidate. So every occurrence of a unit is drawn anew; what is cached is the merges of a unit, given those skipped.
     Units are a run of spaces with what follows, and line feeds, since no piece joins them.
     """
 
-    def __init__(self, path: str, dropout: float = 0.0, seed: int = 0, variants: int = 4, limit: int = 300_000) -> None:
+    def __init__(self, path: str, dropout: float = 0.0, seed: int = 0, limit: int = 300_000) -> None:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -47,19 +50,21 @@ class Pieces:
         if any(re.search(f"[^{SPACE}]{SPACE}|\n", p) for p in inner):
             raise ValueError("a piece of this vocabulary crosses the units that are encoded apart")
         self.unit = re.compile(rf"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
-        self.below, self.seed, self.variants, self.limit = int(dropout * (1 << 32)), seed, variants if dropout else 1, limit
-        self.known: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+        self.below, self.seed, self.limit = int(dropout * (1 << 32)), seed, limit
+        self.known: dict[str, bytes] = {}
+        self.chains: dict[tuple, tuple[bytes, bytes, list[tuple[int, int]]]] = {}
 
     def skips(self, key: int, start: int, end: int) -> bool:
         x = (key + start * 0x9E3779B97F4A7C15 + end * 0xBF58476D1CE4E5B9) & _MASK
         x = ((x ^ (x >> 29)) * 0x94D049BB133111EB) & _MASK
         return (x >> 32) < self.below
 
-    def parts(self, unit: str, variant: int) -> list[str]:
-        key = xxhash.xxh64_intdigest(unit.encode(), self.seed * 1_000_003 + variant) if self.below else 0
-        return self.parts_short(unit, key) if len(unit) <= 40 else self.parts_long(unit, key)
+    def parts(self, unit: str, key: int) -> list[str]:
+        skip = (lambda start, end: self.skips(key, start, end)) if self.below else None
+        return self.parts_short(unit, skip) if len(unit) <= SHORT else self.parts_long(unit, key)
 
-    def parts_short(self, unit: str, key: int) -> list[str]:
+    def parts_short(self, unit: str, skip: Callable[[int, int], bool] | None, merged: list[tuple[int, int]] | None = None) -> list[str]:
+        """``merged`` takes the spans of the merges, in their order."""
         rank, none, parts = self.rank, float("inf"), list(unit)
         agenda = [rank.get(parts[i] + parts[i + 1], none) for i in range(len(parts) - 1)]
         starts = list(range(len(parts) + 1))
@@ -68,9 +73,11 @@ class Pieces:
             if best == none:
                 break
             i = agenda.index(best)
-            if self.below and self.skips(key, starts[i], starts[i + 2]):
+            if skip and skip(starts[i], starts[i + 2]):
                 agenda[i] = none
                 continue
+            if merged is not None:
+                merged.append((starts[i], starts[i + 2]))
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
             del agenda[i], starts[i + 1]
             if i < len(agenda):
@@ -110,16 +117,16 @@ class Pieces:
             i = ends[i]
         return out
 
-    def unit_ids(self, unit: str, variant: int) -> bytes:
+    def ids_of(self, parts: list[str]) -> bytes:
         """Ids as 32-bit integers; characters without a piece become byte pieces."""
         out: list[int] = []
-        for part in self.parts(unit, variant):
+        for part in parts:
             i = self.ids.get(part)
             out.extend((i,) if i is not None else (self.byte_ids[b] for b in part.encode()))
         return np.array(out, np.int32).tobytes()
 
     def encode(self, text: str, key: int = 0) -> np.ndarray:
-        """``key`` (of the document) and the place of a unit choose the variant of the keyed hash."""
+        """``key`` (of the document) and the place of a unit key the skips in it."""
         if SPACE in text:
             return self.encode_marks(text, key)
         return self.encode_units(self.unit.findall(SPACE + text.replace(" ", SPACE)), key)
@@ -128,24 +135,68 @@ class Pieces:
         """Texts with U+2581, which stands for a space inside pieces: it becomes byte pieces, so it decodes to itself."""
         mark = np.array([self.byte_ids[b] for b in SPACE.encode()], np.int32)
         out: list[np.ndarray] = []
+        place = 0
         for k, part in enumerate(text.split(SPACE)):
-            units = (SPACE if k == 0 else "") + part.replace(" ", SPACE)
-            out += [mark] * (k > 0) + [self.encode_units(self.unit.findall(units), key)]
+            units = self.unit.findall((SPACE if k == 0 else "") + part.replace(" ", SPACE))
+            out += [mark] * (k > 0) + [self.encode_units(units, key, place)]
+            place += len(units)
         return np.concatenate(out)
 
-    def encode_units(self, units: list[str], key: int) -> np.ndarray:
-        if self.variants == 1:
-            known = self.known[0]
-            return np.frombuffer(b"".join([known.get(u) or self.learn(u, 0) for u in units]), np.int32)
-        tables, v = self.known, self.variants
-        order = np.arange(len(units), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(key & _MASK)
-        which = (((order ^ (order >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)) >> np.uint64(40)) % np.uint64(v)
-        return np.frombuffer(b"".join([tables[i].get(u) or self.learn(u, i) for u, i in zip(units, which.tolist(), strict=True)]), np.int32)
-
-    def learn(self, unit: str, variant: int) -> bytes:
-        if len(self.known[variant]) >= self.limit:
-            self.known[variant].clear()
-        self.known[variant][unit] = out = self.unit_ids(unit, variant)
+    def keys(self, key: int, place: int, n: int) -> np.ndarray:
+        """Keys of the ``n`` units from ``place`` on of a document."""
+        order = np.arange(place + 1, place + n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return mix(order + np.uint64((key + self.seed * 0xD6E8FEB86659FD93) & _MASK))
+
+    def encode_units(self, units: list[str], key: int, place: int = 0) -> np.ndarray:
+        if not self.below:
+            known = self.known
+            return np.frombuffer(b"".join([known.get(u) or self.learn(u) for u in units]), np.int32)
+        out: list[bytes] = []
+        for at in range(0, len(units), 20_000):
+            some = units[at : at + 20_000]
+            out += self.drawn(some, self.keys(key, place + at, len(some)))
+        return np.frombuffer(b"".join(out), np.int32)
+
+    def drawn(self, units: list[str], keys: np.ndarray) -> list[bytes]:
+        """Ids of units under their keys. A round finds the first merge that each must skip and looks up how the unit is
+        merged without it, until none must be skipped; long units are merged by themselves."""
+        out, skipped = [b""] * len(units), {}
+        for i in (i for i, u in enumerate(units) if len(u) > SHORT):
+            out[i] = self.ids_of(self.parts(units[i], int(keys[i])))
+        left = np.array([i for i, u in enumerate(units) if len(u) <= SHORT], int)
+        while len(left):
+            chains = [self.chain(units[i], skipped.get(i, ())) for i in left.tolist()]
+            sizes = np.array([len(c[0]) // 8 for c in chains])
+            owner = np.repeat(np.arange(len(left)), sizes)
+            x = np.frombuffer(b"".join([c[0] for c in chains]), np.uint64) + keys[left][owner]
+            x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+            hits = np.flatnonzero((x >> np.uint64(32)) < np.uint64(self.below))
+            who, first = np.unique(owner[hits], return_index=True)
+            which = hits[first] - (np.cumsum(sizes) - sizes)[who]
+            for i, c in zip(left.tolist(), chains, strict=True):
+                out[i] = c[1]
+            for w, j in zip(who.tolist(), which.tolist(), strict=True):
+                i = int(left[w])
+                skipped[i] = (*skipped.get(i, ()), chains[w][2][j])
+            left = left[who]
+        return out
+
+    def chain(self, unit: str, skipped: tuple[tuple[int, int], ...]) -> tuple[bytes, bytes, list[tuple[int, int]]]:
+        """The merges of a unit in which the spans ``skipped`` are: what their hashes start from, the ids, the spans."""
+        if (found := self.chains.get((unit, skipped))) is not None:
+            return found
+        if len(self.chains) >= self.limit:
+            self.chains.clear()
+        merged: list[tuple[int, int]] = []
+        parts = self.parts_short(unit, (lambda start, end: (start, end) in skipped) if skipped else None, merged)
+        terms = np.array([(a * 0x9E3779B97F4A7C15 + b * 0xBF58476D1CE4E5B9) & _MASK for a, b in merged], np.uint64)
+        self.chains[unit, skipped] = found = (terms.tobytes(), self.ids_of(parts), merged)
+        return found
+
+    def learn(self, unit: str) -> bytes:
+        if len(self.known) >= self.limit:
+            self.known.clear()
+        self.known[unit] = out = self.ids_of(self.parts(unit, 0))
         return out
 
     def decode(self, ids: np.ndarray) -> str:
@@ -154,13 +205,13 @@ class Pieces:
 
 
 def encode(
-    spark: SparkSession, docs: DataFrame, *, vocabulary: str = VOCABULARY, dropout: float = 0.1, seed: int = 17, digest: bool = False
+    spark: SparkSession, docs: DataFrame, *, vocabulary: str = VOCABULARY, dropout: float = 0.1, seed: int = 17, digest: bool = False, copy: str | None = None
 ) -> DataFrame:
     """doc_id, n_pieces, lossless and ids (or, with ``digest``, ids_sha and decoded_sha instead of ids) of every whole text.
 
     Null texts give null ids, n_pieces and shas, and lossless true; an empty text gives the one piece of the leading space.
-    Reruns agree: what is skipped depends on seed, doc_id and place alone, so repeated rows are encoded alike and copies
-    under other ids differently. An empty table gives an empty result; other columns are left out.
+    Reruns agree: what is skipped depends on seed, doc_id (the text where that is null), the number in the column ``copy``,
+    if one is named, and place alone, so repeated rows are encoded alike and copies under other ids or numbers differently. An empty table gives an empty result; other columns are left out.
     """
     small_batches(spark)
     schema = "doc_id long, n_pieces int, lossless boolean, " + ("ids_sha string, decoded_sha string" if digest else "ids array<int>")
@@ -171,19 +222,21 @@ def encode(
         coder = Pieces(vocabulary, dropout, seed)
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc_id, text, number in zip(batch["doc_id"], batch["text"], batch["copy"], strict=True):
                 key = 0 if pd.isna(doc_id) else int(doc_id)
                 if text is None:
                     out.append((None if pd.isna(doc_id) else key, None, True, *[None] * (1 + digest)))
                     continue
-                ids = coder.encode(text, xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), seed))
+                own = b"-" + text.encode() if pd.isna(doc_id) else key.to_bytes(8, "little", signed=True)
+                ids = coder.encode(text, xxhash.xxh64_intdigest(int(number).to_bytes(8, "little", signed=True) + own, seed))
                 back = coder.decode(ids)
                 real = (hashlib.sha1(ids.tobytes()).hexdigest(), hashlib.sha1(back.encode()).hexdigest()) if digest else (ids,)
                 out.append((None if pd.isna(doc_id) else key, len(ids), back == text, *real))
             columns = ["doc_id", "n_pieces", "lossless", *(["ids_sha", "decoded_sha"] if digest else ["ids"])]
             yield pd.DataFrame(out, columns=columns).astype({"doc_id": "Int64", "n_pieces": "Int32"})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(work, schema)
+    number = F.coalesce(F.col(copy).cast("long"), F.lit(0)) if copy else F.lit(0).cast("long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", number.alias("copy")).mapInPandas(work, schema)
 
 
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,6 +90,18 @@ def test_pieces(spark, docs, none, dropout):
     assert pieces.encode(spark, none).count() == 0
 
 
+def test_pieces_draw_every_occurrence(spark):
+    coder = pieces.Pieces(pieces.VOCABULARY, 0.1, 3)
+    units = coder.unit.findall("▁internationalization" * 3000 + "▁strange▁" + "x" * 60 + "\n")
+    have = coder.drawn(units, keys := coder.keys(7, 0, len(units)))
+    assert have == [coder.ids_of(coder.parts(u, int(k))) for u, k in zip(units, keys, strict=True)]
+    assert len(set(have[:3000])) > 8
+    rows = [(1, 1, LONG), (1, 2, LONG), (None, 1, LONG), (None, 1, OTHER), (1, 1, LONG)]
+    docs = spark.createDataFrame(rows, "doc_id long, copy int, text string")
+    ids = [tuple(r["ids"]) for r in pieces.encode(spark, docs.coalesce(1), copy="copy").collect()]
+    assert len(set(ids)) == 4
+
+
 def brute_components(texts):
     sets = {}
     for i, t in texts:
