@@ -1,6 +1,7 @@
 """Small tables with nulls, empty and repeated texts, ties and clashing extra columns, held against brute force."""
 
 import hashlib
+import re
 from collections import Counter
 
 import numpy as np
@@ -90,16 +91,60 @@ def test_pieces(spark, docs, none, dropout):
     assert pieces.encode(spark, none).count() == 0
 
 
+def plain_agenda(coder, unit, key):
+    """The agenda one merge at a time, on strings; returns the parts."""
+    parts, starts, gone = list(unit), list(range(len(unit) + 1)), set()
+    while True:
+        offers = [(coder.rank[x], i) for i in range(len(parts) - 1) if (x := parts[i] + parts[i + 1]) in coder.rank and (starts[i], starts[i + 2]) not in gone]
+        if not offers:
+            return parts
+        i = min(offers)[1]
+        if coder.below and coder.skips(key, starts[i], starts[i + 2]):
+            gone.add((starts[i], starts[i + 2]))
+            continue
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del starts[i + 1]
+
+
+@pytest.mark.parametrize("dropout", [0.0, 0.1, 0.6])
+def test_pieces_side_by_side_by_heap_and_one_by_one(dropout):
+    """Units below and above the bound of the two ways, in texts that are cut into chunks and not."""
+    coder, heap = (pieces.Pieces(pieces.VOCABULARY, dropout, 3, short=n) for n in (pieces.SHORT, 0))
+    words = "internationalization the naïve Straße 日本語 x y zz 1234567 aaaaaaaaaaaaaaaa".split()
+    long = ["ab" * n for n in (23, 24, 25, 40)] + ["straßen" * 30]
+    texts = [" ".join(words * 9), "\n\n ".join(words), "  ▁▁ ".join(words), " ".join(long), "", " ", "▁", "\n"]
+    keys = np.arange(len(texts), dtype=np.uint64) * np.uint64(977)
+    have = coder.encode_all(texts, keys)
+    for text, key, ids in zip(texts, keys, have, strict=True):
+        assert ids.tolist() == heap.encode(text, int(key)).tolist()
+        assert coder.decode(ids) == text
+    for text, key in zip(texts[:2] + texts[3:4], (0, 977, 3 * 977), strict=True):
+        units = re.findall(r"\n|▁+[^▁\n]*|[^▁\n]+", "▁" + text.replace(" ", "▁"))
+        unit_keys = coder.unit_keys(np.full(len(units), key, np.uint64), np.arange(len(units)))
+        want = [i for u, k in zip(units, unit_keys.tolist(), strict=True) for p in plain_agenda(coder, u, k) for i in ([coder.ids[p]] if p in coder.ids else coder.byte_ids[list(p.encode())].tolist())]
+        assert coder.encode(text, key).tolist() == want
+
+
+def test_pieces_of_a_very_long_text(monkeypatch):
+    coder = pieces.Pieces(pieces.VOCABULARY, 0.1, 3)
+    text = "".join(f"word{i % 101} {'  ' if i % 7 == 0 else ''}{chr(10) if i % 11 == 0 else ''}" for i in range(60_000)) + "z" * 3000
+    whole = coder.encode(text, 5)
+    monkeypatch.setattr(pieces, "CHUNK", 10_000)
+    assert (coder.encode(text, 5) == whole).all() and coder.decode(whole) == text
+
+
 def test_pieces_draw_every_occurrence(spark):
     coder = pieces.Pieces(pieces.VOCABULARY, 0.1, 3)
-    units = coder.unit.findall("▁internationalization" * 3000 + "▁strange▁" + "x" * 60 + "\n")
-    have = coder.drawn(units, keys := coder.keys(7, 0, len(units)))
-    assert have == [coder.ids_of(coder.parts(u, int(k))) for u, k in zip(units, keys, strict=True)]
-    assert len(set(have[:3000])) > 8
+    ids = coder.encode(" internationalization" * 3000, 7)
+    assert len(set(coder.decode(ids).split())) == 1
+    begins = np.flatnonzero(np.isin(ids, [i for p, i in coder.ids.items() if p.startswith("▁")]))
+    assert len({tuple(x.tolist()) for x in np.split(ids, begins[1:])}) > 8
     rows = [(1, 1, LONG), (1, 2, LONG), (None, 1, LONG), (None, 1, OTHER), (1, 1, LONG)]
     docs = spark.createDataFrame(rows, "doc_id long, copy int, text string")
-    ids = [tuple(r["ids"]) for r in pieces.encode(spark, docs.coalesce(1), copy="copy").collect()]
-    assert len(set(ids)) == 4
+    encoded = pieces.encode(spark, docs.coalesce(1), copy="copy").collect()
+    assert len({tuple(r["ids"]) for r in encoded}) == 4
+    back = pieces.decode(spark, pieces.encode(spark, docs, copy="copy")).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in back) == Counter((r[0], r[2]) for r in rows)
 
 
 def brute_components(texts):
