@@ -1,7 +1,8 @@
-"""Rolling columns with a least number of values, and exponential averages in closed form."""
+"""Rolling columns with a least number of values, and exponential averages as sums over blocks of rows."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -34,13 +35,25 @@ def zscore(x: Column, n: int) -> Column:
     return (x - rolling(F.avg, x, n, least)) / F.nullif(F.round(deviation, 12), F.lit(0.0))
 
 
-def ewm(x: Column, alpha: float, least: int) -> Column:
-    """Exponential average seeded with the first value, as one running sum: for histories of up to some 3,000 rows, since
-    the weights of later rows grow as (1 - alpha)^-t."""
-    t = F.row_number().over(by_symbol()) - 1
-    decay = F.lit(1 - alpha)
-    weight = F.when(t == 0, 1.0).otherwise(alpha) * F.pow(decay, -t)
-    return F.when(F.count(x).over(so_far()) >= least, F.pow(decay, t) * F.sum(weight * x).over(so_far()))
+def block_of(alpha: float) -> int:
+    """Rows after which a value's weight has fallen to 1e-30: two such blocks hold all that a double can show."""
+    return max(2, math.ceil(-30 / math.log10(1 - alpha)))
+
+
+def ewm(x: Column, alpha: float, least: int, t: Column | None = None) -> Column:
+    """Exponential average seeded with the first value, for histories of any length.
+
+    Weights grow as (1 - alpha)^-t, so they are counted from the start of the block that a row is in; what came before is the
+    sum of the block before it. Two running sums in one order of the symbol's rows; ``t`` is the place in it, from 0.
+    """
+    t = F.row_number().over(by_symbol()) - 1 if t is None else t
+    size, decay = block_of(alpha), F.lit(1 - alpha)
+    inside, block = t % size, F.floor(t / size)
+    part = F.when(t == 0, 1.0).otherwise(alpha) * F.pow(decay, -inside) * x
+    own = Window.partitionBy("symbol", block).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("symbol").orderBy(block).rangeBetween(-1, -1)
+    total = F.sum(part).over(own) + F.pow(decay, F.lit(size)) * F.coalesce(F.sum(part).over(before), F.lit(0.0))
+    return F.when(F.count(x).over(so_far()) >= least, F.pow(decay, inside) * total)
 
 
 def ema(x: Column, span: int) -> Column:

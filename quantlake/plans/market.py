@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from quantlake.functions import windows as fw
 from quantlake.sources.bars import DAY, bars, bars_sql, by_symbol, dirty_bars, dirty_sql, read
@@ -27,7 +27,7 @@ def query(name: str, sql: str):
     return add
 
 
-def over_bars(name: str, sqls: dict[str, str], columns: Callable[[], dict[str, Column]], period: str = "week") -> None:
+def over_bars(name: str, sqls: dict[str, str], columns: Callable[[], dict[str, Column]], period: str = DAY) -> None:
     """A query of indicator columns over bars, rounded to 8 places. ``columns`` is called when a session is there."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,10 +52,6 @@ query(
     "agg_symbol_span",
     f"{bars_sql(DAY)} SELECT symbol, min(date) AS first_seen, max(date) AS last_seen, count(*) AS n_days FROM bars GROUP BY symbol",
 )(lambda s, d: bars(s, d, DAY).groupBy("symbol").agg(F.min("date").alias("first_seen"), F.max("date").alias("last_seen"), F.count("*").alias("n_days")))
-query(
-    "agg_registry",
-    f"{bars_sql(DAY)}, s AS (SELECT symbol, max(date) AS last_seen FROM bars GROUP BY symbol) SELECT symbol, last_seen, last_seen < DATE '1998-12-31' - 60 AS delisted FROM s",
-)(lambda s, d: bars(s, d, DAY).groupBy("symbol").agg(F.max("date").alias("last_seen")).withColumn("delisted", C("last_seen") < F.date_sub(F.lit("1998-12-31").cast("date"), 60)))
 query("agg_rows_per_day", f"{bars_sql(DAY)} SELECT date, count(*) AS n FROM bars GROUP BY date")(lambda s, d: bars(s, d, DAY).groupBy("date").agg(F.count("*").alias("n")))
 query("agg_panel_coverage", f"{bars_sql()} SELECT date, count(DISTINCT symbol) AS symbols FROM bars GROUP BY date")(lambda s, d: bars(s, d).groupBy("date").agg(F.countDistinct("symbol").alias("symbols")))
 
@@ -70,8 +66,7 @@ ROW_RULES = {
     "T2_validity_delivery_bounds": "delivery_qty > volume",
 }
 BATCH_RULES = {
-    "T2_validity_turnover_reconciles": "volume > 0 AND turnover > 0 AND (turnover / volume < low * 0.95 OR turnover / volume > high * 1.05)",
-    "T5_plausibility_circuit_breach": "prev_close > 0 AND abs(close / prev_close - 1) * 100 > 20",
+    "T2_validity_turnover_reconciles": "volume > 0 AND turnover > 0 AND (turnover / nullif(volume, 0) < low * 0.95 OR turnover / nullif(volume, 0) > high * 1.05)",
     "T5_plausibility_zero_volume_move": "volume = 0 AND prev_close IS NOT NULL AND (close <> prev_close OR close IS NULL)",
 }
 for _name, _rule in (ROW_RULES | BATCH_RULES).items():
@@ -79,6 +74,11 @@ for _name, _rule in (ROW_RULES | BATCH_RULES).items():
 OWNER = "CASE " + " ".join(f"WHEN {rule} THEN '{name}'" for name, rule in ROW_RULES.items()) + " END"
 
 
+def history(days: int = 120) -> WindowSpec:
+    """The calendar days before a bar's own."""
+    return Window.partitionBy("symbol").orderBy(F.unix_date("date")).rangeBetween(-days, -1)
+
+
 def gated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dirty_bars(spark, sf_dir).withColumn("held_by", F.expr(OWNER))
 
@@ -92,20 +92,12 @@ query("gate_run", f"{GATED} SELECT symbol, date, held_by FROM gated")(lambda s,
 query("gate_held_by_rule", f"{GATED} SELECT held_by, count(*) AS n FROM gated WHERE held_by IS NOT NULL GROUP BY held_by")(
     lambda s, d: gated(s, d).where("held_by IS NOT NULL").groupBy("held_by").agg(F.count("*").alias("n"))
 )
-query(
-    "gate_verdict",
-    f"{GATED} SELECT date, CASE WHEN count(held_by) = count(*) THEN 'rejected' WHEN count(held_by) > 0 THEN 'quarantined' ELSE 'pass' END AS verdict FROM gated GROUP BY date",
-)(lambda s, d: gated(s, d).groupBy("date").agg(F.when(F.count("held_by") == F.count("*"), "rejected").when(F.count("held_by") > 0, "quarantined").otherwise("pass").alias("verdict")))
-query(
-    "T4_continuity_prev_close",
-    f"{GATED}, p AS (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY date) AS prior FROM ok) SELECT symbol, date FROM p WHERE abs(prev_close - prior) / prior > 0.005",
-)(lambda s, d: accepted(s, d).withColumn("prior", F.lag("close").over(by_symbol())).where("abs(prev_close - prior) / prior > 0.005").select("symbol", "date"))
 query(
     "T5_plausibility_volume_spike",
-    f"{GATED}, m AS (SELECT *, median(volume) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 120 PRECEDING AND 1 PRECEDING) AS m FROM ok) SELECT symbol, date FROM m WHERE m > 0 AND volume / m > 50",
+    f"{GATED}, m AS (SELECT *, median(volume) OVER (PARTITION BY symbol ORDER BY date RANGE BETWEEN INTERVAL 120 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING) AS m FROM ok) SELECT symbol, date FROM m WHERE m > 0 AND volume / m > 50",
 )(
     lambda s, d: accepted(s, d)
-    .withColumn("m", F.percentile("volume", F.lit(0.5)).over(by_symbol().rowsBetween(-120, -1)))
+    .withColumn("m", F.percentile("volume", F.lit(0.5)).over(history()))
     .where("m > 0 AND volume / m > 50")
     .select("symbol", "date")
 )
@@ -126,14 +118,6 @@ query(
     lambda s, d: bars(s, d, DAY).select("date").distinct()
     .where((F.weekday("date") >= 5) | F.date_format("date", "MM-dd").isin("01-26", "05-01", "08-15", "10-02", "12-25"))
 )
-query(
-    "T5_plausibility_staleness",
-    f"""{bars_sql()}, r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS r FROM bars)
-    SELECT symbol, count(DISTINCT close) = 1 AND count(*) >= 5 AS stale FROM r WHERE r <= 5 GROUP BY symbol""",
-)(
-    lambda s, d: bars(s, d).withColumn("r", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("date")))).where("r <= 5")
-    .groupBy("symbol").agg(((F.countDistinct("close") == 1) & (F.count("*") >= 5)).alias("stale"))
-)
 query(
     "T6_cross_source_close_agreement",
     f"{bars_sql()}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS t FROM bars), o AS (SELECT symbol, date, CASE WHEN t % 139 = 25 THEN close * 1.02 ELSE close END AS other FROM n) SELECT symbol, date FROM bars JOIN o USING (symbol, date) WHERE abs(close - other) / other * 100 > 1",
@@ -146,50 +130,134 @@ query(
 # Corporate actions and adjustment: (symbol, ex_date, purpose).
 
 ACTIONS = (
-    ("Brand#11", "1994-06-01", "FACE VALUE SPLIT FROM RS 10/- TO RS 2/-"),
+    ("Brand#11", "1994-06-06", "FACE VALUE SPLIT FROM RS 10/- TO RS 2/-"),
     ("Brand#11", "1996-03-04", "BONUS 1:1"),
+    ("Brand#11", "1996-03-04", "SPLIT FROM RS 2 TO RE 1"),
+    ("Brand#12", "1995-05-01", "SUB-DIVISION FROM RS 10 TO RE 1"),
+    ("Brand#12", "1996-05-06", "Split from Rs. 5 to Rs. 4"),
+    ("Brand#13", "1995-05-01", "SPLIT FROM RS 2 TO RS 10"),
+    ("Brand#21", "1996-02-05", "SCHEME OF ARRANGEMENT"),
+    ("Brand#22", "1996-02-05", "DEMERGER OF A UNIT"),
     ("Brand#23", "1995-01-02", "BONUS ISSUE 3:5"),
+    ("Brand#24", "1996-02-05", "DELISTED"),
+    ("Brand#25", "1996-02-05", "CHANGE IN NAME TO BRAND#27"),
     ("Brand#34", "1995-07-03", "RIGHTS 1:4 @ PREMIUM RS 90/-"),
-    ("Brand#45", "1996-01-01", "DIVIDEND RS 5.50 PER SHARE"),
+    ("Brand#45", "1996-01-01", "ANNUAL GENERAL MEETING / DIVIDEND RS 5.50 PER SHARE"),
     ("Brand#52", "1996-01-01", "SOMETHING UNEXPECTED"),
 )
+# Patterns of a purpose, without regard to case, in their order: fixed values.
+FACES = {
+    "split": r"SPLIT.*?FROM\s*(?:RS\.?\s*)?([\d.]+).*?TO\s*(?:RS\.?\s*)?([\d.]+)",
+    "sub_division": r"SUB[\s-]*DIVISION.*?FROM\s*(?:RS\.?|RE\.?\s*)?\s*([\d.]+).*?TO\s*(?:RS\.?|RE\.?\s*)?\s*([\d.]+)",
+}
+SHARES = {"bonus": r"BONUS.*?(\d+)\s*:\s*(\d+)", "rights": r"RIGHTS.*?(\d+)\s*:\s*(\d+)"}
+KINDS = {
+    "demerger": r"\b(?:DEMERGER|SPIN[\s-]?OFF)\b",
+    "merger": r"\b(?:AMALGAMATION|MERGER|SCHEME OF ARRANGEMENT)\b",
+    "delisting": r"\b(?:DELISTING|DELISTED)\b",
+    "symbol_change": r"\b(?:CHANGE IN NAME|NAME CHANGE|SYMBOL CHANGE)\b",
+    "dividend": r"\bDIVIDEND\b",
+}
+PRICE_KINDS = ("split", "bonus", "rights")
+
+
+def extracts(name: str, pattern: str) -> str:
+    return ", ".join(f"TRY_CAST(regexp_extract(purpose, '{pattern}', {k}, 'is') AS DOUBLE) AS {name}{k}" for k in (1, 2))
+
+
 ACTIONS_SQL = "actions AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', DATE '{b}', '{c}')" for a, b, c in ACTIONS) + ") AS v(symbol, ex_date, purpose))"
-PARSED_SQL = f"""{ACTIONS_SQL}, x AS (SELECT *, regexp_extract(purpose, 'RS ([0-9.]+).*RS ([0-9.]+)', 1) AS a, regexp_extract(purpose, 'RS ([0-9.]+).*RS ([0-9.]+)', 2) AS b,
-    regexp_extract(purpose, '([0-9]+):([0-9]+)', 1) AS p, regexp_extract(purpose, '([0-9]+):([0-9]+)', 2) AS q FROM actions),
-  parsed AS (SELECT symbol, ex_date, CASE WHEN purpose LIKE '%SPLIT%' THEN 'split' WHEN purpose LIKE '%BONUS%' THEN 'bonus' WHEN purpose LIKE '%RIGHTS%' THEN 'rights' WHEN purpose LIKE '%DIVIDEND%' THEN 'dividend' ELSE 'other' END AS kind,
-    CASE WHEN purpose LIKE '%SPLIT%' THEN TRY_CAST(b AS DOUBLE) / TRY_CAST(a AS DOUBLE) WHEN purpose LIKE '%BONUS%' OR purpose LIKE '%RIGHTS%' THEN TRY_CAST(q AS DOUBLE) / (TRY_CAST(p AS DOUBLE) + TRY_CAST(q AS DOUBLE)) ELSE 1.0 END AS ratio,
-    purpose LIKE '%SPLIT%' OR purpose LIKE '%BONUS%' OR purpose LIKE '%DIVIDEND%' AS confident FROM x)"""
+PARSED_SQL = f"""{ACTIONS_SQL}, x AS (SELECT *, {", ".join(extracts(k, p) for k, p in (FACES | SHARES).items())} FROM actions),
+  y AS (SELECT *, CASE WHEN split2 > 0 AND split2 < split1 THEN split2 / split1 WHEN sub_division2 > 0 AND sub_division2 < sub_division1 THEN sub_division2 / sub_division1 END AS faces,
+    CASE WHEN bonus1 > 0 AND bonus2 > 0 THEN bonus2 / (bonus1 + bonus2) END AS bonus, CASE WHEN rights1 > 0 AND rights2 > 0 THEN rights2 / (rights1 + rights2) END AS rights FROM x),
+  parsed AS (SELECT symbol, ex_date, CASE WHEN faces IS NOT NULL THEN 'split' WHEN bonus IS NOT NULL THEN 'bonus' WHEN rights IS NOT NULL THEN 'rights' {" ".join(f"WHEN regexp_matches(purpose, '{p}', 'i') THEN '{k}'" for k, p in KINDS.items())} ELSE 'other' END AS kind,
+    coalesce(faces, bonus, rights, 1.0) AS ratio, faces IS NOT NULL OR bonus IS NOT NULL OR (rights IS NULL AND regexp_matches(purpose, '{"|".join(KINDS.values())}', 'i')) AS confident, purpose FROM y),
+  act AS (SELECT symbol, ex_date, product(ratio) AS ratio FROM parsed WHERE confident AND kind IN {PRICE_KINDS} AND ratio <> 1 GROUP BY symbol, ex_date)"""
+
+
+def parse_purpose(actions: DataFrame) -> DataFrame:
+    """``actions`` (symbol, ex_date, purpose) with kind, ratio (of prices before the date) and confident; the first pattern
+    that fits decides. A rights issue's ratio leaves out what was paid, so it is not confident."""
+    pair = lambda p: [F.regexp_extract("purpose", f"(?is){p}", k).try_cast("double") for k in (1, 2)]
+    faces = F.coalesce(*(F.when((new > 0) & (new < old), new / old) for old, new in map(pair, FACES.values())))
+    shares = {k: F.when((a > 0) & (b > 0), b / (a + b)) for k, (a, b) in ((k, pair(p)) for k, p in SHARES.items())}
+    rows = actions.withColumns({"_faces": faces, **{f"_{k}": x for k, x in shares.items()}})
+    kind = F.when(C("_faces").isNotNull(), "split").when(C("_bonus").isNotNull(), "bonus").when(C("_rights").isNotNull(), "rights")
+    for name, pattern in KINDS.items():
+        kind = kind.when(C("purpose").rlike(f"(?i){pattern}"), name)
+    rows = rows.withColumn("kind", kind.otherwise("other")).withColumn("ratio", F.coalesce("_faces", "_bonus", "_rights", F.lit(1.0)))
+    return rows.select("symbol", "ex_date", "kind", "ratio", (~C("kind").isin("rights", "other")).alias("confident"), "purpose")
 
 
 def parsed(spark: SparkSession) -> DataFrame:
-    """kind, ratio and confident of each purpose; the first pattern that fits decides."""
-    rows = spark.createDataFrame(ACTIONS, "symbol string, ex_date string, purpose string").withColumn("ex_date", C("ex_date").cast("date"))
-    number = lambda pattern, k: F.regexp_extract("purpose", pattern, k).try_cast("double")
-    faces, ratio = r"(?is)RS ([0-9.]+).*RS ([0-9.]+)", r"(?is)([0-9]+):([0-9]+)"
-    has = lambda word: F.upper("purpose").contains(word)
-    kind = F.when(has("SPLIT"), "split").when(has("BONUS"), "bonus").when(has("RIGHTS"), "rights").when(has("DIVIDEND"), "dividend").otherwise("other")
-    value = F.when(C("kind") == "split", number(faces, 2) / number(faces, 1)).when(C("kind").isin("bonus", "rights"), number(ratio, 2) / (number(ratio, 1) + number(ratio, 2))).otherwise(1.0)
-    return rows.withColumn("kind", kind).select("symbol", "ex_date", "kind", value.alias("ratio"), C("kind").isin("split", "bonus", "dividend").alias("confident"))
+    rows = spark.createDataFrame(ACTIONS, "symbol string, ex_date string, purpose string")
+    return parse_purpose(rows.withColumn("ex_date", C("ex_date").cast("date")))
 
 
-def adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prices times the ratios of later actions: actions and bars in one order, a reverse running product; no range join."""
-    actions = parsed(spark).where("confident AND ratio <> 1").select("symbol", C("ex_date").alias("date"), "ratio")
-    rows = bars(spark, sf_dir).unionByName(actions, allowMissingColumns=True)
+def price_actions(spark: SparkSession) -> DataFrame:
+    """symbol, ex_date and ratio of the confident actions that change prices; those of one day multiply."""
+    rows = parsed(spark).where(C("confident") & C("kind").isin(*PRICE_KINDS) & (C("ratio") != 1))
+    return rows.groupBy("symbol", "ex_date").agg(F.product("ratio").alias("ratio"))
+
+
+def adjust(rows: DataFrame, actions: DataFrame) -> DataFrame:
+    """``rows`` (bars) with prices times the ratios of later actions: actions and bars in one order, a reverse running product;
+    no range join. prev_close takes the factor of the row before, volume is divided, turnover stays."""
+    later_ = actions.select("symbol", C("ex_date").alias("date"), "ratio")
+    both = rows.unionByName(later_, allowMissingColumns=True)
     # An action on a bar's own date does not count: bars sort as if a day later.
-    rows = rows.withColumn("date_", F.unix_date(F.when(C("ratio").isNull(), F.date_add("date", 1)).otherwise(C("date"))))
-    later = Window.partitionBy("symbol").orderBy(F.desc("date_")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("factor", F.product(F.coalesce("ratio", F.lit(1.0))).over(later)).where("ratio IS NULL")
-    return rows.select("symbol", "date", "factor", (C("close") * C("factor")).alias("adj_close"), F.bround(C("volume") / C("factor")).cast("long").alias("adj_volume"))
+    both = both.withColumn("_day", F.unix_date(F.when(C("ratio").isNull(), F.date_add("date", 1)).otherwise(C("date"))))
+    later = Window.partitionBy("symbol").orderBy(F.desc("_day")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    both = both.withColumn("adj_factor", F.product(F.coalesce("ratio", F.lit(1.0))).over(later)).where("ratio IS NULL").drop("ratio", "_day")
+    guard = F.when(~C("adj_factor").between(1e-4, 1e4), F.raise_error(F.lit("an adjustment factor out of bounds")).cast("double")).otherwise(C("adj_factor"))
+    both = both.withColumn("adj_factor", guard).withColumn("_before", F.coalesce(F.lag("adj_factor").over(by_symbol()), C("adj_factor")))
+    scaled = {c: C(c) * C("adj_factor") for c in ("open", "high", "low", "close")} | {"prev_close": C("prev_close") * C("_before")}
+    both = both.withColumns(scaled | {"volume": F.bround(C("volume") / C("adj_factor")).cast("long")})
+    return both.withColumn("adj_close", C("close")).drop("_before")
+
+
+def adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adjust(bars(spark, sf_dir), price_actions(spark))
+
 
+def continuity_breaks(rows: DataFrame, actions: DataFrame, tolerance: float = 0.005) -> DataFrame:
+    """Bars whose prev_close is not the close before; an action of that day with that ratio explains it."""
+    rows = rows.withColumn("prior_close", F.lag("close").over(by_symbol())).withColumn("gap", C("prev_close") / C("prior_close"))
+    rows = rows.where(F.abs(C("gap") - 1) > tolerance).join(actions.withColumnRenamed("ex_date", "date"), ["symbol", "date"], "left")
+    explained = F.coalesce(F.abs(C("gap") - C("ratio")) <= tolerance, F.lit(False))
+    return rows.select("symbol", "date", "prev_close", "prior_close", C("gap").alias("ratio"), explained.alias("explained"))
 
+
+ADJUSTED_SQL = f"""{bars_sql()}, {PARSED_SQL}, f AS (SELECT b.symbol, b.date, coalesce(product(ratio), 1.0) AS factor FROM bars b LEFT JOIN act p ON p.symbol = b.symbol AND p.ex_date > b.date GROUP BY b.symbol, b.date),
+    adj AS (SELECT b.* REPLACE (open * factor AS open, high * factor AS high, low * factor AS low, close * factor AS close, prev_close * coalesce(lag(factor) OVER (PARTITION BY b.symbol ORDER BY b.date), factor) AS prev_close,
+      CAST(round_even(volume / factor, 0) AS BIGINT) AS volume), factor AS adj_factor, close * factor AS adj_close FROM bars b JOIN f USING (symbol, date))"""
+ADJUSTED = ("open", "high", "low", "close", "prev_close", "adj_factor", "adj_close")
 query("fn_parse_purpose", f"WITH {PARSED_SQL} SELECT * FROM parsed")(lambda s, d: parsed(s))
+query("fn_regex_set", f"WITH {PARSED_SQL} SELECT kind, count(*) AS n, count(*) FILTER (confident) AS confident FROM parsed GROUP BY kind")(
+    lambda s, d: parsed(s).groupBy("kind").agg(F.count("*").alias("n"), F.count_if("confident").alias("confident"))
+)
+query("fn_affects_price", f"WITH {PARSED_SQL} SELECT symbol, ex_date, purpose, kind IN {PRICE_KINDS} AND ratio <> 1 AS affects_price FROM parsed")(
+    lambda s, d: parsed(s).select("symbol", "ex_date", "purpose", (C("kind").isin(*PRICE_KINDS) & (C("ratio") != 1)).alias("affects_price"))
+)
+query("fn_actions_from_frame", f"WITH {PARSED_SQL} SELECT upper(trim(symbol)) AS symbol, ex_date, kind, ratio FROM parsed WHERE confident")(
+    lambda s, d: parsed(s).where("confident").select(F.upper(F.trim("symbol")).alias("symbol"), "ex_date", "kind", "ratio")
+)
+query("fn_rename_events", f"WITH {PARSED_SQL} SELECT symbol AS old_symbol, CAST(NULL AS VARCHAR) AS new_symbol, ex_date AS effective_date, true AS needs_review FROM parsed WHERE kind = 'symbol_change'")(
+    lambda s, d: parsed(s).where("kind = 'symbol_change'").select(C("symbol").alias("old_symbol"), F.lit(None).cast("string").alias("new_symbol"), C("ex_date").alias("effective_date"), F.lit(True).alias("needs_review"))
+)
+query("gate_action_index", f"WITH {PARSED_SQL} SELECT symbol, ex_date, ratio FROM act")(lambda s, d: price_actions(s))
+query("agg_cumulative_factor", f"{ADJUSTED_SQL} SELECT symbol, date, round(factor, 8) AS adj_factor FROM f")(lambda s, d: adjusted(s, d).select("symbol", "date", F.round("adj_factor", 8).alias("adj_factor")))
+query("agg_adjust_symbol", f"{ADJUSTED_SQL} SELECT symbol, date, {', '.join(f'round({c}, 6) AS {c}' for c in ADJUSTED)}, volume, turnover FROM adj")(
+    lambda s, d: adjusted(s, d).select("symbol", "date", *(F.round(c, 6).alias(c) for c in ADJUSTED), "volume", "turnover")
+)
+query("agg_adjust_all", f"{ADJUSTED_SQL} SELECT symbol, count(*) AS n, count(*) FILTER (adj_factor <> 1) AS changed, round(sum(adj_close), 4) AS total, sum(volume)::BIGINT AS volume FROM adj GROUP BY symbol")(
+    lambda s, d: adjusted(s, d).groupBy("symbol").agg(F.count("*").alias("n"), F.count_if(C("adj_factor") != 1).alias("changed"), F.round(F.sum("adj_close"), 4).alias("total"), F.sum("volume").alias("volume"))
+)
+query("prj_scale_volume", f"{ADJUSTED_SQL} SELECT symbol, date, volume, turnover FROM adj")(lambda s, d: adjusted(s, d).select("symbol", "date", "volume", "turnover"))
 query(
-    "agg_adjust_symbol",
-    f"""{bars_sql()}, {PARSED_SQL}, f AS (SELECT b.symbol, b.date, any_value(close) AS close, any_value(volume) AS volume, coalesce(product(ratio), 1.0) AS factor FROM bars b
-      LEFT JOIN parsed p ON p.symbol = b.symbol AND p.ex_date > b.date AND confident AND ratio <> 1 GROUP BY b.symbol, b.date)
-    SELECT symbol, date, round(factor, 8) AS factor, round(close * factor, 8) AS adj_close, CAST(round_even(volume / factor, 0) AS BIGINT) AS adj_volume FROM f""",
-)(lambda s, d: adjusted(s, d).select("symbol", "date", F.round("factor", 8).alias("factor"), F.round("adj_close", 8).alias("adj_close"), "adj_volume"))
+    "agg_continuity",
+    f"""{GATED}, {PARSED_SQL}, p AS (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY date) AS prior_close FROM ok)
+    SELECT p.symbol, date, prev_close, prior_close, prev_close / prior_close AS ratio, coalesce(abs(prev_close / prior_close - act.ratio) <= 0.005, false) AS explained FROM p LEFT JOIN act ON act.symbol = p.symbol AND act.ex_date = p.date WHERE abs(prev_close / prior_close - 1) > 0.005""",
+)(lambda s, d: continuity_breaks(accepted(s, d), price_actions(s)))
 
 # Indicators
 
@@ -234,8 +302,8 @@ over_bars("core_ema", {f"trend_ema_{n}": sql_ema("close", n) for n in (12, 26, 5
 over_bars("core_rma", {"rma_14": sql_ewm("close", 1 / 14, 14)}, lambda: {"rma_14": fw.rma(C("close"), 14)})
 over_bars(
     "trend_price_vs_sma",
-    {f"trend_price_vs_sma{n}": f"(close - {mean(n)}) / {mean(n)}" for n in (20, 50)},
-    lambda: {f"trend_price_vs_sma{n}": (C("close") - fw.sma(C("close"), n)) / fw.sma(C("close"), n) for n in (20, 50)},
+    {f"trend_price_vs_sma{n}": f"(close - {mean(n)}) / {mean(n)}" for n in (20, 50, 200)},
+    lambda: {f"trend_price_vs_sma{n}": (C("close") - fw.sma(C("close"), n)) / fw.sma(C("close"), n) for n in (20, 50, 200)},
 )
 over_bars("trend_macd", {"trend_macd": f"{sql_ema('close', 12)} - {sql_ema('close', 26)}"}, lambda: {"trend_macd": fw.ema(C("close"), 12) - fw.ema(C("close"), 26)})
 over_bars(
@@ -267,9 +335,6 @@ over_bars(
     lambda: {"regime_52w_position": (lambda h, x: (C("close") - x) / positive(h - x))(fw.rolling(F.max, C("high"), 252, 21), fw.rolling(F.min, C("low"), 252, 21))},
 )
 over_bars("fn_returns", {"simple_return": "close / prev_close - 1", "log_return": "ln(close / prev_close)"}, lambda: {"simple_return": C("close") / C("prev_close") - 1, "log_return": F.ln(C("close") / C("prev_close"))})
-over_bars("win_make_labels", {"forward": f"lead(close, 4) {LAG} / close - 1"}, lambda: {"forward": F.lead("close", 4).over(by_symbol()) / C("close") - 1})
-
-
 @query(
     "win_xs_rank",
     f"""{bars_sql()}, r AS (SELECT symbol, date, close / prev_close - 1 AS r FROM bars), k AS (SELECT *, rank() OVER (PARTITION BY date ORDER BY r NULLS LAST) AS k,
@@ -315,13 +380,16 @@ query("bt_position", f"WITH {SCORED} SELECT doc_id, CASE WHEN p >= 0.55 THEN 1 W
 
 # Return metrics of each symbol
 
-RETURNS = f"{bars_sql()}, r AS (SELECT symbol, close / prev_close - 1 AS r FROM bars WHERE prev_close IS NOT NULL)"
+RETURNS = f"{bars_sql(DAY)}, r AS (SELECT symbol, close / prev_close - 1 AS r FROM bars WHERE prev_close IS NOT NULL)"
 METRICS = {
     "sharpe": "CASE WHEN count(r) < 2 OR stddev_pop(r) < 1e-15 THEN 0.0 ELSE avg(r) / stddev_pop(r) * sqrt(252) END",
     "win_rate": "avg(CASE WHEN r > 0 THEN 1.0D ELSE 0.0D END)",
     "profit_factor": "sum(CASE WHEN r > 0 THEN r ELSE 0 END) / nullif(abs(sum(CASE WHEN r < 0 THEN r ELSE 0 END)), 0)",
     "total_return": "exp(sum(ln(1 + r))) - 1",
+    "sortino": "CASE WHEN sum(CASE WHEN r < 0 THEN 1 ELSE 0 END) < 2 OR stddev_pop(CASE WHEN r < 0 THEN r END) < 1e-15 THEN 0.0 ELSE avg(r) / stddev_pop(CASE WHEN r < 0 THEN r END) * sqrt(252) END",
+    "cagr": "pow(exp(sum(ln(1 + r))), 252.0D / count(r)) - 1",
+    "volatility": "stddev_pop(r) * sqrt(252)",
 }
 query("met_all", f"{RETURNS} SELECT symbol, " + ", ".join(f"round({x.replace('0D', '0')}, 8) AS {k}" for k, x in METRICS.items()) + " FROM r GROUP BY symbol")(
-    lambda s, d: bars(s, d).where("prev_close IS NOT NULL").select("symbol", F.expr("close / prev_close - 1").alias("r")).groupBy("symbol").agg(*(F.round(F.expr(x), 8).alias(k) for k, x in METRICS.items()))
+    lambda s, d: bars(s, d, DAY).where("prev_close IS NOT NULL").select("symbol", F.expr("close / prev_close - 1").alias("r")).groupBy("symbol").agg(*(F.round(F.expr(x), 8).alias(k) for k, x in METRICS.items()))
 )

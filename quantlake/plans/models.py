@@ -158,14 +158,3 @@ query("join_rename_forward", f"{NAMES} SELECT old, new FROM names")(lambda s, d:
 query("join_apply_map", f"{NAMES}, {bars_sql().removeprefix('WITH ')} SELECT coalesce(new, symbol) AS symbol, symbol AS original_symbol, date, close FROM bars LEFT JOIN names ON old = symbol")(
     lambda s, d: bars(s, d).join(current_names(s), C("symbol") == C("old"), "left").select(F.coalesce("new", "symbol").alias("symbol"), C("symbol").alias("original_symbol"), "date", "close")
 )
-
-# Symbols of one day that the next market day lacks: read from each symbol's own next day, without a join of the two days
-
-query(
-    "T3_completeness_missing_symbols",
-    f"{bars_sql('day')}, d AS (SELECT date, lead(date) OVER (ORDER BY date) AS following FROM (SELECT DISTINCT date FROM bars)) SELECT symbol, following AS date FROM bars JOIN d USING (date) WHERE following IS NOT NULL AND NOT EXISTS (SELECT 1 FROM bars b WHERE b.symbol = bars.symbol AND b.date = following)",
-)(
-    lambda s, d: (lambda rows: rows.join(rows.select("date").distinct().withColumn("following", F.lead("date").over(Window.orderBy("date"))), "date"))(
-        bars(s, d, "day").select("symbol", "date", F.lead("date").over(by_symbol()).alias("own"))
-    ).where("following IS NOT NULL AND (own IS NULL OR own > following)").select("symbol", C("following").alias("date"))
-)

@@ -67,24 +67,29 @@ def bars_sql(period: str = WEEK) -> str:
     bars AS (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY date) AS prev_close FROM b0)"""
 
 
-#: Defects by position in a symbol's history: (modulus, remainder, column, SQL for the new value).
+#: Defects: (which rows, by position t in a symbol's history, column, SQL for the new value); of two for one column the first
+#: holds. Fixed so that every rule of the gate has rows that break it, and one gap in prev_close that actions explain.
 DEFECTS = (
-    (97, 5, "low", "high + 1"),
-    (101, 7, "close", "0.0"),
-    (103, 9, "volume", "-1"),
-    (107, 11, "delivery_qty", "volume + 1"),
-    (109, 13, "turnover", "turnover * 100000"),
-    (113, 17, "prev_close", "prev_close * 0.5"),
-    (127, 19, "open", "NULL"),
-    (131, 21, "volume", "volume * 1000"),
+    ("t % 97 = 5", "low", "high + 1"),
+    ("t % 101 = 7", "close", "0.0"),
+    ("t % 103 = 9", "volume", "-1"),
+    ("t % 107 = 11", "delivery_qty", "volume + 1"),
+    ("t % 109 = 13", "turnover", "turnover * 100000"),
+    ("symbol = 'Brand#11' AND date = DATE '1996-03-04'", "prev_close", "prev_close * 0.25"),
+    ("t % 113 = 17", "prev_close", "prev_close * 0.5"),
+    ("t % 127 = 19", "open", "NULL"),
+    ("t % 131 = 21", "volume", "volume * 1000"),
+    ("t % 137 = 23", "volume", "0"),
+    ("t % 139 = 27", "open", "high + 1"),
+    *(("t % 151 BETWEEN 40 AND 46", c, "1500e0") for c in ("open", "high", "low", "close")),
 )
 
 
 def dirty_select() -> str:
     """The columns of bars with DEFECTS put in; the same text in both dialects."""
     by_column: dict[str, list[str]] = {}
-    for modulus, rest, column, value in DEFECTS:
-        by_column.setdefault(column, []).append(f"WHEN t % {modulus} = {rest} THEN {value}")
+    for which, column, value in DEFECTS:
+        by_column.setdefault(column, []).append(f"WHEN {which} THEN {value}")
     names = "symbol date open high low close volume turnover trades delivery_qty prev_close".split()
     return ", ".join(f"CASE {' '.join(by_column[c])} ELSE {c} END AS {c}" if c in by_column else c for c in names) + ", t"
 
