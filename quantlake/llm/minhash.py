@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 
 from quantlake.llm.common import WordHashes, Workspace, components, mix, ngram_hashes, small_batches
 
-WORDS, BANDS, ROWS, PERCENT = 5, 20, 3, 75
-#: A pair of at least 75 % agrees in 45 of 60 coordinates on average; 28 is five standard deviations less.
-LEAST_AGREEMENT = 28
+WORDS, SIZE, PERCENT = 5, 60, 75
+#: Coordinates of the signature that make a band: runs of three, and ten more that reach across. A pair of exactly 75 %
+#: shares none of them with probability 7e-8.
+BANDS = [(3 * k, 3 * k + 1, 3 * k + 2) for k in range(20)] + [(k, k + 20, k + 40) for k in range(10)]
 #: Shingles are counted in so many parts of the hash space to bound what two classes share.
 PARTS = 64
+#: Comparisons with one class that a task makes; the text of a class with more is sent to several.
+FAN = 256
 
 
 def shingles(text: str | None, words: WordHashes, n: int = WORDS) -> np.ndarray:
@@ -27,7 +30,7 @@ def shingles(text: str | None, words: WordHashes, n: int = WORDS) -> np.ndarray:
     return np.unique(ngram_hashes(hashes, n))
 
 
-def signature(found: np.ndarray, size: int = BANDS * ROWS) -> np.ndarray:
+def signature(found: np.ndarray, size: int = SIZE) -> np.ndarray:
     """Circulant MinHash over the ring of 32-bit integers: one permutation places a shingle, coordinate k shifts the place
     by k and takes the least value under the second permutation."""
     out = np.full(size, np.iinfo(np.uint32).max, np.uint32)
@@ -50,7 +53,8 @@ def permuted(x: np.ndarray, key: int) -> np.ndarray:
 
 
 def sketches(spark: SparkSession, docs: DataFrame, n: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, set_id (128-bit digest of the shingle set, null if empty) and sig, the signature."""
+    """doc_id, tag (hash of the text), n_shingles, set_id (128-bit digest of the shingle set, null if empty) and sig, the
+    signature."""
     small_batches(spark)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -63,29 +67,39 @@ def sketches(spark: SparkSession, docs: DataFrame, n: int = WORDS) -> DataFrame:
                     out.append((len(found), xxhash.xxh128_digest(found.tobytes()), signature(found)))
                 else:
                     out.append((0, None, None))
-            yield pd.DataFrame(out, columns=["n_shingles", "set_id", "sig"]).assign(doc_id=batch["doc_id"].astype("Int64"))
+            rows = pd.DataFrame(out, columns=["n_shingles", "set_id", "sig"])
+            yield rows.assign(doc_id=batch["doc_id"].astype("Int64"), tag=batch["tag"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInPandas(work, "n_shingles long, set_id binary, sig array<int>, doc_id long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), "text")
+    return rows.mapInPandas(work, "n_shingles long, set_id binary, sig array<int>, doc_id long, tag long")
 
 
-def compared(spark: SparkSession, pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
-    """``pairs`` (a, b) with na, nb and both: the sizes of their full shingle sets and of what these share."""
+def compared(spark: SparkSession, work: Workspace, pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """``pairs`` (a, b) with na, nb and both: the sizes of their full shingle sets and of what these share.
+
+    Many a may be compared with one b; its text then goes to a task for every FAN of them.
+    """
 
     @F.pandas_udf("na long, nb long, both long")
     def sizes(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         words = WordHashes()
         for left, right in batches:
-            last, out, x = None, [], np.empty(0, np.uint64)
+            last, out, y = None, [], np.empty(0, np.uint64)
             for p, q in zip(left, right, strict=True):
-                if p != last:
-                    last, x = p, shingles(p, words, n)
-                y = shingles(q, words, n)
+                x = shingles(p, words, n)
+                if q != last:
+                    last, y = q, shingles(q, words, n)
                 out.append((len(x), len(y), len(np.intersect1d(x, y, assume_unique=True))))
             yield pd.DataFrame(out, columns=["na", "nb", "both"])
 
-    rows = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("_p")), "a")
-    rows = rows.join(texts.select(F.col("node").alias("b"), F.col("text").alias("_q")), "b")
+    pairs = work.save(pairs, "asked")
+    fans = pairs.groupBy("b").agg(F.ceil(F.count("*") / FAN).cast("int").alias("fans")).where("fans > 1")
+    fans = work.save(fans, "fans")  # few, so that a written table is joined without moving the pairs
+    rows = pairs.join(fans, "b", "left").withColumn("fan", F.coalesce(F.pmod(F.xxhash64("a"), F.col("fans")).cast("int"), F.lit(0))).drop("fans")
+    rows = rows.join(texts.select(F.col("node").alias("a"), F.col("text").alias("_p")), "a")
+    others = texts.select(F.col("node").alias("b"), F.col("text").alias("_q")).join(fans, "b", "left")
+    others = others.withColumn("fan", F.explode(F.sequence(F.lit(0), F.coalesce("fans", F.lit(1)) - 1))).drop("fans")
+    rows = rows.join(others, ["b", "fan"])
     return rows.select("a", "b", sizes("_p", "_q").alias("_s")).select("a", "b", "_s.*")
 
 
@@ -93,93 +107,97 @@ def linked(compared: DataFrame, percent: int) -> DataFrame:
     return compared.where(F.col("both") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
-def near_duplicates(
-    spark: SparkSession, docs: DataFrame, *, percent: int = PERCENT, n: int = WORDS
-) -> DataFrame:
+def unordered(rows: DataFrame) -> DataFrame:
+    return rows.select("*", F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
+
+
+def without(pairs: DataFrame, done: DataFrame) -> DataFrame:
+    """``pairs`` that ``done`` lacks in either direction."""
+    return unordered(pairs).join(unordered(done).select("low", "high"), ["low", "high"], "left_anti").drop("low", "high")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, *, percent: int = PERCENT, n: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs`` (doc_id, text).
 
-    Documents with the same shingle set are one class, named by its smallest doc_id; classes that share a band are
-    candidates. A class is first compared with the most central class of each band it is in, the one with most
-    candidates, so a large group costs as many comparisons as it has members; what is left of a band likewise. Then all
-    pairs of a band that these links have not yet joined are compared, if enough coordinates of their signatures agree
-    and the similarity is possible: two classes share at most the fewer of the shingles that either shares with the
-    band's centre, and the fewer of those that it has in common with any other open class; and in each of PARTS parts
-    of the hash space at most the fewer of those that either has in common with any other, which tells copies apart that
-    were changed in different places.
+    Documents with the same shingle set are one class; classes that share a band are candidates. A class is first compared
+    with the most central class of each band it is in, the one with most candidates, so a large group costs as many
+    comparisons as it has members; what does not link there likewise. Then the classes of a band that these links have not
+    yet joined are compared, if the similarity is possible: two classes share at most the fewer of the shingles that
+    either shares with the band's centre, and the fewer of those that it has in common with any other open class; and in
+    each of PARTS parts of the hash space at most the fewer of those that either has in common with any other, which tells
+    copies apart that were changed in different places. These bounds are exact, so no candidate is lost to them.
 
     Null and empty texts, and texts without words, have no shingles and link with nothing, nor do rows without doc_id
     (their component_id is null and they are kept). Rows that repeat a doc_id with the same text belong to one class
-    and are all kept; the texts of a doc_id that has several count as linked. Other columns are left out.
+    and are all kept; the texts of a doc_id that has several count as linked, and each links with its own near copies. Of
+    equally central classes one is taken, which changes no result. An empty table gives an empty result; a very long text
+    costs memory in proportion to it in the task that reads it. Other columns are left out.
     """
     work = Workspace(spark, "minhash")
     rows = work.save(sketches(spark, docs, n), "sketches")
     full = rows.where("set_id is not null and doc_id is not null")
-    named = full.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.count("*").alias("rows"), F.min("n_shingles").alias("size"), F.first("sig").alias("sig"))
-    classes = work.save(named, "classes")
+    named = full.groupBy("set_id").agg(F.min(F.struct("doc_id", "tag")).alias("low"), F.min("n_shingles").alias("size"), F.first("sig").alias("sig"))
+    classes = work.save(named.select("set_id", "low.*", "size", "sig", F.monotonically_increasing_id().alias("node")), "classes")
 
-    bands = F.transform(
-        F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.slice("sig", i * ROWS + 1, ROWS))
-    )
-    members = classes.select("node", "size", F.posexplode(bands).alias("i", "band"))
-    shared = members.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high"))
-    shared = work.save(shared.where("low <> high").select("band", "n"), "shared")
+    bands = F.array(*(F.xxhash64(F.lit(i), *(F.col("sig")[k] for k in band)) for i, band in enumerate(BANDS)))
+    members = classes.select("node", "size", F.explode(bands).alias("band"))
+    shared = work.save(members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     members = work.save(members.join(shared, "band"), "members")
     central = work.save(members.groupBy("node").agg(F.sum("n").alias("central")), "central")
     members = work.save(members.drop("n").join(central, "node"), "members")
-    nodes = members.select("node").distinct()
-    # The text of a class is that of its smallest document; rows that repeat it are told apart by their shingles' digest.
-    owners = full.join(nodes, full["doc_id"] == nodes["node"]).select("node", "set_id").join(classes.select("node", "set_id"), ["node", "set_id"])
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(owners.select("node").distinct(), "node")
-    texts = work.save(texts.groupBy("node").agg(F.max("text").alias("text")), "texts")
-
-    ids = full.join(classes.select("set_id", "node"), "set_id").where("doc_id <> node")
-    twice = ids.join(classes.select(F.col("node").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    links = work.save(twice.distinct(), "links")
-    centres = work.save(hubs(members), "hubs")
-    pairs = members.join(centres, "band").transform(pairs_with, "hub")
-    pairs = work.save(compared(spark, pairs, texts, n), "pairs")
-    links = work.save(links.union(linked(pairs, percent)), "links")
-
-    now = labelled(spark, work, members.join(centres, "band"), links)
-    tops = now.where("node = hub").select("band", F.col("c").alias("top_c"))
-    outside = now.join(work.save(tops, "tops"), "band").where("c <> top_c")
-    more = outside.drop("hub").join(hubs(outside), "band").transform(pairs_with, "hub").join(pairs, ["a", "b"], "left_anti")
-    more = work.save(compared(spark, more, texts, n), "pairs")
-    links = work.save(links.union(linked(more, percent)), "links")
-
-    now = labelled(spark, work, members.join(centres, "band"), links)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), "text")
+    texts = texts.join(classes.join(central, "node", "left_semi").select("doc_id", "tag", "node"), ["doc_id", "tag"])
+    texts = work.save(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")  # of a repeated row, one
+
+    ids = full.join(classes.select("set_id", "node"), "set_id").select("doc_id", "node")
+    several = ids.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("top")).where("a <> top").drop("top")
+    twice = work.save(ids.join(several, "doc_id").where("a <> node").select("a", F.col("node").alias("b")).distinct(), "twice")
+
+    members = work.save(members.join(hubs(members), "band"), "hubs")
+    pairs = work.save(compared(spark, work, pairs_with(members), texts, n), "pairs")
+    links = linked(pairs, percent)
+    outside = members.where("node <> hub").select("band", F.col("node").alias("a"), F.col("hub").alias("b"), "size", "central")
+    outside = work.save(without(outside, links).select("band", F.col("a").alias("node"), "size", "central"), "outside")
+    more = without(pairs_with(outside.join(hubs(outside), "band")), pairs)
+    more = work.save(compared(spark, work, more, texts, n), "pairs")
+    links = work.save(twice.union(links).union(linked(more, percent)), "links")
+
+    found = components(spark, work, links)
+    now = members.join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+    now = work.save(now, "labelled")
     groups = now.groupBy("band", "c").agg(F.count("*").alias("n"))
     most = groups.groupBy("band").agg(F.max(F.struct("n", "c")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
     most = work.save(most.select("band", F.col("top.c").alias("top_c")), "open")
     open_ = work.save(now.join(most, "band"), "open_members")
     common = work.save(shared_shingles(spark, texts.join(open_.select("node").distinct(), "node", "left_semi"), n), "common")
     of_hub = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("hub"), "both"), F.struct(F.col("b").alias("node"), F.col("a").alias("hub"), "both"))).alias("p")).select("p.*")
-    open_ = open_.join(classes.select("node", "sig"), "node").join(common, "node").join(of_hub, ["node", "hub"], "left")
-    open_ = work.save(open_.withColumn("core", F.coalesce("both", "size")), "open_members")
-    sides = ("node", "c", "size", "sig", "common", "core", "parts")
-    left = open_.where("c <> top_c").select("band", "i", *(F.col(x).alias(f"{x}_a") for x in sides))
+    open_ = open_.join(common, "node").join(of_hub, ["node", "hub"], "left")
+    open_ = work.save(open_.withColumn("core", F.coalesce("both", "size")).where(100 * F.col("common") >= percent * F.col("size")), "open_members")
+    sides = ("node", "c", "size", "common", "core", "parts")
+    left = open_.where("c <> top_c").select("band", *(F.col(x).alias(f"{x}_a") for x in sides))
     right = open_.select("band", "top_c", *(F.col(x).alias(f"{x}_b") for x in sides))
     most_shared = F.least("core_a", "core_b") + F.least(F.col("common_a") - F.col("core_a"), F.col("common_b") - F.col("core_b"))
     in_parts = F.aggregate(F.zip_with("parts_a", "parts_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    same = F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int"))
-    agree = F.aggregate(same, F.lit(0), lambda s, x: s + x)
-    earlier = F.exists(F.sequence(F.lit(0), F.col("i") - 1, F.lit(1)), lambda j: F.slice("sig_a", j * ROWS + 1, ROWS) == F.slice("sig_b", j * ROWS + 1, ROWS))
     match = (
         (F.col("c_a") != F.col("c_b"))
         & ((F.col("c_b") == F.col("top_c")) | (F.col("node_a") < F.col("node_b")))
+        & (100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
         & (100 * most_shared >= percent * (F.col("size_a") + F.col("size_b") - most_shared))
         & (100 * in_parts >= percent * (F.col("size_a") + F.col("size_b") - in_parts))
-        & (agree >= LEAST_AGREEMENT)
-        & ~F.when(F.col("i") > 0, earlier).otherwise(F.lit(False))
     )
     rest = left.join(right, "band").where(match).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
-    rest = rest.distinct().join(pairs, ["a", "b"], "left_anti").join(more, ["a", "b"], "left_anti")
-    links = work.save(links.union(linked(compared(spark, work.save(rest, "rest"), texts, n), percent)), "links")
-
-    found = components(spark, work, links).withColumnRenamed("component", "c")
-    named = classes.select("set_id", "node").join(found, "node", "left")
-    out = rows.join(named.select("set_id", F.coalesce("c", "node").alias("c")), "set_id", "left")
-    component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("c", "doc_id"))
+    rest = without(without(rest.distinct(), pairs), more)
+    last = work.save(linked(compared(spark, work, rest, texts, n), percent), "links")
+
+    # What the first links joined is one node each for the last ones.
+    name = lambda c: classes.select("node").join(found, "node", "left").select(F.col("node").alias(c), F.coalesce("component", "node").alias(f"_{c}"))
+    over = components(spark, work, last.join(name("a"), "a").join(name("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+    named = classes.join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+    named = named.join(over.select(F.col("node").alias("c"), "component"), "c", "left").select("set_id", "doc_id", F.coalesce("component", "c").alias("c"))
+    lowest = named.groupBy("c").agg(F.min("doc_id").alias("lowest"))
+    named = work.save(named.join(lowest, "c").select("set_id", "lowest"), "named")
+    out = rows.join(named, "set_id", "left")
+    component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("lowest", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -189,9 +207,11 @@ def hubs(members: DataFrame) -> DataFrame:
     return top.select("band", (-F.col("top.minus")).alias("hub"))
 
 
-def pairs_with(members: DataFrame, hub: str) -> DataFrame:
-    rows = members.where(F.col("node") != F.col(hub))
-    return rows.select(F.least("node", hub).alias("a"), F.greatest("node", hub).alias("b")).distinct()
+def pairs_with(members: DataFrame) -> DataFrame:
+    """Each node (a) with the hubs (b) of its bands; of two hubs of each other's bands, once."""
+    rows = unordered(members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    once = rows.groupBy("low", "high").agg(F.max("b").alias("b"))
+    return once.select(F.when(F.col("b") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("a"), "b")
 
 
 def shared_shingles(spark: SparkSession, texts: DataFrame, n: int) -> DataFrame:
@@ -220,15 +240,5 @@ def shared_shingles(spark: SparkSession, texts: DataFrame, n: int) -> DataFrame:
     return rows.withColumn("common", F.aggregate("parts", F.lit(0), lambda s, x: s + x))
 
 
-def components_of(spark: SparkSession, work: Workspace, links: DataFrame, name: str) -> DataFrame:
-    return components(spark, work, links).select(F.col("node").alias(name), F.col("component").alias("c"))
-
-
-def labelled(spark: SparkSession, work: Workspace, members: DataFrame, links: DataFrame) -> DataFrame:
-    """``members`` with c, the component that ``links`` give each node; written out."""
-    found = components_of(spark, work, links, "node")
-    return work.save(members.join(found, "node", "left").withColumn("c", F.coalesce("c", "node")), "labelled")
-
-
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
