@@ -21,7 +21,6 @@ WORD = re.compile(r"[^\W\d_]+")
 
 #: Spark's xxhash64.
 SEED = 42
-STEP = 1 << 20
 
 
 @dataclass
@@ -34,6 +33,14 @@ class LanguageModel:
     logs: list[np.ndarray]
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters, in lower case. Signs that only count as numbers (½, ², Ⅳ) are no letters and end a word."""
+    found = WORD.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return "".join(c if c.isalpha() else " " for c in " ".join(found)).split()
+
+
 def grams_of(word: str, n: int) -> list[str]:
     padded = f"^{word}$"
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
@@ -45,10 +52,11 @@ def grams_column(padded: Column, n: int) -> Column:
 
 
 def sampled(docs: DataFrame, max_docs: int) -> DataFrame:
-    """Distinct texts (text, lang), about ``max_docs`` of each language, or all if it has fewer, chosen by their hash."""
+    """Distinct texts (text, lang), about ``max_docs`` of each language, or all if it has fewer, chosen by their hash, whose
+    64 bits are compared as a fraction, so the share may be as small as a table of any size asks."""
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang", F.xxhash64("text").alias("h"))
-    shares = rows.select("lang", "h").distinct().groupBy("lang").agg((F.lit(max_docs * STEP) / F.count("*")).alias("below"))
-    some = rows.join(F.broadcast(shares), "lang").where(F.pmod("h", F.lit(STEP)) < F.col("below"))
+    shares = rows.select("lang", "h").distinct().groupBy("lang").agg((F.lit(float(max_docs)) / F.count("*")).alias("below"))
+    some = rows.join(shares, "lang").where(F.col("h") / F.lit(2.0**64) + 0.5 < F.col("below"))
     return some.groupBy("lang", "h").agg(F.first("text").alias("text")).select("text", "lang")
 
 
@@ -56,7 +64,8 @@ def fit(spark: SparkSession, docs: DataFrame, *, max_docs: int = 20_000, order:
     """Learn from ``docs`` (text, lang), of which about ``max_docs`` distinct texts of each language are used.
 
     Every word of these and every n-gram up to ``order`` is in the model, whatever its frequency, so a large language does
-    not push out the units of a small one. Rows without text or lang teach nothing.
+    not push out the units of a small one. Rows without text or lang teach nothing. Each distinct lang costs a column of the
+    model, so the column should hold languages.
     """
     small_batches(spark)
     work = Workspace(spark, "language")
@@ -66,7 +75,7 @@ def fit(spark: SparkSession, docs: DataFrame, *, max_docs: int = 20_000, order:
         found: Counter = Counter()
         for batch in batches:
             for text, lang in zip(batch["text"], batch["lang"], strict=True):
-                for word, c in Counter(WORD.findall(text.lower())).items():
+                for word, c in Counter(words_of(text)).items():
                     found[word, lang] += c
             if len(found) > 500_000:
                 yield frame(found)
@@ -115,6 +124,13 @@ class Scorer:
         self.table = np.zeros((limit, len(model.languages)), np.float32)
         self.forget()
 
+    @staticmethod
+    def of(model: LanguageModel) -> Scorer:
+        """One for each model in a worker process, so tasks share the words met."""
+        if not hasattr(model, "scorer"):
+            model.scorer = Scorer(model)
+        return model.scorer
+
     def forget(self) -> None:
         self.rows: dict[str, int] = {}
 
@@ -148,7 +164,7 @@ class Scorer:
                 self.table[start + i] = self.backoff(word)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = WORD.findall(text.lower()) if text else []
+        words = words_of(text) if text else []
         if not words or not self.model.languages:
             return UNDETERMINED, 0.0
         total = np.zeros(len(self.model.languages))
@@ -171,7 +187,7 @@ def predictor(spark: SparkSession, model: LanguageModel):
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(shared.value)
+        scorer = Scorer.of(shared.value)
         for texts in batches:
             found = [scorer.predict(t) for t in texts]
             yield pd.DataFrame({"lang_pred": np.array([f[0] for f in found], object), "score": np.array([f[1] for f in found], float)})
@@ -185,8 +201,9 @@ def predictor(spark: SparkSession, model: LanguageModel):
 def identify(spark: SparkSession, docs: DataFrame, model: LanguageModel, *, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns of ``docs``, lang_pred and score (posterior of the best language) for every whole text.
 
-    A tie goes to the language first in order. Repeated rows are scored alike; an empty table gives an empty result;
-    other columns are left out unless named in ``keep``.
+    A tie goes to the language first in order. Null texts and texts without a letter get ``und`` and score 0, as all do with
+    a model that learned nothing. Very long texts are read in blocks of words. Repeated rows are scored alike; an empty
+    table gives an empty result; other columns are left out unless named in ``keep``.
     """
     small_batches(spark)
     scored = docs.select(*keep, predictor(spark, model)(F.col("text")).alias("_language"))
