@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 from collections.abc import Iterable, Iterator
+from typing import BinaryIO
 from urllib.parse import urlsplit
 
 import pandas as pd
@@ -15,6 +17,8 @@ from quantlake.llm.common import Workspace, small_batches
 
 END = "\r\n\r\n"
 RECORDS_PER_FILE = 4000
+#: Payload bytes of a file, about, and index entries that a task merges.
+FILE_BYTES, ENTRIES = 128 << 20, 100_000
 SHORTEST_REVISIT = 1000
 INDEX = (
     "urlkey string, captured string, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, "
@@ -29,7 +33,9 @@ def records(pages: DataFrame, work: Workspace) -> DataFrame:
     large = F.when(F.col("n") >= SHORTEST_REVISIT, F.col("digest"))
     tops = rows.select(large.alias("_digest"), "page_id").where("_digest is not null").groupBy("_digest").agg(F.max("page_id").alias("top"), F.count("*").alias("c"))
     tops = work.save(tops.where("c > 1").drop("c"), "repeated")
-    rows = rows.withColumn("_digest", large).join(tops, "_digest", "left")
+    rows = rows.withColumn("_digest", large)
+    small = rows.where("_digest is null").drop("_digest").withColumn("top", F.lit(None).cast("long"))
+    rows = rows.where("_digest is not null").join(tops, "_digest", "left").drop("_digest").unionByName(small)
     revisit = F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n"), F.lit(END))
     block = F.concat(http, F.when(revisit, F.lit("")).otherwise(F.col("html")))
@@ -52,7 +58,9 @@ def write(pages: DataFrame, path: str, work: Workspace) -> None:
     others revisits that refer to it. A null html is an empty payload, a null url an empty URI, and a null page_id is
     never the largest. Repeated rows are records of their own. Spark's text writer ends a record as WARC asks.
     """
-    out = records(pages, work).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE)
+    size, n = pages.agg(F.sum(F.octet_length("html")), F.count("*")).first()
+    per_file = max(1, min(RECORDS_PER_FILE, FILE_BYTES * n // max(size or 1, 1)))
+    out = records(pages, work).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file)
     out.text(path)
 
 
@@ -69,18 +77,22 @@ def url_key(url: str) -> str:
     return f"{host}{port}){parts.path or '/'}" + (f"?{query}" if query else "")
 
 
-def parse(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
-    """Offset, length, headers and block of each record of an uncompressed archive; lengths are taken from the headers."""
+def parse(stream: BinaryIO) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
+    """Offset, length, headers and block of each record of an uncompressed archive; lengths are taken from the headers, and
+    one record is held at a time."""
     at = 0
-    while at < len(data):
-        end = data.index(END.encode(), at) + 4
-        lines = data[at:end].decode().split("\r\n")
-        if not lines[0].startswith("WARC/"):
+    while first := stream.readline():
+        if not first.startswith(b"WARC/"):
             raise ValueError(f"no record at byte {at}")
-        headers = dict(x.split(": ", 1) for x in lines[1:] if ": " in x)
-        stop = end + int(headers["Content-Length"])
-        yield at, stop + 4 - at, headers, data[end:stop]
-        at = stop + 4
+        size, headers = len(first), {}
+        while (line := stream.readline()) not in (b"\r\n", b""):
+            size += len(line)
+            name, _, value = line.decode().rstrip("\r\n").partition(": ")
+            headers[name] = value
+        block = stream.read(int(headers["Content-Length"]))
+        size += 2 + len(block) + len(stream.read(4))
+        yield at, size, headers, block
+        at += size
 
 
 def index_entry(file: str, offset: int, length: int, headers: dict[str, str], block: bytes) -> tuple:
@@ -108,7 +120,7 @@ def runs(spark: SparkSession, path: str) -> DataFrame:
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for file, content in zip(batch["path"], batch["content"], strict=True):
-                found = [index_entry(file, *record) for record in parse(gzip.decompress(content))]
+                found = [index_entry(file, *record) for record in parse(gzip.GzipFile(fileobj=io.BytesIO(content)))]
                 yield frame(sorted(found, key=order_of))
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
@@ -155,11 +167,13 @@ def merged(sources: Iterable[list[tuple]]) -> Iterator[tuple]:
 
 
 def merge_runs(index: DataFrame) -> DataFrame:
-    """All entries in one order of URL key and time: ranges of the keys are dealt to tasks, each merges the runs' parts.
+    """All entries in one order of URL key and time: ranges of the keys, of about ENTRIES each, are dealt to tasks, each of
+    which merges the runs' parts.
 
     A range ends between captures, not between URLs, so one URL's history may span tasks. Parts that the shuffle has put
     out of order are sorted first, which costs a pass over those in order.
     """
+    ranges = max(1, -(-index.count() // ENTRIES))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts: dict[str, list[tuple]] = {}
@@ -178,14 +192,15 @@ def merge_runs(index: DataFrame) -> DataFrame:
                 block = []
         yield frame(block)
 
-    return index.repartitionByRange("urlkey", "captured", "page_id", "file", "offset").mapInPandas(work, INDEX)
+    return index.repartitionByRange(ranges, "urlkey", "captured", "page_id", "file", "offset").mapInPandas(work, INDEX)
 
 
 def capture_history(spark: SparkSession, pages: DataFrame, path: str | None = None) -> DataFrame:
     """Write ``pages`` (page_id, url, html) as archives to ``path``, read them back and merge their indexes (INDEX).
 
-    See write() for nulls, ties and repeated rows. Times are the page_id's second of 2024, as the table has none. An
-    empty table gives an empty index; other columns are left out.
+    See write() for nulls, ties and repeated rows. Times are the page_id's second of 2024, as the table has none. A very
+    long page is held by itself in the task that reads it; long pages make files of fewer records. An empty table gives an
+    empty index; other columns are left out.
     """
     work = Workspace(spark, "warc")
     path = path or work.path("archives")
