@@ -10,12 +10,14 @@ same q-grams (its anchors) are chosen. So only suffixes at anchors are put in bu
 2. Buckets with open classes are refined with their contexts: identifiers of q-grams at all offsets of the
    contexts, refined by sorting on the pairs (own identifier, identifier at the later offset), doubling the length and
    reusing the new identifiers, until they tell apart passages of LENGTH bytes. A passage is repeated in the smallest
-   document of a class if a smaller document has the same identifier.
+   document of a class if a smaller document has the same identifier. A bucket of more than HOT contexts is not refined in
+   one task: the identifiers of its passages become rows, whose least document is an aggregate.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +36,8 @@ BEFORE, CONTEXT = LENGTH - Q, 2 * LENGTH - Q
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.iinfo(np.int64).max
 HALF = (LENGTH - Q) // 2
+#: Contexts of a q-gram that one task refines, and bytes of text of a bucket.
+HOT, BUCKET_BYTES = 4096, 8 << 20
 ENTRY = np.dtype([("h", "u8"), ("c", "u8"), ("left", "u2"), ("right", "u2"), ("doc", "i8"), ("row", "u4"), ("at", "u4")])
 
 
@@ -251,6 +255,10 @@ def repeated(spark: SparkSession, work: Workspace, docs: DataFrame, buckets: int
 
     texts = docs.select("doc", "data").join(asked, "doc")
     cuts = texts.select("doc", "row", "data", "ats", "hs").mapInPandas(cut, "h long, doc long, row long, at int, size int, context binary")
+    cuts = work.save(cuts, "cuts")
+    del texts
+    work.sweep()
+    hot = work.save(found.where("bits = 0").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("h"), "hot")
 
     def refined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -270,15 +278,33 @@ def repeated(spark: SparkSession, work: Workspace, docs: DataFrame, buckets: int
         bits = refine(rows, group["doc"].to_numpy(), group["h"].to_numpy())
         return group[["doc", "row", "at"]].assign(bits=bits)[bits != 0]
 
-    answers = cuts.repartition(buckets, "h").sortWithinPartitions("h").mapInPandas(refined, "doc long, row long, at int, bits long")
+    answers = cuts.join(hot, "h", "left_anti").repartition(buckets, "h").sortWithinPartitions("h").mapInPandas(refined, "doc long, row long, at int, bits long")
     answers = work.save(answers, "answers")
-    del texts, cuts
+    passages = work.save(cuts.join(hot, "h", "left_semi").mapInPandas(passages_of, "p1 long, p2 long, doc long, row long, at int, o int"), "passages")
+    first = passages.groupBy("p1", "p2").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
+    again = passages.join(first, ["p1", "p2"]).where("doc > low").groupBy("doc", "row", "at").agg(F.bit_or(F.expr("shiftleft(1L, o)")).alias("bits"))
+    again = work.save(again, "again")
     work.sweep()
     marks = found.where("bits <> 0").select("doc", "row", "at", "bits")
-    marks = marks.union(answers)
+    marks = marks.union(answers).union(again)
     return marks.groupBy("doc", "row").agg(F.collect_list("at").alias("ats"), F.collect_list("bits").alias("bits"))
 
 
+def passages_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The passages inside a text of each context, by two 64-bit hashes: (p1, p2, doc, row, at, o)."""
+    count = CONTEXT - LENGTH + 1
+    for batch in batches:
+        for at in range(0, len(batch), 2000):
+            some = batch.iloc[at : at + 2000]
+            bytes_ = np.frombuffer(b"".join(some["context"]), np.uint8).astype(np.uint64) + np.uint64(1)
+            start = (np.arange(len(some)) * CONTEXT)[:, None] + np.arange(count)
+            place = (some["at"].to_numpy() - BEFORE)[:, None] + np.arange(count)
+            r, o = np.nonzero((place >= 0) & (place + LENGTH <= some["size"].to_numpy()[:, None]))
+            ids = [rolling(x, LENGTH)[start[r, o]].view(np.int64) for x in (bytes_, mix(bytes_))]
+            columns = {c: some[c].to_numpy()[r] for c in ("doc", "row", "at")}
+            yield pd.DataFrame({"p1": ids[0], "p2": ids[1], **columns, "o": o.astype(np.int32)})
+
+
 def removed(data: bytes, at: np.ndarray | None, bits: np.ndarray | None) -> np.ndarray:
     """Which bytes of a text the repeated passages cover."""
     n = len(data)
@@ -299,13 +325,16 @@ def without_repeats(spark: SparkSession, docs: DataFrame, *, digest: bool = Fals
     character, its remaining bytes are left out) or, with ``digest``, kept_sha256 of the kept bytes as they are.
 
     Null texts are empty. A null doc_id is larger than all others, and rows that share a doc_id do not count for each
-    other. Passages are judged on the input. An empty table gives an empty result; other columns are left out.
+    other. Passages are judged on the input. A very long text costs memory in proportion to it in the task that reads it. An
+    empty table gives an empty result; other columns are left out.
     """
     small_batches(spark)
     work = Workspace(spark, "suffixes")
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     data = F.coalesce("text", F.lit("")).cast("binary")
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("doc"), data.alias("data"))
+    if buckets is None:  # of BUCKET_BYTES; in a very large corpus of more, so that a task sends fewer parts
+        size = rows.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+        buckets = max(1, math.ceil(size / max(BUCKET_BYTES, 30 * math.sqrt(size))))
     marks = work.save(repeated(spark, work, rows, buckets), "marks")
     work.sweep()
     out = "kept_sha256 string" if digest else "kept string"
