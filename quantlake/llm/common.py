@@ -7,8 +7,11 @@ import os
 import tempfile
 import time
 import uuid
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,6 +111,27 @@ def ngram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
+def added_up(parts: DataFrame, size: int, tasks: int = 32) -> np.ndarray:
+    """The sum of the arrays of ``size`` doubles in ``parts`` (one binary column, v). They are added up in ``tasks`` tasks, so the
+    driver gets so many arrays however many there were."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(size)
+        for batch in batches:
+            for v in batch["v"]:
+                total += np.frombuffer(zlib.decompress(v))
+        yield pd.DataFrame({"v": [packed(total)]})
+
+    total = np.zeros(size)
+    for row in parts.repartition(tasks).mapInPandas(add, "v binary").toLocalIterator():
+        total += np.frombuffer(zlib.decompress(row["v"]))
+    return total
+
+
+def packed(total: np.ndarray) -> bytes:
+    return zlib.compress(total.astype(float).tobytes(), 1)
+
+
 def components(spark: SparkSession, work: Workspace, edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable from each node of ``edges`` (a, b long, any direction).
 

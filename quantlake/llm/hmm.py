@@ -17,11 +17,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantlake.llm.common import Workspace, id_bucket, small_batches
+from quantlake.llm.common import Workspace, added_up, id_bucket, packed, small_batches
 
 #: Hash that stands for the token at the end of a text; its symbol is 0.
 END = 0
 ENDINGS = 1024
+#: Tokens of a text that are held as states; a longer one is taken in parts.
+PART = 200_000
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -85,16 +87,17 @@ class Lanes:
         return np.arange(self.at[1], self.at[-1]) - np.repeat(self.width[:-1], self.width[1:])
 
 
-def forward(chain: Chain, lanes: Lanes, keep: bool) -> tuple[np.ndarray | None, ...]:
+def forward(chain: Chain, lanes: Lanes, keep: bool, prior: np.ndarray | None = None) -> tuple[np.ndarray | None, ...]:
     """log10 likelihood of each text or, with ``keep``, in its place None and what expected() needs: scaled forward
-    probabilities (states x places), their scales, and the emission of each place's symbol."""
+    probabilities (states x places), their scales, and the emission of each place's symbol. ``prior`` is the distribution
+    of the first states, if not the chain's start."""
     emitted = np.take(chain.emit.T, lanes.symbols, axis=1)
     alphas, scales = np.empty_like(emitted), np.empty(lanes.at[-1])
     step, at = np.ascontiguousarray(chain.step.T), lanes.at.tolist()
     for t, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
         now = alphas[:, a:b]
         if t == 0:
-            now[:] = chain.start[:, None]
+            now[:] = (chain.start if prior is None else prior)[:, None]
         else:
             np.matmul(step, alphas[:, at[t - 1] : at[t - 1] + b - a], out=now)
         now *= emitted[:, a:b]
@@ -103,22 +106,64 @@ def forward(chain: Chain, lanes: Lanes, keep: bool) -> tuple[np.ndarray | None,
         return None, alphas, scales, emitted
     out = np.empty(len(lanes.order))
     out[lanes.order] = np.bincount(lanes.lanes(), weights=np.log10(scales))
-    return out, None, None, None
+    return out, alphas, None, None
 
 
-def expected(chain: Chain, lanes: Lanes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts of starts, steps and emissions, summed over the lanes."""
-    _, alphas, scales, ahead = forward(chain, lanes, True)
+def expected(chain: Chain, lanes: Lanes, prior: np.ndarray | None = None, after: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Expected counts of starts, steps and emissions, summed over the lanes, and the first place's emission times what
+    follows. A part of a text that is one lane begins from ``prior`` and goes on with ``after``, that of the next part."""
+    _, alphas, scales, ahead = forward(chain, lanes, True, prior)
     betas, at = np.ones_like(alphas), lanes.at.tolist()
+    if after is not None:
+        betas[:, -1] = chain.step @ after
     ahead /= scales
     for t in range(len(lanes.width) - 1, 0, -1):
         a, b = at[t], at[t + 1]
         ahead[:, a:b] *= betas[:, a:b]
         np.matmul(chain.step, ahead[:, a:b], out=betas[:, at[t - 1] : at[t - 1] + b - a])
     steps = (alphas[:, lanes.before()] @ ahead[:, at[1] :].T) * chain.step
+    if after is not None:
+        steps += np.outer(alphas[:, -1], after) * chain.step
+    first = ahead[:, 0] * betas[:, 0]
     betas *= alphas
     emits = np.stack([np.bincount(lanes.symbols, weights=gamma, minlength=len(chain.emit)) for gamma in betas], 1)
-    return betas[:, : at[1]].sum(1), steps, emits
+    return betas[:, : at[1]].sum(1), steps, emits, first
+
+
+def parts_of(chain: Chain, text: np.ndarray, size: int) -> Iterator[tuple[Lanes, np.ndarray, float]]:
+    """Parts of a long text with the distribution of their first state and the log10 likelihood; only one is held."""
+    prior = chain.start
+    for at in range(0, len(text), size):
+        lanes = Lanes([text[at : at + size]])
+        log, alphas, _, _ = forward(chain, lanes, False, prior)
+        yield lanes, prior, float(log[0])
+        prior = chain.step.T @ alphas[:, -1]
+
+
+def log_likelihoods(chain: Chain, texts: list[np.ndarray], size: int = PART) -> np.ndarray:
+    """Texts side by side, and those of more than ``size`` tokens part by part."""
+    out = np.zeros(len(texts))
+    short = [i for i, x in enumerate(texts) if len(x) <= size]
+    if short:
+        out[short] = forward(chain, Lanes([texts[i] for i in short]), False)[0]
+    for i in (i for i, x in enumerate(texts) if len(x) > size):
+        out[i] = sum(log for _, _, log in parts_of(chain, texts[i], size))
+    return out
+
+
+def expected_counts(chain: Chain, texts: list[np.ndarray], size: int = PART) -> np.ndarray:
+    """Expected starts, steps and emissions of all texts, as one array; long texts part by part, from the last one back."""
+    states, symbols = len(chain.start), len(chain.emit)
+    total = np.zeros(states + states * states + symbols * states)
+    short = [x for x in texts if len(x) <= size]
+    if short:
+        total += np.concatenate([p.ravel() for p in expected(chain, Lanes(short))[:3]])
+    for text in (x for x in texts if len(x) > size):
+        priors, after = [prior for _, prior, _ in parts_of(chain, text, size)], None
+        for k in reversed(range(len(priors))):
+            starts, steps, emits, after = expected(chain, Lanes([text[k * size : (k + 1) * size]]), priors[k], after)
+            total += np.concatenate([starts * (k == 0), steps.ravel(), emits.ravel()])
+    return total
 
 
 def batches_of(frames: Iterator[pd.DataFrame], most: int = 400_000) -> Iterator[pd.DataFrame]:
@@ -139,17 +184,15 @@ def train(coded: DataFrame, symbols: int, frequency: np.ndarray, *, states: int,
     chain = Chain.initial(states, frequency, seed)
 
     def round_(chain: Chain) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        size = states + states * states + symbols * states
+
         def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros(states + states * states + symbols * states)
+            total = np.zeros(size)
             for frame in batches_of(frames):
-                parts = expected(chain, Lanes([np.frombuffer(x, np.int16).astype(np.int64) for x in frame["symbols"]]))
-                total += np.concatenate([p.ravel() for p in parts])
-            used = np.flatnonzero(total)
-            yield pd.DataFrame({"cell": used, "v": total[used]})
-
-        cells = coded.select("n_tokens", "symbols").mapInPandas(count, "cell int, v double").groupBy("cell").agg(F.sum("v").alias("v")).toPandas()
-        total = np.zeros(states + states * states + symbols * states)
-        total[cells["cell"]] = cells["v"]
+                total += expected_counts(chain, [np.frombuffer(x, np.int16).astype(np.int64) for x in frame["symbols"]])
+            yield pd.DataFrame({"v": [packed(total)]})
+
+        total = added_up(coded.select("n_tokens", "symbols").mapInPandas(count, "v binary"), size)
         return total[:states], total[states : states + states**2].reshape(states, states), total[states + states**2 :].reshape(symbols, states)
 
     for _ in range(rounds):
@@ -173,8 +216,9 @@ def score(
     is the model's log10 probability. Words are known by a 64-bit hash. Texts are dealt to chunks by hash, and a chunk
     asks once for the count of each of its words, so neither the vocabulary nor a frequent word's texts meet in a task.
 
-    Null and empty texts are one token, the end. Repeated rows count and are scored each; a table without training rows
-    gives counts of 0. An empty table gives an empty result; other columns are left out.
+    Null and empty texts are one token, the end. Very long texts go through the recursions in parts of PART tokens. Repeated
+    rows count and are scored each; of equally frequent words the smaller hash gets a symbol of its own first. A table
+    without training rows gives counts of 0. An empty table gives an empty result; other columns are left out.
     """
     small_batches(spark)
     work = Workspace(spark, "hmm")
@@ -245,8 +289,7 @@ def score(
 
     def likelihood(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches_of(frames):
-            lanes = Lanes([np.frombuffer(x, np.int16).astype(np.int64) for x in frame["symbols"]])
-            logs = forward(model.value, lanes, False)[0]
+            logs = log_likelihoods(model.value, [np.frombuffer(x, np.int16).astype(np.int64) for x in frame["symbols"]])
             out = frame.drop(columns=["symbols", "own"])
             yield out.assign(score=np.round(logs + frame["own"], 6), base_score=np.round(out["base_score"], 9), train_tokens=n, doc_id=out["doc_id"].astype("Int64"))
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantlake.llm.common import Workspace, id_bucket, small_batches
+from quantlake.llm.common import Workspace, added_up, id_bucket, packed, small_batches
 
 STATISTICS = (
     "log_words", "log_bytes", "word_bytes", "distinct_words", "line_words", "dup_lines", "upper", "digit", "symbol", "comma_stop",
@@ -105,12 +105,13 @@ def fit(spark: SparkSession, rows: DataFrame, *, features: int = 256, width: flo
         for batch in batches:
             z = model.features(matrix(batch["stats"]))
             total += z.T @ np.hstack([z, batch["y"].to_numpy(float)[:, None]])
-        yield pd.DataFrame({"cell": np.arange(total.size), "v": total.ravel()})
+        yield pd.DataFrame({"v": [packed(total[upper])]})
 
-    cells = rows.select("stats", "y").mapInPandas(equations, "cell int, v double").groupBy("cell").agg(F.sum("v").alias("v")).toPandas()
-    total = np.zeros(d * (d + 1))
-    total[cells["cell"]] = cells["v"]
-    total = total.reshape(d, d + 1)
+    upper = np.triu_indices(d, 0, d + 1)  # of the symmetric part one half, and the right side
+    sums_ = added_up(rows.select("stats", "y").mapInPandas(equations, "v binary"), len(upper[0]))
+    total = np.zeros((d, d + 1))
+    total[upper] = sums_
+    total[:, :d] += np.triu(total[:, :d], 1).T
     model.weights = np.linalg.solve(total[:, :d] + ridge * sums["n"] / d * np.eye(d), total[:, d])
 
     def binned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -148,7 +149,9 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, train: str
     """Score every row of ``docs`` (doc_id, text), learning from those where ``train`` holds that ``labels`` (doc_id, y) marks.
 
     Several labels of one document count as their mean, null labels not at all, and null doc_ids match no label.
-    Repeated rows are scored alike. Null texts count as empty; empty texts are scored from what empty training texts show.
+    Repeated rows are scored alike, and equal raw scores get one level. Null texts count as empty; empty texts are scored from
+    what empty training texts show. A very long text costs memory in proportion to it. Without labels every score is 0.5;
+    an empty table gives an empty result; other columns are left out.
     """
     work = Workspace(spark, "quality")
     stats = work.save(document_statistics(spark, docs.withColumn("_train", F.expr(train)), ("doc_id", "_train")), "statistics")

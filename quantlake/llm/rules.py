@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantlake.llm.common import WordHashes, Workspace, ngram_hashes, small_batches
+from quantlake.llm.common import WordHashes, Workspace, added_up, ngram_hashes, packed, small_batches
 
 SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\r\x0b\x0c"
 COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
@@ -40,13 +40,13 @@ def base_rules(text: str, hashes: np.ndarray) -> tuple[int, int, int, int, int,
     )
 
 
-def fit_ratio(spark: SparkSession, docs: DataFrame, trusted: DataFrame, *, buckets: int = 1 << 14) -> np.ndarray:
+def fit_ratio(spark: SparkSession, docs: DataFrame, trusted: DataFrame, *, buckets: int = 1 << 18) -> np.ndarray:
     """log(p_trusted / p_all) of each bucket, counted over all ``docs`` (doc_id, text) and those in ``trusted`` (doc_id).
 
-    Each task sums its counts, so a task shuffles at most a row for each bucket, and the driver gets the model's size.
+    Each task sums its counts; the sums are added up in tasks, so the driver gets a few times the model's size.
     """
     small_batches(spark)
-    good = trusted.select("doc_id", F.lit(True).alias("_trusted")).distinct().hint("merge")  # the same plan at every size
+    good = trusted.select("doc_id", F.lit(True).alias("_trusted")).distinct()
     marked = docs.select("doc_id", "text").join(good, "doc_id", "left")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -57,15 +57,10 @@ def fit_ratio(spark: SparkSession, docs: DataFrame, trusted: DataFrame, *, bucke
                 total[0] += counts
                 if good is True or good == 1:
                     total[1] += counts
-        used = np.flatnonzero(total[0])
-        yield pd.DataFrame({"bucket": used, "every": total[0, used], "good": total[1, used]})
-
-    rows = marked.select("text", "_trusted").mapInPandas(count, "bucket int, every long, good long")
-    rows = rows.groupBy("bucket").agg(F.sum("every").alias("every"), F.sum("good").alias("good")).toPandas()
-    counts = np.full((2, buckets), 0.5)
-    counts[0, rows["bucket"]] += rows["every"]
-    counts[1, rows["bucket"]] += rows["good"]
-    if not len(rows) or not rows["good"].sum():
+        yield pd.DataFrame({"v": [packed(total)]})
+
+    counts = added_up(marked.select("text", "_trusted").mapInPandas(count, "v binary"), 2 * buckets).reshape(2, buckets) + 0.5
+    if counts[1].sum() == 0.5 * buckets:
         return np.zeros(buckets)
     return np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
 
@@ -94,7 +89,9 @@ def judge(spark: SparkSession, docs: DataFrame, trusted: DataFrame, *, spread: f
 
     A document that passes the base rules is kept if its llr is at least the mean of the trusted documents that pass,
     less ``spread`` of their standard deviations; without trusted documents all such rows are kept. Null and empty texts
-    have no words and fail the base rules. Repeated rows are judged alike; null doc_ids are judged and never trusted.
+    have no words and fail the base rules. Repeated rows are judged alike, and an llr equal to the threshold is kept; null
+    doc_ids are judged and never trusted. A very long text costs memory in proportion to it. An empty table gives an empty
+    result; other columns are left out.
     """
     work = Workspace(spark, "rules")
     rows = work.save(measure(spark, docs, fit_ratio(spark, docs, trusted)), "measured")
