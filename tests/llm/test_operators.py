@@ -1,6 +1,7 @@
 """Small tables with nulls, empty and repeated texts, ties and clashing extra columns, held against brute force."""
 
 import hashlib
+import itertools
 import re
 from collections import Counter
 
@@ -43,6 +44,7 @@ def test_language(spark, docs, none):
     model = language.fit(spark, docs)
     found = {(r["doc_id"], r["lang_pred"]) for r in language.identify(spark, docs, model).collect()}
     assert {(0, "und"), (1, "und"), (2, "und"), (11, "und")} <= found
+    assert language.words_of("½ ² ① Ⅳ x²y Été") == ["x", "y", "été"] and language.Scorer(model).predict("½ ² ①") == ("und", 0.0)
     assert language.identify(spark, docs, language.fit(spark, none)).where("lang_pred <> 'und'").count() == 0
     assert language.identify(spark, none, model).count() == 0
 
@@ -197,6 +199,22 @@ def test_suffixes(spark, docs, none):
     assert suffixes.without_repeats(spark, none).count() == 0
 
 
+def test_suffixes_of_a_hot_passage(spark, monkeypatch):
+    """One q-gram in many contexts, some of which share more, with the bound of a task at 2."""
+    monkeypatch.setattr(suffixes, "HOT", 2)
+    shared = " ".join(f"common{i}" for i in range(12))
+    rows = [(i, f"{'lead' * (i % 3)} {OTHER[i * 7 : i * 7 + 60]} {shared} {LONG[(i % 5) * 40 : (i % 5) * 40 + 70]} {i * 7919}") for i in range(40)]
+    have = suffixes.without_repeats(spark, spark.createDataFrame(rows, "doc_id long, text string"), digest=True, buckets=3).collect()
+    want = brute_passages([(i, t.encode()) for i, t in rows])
+    assert all((r["n_bytes"], r["n_removed"], r["kept_sha256"]) == want[r["doc_id"]] for r in have)
+
+
+def test_suffixes_of_a_very_long_text(spark):
+    long = " ".join(str(i * i) for i in range(200_000))
+    have = suffixes.without_repeats(spark, spark.createDataFrame([(2, long[5000:900_000] + "x"), (1, long)], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in have} == {1: (0, 0), 2: (895_000, 1)}
+
+
 def test_refine_ignores_what_lies_beyond_a_text():
     rows = np.full((2, suffixes.CONTEXT), 256, np.uint16)
     rows[:, 10:70] = 65
@@ -225,6 +243,31 @@ def test_vectors(spark):
     assert vectors.near_duplicates(spark, df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("recall", [0.9999, 1.0])
+def test_vectors_recall(recall):
+    """Pairs just above the threshold, in random and in clustered vectors: whether one visits the other's cell."""
+    rng = np.random.default_rng(4)
+    x = vectors.unit(np.vstack([rng.normal(size=(3000, 32)), rng.normal(size=(30, 32)).repeat(100, 0) + 0.3 * rng.normal(size=(3000, 32))]))
+    away = rng.normal(size=x.shape)
+    away = vectors.unit(away - (away * x).sum(1, keepdims=True) * x)
+    y = 0.981 * x + np.sqrt(1 - 0.981**2) * away
+    books = vectors.codebooks(list(x), 24, 0.98, recall)[32]
+    i, j, row, to_i, to_j = vectors.visits(np.vstack([x, y]), books)
+    visited = set(zip(row.tolist(), to_i.tolist(), to_j.tolist(), strict=True))
+    n = len(x)
+    met = [(k, i[n + k], j[n + k]) in visited or (n + k, i[k], j[k]) in visited for k in range(n)]
+    assert np.mean(met) >= (0.999 if recall < 1 else 1.0)
+    assert len(row) < 2 * n * 24 * 24 * (0.2 if recall < 1 else 1)
+
+
+def test_traversal_is_in_order():
+    rng = np.random.default_rng(2)
+    a, b = rng.random((5, 7)), rng.random((5, 6))
+    row, i, j = vectors.traversal(a, b, 0.8)
+    want = sorted((k, a[k, p] + b[k, q], p, q) for k in range(5) for p in range(7) for q in range(6) if a[k, p] + b[k, q] <= 0.8)
+    assert [(k, p, q) for k, _, p, q in want] == list(zip(row.tolist(), i.tolist(), j.tolist(), strict=True))
+
+
 def test_language_model(spark, docs, none):
     texts = [np.array([1, 2, 0]), np.array([4]), np.array([3, 3, 1, 0])]
     chain = hmm.Chain.initial(3, np.ones(5) / 5, 0)
@@ -233,8 +276,21 @@ def test_language_model(spark, docs, none):
         for s in text[1:]:
             alpha = (alpha @ chain.step) * chain.emit[s]
         assert abs(np.log10(alpha.sum()) - log) < 1e-12
-    starts, steps, emits = hmm.expected(chain, hmm.Lanes(texts))
+    starts, steps, emits, _ = hmm.expected(chain, hmm.Lanes(texts))
     assert np.allclose([starts.sum(), steps.sum(), emits.sum()], [3, 5, 8])
+    # Posterior counts by enumeration of all state paths, and the same in parts of two tokens.
+    want = np.zeros(3 + 9 + 15)
+    for text in texts:
+        paths = list(itertools.product(range(3), repeat=len(text)))
+        p = [chain.start[z[0]] * np.prod([chain.step[a, b] for a, b in itertools.pairwise(z)]) * np.prod([chain.emit[s, k] for s, k in zip(text, z, strict=True)]) for z in paths]
+        for z, w in zip(paths, np.array(p) / sum(p), strict=True):
+            want[z[0]] += w
+            for a, b in itertools.pairwise(z):
+                want[3 + 3 * a + b] += w
+            for s, k in zip(text, z, strict=True):
+                want[12 + 3 * s + k] += w
+    assert np.allclose(hmm.expected_counts(chain, texts), want) and np.allclose(hmm.expected_counts(chain, texts, 2), want)
+    assert np.allclose(hmm.log_likelihoods(chain, texts), hmm.log_likelihoods(chain, texts, 2))
     out = hmm.score(spark, docs.selectExpr("doc_id", "text", "doc_id = 5 AND doc_id IS NOT NULL AS held_out").na.fill(False, ["held_out"])).collect()
     assert len(out) == docs.count() and all(r["score"] < 0 for r in out)
     assert hmm.score(spark, none.selectExpr("doc_id", "text", "true AS held_out")).count() == 0
