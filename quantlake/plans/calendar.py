@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quantlake.plans.chains import UNIVERSE, chain
 from quantlake.plans.market import SCORED, C, query, scored
 from quantlake.sources.bars import DAY, bars, bars_sql, read
-from quantlake.sources.layouts import DELIVERY, EQUITY, UNIFIED, era, normalise
+from quantlake.sources.layouts import DELIVERY, EQUITY, UNIFIED, normalise
 from quantlake.streaming.ingest import windowed
 
 # Expected and observed days
@@ -17,6 +16,10 @@ from quantlake.streaming.ingest import windowed
 CLOSED = ("01-26", "05-01", "08-15", "10-02", "12-25")
 
 
+#: The market of these queries rests on a day of every month, so that there are missing days to find.
+OPEN = "day(date) <> 13"
+
+
 def days(start: Column, end: Column) -> Column:
     return F.explode(F.sequence(start, end, F.expr("INTERVAL 1 DAY"))).alias("date")
 
@@ -27,12 +30,12 @@ def expected(day: str) -> Column:
 
 def reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """date, observed and expected of every day from the first to the last observed one."""
-    seen = bars(spark, sf_dir, DAY).select("date").distinct().withColumn("seen", F.lit(True))
+    seen = bars(spark, sf_dir, DAY).where(OPEN).select("date").distinct().withColumn("seen", F.lit(True))
     whole = seen.agg(F.min("date").alias("a"), F.max("date").alias("b")).select(days(C("a"), C("b")))
     return whole.join(seen, "date", "left").select("date", F.coalesce("seen", F.lit(False)).alias("observed"), expected("date").alias("expected"))
 
 
-OBSERVED = f"""{bars_sql(DAY)}, o AS (SELECT DISTINCT date FROM bars), a AS (SELECT CAST(unnest(generate_series((SELECT min(date) FROM o), (SELECT max(date) FROM o), INTERVAL 1 DAY)) AS DATE) AS date),
+OBSERVED = f"""{bars_sql(DAY)}, o AS (SELECT DISTINCT date FROM bars WHERE {OPEN}), a AS (SELECT CAST(unnest(generate_series((SELECT min(date) FROM o), (SELECT max(date) FROM o), INTERVAL 1 DAY)) AS DATE) AS date),
     c AS (SELECT date, date IN (SELECT date FROM o) AS observed, isodow(date) <= 5 AND strftime(date, '%m-%d') NOT IN {CLOSED} AS expected FROM a)"""
 query("fn_reconcile", f"{OBSERVED} SELECT date, observed, expected FROM c")(reconciled)
 query("set_missing_days", f"{OBSERVED} SELECT date FROM c WHERE expected AND NOT observed")(lambda s, d: reconciled(s, d).where("expected AND NOT observed").select("date"))
@@ -40,11 +43,8 @@ query("set_unexpected_days", f"{OBSERVED} SELECT date FROM c WHERE observed AND
 query("set_coverage", f"{OBSERVED} SELECT count(*) FILTER (observed AND expected) * 1.0 / count(*) FILTER (expected) AS coverage FROM c")(
     lambda s, d: reconciled(s, d).agg((F.count_if(C("observed") & C("expected")) / F.nullif(F.count_if("expected"), F.lit(0))).alias("coverage"))
 )
-query("fn_learn_holidays", f"{OBSERVED} SELECT year(date) AS year, count(*) AS n FROM c WHERE isodow(date) <= 5 AND NOT observed GROUP BY 1")(
-    lambda s, d: reconciled(s, d).where((F.weekday("date") < 5) & ~C("observed")).groupBy(F.year("date").cast("long").alias("year")).agg(F.count("*").alias("n"))
-)
-query("nrm_era", f"{bars_sql(DAY)} SELECT DISTINCT date, CASE WHEN date >= DATE '2024-07-08' THEN 'unified' ELSE 'legacy' END AS era FROM bars")(
-    lambda s, d: bars(s, d, DAY).select("date", era(C("date")).alias("era")).distinct()
+query("fn_learn_holidays", f"{OBSERVED} SELECT date FROM c WHERE isodow(date) <= 5 AND NOT observed")(
+    lambda s, d: reconciled(s, d).where((F.weekday("date") < 5) & ~C("observed")).select("date")
 )
 
 # Layouts: bars written as raw text of each layout, with derivatives and blanks, and read back
@@ -77,22 +77,4 @@ query("top_tail_per_group", f"{bars_sql()} SELECT symbol, date, close FROM bars
     lambda s, d: bars(s, d).withColumn("r", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("date")))).where("r <= 5").select("symbol", "date", "close")
 )
 query("top_screen", f"WITH {SCORED} SELECT doc_id, p FROM s ORDER BY abs(p - 0.5) DESC, doc_id LIMIT 20")(lambda s, d: scored(s, d).orderBy(F.desc(F.abs(C("p") - 0.5)), "doc_id").select("doc_id", "p").limit(20))
-query(
-    "top_search",
-    "SELECT p_partkey, p_name, CAST(CASE WHEN starts_with(lower(p_name), 'a') THEN 0 ELSE 1 END AS INTEGER) AS tier FROM part WHERE contains(lower(p_name), 'a') ORDER BY tier, p_name, p_partkey LIMIT 12",
-)(
-    lambda s, d: read(s, d, "part").withColumn("tier", F.when(F.lower("p_name").startswith("a"), 0).when(F.lower("p_name").contains("a"), 1)).where("tier IS NOT NULL")
-    .orderBy("tier", "p_name", "p_partkey").select("p_partkey", "p_name", "tier").limit(12)
-)
-chain("agg_delisted", "placed", *UNIVERSE, {"delisted": "gap > 60"}, keep="symbol delisted")
-query(
-    "fn_compact",
-    f"{bars_sql()} SELECT symbol, date, CASE WHEN turnover >= 1e7 THEN format('{{:.1f}} crore', turnover / 1e7) WHEN turnover >= 1e5 THEN format('{{:.1f}} lakh', turnover / 1e5) ELSE format('{{:,}}', CAST(floor(turnover) AS BIGINT)) END AS compact FROM bars",
-)(
-    lambda s, d: bars(s, d).select(
-        "symbol", "date",
-        F.when(C("turnover") >= 1e7, F.format_string("%.1f crore", C("turnover") / 1e7)).when(C("turnover") >= 1e5, F.format_string("%.1f lakh", C("turnover") / 1e5))
-        .otherwise(F.format_number(F.floor("turnover"), 0)).alias("compact"),
-    )
-)
 query("stream_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")(lambda s, d: windowed(read(s, d, "events")))

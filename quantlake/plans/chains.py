@@ -192,21 +192,6 @@ chain(
 )
 chain("fn_typical_range", "day", {"price_range": "(high - low) / close"}, keep=KEY, values=("price_range",))
 
-# Universe: score and eligibility of each symbol. Weights, ceilings and floors are fixed values.
-
-SATURATION_DAYS, FULL_LIQUIDITY = 1260, "5e8"
-FLOORS = {"history": 756, "recency": "0.5e0", "turnover": "1e7", "score": "0.85e0"}
-UNIVERSE = (
-    {"prior": f"lag(close) {BY}"},
-    Group(("symbol", {"history_days": "count(*)", "last_seen": "max(date)", "median_turnover": "median(turnover)", "bad": "count_if(high < low OR close <= 0)", "breaks": "count_if(abs(prev_close - prior) / prior > 0.005e0)", "gap": "max(n_days) - max(place)", "expected": "max(n_days)"})),
-    {"completeness": f"least(1e0, history_days * 1e0 / least(expected, {SATURATION_DAYS}))", "validity": "greatest(0e0, 1 - bad * 1e0 / history_days)", "continuity": "greatest(0e0, 1 - breaks * 1e0 / history_days)", "liquidity": f"least(1e0, median_turnover / {FULL_LIQUIDITY})", "recency": "greatest(0e0, least(1e0, 1 - gap / 20e0))"},
-    {"score": "round(0.25e0 * completeness + 0.2e0 * validity + 0.3e0 * continuity + 0.15e0 * liquidity + 0.1e0 * recency, 6)"},
-    {"reason": f"CASE WHEN history_days < {FLOORS['history']} THEN 'history' WHEN recency < {FLOORS['recency']} THEN 'recency' WHEN median_turnover < {FLOORS['turnover']} THEN 'liquidity' WHEN score < {FLOORS['score']} THEN 'score' END"},
-)
-chain("agg_quality_score", "placed", *UNIVERSE, keep="symbol history_days last_seen score", values=("completeness", "validity", "continuity", "liquidity", "recency", "median_turnover"))
-chain("gate_eligibility", "placed", *UNIVERSE, {"eligible": "reason IS NULL"}, keep="symbol eligible reason")
-chain("agg_exclusion_groups", "placed", *UNIVERSE, Where("reason IS NOT NULL"), Group(("reason", {"n": "count(*)"})), keep="reason n")
-
 # Labels, folds, returns of positions
 
 chain(
@@ -233,23 +218,13 @@ chain(
 # Scores: signals, sizes, calibration
 
 SIGNAL = {"sig": "CASE WHEN p >= 0.55e0 THEN 'BUY' WHEN p <= 0.45e0 THEN 'SELL' ELSE 'HOLD' END"}
-chain(
-    "sig_generate", "scored", SIGNAL, {"confidence": "CASE sig WHEN 'BUY' THEN p WHEN 'SELL' THEN 1 - p ELSE 1 - 2 * abs(p - 0.5e0) END"},
-    {"strength": "CASE WHEN confidence >= 0.7e0 THEN 'strong' WHEN confidence >= 0.6e0 THEN 'moderate' ELSE 'weak' END"}, keep="doc_id sig strength", values=("confidence",), digits=4,
-)
 chain("sig_serve", "scored", SIGNAL, {"confidence": "greatest(p, 1 - p)"}, keep="doc_id sig", values=("confidence",), digits=4)
-chain("siz_serve", "scored", SIGNAL, {"size_pct": "CASE WHEN sig = 'HOLD' THEN 0e0 ELSE least(10e0, 2 * abs(p - 0.5e0) * greatest(p, 1 - p) * 10) END"}, keep="doc_id", values=("size_pct",), digits=4)
-# Win-to-loss ratio 1.5 and volatility 0.25 stand in for columns that the scored table lacks.
-KELLY = {"kelly": "CASE WHEN p > 0 AND p < 1 THEN greatest(-1e0, least(1e0, (1.5e0 * p - (1 - p)) / 1.5e0)) ELSE 0e0 END"}
-chain("siz_kelly", "scored", KELLY, keep="doc_id", values=("kelly",))
-chain("siz_recommended", "scored", KELLY, {"size": "CASE WHEN p < 0.55e0 THEN 0e0 ELSE greatest(0e0, least(0.1e0, kelly / 2 * least(1e0, 0.2e0 / 0.25e0))) END"}, keep="doc_id", values=("size",), digits=4)
+chain("siz_serve", "scored", SIGNAL, {"size_pct": "CASE WHEN sig = 'HOLD' THEN 0e0 ELSE least(10e0, 2 * abs(p - 0.5e0) * greatest(p, 1 - p) * 10) END"}, keep="doc_id", values=("size_pct",), digits=2)
 chain("cal_bss", "scored", Group(("", {"brier": "avg((p - y) * (p - y))", "ref": "var_pop(y)"})), {"bss": "1 - brier / nullif(ref, 0e0)"}, keep="", values=("brier", "bss"))
 EDGES = " + ".join(f"CASE WHEN p > {k}e-1 THEN 1 ELSE 0 END" for k in range(1, 10))
 chain(
     "cal_ece", "scored", {"bin": EDGES}, Group(("bin", {"gap": "abs(avg(p) - avg(y))", "n": "count(*)"})), Group(("", {"ece": "sum(n * gap) / sum(n)"})), keep="", values=("ece",)
 )
-chain("pay_candles", "day", {"direction": "CASE WHEN close > open THEN 'up' WHEN close < open THEN 'down' ELSE 'flat' END"}, keep="symbol date open high low close direction")
-chain("pay_verdict", "scored", {"magnitude": "least(1e0, 2 * abs(p - 0.5e0))", "direction": "CASE WHEN p - 0.5e0 > 0.005e0 THEN 'up' WHEN p - 0.5e0 < -0.005e0 THEN 'down' ELSE 'flat' END"}, keep="doc_id direction", values=("magnitude",))
 REGIME = {"m200": roll("avg", "close", 200, 100)}, {"regime": "CASE WHEN regime_adx < 20 THEN 'ranging' WHEN regime_adx IS NULL OR m200 IS NULL THEN NULL WHEN close > m200 THEN 'bull' ELSE 'bear' END"}
 NEWEST = {"newest": "row_number() OVER (PARTITION BY symbol ORDER BY date DESC)"}, Where("newest = 1")
 chain("reg_classify", "day", *ADX, *REGIME, *NEWEST, keep="symbol date regime")

@@ -96,21 +96,25 @@ def skipped(rows: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
     return counts.select("symbol", F.format_string("%d rows, below %d", "n", F.lit(least_rows)).alias("reason"))
 
 
-def places(name: str, n: int = 4) -> int:
-    return 6 if name.startswith("typical_price") else n  # prices have few digits, so that a half is common at four places
+#: Prices have two digits, so that their means often lie on a half; a shift before rounding keeps engines of other orders alike.
+SHIFT = 1.23e-5
+
+
+def rounded(name: str, n: int = 4):
+    return F.round(C(name) + SHIFT, n).alias(name)
 
 
 def digits(names: list[str], n: int = 4) -> str:
-    return ", ".join(f"round({x}, {places(x, n)}) AS {x}" for x in names)
+    return ", ".join(f"round({x} + {SHIFT!r}, {n}) AS {x}" for x in names)
 
 
 for _group in GROUPS:
     _names = [x for x in FEATURES if x.startswith(_group)] + (["typical_price"] if _group == "volume" else [])
     query(f"add_{_group}_features", f"{FEATURES_SQL} SELECT symbol, date, {digits(_names)} FROM {LAST}")(
-        lambda s, d, names=_names: with_features(bars(s, d, DAY)).select("symbol", "date", *(F.round(x, places(x)).alias(x) for x in names))
+        lambda s, d, names=_names: with_features(bars(s, d, DAY)).select("symbol", "date", *(rounded(x) for x in names))
     )
-query("add_all_features", f"{FEATURES_SQL} SELECT symbol, date, round(delivery_pct, 4) AS delivery_pct, {digits(FEATURES)} FROM {LAST}")(
-    lambda s, d: with_features(bars(s, d, DAY)).select("symbol", "date", *(F.round(x, places(x)).alias(x) for x in ("delivery_pct", *FEATURES)))
+query("add_all_features", f"{FEATURES_SQL} SELECT symbol, date, {digits(["delivery_pct", *FEATURES])} FROM {LAST}")(
+    lambda s, d: with_features(bars(s, d, DAY)).select("symbol", "date", *(rounded(x) for x in ("delivery_pct", *FEATURES)))
 )
 RANKS_SQL = ", ".join(
     f"round(CASE WHEN m >= {LEAST_SYMBOLS} AND {x} IS NOT NULL THEN (rank() OVER (PARTITION BY date ORDER BY {x} NULLS LAST) + (count(*) OVER (PARTITION BY date, {x}) - 1) / 2.0) / count({x}) OVER (PARTITION BY date) END, 4) AS {x}_xs"
@@ -119,7 +123,7 @@ RANKS_SQL = ", ".join(
 query(
     "win_panel_build",
     f"{FEATURES_SQL}, y AS (SELECT *, count(symbol) OVER (PARTITION BY date) AS m FROM {LAST} WHERE t >= {LEAST_ROWS - 1}) SELECT symbol, date, {digits(FEATURES)}, {RANKS_SQL} FROM y",
-)(lambda s, d: panel(bars(s, d, DAY)).select("symbol", "date", *(F.round(f"{x}{end}", places(x) if not end else 4).alias(f"{x}{end}") for end in ("", "_xs") for x in FEATURES)))
+)(lambda s, d: panel(bars(s, d, DAY)).select("symbol", "date", *(rounded(x) for x in FEATURES), *(F.round(f"{x}_xs", 4).alias(f"{x}_xs") for x in FEATURES)))
 query("win_panel_features", f"{bars_sql(DAY)} SELECT symbol, format('{{}} rows, below {{}}', count(*), 1500) AS reason FROM bars GROUP BY symbol HAVING count(*) < 1500")(
     lambda s, d: skipped(bars(s, d, DAY), 1500)
 )
@@ -224,7 +228,7 @@ def dataset(rows: DataFrame) -> DataFrame:
 
 DATASET_SQL = f"{FEATURES_SQL}, l AS (SELECT *, {LABEL_SQL} AS label FROM {LAST}), dataset AS (SELECT symbol, date, {', '.join(MODEL)}, label FROM l WHERE {' AND '.join(f'{x} IS NOT NULL' for x in [*MODEL, 'label'])})"
 query("win_prepare_dataset", f"{DATASET_SQL} SELECT symbol, date, {digits(MODEL, 6)}, label FROM dataset")(
-    lambda s, d: dataset(bars(s, d, DAY)).select("symbol", "date", *(F.round(x, 6).alias(x) for x in MODEL), "label")
+    lambda s, d: dataset(bars(s, d, DAY)).select("symbol", "date", *(rounded(x, 6) for x in MODEL), "label")
 )
 query("join_align_dropna", f"{DATASET_SQL} SELECT symbol, count(*) AS n, min(date) AS first_day, max(date) AS last_day FROM dataset GROUP BY symbol")(
     lambda s, d: dataset(bars(s, d, DAY)).groupBy("symbol").agg(F.count("*").alias("n"), F.min("date").alias("first_day"), F.max("date").alias("last_day"))
