@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch: documents can be long, so a batch is small.
 BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
+#: Bytes that a task holds of an intermediate table before it writes them.
+BLOCK_BYTES = 16 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -45,7 +47,7 @@ class Workspace:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(f"{name}-{uuid.uuid4().hex[:8]}")
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", BLOCK_BYTES).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, df: DataFrame) -> None:

@@ -51,11 +51,12 @@ def grams_column(padded: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(padded) - (n - 1)), lambda i: F.substr(padded, i, F.lit(n)))
 
 
-def sampled(docs: DataFrame, max_docs: int) -> DataFrame:
+def sampled(work: Workspace, docs: DataFrame, max_docs: int) -> DataFrame:
     """Distinct texts (text, lang), about ``max_docs`` of each language, or all if it has fewer, chosen by their hash, whose
     64 bits are compared as a fraction, so the share may be as small as a table of any size asks."""
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang", F.xxhash64("text").alias("h"))
     shares = rows.select("lang", "h").distinct().groupBy("lang").agg((F.lit(float(max_docs)) / F.count("*")).alias("below"))
+    shares = work.save(shares, "shares")  # a row for each language: written, so that its size is known and no text moves
     some = rows.join(shares, "lang").where(F.col("h") / F.lit(2.0**64) + 0.5 < F.col("below"))
     return some.groupBy("lang", "h").agg(F.first("text").alias("text")).select("text", "lang")
 
@@ -69,7 +70,7 @@ def fit(spark: SparkSession, docs: DataFrame, *, max_docs: int = 20_000, order:
     """
     small_batches(spark)
     work = Workspace(spark, "language")
-    rows = sampled(docs, max_docs)
+    rows = sampled(work, docs, max_docs)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: Counter = Counter()

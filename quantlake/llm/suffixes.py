@@ -282,6 +282,7 @@ def repeated(spark: SparkSession, work: Workspace, docs: DataFrame, buckets: int
     answers = work.save(answers, "answers")
     passages = work.save(cuts.join(hot, "h", "left_semi").mapInPandas(passages_of, "p1 long, p2 long, doc long, row long, at int, o int"), "passages")
     first = passages.groupBy("p1", "p2").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
+    first = work.save(first, "first")  # so that its size is known: where it is small, no hot passage moves
     again = passages.join(first, ["p1", "p2"]).where("doc > low").groupBy("doc", "row", "at").agg(F.bit_or(F.expr("shiftleft(1L, o)")).alias("bits"))
     again = work.save(again, "again")
     work.sweep()
