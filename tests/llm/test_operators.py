@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from quantlake.llm.common import Workspace
 from quantlake.llm import hmm, language, minhash, mixing, pieces, quality, rules, suffixes, vectors, warc
 
 LONG = " ".join(f"word{i % 37}x{i % 11}" for i in range(400))
@@ -74,7 +75,7 @@ def test_language_learns_every_gram(spark):
 
 def test_language_samples_each_language(spark):
     rows = [(f"common{i % 50} other{i % 70}", "en") for i in range(4000)] + [(f"rare{chr(97 + i)}", "es") for i in range(20)]
-    used = language.sampled(spark.createDataFrame(rows + rows, "text string, lang string"), 100).collect()
+    used = language.sampled(Workspace(spark, "test"), spark.createDataFrame(rows + rows, "text string, lang string"), 100).collect()
     assert sorted(r["text"] for r in used if r["lang"] == "es") == sorted(t for t, lang in rows if lang == "es")
     assert len({r["text"] for r in used}) == len(used) and 50 <= sum(r["lang"] == "en" for r in used) <= 150
 
