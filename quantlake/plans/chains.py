@@ -207,14 +207,6 @@ chain("met_cagr", "day", *RETURN, Group(("symbol", {"total": "exp(sum(ln(1 + r))
 POSITION = {"position": f"CASE WHEN close > lag(close, 4) {BY} THEN 1 WHEN close < lag(close, 4) {BY} THEN -1 ELSE 0 END"}
 CHANGE = {"change": f"abs(position - coalesce(lag(position) {BY}, position))"}
 chain("met_turnover", "day", POSITION, CHANGE, Group(("symbol", {"turnover": "avg(CAST(change AS DOUBLE))"})), keep="symbol", values=("turnover",))
-chain(
-    "bt_run", "day", {"t": f"row_number() {BY} - 1"}, POSITION, {"set_at": "t % 5"},
-    {f"p{k}": f"lag(position, {k}) {BY}" for k in range(1, 5)},
-    {"now": "CASE set_at WHEN 0 THEN position WHEN 1 THEN p1 WHEN 2 THEN p2 WHEN 3 THEN p3 ELSE p4 END"},
-    {"cost": f"abs(now - coalesce(lag(now) {BY}, 0)) * 0.001e0", "next_return": f"lead(close) {BY} / close - 1"}, {"strategy_return": "now * next_return - cost"},
-    keep="symbol date now", values=("strategy_return",), digits=8,
-)
-
 # Scores: signals, sizes, calibration
 
 SIGNAL = {"sig": "CASE WHEN p >= 0.55e0 THEN 'BUY' WHEN p <= 0.45e0 THEN 'SELL' ELSE 'HOLD' END"}

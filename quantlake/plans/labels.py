@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from quantlake.functions import windows as fw
 from quantlake.plans.chains import PLACED, placed
-from quantlake.plans.market import SCORED, C, query, scored
+from quantlake.plans.market import C, query
 from quantlake.sources.bars import DAY, bars, bars_sql, by_symbol
 
 HORIZON, BARRIER, VOLATILITY, LEAST_VOLATILITY = 126, 2.0, 63, 1e-6
@@ -159,57 +159,11 @@ query(
     .agg(F.count_if(C("pos") < C("a") - PURGE).alias("n_train"), *(F.expr(x) for x in (f"max(date) FILTER (WHERE pos < a - {PURGE}) AS train_end", "min(date) FILTER (WHERE pos >= a) AS test_start", f"max(date) FILTER (WHERE pos < a + {TEST}) AS test_end")))
 )
 
-# Exact area under the curve: one row a distinct score; and permutation of returns within each date.
-
-query(
-    "mdl_auc",
-    f"WITH {SCORED} SELECT round(avg(CASE WHEN a.p > b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 ELSE 0.0 END), 8) AS auc FROM s a, s b WHERE a.y = 1 AND b.y = 0",
-)(
-    lambda s, d: scored(s, d).groupBy("p").agg(F.count_if(C("y") == 1).alias("good"), F.count_if(C("y") == 0).alias("bad"))
-    .withColumn("below", F.sum("bad").over(Window.orderBy("p")) - C("bad") / 2)
-    .agg(F.round(F.sum(C("good") * C("below")) / (F.sum("good") * F.sum("bad")), 8).alias("auc"))
-)
-
-SHUFFLES, DIVISOR = 50, 2147483647
-KEY = "(CAST(substr(symbol, 7) AS BIGINT) * 7919 + CAST({} AS BIGINT) * 104729 + shuffle * 1299709) * 48271 % 2147483647 * 16807 % 2147483647"
-TRADED = f"{bars_sql()}, m AS (SELECT symbol, date, sign(close - lag(close, 4) OVER w) AS position, lead(close) OVER w / close - 1 AS r FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date)), t AS (SELECT * FROM m WHERE position IS NOT NULL AND r IS NOT NULL)"
-
-
-def shuffled(rows: DataFrame, shuffles: int = SHUFFLES) -> DataFrame:
-    """shuffle, score (mean of position * r), shuffle 0 being the rows as they are: the order by symbol is matched with an
-    order by a hash within each date, so a task sorts one date of one shuffle."""
-    rows = rows.withColumn("shuffle", F.explode(F.sequence(F.lit(0), F.lit(shuffles)))).withColumn("h", F.expr(KEY.format("unix_date(date)")))
-    group = Window.partitionBy("shuffle", "date")
-    rows = rows.withColumn("i", F.row_number().over(group.orderBy("symbol"))).withColumn("j", F.when(C("shuffle") == 0, C("i")).otherwise(F.row_number().over(group.orderBy("h", "symbol"))))
-    rows = rows.withColumn("r", F.element_at(F.map_from_arrays(F.collect_list("i").over(group), F.collect_list("r").over(group)), C("j")))
-    return rows.groupBy("shuffle").agg(F.avg(C("position") * C("r")).alias("score"))
-
-
-query(
-    "perm_run",
-    f"""{TRADED}, e AS (SELECT *, {KEY.format("epoch(CAST(date AS TIMESTAMP)) // 86400")} AS h FROM t, range({SHUFFLES + 1}) AS g(shuffle)),
-    o AS (SELECT *, row_number() OVER (PARTITION BY shuffle, date ORDER BY symbol) AS i, row_number() OVER (PARTITION BY shuffle, date ORDER BY h, symbol) AS j FROM e),
-    s AS (SELECT a.shuffle, avg(a.position * b.r) AS score FROM o a JOIN o b ON a.shuffle = b.shuffle AND a.date = b.date AND b.i = CASE WHEN a.shuffle = 0 THEN a.i ELSE a.j END GROUP BY a.shuffle),
-    z AS (SELECT score AS observed FROM s WHERE shuffle = 0)
-    SELECT round(any_value(observed), 8) AS observed, (count(*) FILTER (score >= observed) + 1.0) / (count(*) + 1.0) AS p_value, round(avg(score), 8) AS null_mean, round(stddev_pop(score), 8) AS null_std FROM s, z WHERE shuffle > 0""",
-)(
-    lambda s, d: (lambda t: t.agg(
-        F.round(F.max(F.when(C("shuffle") == 0, C("score"))), 8).alias("observed"),
-        ((F.count_if((C("shuffle") > 0) & (C("score") >= C("observed_"))) + 1.0) / (F.count_if(C("shuffle") > 0) + 1.0)).alias("p_value"),
-        F.round(F.avg(F.when(C("shuffle") > 0, C("score"))), 8).alias("null_mean"),
-        F.round(F.stddev_pop(F.when(C("shuffle") > 0, C("score"))), 8).alias("null_std"),
-    ))(
-        shuffled(
-            bars(s, d).select("symbol", "date", F.signum(C("close") - F.lag("close", 4).over(by_symbol())).alias("position"), (F.lead("close").over(by_symbol()) / C("close") - 1).alias("r"))
-            .where("position IS NOT NULL AND r IS NOT NULL")
-        ).withColumn("observed_", F.max(F.when(C("shuffle") == 0, C("score"))).over(Window.partitionBy()))
-    )
-)
-PATHS = f"{bars_sql()}, r AS (SELECT symbol, close / prev_close - 1 AS r FROM bars WHERE prev_close IS NOT NULL), p AS (SELECT symbol, avg(r) / nullif(stddev_samp(r), 0) * sqrt(252) AS sharpe FROM r GROUP BY symbol)"
+PATHS = f"{bars_sql(DAY)}, r AS (SELECT symbol, close / prev_close - 1 AS r FROM bars WHERE prev_close IS NOT NULL), p AS (SELECT symbol, avg(r) / nullif(stddev_samp(r), 0) * sqrt(252) AS sharpe FROM r GROUP BY symbol)"
 
 
 def path_sharpes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = bars(spark, sf_dir).where("prev_close IS NOT NULL").select("symbol", (C("close") / C("prev_close") - 1).alias("r"))
+    rows = bars(spark, sf_dir, DAY).where("prev_close IS NOT NULL").select("symbol", (C("close") / C("prev_close") - 1).alias("r"))
     return rows.groupBy("symbol").agg((F.avg("r") / F.nullif(F.stddev_samp("r"), F.lit(0.0)) * F.sqrt(F.lit(252.0))).alias("sharpe"))
 
 

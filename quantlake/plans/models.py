@@ -1,16 +1,14 @@
 """Out-of-fold model scores, statistics of Sharpe ratios, renamed symbols and symbols that go missing.
 
-Queries without SQL: mdl_oof and mdl_meta_scores (iterative fits), st_psr and st_dsr (the normal distribution function).
+Queries without SQL: mdl_oof and mdl_meta_scores (iterative fits).
 """
 
 from __future__ import annotations
 
-from math import e
 from statistics import NormalDist
 
-import pandas as pd
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,15 +25,17 @@ FEATURES = ("roc", "range", "volume_ratio", "vs_sma")
 SPLITS, LEAST_TRAIN, PURGE = 3, 150, 4
 
 
-def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """symbol, date, pos, features and y (whether the close is higher four bars on) of complete rows."""
-    rows = bars(spark, sf_dir)
-    rows = rows.select(
+def features_of(rows: DataFrame) -> DataFrame:
+    """symbol, date, FEATURES and y (whether the close is higher four bars on)."""
+    return rows.select(
         "symbol", "date", (C("close") / F.lag("close", 4).over(by_symbol()) - 1).alias("roc"), ((C("high") - C("low")) / C("close")).alias("range"),
         (C("volume") / fw.rolling(F.avg, C("volume"), 20, 5)).alias("volume_ratio"), (C("close") / fw.sma(C("close"), 20) - 1).alias("vs_sma"),
         (F.lead("close", 4).over(by_symbol()) > C("close")).cast("double").alias("y"),
     )
-    return rows.dropna(subset=[*FEATURES, "y"])
+
+
+def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features_of(bars(spark, sf_dir)).dropna(subset=[*FEATURES, "y"])
 
 
 def roles(rows: DataFrame) -> DataFrame:
@@ -47,13 +47,15 @@ def roles(rows: DataFrame) -> DataFrame:
 def learners() -> dict:
     return {
         "linear": LogisticRegression(featuresCol="x", labelCol="y", regParam=0.01, elasticNetParam=0.15),
-        "boosted": GBTClassifier(featuresCol="x", labelCol="y", maxDepth=3, maxIter=10, stepSize=0.1, seed=1),
+        "forest": RandomForestClassifier(featuresCol="x", labelCol="y", numTrees=20, maxDepth=6, minInstancesPerNode=50, seed=1),
+        "network": MultilayerPerceptronClassifier(featuresCol="x", labelCol="y", layers=[len(FEATURES), 32, 16, 2], maxIter=15, seed=1),
+        "boosted": GBTClassifier(featuresCol="x", labelCol="y", maxDepth=4, maxIter=10, stepSize=0.05, seed=1),
     }
 
 
 def out_of_fold(rows: DataFrame, folds: DataFrame, least_rows: int = 500) -> DataFrame:
     """symbol, date, fold, y and one column a learner. A fold with too few rows or one class is left out."""
-    placed, out = rows.join(folds, "date").persist(), None
+    placed, out, held = rows.join(folds, "date").persist(), None, []
     sizes = placed.where("role = 'train'").groupBy("fold").agg(F.count("*").alias("n"), F.countDistinct("y").alias("kinds")).collect()
     for fold in sorted(r["fold"] for r in sizes if r["n"] >= least_rows and r["kinds"] == 2):
         part = placed.where(C("fold") == fold)
@@ -61,9 +63,13 @@ def out_of_fold(rows: DataFrame, folds: DataFrame, least_rows: int = 500) -> Dat
         train, test = part.where("role = 'train'"), part.where("role = 'test'")
         prepared = prepare.fit(train)
         scored = prepared.transform(test).select("symbol", "date", "fold", "y", "x")
+        known = prepared.transform(train).select("x", "y").persist()
+        held.append(known)
         for name, learner in learners().items():
-            scored = learner.fit(prepared.transform(train)).transform(scored).withColumn(name, vector_second("probability")).drop("probability", "rawPrediction", "prediction")
+            scored = learner.fit(known).transform(scored).withColumn(name, vector_second("probability")).drop("probability", "rawPrediction", "prediction")
         out = scored.drop("x") if out is None else out.unionByName(scored.drop("x"))
+    for known in held:
+        known.unpersist()
     if out is None:
         out = rows.where("false").selectExpr("symbol", "date", "0 AS fold", "y", *(f"0e0 AS {name}" for name in learners()))
     return out
@@ -104,34 +110,13 @@ def spread() -> Column:
     return 1 - C("skew") * C("sr") + (C("kurt") - 1) / 4 * C("sr") * C("sr")
 
 
-def phi(z: Column) -> Column:
-    return F.pandas_udf(lambda x: x.map(NormalDist().cdf), "double")(z)
-
-
-def phi_inverse(p: Column) -> Column:
-    return F.pandas_udf(lambda x: x.map(NormalDist().inv_cdf).astype(float) if len(x) else pd.Series([], dtype=float), "double")(p)
-
-
-def psr(rows: DataFrame, benchmark: Column) -> DataFrame:
-    return rows.withColumn("probability", phi((C("sr") - benchmark) * F.sqrt(C("n") - 1.0) / F.sqrt(spread())))
-
-
-def st_dsr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each symbol counts as a trial: its Sharpe ratio against the largest that as many trials without skill would show."""
-    rows = moments(spark, sf_dir)
-    trials = rows.agg(F.count("*").alias("trials"), F.var_samp("sr").alias("variance")).where("trials > 1")
-    best = F.sqrt("variance") * ((1 - EULER) * phi_inverse(1 - 1 / C("trials")) + EULER * phi_inverse(1 - 1 / (C("trials") * e)))
-    rows = rows.join(F.broadcast(trials.select(best.alias("expected_max"), F.lit(1).alias("one"))), F.lit(1) == C("one"))  # one row
-    return psr(rows, C("expected_max")).select("symbol", "sr", "expected_max", "probability")
-
-
 query("st_moments", f"{MOMENTS} SELECT symbol, n, round(sr, 8) AS sr, round(skew, 6) AS skew, round(kurt, 6) AS kurt FROM k")(
     lambda s, d: moments(s, d).select("symbol", "n", F.round("sr", 8).alias("sr"), F.round("skew", 6).alias("skew"), F.round("kurt", 6).alias("kurt"))
 )
 query("st_min_trl", f"{MOMENTS} SELECT symbol, CASE WHEN sr <= {BENCHMARK} THEN NULL ELSE ceil(1 + (1 - skew * sr + (kurt - 1) / 4 * sr * sr) * pow({Z!r} / (sr - {BENCHMARK}), 2)) END AS least_length FROM k")(
     lambda s, d: moments(s, d).select("symbol", F.when(C("sr") > BENCHMARK, F.ceil(1 + spread() * F.pow(Z / (C("sr") - BENCHMARK), F.lit(2))).cast("double")).alias("least_length"))
 )
-QUERIES |= {"mdl_oof": mdl_oof, "mdl_meta_scores": mdl_meta_scores, "st_dsr": st_dsr, "st_psr": lambda s, d: psr(moments(s, d), F.lit(BENCHMARK)).select("symbol", "sr", "probability")}
+QUERIES |= {"mdl_oof": mdl_oof, "mdl_meta_scores": mdl_meta_scores}
 
 # Renamed symbols: the earliest edge of a symbol in force counts; a chain of renames ends where it would come back
 

@@ -326,11 +326,10 @@ query("fn_horizon_text", f"SELECT m AS months, CASE m {' '.join(f'WHEN {k} THEN
 # Drivers: shares of a linear model, coefficient times distance from the mean, for the newest bar of each symbol
 
 COEFFICIENTS = dict(zip(MODEL, (0.03, 4.0, -1.5, 0.2, 2.5), strict=True))
-NEWEST = Window.partitionBy("symbol").orderBy(F.desc("date"))
 
 
 def newest(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("_r", F.row_number().over(NEWEST)).where("_r = 1").drop("_r")
+    return rows.withColumn("_r", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("date")))).where("_r = 1").drop("_r")
 
 
 def attributions(rows: DataFrame, coefficients: dict[str, float]) -> DataFrame:

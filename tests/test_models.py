@@ -2,9 +2,11 @@
 
 from statistics import NormalDist
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from quantlake.plans import models
+from quantlake.functions import normal
+from quantlake.plans import learning, models
 from quantlake.plans.market import QUERIES
 from tests.helpers import DATA
 
@@ -27,6 +29,42 @@ def test_probabilistic_sharpe(spark):
     for r in QUERIES["st_psr"](spark, DATA).collect():
         m = rows[r["symbol"]]
         spread = 1 - m["skew"] * m["sr"] + (m["kurt"] - 1) / 4 * m["sr"] ** 2
-        assert abs(r["probability"] - NormalDist().cdf(m["sr"] * ((m["n"] - 1) / spread) ** 0.5)) < 1e-9
+        assert abs(r["probability"] - NormalDist().cdf(m["sr"] * ((m["n"] - 1) / spread) ** 0.5)) < 1e-7
     dsr = QUERIES["st_dsr"](spark, DATA).collect()
     assert len(dsr) == len(rows) and all(r["expected_max"] > 0 and 0 <= r["probability"] <= 1 for r in dsr)
+
+
+def test_normal_expressions(spark):
+    rows = spark.createDataFrame([(float(x), float(p)) for x, p in zip(np.linspace(-9, 9, 241), np.linspace(1e-6, 1 - 1e-6, 241), strict=True)], "x double, p double")
+    for r in rows.selectExpr("x", "p", f"{normal.cdf('x')} AS c", f"{normal.inverse('p')} AS q").collect():
+        assert abs(r["c"] - NormalDist().cdf(r["x"])) < 1e-14
+        assert abs(r["q"] - NormalDist().inv_cdf(r["p"])) < 1e-8
+
+
+def test_gradient_descent_reaches_the_optimum(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(500, 2))
+    y = (rng.random(500) < 1 / (1 + np.exp(-(0.4 + x @ [1.0, -2.0])))).astype(int)
+    rows = spark.createDataFrame([(int(k), float(a), float(b)) for k, (a, b) in zip(y, x, strict=True)], "y int, a double, b double")
+    w = learning.descend(learning.standardised(rows, ["a", "b"]), ["a", "b"], steps=60, rate=2.0, penalty=0.0)
+    z = (x - x.mean(0)) / x.std(0)
+    miss = 1 / (1 + np.exp(-(w["bias"] + z @ [w["a"], w["b"]]))) - y
+    assert abs(miss.mean()) < 1e-3 and np.abs(miss @ z / 500).max() < 1e-3
+
+
+def plain_draws(exits, draws, rng):
+    cover, out = np.zeros(len(exits)), []
+    for _ in range(draws):
+        mean = np.array([np.mean(1 / (1 + cover[i : e + 1])) if e >= i else 0.0 for i, e in enumerate(exits)])
+        out.append(int(rng.choice(len(exits), p=mean / mean.sum())))
+        cover[out[-1] : exits[out[-1]] + 1] += 1
+    return out
+
+
+def test_sequential_bootstrap(spark):
+    exits = np.array([3, 2, -1, 6, 5, 9, 8, -1, 9, 9])
+    assert learning.drawn(exits, 20, np.random.default_rng(3)).tolist() == plain_draws(exits, 20, np.random.default_rng(3))
+    assert len(learning.drawn(np.array([-1, -1]), 5, np.random.default_rng(0))) == 0
+    rows = spark.createDataFrame([(s, i, int(e) if e >= 0 else None) for s in "AB" for i, e in enumerate(exits)], "symbol string, t int, exit_t int")
+    found = learning.sequential_bootstrap(rows, 7).collect()
+    assert len(found) == 14 and all(exits[r["t"]] >= 0 for r in found)
