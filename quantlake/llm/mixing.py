@@ -73,7 +73,16 @@ def van_der_corput(slot: Column) -> Column:
     return F.conv(F.reverse(F.lpad(F.bin(slot), BITS, "0")), 2, 10).cast("long")
 
 
-def mix(
+def mix(spark: SparkSession, docs: DataFrame, *, keep: tuple[str, ...] = (), **options) -> DataFrame:
+    """doc_id, size, source_size, target and taken (words that the mix takes, repeats counted) of every row of ``docs``
+    (doc_id, text, source): the sums over the blocks of mixture(), which see."""
+    placed, parts = mixture(spark, docs, keep=keep, **options)
+    key = ["k", "start", "doc_id", *keep, "size", "source_size", "target"]
+    every = placed.select(*key, F.lit(0).cast("long").alias("taken")).unionByName(parts.select(*key, F.col("length").alias("taken")))
+    return every.groupBy(*key).agg(F.sum("taken").alias("taken")).select("doc_id", *keep, "size", "source_size", "target", "taken")
+
+
+def mixture(
     spark: SparkSession,
     docs: DataFrame,
     *,
@@ -84,9 +93,9 @@ def mix(
     seed: int = 11,
     rows_per_bucket: int = 64,
     keep: tuple[str, ...] = (),
-) -> DataFrame:
-    """doc_id, size, source_size, target and taken (words that the mix takes, repeats counted) of every row of ``docs``
-    (doc_id, text, source).
+) -> tuple[DataFrame, DataFrame]:
+    """The documents with their places in their source's stream, and the mix itself: a row for each part of a document that a
+    slot takes (slot, place in it, doc_id, ``keep``, first word, length), which ordered by slot and place is the mixed stream.
 
     Each source's documents are shuffled by a keyed hash and laid end to end; ``block`` words make a block. Slot i of the
     schedule goes to the source in whose part of the cumulative weights the i-th van der Corput point falls; the r-th slot
@@ -94,9 +103,10 @@ def mix(
     source gathers in a task. The slot that reaches a source's target takes only the start of its block, so a source
     takes its target rounded down, and no document more than ``most`` times its size.
 
-    Sources are ordered by code point, null last. Null and empty texts have size 0 and are never taken. Repeated rows are
-    documents of their own; an empty table gives an empty result; reruns agree. Other columns are left out unless named in
-    ``keep``. The table of sources, one row for each, is held on the driver; up to MOST_BROADCAST rows it is broadcast.
+    Sources are ordered by code point, null last. Null and empty texts have size 0 and are never taken; a very long text is
+    many blocks. Repeated rows are documents of their own, side by side in the stream; an empty table gives an empty
+    result; reruns agree. Other columns are left out unless named in ``keep``. The table of sources, one row for each, is
+    held on the driver; up to MOST_BROADCAST rows it is broadcast.
     """
     work = Workspace(spark, "mixing")
     h = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
@@ -150,20 +160,16 @@ def mix(
     before = epoch * F.col("source_size") + b * block
     length = F.least(F.lit(block), F.col("source_size") - b * block)
     take = F.least(length, F.col("quota") - before)
-    schedule = schedule.select("k", b.alias("block"), take.alias("take")).where("take > 0")
-    takes = schedule.groupBy("k", "block").agg(F.collect_list("take").alias("takes"))  # at most ``most`` in each
+    schedule = schedule.select("k", b.alias("block"), slot.alias("slot"), take.alias("take")).where("take > 0")  # at most ``most`` of a block
 
     pieces = placed.where("size > 0").select(
         "*", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block")
     )
     left = F.greatest(F.col("start") - F.col("block") * block, F.lit(0))
     right = F.least(F.col("start") + F.col("size") - F.col("block") * block, F.lit(block))
-    taken = F.aggregate("takes", F.lit(0).cast("long"), lambda s, t: s + F.greatest(F.least(t, right) - left, F.lit(0)))
-    key = ["k", "start", "doc_id", *keep, "size", "source_size", "target"]
-    found = pieces.join(takes, ["k", "block"], "left").select(*key, F.coalesce(taken, F.lit(0)).alias("taken"))
-    found = found.groupBy(*key).agg(F.sum("taken").alias("taken"))
-    empty = placed.where("size = 0").select(*key, F.lit(0).cast("long").alias("taken"))
-    return found.union(empty).select("doc_id", *keep, "size", "source_size", "target", "taken")
+    length = F.least("take", right) - left
+    parts = pieces.join(schedule, ["k", "block"]).withColumns({"length": length, "place": left, "first": F.col("block") * block + left - F.col("start")})
+    return placed, parts.where("length > 0").select("slot", "place", "k", "start", "doc_id", *keep, "size", "source_size", "target", "first", "length")
 
 
 def running(sums: DataFrame, width: int = 1024) -> DataFrame:
