@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from quantlake.llm.common import Workspace
 from quantlake.llm import hmm, language, minhash, mixing, pieces, quality, rules, suffixes, vectors, warc
@@ -41,6 +42,33 @@ def test_mixing(spark, docs, none):
     assert mixing.mix(spark, none).count() == 0
 
 
+def test_mixture_is_the_schedule(spark):
+    """The mixed stream against the schedule played slot by slot: whose turn it is, and which words of which document."""
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(5 + i * 7 % 40)), "abc"[i % 3]) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    placed, parts = mixing.mixture(spark, docs, block=16)
+    streams, quota = {}, {}
+    for r in sorted(placed.collect(), key=lambda r: (r["k"], r["start"])):
+        assert r["start"] == len(streams.setdefault(r["k"], []))
+        streams[r["k"]] += [(r["doc_id"], j) for j in range(r["size"])]
+        quota[r["k"]] = int(r["target"])
+    edges = np.cumsum([0, *(quota[k] for k in sorted(quota))]) / sum(quota.values())
+    want, rank, slot = [], dict.fromkeys(streams, 0), 0
+    taken = dict.fromkeys(streams, 0)
+    while any(taken[k] < quota[k] for k in streams):
+        point = int(f"{slot:040b}"[::-1], 2) / 2**40
+        k = int(np.searchsorted(edges, point, "right") - 1)
+        blocks = -(-len(streams[k]) // 16)
+        at = rank[k] % blocks * 16
+        words = streams[k][at : at + 16][: max(0, quota[k] - taken[k])]
+        rank[k] += 1
+        taken[k] += len(words)
+        want += [(slot, *w) for w in words]
+        slot += 1
+    have = [(r["slot"], r["doc_id"], r["first"] + j) for r in sorted(parts.collect(), key=lambda r: (r["slot"], r["place"])) for j in range(r["length"])]
+    assert have == want
+
+
 def test_language(spark, docs, none):
     model = language.fit(spark, docs)
     found = {(r["doc_id"], r["lang_pred"]) for r in language.identify(spark, docs, model).collect()}
@@ -302,6 +330,8 @@ def test_quality_and_rules(spark, docs, none):
     out = quality.classify(spark, docs, labels).collect()
     assert len(out) == docs.count() and all(0 <= r["score"] <= 1 for r in out)
     assert quality.classify(spark, none, labels).count() == 0
+    model = quality.fit(spark, spark.createDataFrame([([0.0] * len(quality.STATISTICS), 1.0)], "stats array<double>, y double").limit(0))
+    assert model.score(np.zeros((2, len(quality.STATISTICS)))).tolist() == [0.5, 0.5]
     judged = rules.judge(spark, docs, labels.where("y = 1")).collect()
     assert len(judged) == docs.count() and not any(r["kept"] for r in judged if r["base_failed"])
     repeated = rules.base_rules("a b c x a b c\n\nz\nz", np.array([1, 2, 3, 9, 1, 2, 3, 7, 7], np.uint64))
@@ -309,6 +339,82 @@ def test_quality_and_rules(spark, docs, none):
     assert rules.judge(spark, none, labels).count() == 0
 
 
+def test_quality_against_plain_ridge_and_isotonic(spark):
+    """The normal equations summed by partition against one solve, and the levels against the best monotone fit by bins."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, len(quality.STATISTICS)))
+    y = (x[:, 0] + 0.5 * rng.normal(size=300) > 0).astype(float)
+    model = quality.fit(spark, spark.createDataFrame([(v.tolist(), float(t)) for v, t in zip(x, y, strict=True)], "stats array<double>, y double").repartition(5))
+    z = model.features(x)
+    want = np.linalg.solve(z.T @ z + 1e-3 * 300 / z.shape[1] * np.eye(z.shape[1]), z.T @ y)
+    assert np.allclose(z @ model.weights, z @ want, atol=1e-6)
+    scores = model.score(x)
+    assert (np.diff(scores[np.argsort(model.raw(x))]) >= -1e-12).all() and abs(scores.mean() - y.mean()) < 0.05
+    assert np.mean((scores - y) ** 2) < 0.15
+
+
+def plain_base(text):
+    words = (text or "").split()
+    lines = [x for x in (text or "").split("\n") if x.strip()]
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    twice = {w for w, n in Counter(windows).items() if n > 1}
+    covered = {i + k for i, w in enumerate(windows) if w in twice for k in range(3)}
+    symbols = sum(c in "#*$%&|<>" for c in text or "")
+    return len(words), sum(map(len, words)), symbols, len(lines) - len(set(lines)), len(covered), len(words) < 50 or 100 * len(covered) > 50 * len(words)
+
+
+def test_rules_against_brute_force(spark):
+    """Base counts, the ratio of every document, and the threshold, in plain Python."""
+    rng = np.random.default_rng(7)
+    good, bad = [f"good{i}" for i in range(300)], [f"bad{i}" for i in range(300)]
+    texts = [" ".join(rng.choice(good if i % 3 else bad, 60 + i)) + "\n# again\n# again" for i in range(60)] + [None, "", "a b", "x y z " * 40]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    trusted = [i for i in range(60) if i % 3 and i % 5]
+    rows = {r["doc_id"]: r for r in rules.judge(spark, docs, spark.createDataFrame([(i,) for i in trusted], "doc_id long"), spread=2.0).collect()}
+    grams = {i: rules.ngram_buckets(np.array([xxhash.xxh64_intdigest(w) for w in (t or "").encode().split()], np.uint64), 1 << 18).tolist() for i, t in enumerate(texts)}
+    every, kept = Counter(g for x in grams.values() for g in x), Counter(g for i in trusted for g in grams[i])
+    n = [sum(c.values()) + 0.5 * (1 << 18) for c in (kept, every)]
+    llr = {i: float(np.mean([np.log((kept[g] + 0.5) / n[0]) - np.log((every[g] + 0.5) / n[1]) for g in x])) if x else 0.0 for i, x in grams.items()}
+    base = {i: plain_base(t) for i, t in enumerate(texts)}
+    seen = [llr[i] for i in trusted if not base[i][5]]
+    least = np.mean(seen) - 2 * np.std(seen)
+    for i, r in rows.items():
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == base[i]
+        assert abs(r["llr"] - llr[i]) < 1e-6 and r["kept"] == (not base[i][5] and llr[i] >= least - 1e-9)
+    assert any(not r["kept"] and not r["base_failed"] for r in rows.values())
+
+
+def test_language_model_base_figures(spark, docs):
+    """base_score, n_known, train_tokens by plain counting."""
+    found = hmm.score(spark, docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).selectExpr("doc_id", "text", "doc_id % 3 = 1 AS held_out")).collect()
+    tokens = {i: [*(t or "").encode().lower().split(), None] for i, t in enumerate(TEXTS)}
+    counts = Counter(w for i, x in tokens.items() if i % 3 != 1 for w in x)
+    n, v = sum(counts.values()), len(counts)
+    for r in found:
+        x = tokens[r["doc_id"]]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(x), sum(counts[w] > 0 for w in x), n)
+        assert abs(r["base_score"] - sum(np.log10((counts[w] + 1) / (n + v + 1)) for w in x)) < 1e-6
+
+
+def test_minhash_recall(spark):
+    """Pairs around the threshold, links held against exact Jaccard over all pairs."""
+    rng = np.random.default_rng(11)
+    texts = []
+    for i in range(250):
+        words = [f"t{i}w{j}" for j in range(80)]
+        texts.append(" ".join(words))
+        for cuts in (1, 2, 3):
+            other = list(words)
+            for at in rng.choice(80, cuts, replace=False):
+                other[at] = f"new{rng.integers(1 << 40)}"
+            texts.append(" ".join(other))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    have = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark, docs).collect()}
+    for i in range(0, len(texts), 4):
+        want = brute_components(list(enumerate(texts[i : i + 4])))
+        assert {k: c - i for k, c in ((k - i, have[k]) for k in range(i, i + 4))} == {k: c for k, (_, c) in want.items()}
+
+
 def test_warc(spark, tmp_path):
     html = ["x" * 1500, "x" * 1500, None, "", "WARC/1.1\r\n\r\nWARC/1.1 é", "x" * 1500, "short", "short"]
     pages = spark.createDataFrame([(i, f"http://www.b{i % 2}.example/p?b=2&a={i}" if i else None, h, "clash") for i, h in enumerate(html)], "page_id long, url string, html string, digest string")
