@@ -417,3 +417,35 @@ def previous_day(asked: DataFrame, days: DataFrame) -> DataFrame:
 query("join_asof_prev_day", f"{bars_sql(DAY)}, d AS (SELECT DISTINCT date FROM bars WHERE day(date) % 3 = 0), o AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders) SELECT o.date, (SELECT max(d.date) FROM d WHERE d.date < o.date) AS prior FROM o")(
     lambda s, d: previous_day(s.read.parquet(f"{d}/orders.parquet").select(C("o_orderdate").cast("date").alias("date")).distinct(), bars(s, d, DAY).where("day(date) % 3 = 0").select("date").distinct())
 )
+
+# One run from rows to report, and what is served of it
+
+
+def mdl_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row of figures of a run: rows, folds, AUC of the linear baseline and of the stack over out-of-fold scores, and the
+    permutation's p-value. The stack's level is fitted in sample, as its name says."""
+    from quantlake.plans.models import mdl_meta_scores, mdl_oof
+    from quantlake.sources.files import scratch
+
+    path = scratch(spark, "oof")
+    mdl_oof(spark, sf_dir).write.parquet(path)
+    held = spark.read.parquet(path)
+    stacked = mdl_meta_scores(spark, sf_dir, held).select("symbol", "date", "fold", C("meta_in_sample").alias("stack"))
+    figures = compared(held.select("symbol", "date", "fold", C("linear").alias("base"), "y").join(stacked, ["symbol", "date", "fold"]))
+    chance = result(shuffled(traded(spark, sf_dir), "date", "symbol", SHUFFLE_KEY.format("sk", "dk"))).select("p_value", "significant")
+    folds = held.agg(F.countDistinct("fold").alias("folds"), F.countDistinct("symbol").alias("universe_size"))
+    for one in (chance, folds):
+        figures = figures.join(F.broadcast(one), how="cross")  # one row each
+    return figures
+
+
+def srv_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """symbol, date, p, signal, confidence, size and the drivers of each symbol's newest bar."""
+    from quantlake.plans.serving import driver_facts, signal, split
+
+    rows = mdl_serving(spark, sf_dir).withColumn("sig", signal(C("p"))).withColumn("confidence", F.greatest(C("p"), 1 - C("p")))
+    size = F.when(C("sig") == "HOLD", 0.0).otherwise(F.least(F.lit(10.0), 2 * F.abs(C("p") - 0.5) * C("confidence") * 10))
+    return rows.withColumn("size_pct", F.round(size, 2)).join(split(driver_facts(spark, sf_dir)), "symbol", "left")
+
+
+QUERIES |= {"mdl_train": mdl_train, "srv_predict": srv_predict}

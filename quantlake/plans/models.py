@@ -86,9 +86,9 @@ def mdl_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out_of_fold(rows, roles(rows))
 
 
-def mdl_meta_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def mdl_meta_scores(spark: SparkSession, sf_dir: str, oof: DataFrame | None = None) -> DataFrame:
     """A logistic stack over the out-of-fold scores; like the scores' own level it is fitted in sample, hence the name."""
-    scored = VectorAssembler(inputCols=list(learners()), outputCol="x").transform(mdl_oof(spark, sf_dir))
+    scored = VectorAssembler(inputCols=list(learners()), outputCol="x").transform(mdl_oof(spark, sf_dir) if oof is None else oof)
     model = LogisticRegression(featuresCol="x", labelCol="y", probabilityCol="p").fit(scored)
     return model.transform(scored).select("symbol", "date", "fold", "y", vector_second("p").alias("meta_in_sample"))
 
