@@ -41,6 +41,7 @@ class Workspace:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             base = os.path.join(tempfile.gettempdir(), "checkpoints")
         self.spark, self.root = spark, f"{base}/{name}-{uuid.uuid4().hex}"
+        self.saved: dict[str, DataFrame] = {}
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -48,15 +49,16 @@ class Workspace:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(f"{name}-{uuid.uuid4().hex[:8]}")
         df.write.option("parquet.block.size", BLOCK_BYTES).parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        self.saved[path] = out = self.spark.read.schema(df.schema).parquet(path)
+        return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Delete a table that save() returned, and let go of the shuffle files of what is no longer referenced."""
+    def keep(self, *tables: DataFrame) -> None:
+        """Delete the tables that save() returned, but for ``tables``: those that a lazy result still reads."""
         jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        for folder in {os.path.dirname(f) for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
-        self.sweep()
+        for path in [p for p, df in self.saved.items() if not any(df is t for t in tables)]:
+            del self.saved[path]
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
 
     def sweep(self) -> None:
         """Spark removes shuffle files when the driver's JVM collects the plans that made them."""

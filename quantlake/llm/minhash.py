@@ -154,6 +154,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, percent: int = PERC
     twice = work.save(ids.join(several, "doc_id").where("a <> node").select("a", F.col("node").alias("b")).distinct(), "twice")
 
     members = work.save(members.join(hubs(members), "band"), "hubs")
+    work.keep(rows, classes, texts, twice, members)
     pairs = work.save(compared(spark, work, pairs_with(members), texts, n), "pairs")
     links = linked(pairs, percent)
     outside = members.where("node <> hub").select("band", F.col("node").alias("a"), F.col("hub").alias("b"), "size", "central")
@@ -162,9 +163,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, percent: int = PERC
     more = work.save(compared(spark, work, more, texts, n), "pairs")
     links = work.save(twice.union(links).union(linked(more, percent)), "links")
 
-    found = components(spark, work, links)
+    found = work.save(components(spark, work, links), "found")
     now = members.join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
     now = work.save(now, "labelled")
+    work.keep(rows, classes, texts, pairs, more, found, now)
     groups = now.groupBy("band", "c").agg(F.count("*").alias("n"))
     most = groups.groupBy("band").agg(F.max(F.struct("n", "c")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
     most = work.save(most.select("band", F.col("top.c").alias("top_c")), "open")
@@ -196,6 +198,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, percent: int = PERC
     named = named.join(over.select(F.col("node").alias("c"), "component"), "c", "left").select("set_id", "doc_id", F.coalesce("component", "c").alias("c"))
     lowest = named.groupBy("c").agg(F.min("doc_id").alias("lowest"))
     named = work.save(named.join(lowest, "c").select("set_id", "lowest"), "named")
+    work.keep(rows, named)
     out = rows.join(named, "set_id", "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("lowest", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

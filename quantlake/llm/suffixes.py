@@ -285,6 +285,7 @@ def repeated(spark: SparkSession, work: Workspace, docs: DataFrame, buckets: int
     first = work.save(first, "first")  # so that its size is known: where it is small, no hot passage moves
     again = passages.join(first, ["p1", "p2"]).where("doc > low").groupBy("doc", "row", "at").agg(F.bit_or(F.expr("shiftleft(1L, o)")).alias("bits"))
     again = work.save(again, "again")
+    work.keep(found, answers, again)
     work.sweep()
     marks = found.where("bits <> 0").select("doc", "row", "at", "bits")
     marks = marks.union(answers).union(again)
@@ -353,6 +354,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, *, digest: bool = Fals
     tag = F.pandas_udf(lambda x: x.map(row_tag), "long")
     told = marks.groupBy("doc").agg(F.count("*").alias("k"), F.first("row").alias("row"), F.first("ats").alias("ats"), F.first("bits").alias("bits"))
     # Where texts share a doc_id, marks are told apart by the text's tag; elsewhere the id is enough.
+    work.keep(marks)
     shared = work.save(rows.groupBy("doc").agg(F.count("*").alias("k")).where("k > 1").select("doc"), "shared")
     single = rows.join(shared, "doc", "left_anti").join(told.drop("k", "row"), "doc", "left")
     several = rows.join(shared, "doc", "left_semi").withColumn("row", tag("data")).join(marks, ["doc", "row"], "left").select(*single.columns)
