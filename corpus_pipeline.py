@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), works on every row it is given, and returns the columns of its documents (the last
 one its own). run() writes each result to the folder that all executors share and reads it for the next stage.
+
+Null and empty texts have no language and go in the first stage. Repeated rows, and rows of one doc_id or of none, are rows of
+their own until near duplicates go; of ties the first by doc_id, then by a hash of the row, stays. Very long texts pass
+through every stage whole. An empty table gives an empty one; extra columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -77,8 +81,8 @@ STAGES = [
     ("mixing sources to target weights", mix_sources),
     ("SentencePiece encoding and decoding", encode_pieces),
 ]
-#: SQL has neither the language model nor the hash-shuffled blocks; tests/llm/test_pipeline.py holds the stages that
-#: join against plain Python.
+#: SQL has neither the language model nor the hash-shuffled blocks; tests/llm/test_pipeline.py holds run() against plain
+#: Python.
 ORACLE_SQL = None
 
 
