@@ -23,7 +23,8 @@ DIM, K, ROUNDS, SCALE = 64, 16, 3, 64
 LARGEST = (1 << 27) - 1
 #: Products of components up to this size add up exactly in double precision.
 EXACT = 1 << 22
-STATE = "vec_id long, v binary, cluster int, was int, distance long"
+#: Ids are never null here (named tells), so that pandas keeps them as integers.
+STATE = "vec_id long, named boolean, v binary, cluster int, was int, distance long"
 
 
 def integers(values: pd.Series, dim: int, scale: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,7 +66,7 @@ def vectors_of(batch: pd.DataFrame, dim: int) -> np.ndarray:
 
 def seeds(rows: DataFrame, k: int, dim: int) -> np.ndarray:
     """The k vectors whose ids have the smallest SHA-256; a null id counts as empty text, ties go by the vector's bytes."""
-    key = F.sha2(F.concat(F.lit("1:"), F.coalesce(F.col("vec_id").cast("string"), F.lit(""))), 256)
+    key = F.sha2(F.concat(F.lit("1:"), F.when(F.col("named"), F.col("vec_id").cast("string")).otherwise("")), 256)
     first = rows.select(key.alias("key"), "v").orderBy("key", "v").limit(k).collect()
     return np.frombuffer(b"".join(r["v"] for r in first), np.int32).reshape(-1, dim).astype(np.int64)
 
@@ -105,9 +106,11 @@ def cluster(spark: SparkSession, vectors: DataFrame, *, k: int = K, rounds: int
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             right, x = integers(batch["embedding"], dim, scale)
-            yield pd.DataFrame({"vec_id": batch["vec_id"][right].astype("Int64"), "v": [r.tobytes() for r in x], "cluster": -1, "was": -1, "distance": 0})
+            yield batch.loc[right, ["vec_id", "named"]].assign(v=[r.tobytes() for r in x], cluster=-1, was=-1, distance=0)
 
-    state = work.save(vectors.select(F.col("vec_id").cast("long"), "embedding").mapInPandas(keep, STATE), "vectors")
+    vec_id = F.col("vec_id").cast("long")
+    rows = vectors.select(F.coalesce(vec_id, F.lit(0)).alias("vec_id"), vec_id.isNotNull().alias("named"), "embedding")
+    state = work.save(rows.mapInPandas(keep, STATE), "vectors")
     centroids = seeds(state, k, dim)
     k = len(centroids)
     sums, counts, moved = np.zeros((k, dim), np.int64), np.zeros(k, np.int64), np.arange(k)
@@ -117,7 +120,7 @@ def cluster(spark: SparkSession, vectors: DataFrame, *, k: int = K, rounds: int
             for batch in batches:
                 was = batch["cluster"].to_numpy()
                 own, distance = reassign(vectors_of(batch, dim), was, batch["distance"].to_numpy(), centroids, moved)
-                yield batch.assign(vec_id=batch["vec_id"].astype("Int64"), cluster=own.astype(np.int32), was=was, distance=distance)
+                yield batch.assign(cluster=own.astype(np.int32), was=was, distance=distance)
 
         state = work.save(state.mapInPandas(assign, STATE), f"round{turn}")
         work.keep(state)
@@ -134,7 +137,8 @@ def cluster(spark: SparkSession, vectors: DataFrame, *, k: int = K, rounds: int
     most = np.iinfo(np.int64).max
     facts = [(c, min(inertia.get(c, 0), most), min(sum(inertia.values()), most), ",".join(map(str, centroids[c].tolist()))) for c in range(k)]
     told = spark.createDataFrame(facts, "cluster int, cluster_inertia long, inertia long, centroid string")  # one row a centroid
-    return state.select("vec_id", "cluster", "distance").join(F.broadcast(told), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid")
+    found = state.select(F.when(F.col("named"), F.col("vec_id")).alias("vec_id"), "cluster", "distance")
+    return found.join(F.broadcast(told), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid")
 
 
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
