@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quantlake.llm import centroids, hmm, language, minhash, mixing, pieces, quality, rules, suffixes, vectors, warc
+from quantlake.llm import centroids, hmm, infill, language, minhash, mixing, pieces, quality, rules, suffixes, vectors, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,9 +15,10 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_rules": rules.op9_rules,
     "op10_minhash": minhash.op10_minhash,
+    "op11_infill": infill.op11_infill,
     "op13_centroids": centroids.op13_centroids,
 }
-ORACLE_SQL = {"op4_warc": warc.OP4_SQL, "op5_suffixes": suffixes.OP5_SQL, "op13_centroids": centroids.OP13_SQL}
+ORACLE_SQL = {"op4_warc": warc.OP4_SQL, "op5_suffixes": suffixes.OP5_SQL, "op11_infill": infill.OP11_SQL, "op13_centroids": centroids.OP13_SQL}
 
 
 def pipeline(spark, sf_dir: str):
