@@ -52,6 +52,15 @@ class Workspace:
         self.saved[path] = out = self.spark.read.schema(df.schema).parquet(path)
         return out
 
+    def save_by(self, df: DataFrame, name: str, key: str) -> DataFrame:
+        """Like save(), in buckets of ``key``: later joins on it move the other side alone."""
+        path, n = self.path(f"{name}-{uuid.uuid4().hex[:8]}"), int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        table = f"saved_{uuid.uuid4().hex}"
+        spread = df.repartition(n, key).write.option("parquet.block.size", BLOCK_BYTES).option("compression", "zstd")
+        spread.bucketBy(n, key).option("path", path).format("parquet").saveAsTable(table)
+        self.saved[path] = out = self.spark.table(table)
+        return out
+
     def keep(self, *tables: DataFrame) -> None:
         """Delete the tables that save() returned, but for ``tables``: those that a lazy result still reads."""
         jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
@@ -68,6 +77,26 @@ class Workspace:
             time.sleep(0.3)
 
 
+#: A null doc_id comes after all others: its row has this bit, and the largest long for an id.
+NO_ID, LARGEST_ID = 1 << 62, (1 << 63) - 1
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """(row, doc, data): a number of each row's own, the order of its doc_id, and the bytes of its text (null: empty).
+
+    Rows are ordered by doc and then row; so rows that share or lack a doc_id have places of their own. Write the result before
+    it is read twice.
+    """
+    id_ = F.col("doc_id").cast("long")
+    row = F.monotonically_increasing_id() + F.when(id_.isNull(), F.lit(NO_ID)).otherwise(F.lit(0))
+    return docs.select(row.alias("row"), F.coalesce(id_, F.lit(LARGEST_ID)).alias("doc"), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
+
+
+def doc_id() -> Column:
+    """The doc_id of a row that numbered() made."""
+    return F.when(F.col("row") < NO_ID, F.col("doc")).alias("doc_id")
+
+
 def id_bucket(col: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % modulus

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quantlake.llm import centroids, hmm, infill, language, minhash, mixing, pieces, quality, rules, suffixes, vectors, warc
+from quantlake.llm import centroids, debruijn, hmm, infill, language, minhash, mixing, pieces, quality, rules, suffixes, vectors, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -16,9 +16,10 @@ QUERIES = {
     "op9_rules": rules.op9_rules,
     "op10_minhash": minhash.op10_minhash,
     "op11_infill": infill.op11_infill,
+    "op12_debruijn": debruijn.op12_debruijn,
     "op13_centroids": centroids.op13_centroids,
 }
-ORACLE_SQL = {"op4_warc": warc.OP4_SQL, "op5_suffixes": suffixes.OP5_SQL, "op11_infill": infill.OP11_SQL, "op13_centroids": centroids.OP13_SQL}
+ORACLE_SQL = {"op4_warc": warc.OP4_SQL, "op5_suffixes": suffixes.OP5_SQL, "op11_infill": infill.OP11_SQL, "op12_debruijn": debruijn.OP12_SQL, "op13_centroids": centroids.OP13_SQL}
 
 
 def pipeline(spark, sf_dir: str):
