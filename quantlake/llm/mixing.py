@@ -77,7 +77,7 @@ def mix(spark: SparkSession, docs: DataFrame, *, keep: tuple[str, ...] = (), **o
     """doc_id, size, source_size, target and taken (words that the mix takes, repeats counted) of every row of ``docs``
     (doc_id, text, source): the sums over the blocks of mixture(), which see."""
     placed, parts = mixture(spark, docs, keep=keep, **options)
-    key = ["k", "start", "doc_id", *keep, "size", "source_size", "target"]
+    key = ["k", "start", "doc_id", *keep, "copy", "size", "source_size", "target"]
     every = placed.select(*key, F.lit(0).cast("long").alias("taken")).unionByName(parts.select(*key, F.col("length").alias("taken")))
     return every.groupBy(*key).agg(F.sum("taken").alias("taken")).select("doc_id", *keep, "size", "source_size", "target", "taken")
 
@@ -95,7 +95,7 @@ def mixture(
     keep: tuple[str, ...] = (),
 ) -> tuple[DataFrame, DataFrame]:
     """The documents with their places in their source's stream, and the mix itself: a row for each part of a document that a
-    slot takes (slot, place in it, doc_id, ``keep``, first word, length), which ordered by slot and place is the mixed stream.
+    slot takes (slot, place in it, doc_id, ``keep``, copy, first word, length), which ordered by slot and place is the mixed stream.
 
     Each source's documents are shuffled by a keyed hash and laid end to end; ``block`` words make a block. Slot i of the
     schedule goes to the source in whose part of the cumulative weights the i-th van der Corput point falls; the r-th slot
@@ -104,16 +104,18 @@ def mixture(
     takes its target rounded down, and no document more than ``most`` times its size.
 
     Sources are ordered by code point, null last. Null and empty texts have size 0 and are never taken; a very long text is
-    many blocks. Repeated rows are documents of their own, side by side in the stream; an empty table gives an empty
-    result; reruns agree. Other columns are left out unless named in ``keep``. The table of sources, one row for each, is
+    many blocks. Repeated rows are documents of their own, side by side in the stream, which ``copy`` numbers from 0; they
+    travel as one row with their count until each has its place. An empty table gives an empty result; reruns agree. Other columns are left out unless named in ``keep``. The table of sources, one row for each, is
     held on the driver; up to MOST_BROADCAST rows it is broadcast.
     """
     work = Workspace(spark, "mixing")
-    h = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
-    sized = docs.select("doc_id", *keep, "source", n_words(F.col("text")).alias("size"), h.alias("h"))
-    sized = work.save(sized, "sizes")
+    own = [F.lit(seed), F.col("doc_id"), *map(F.col, keep)]
+    sized = docs.select("doc_id", *keep, "source", n_words(F.col("text")).alias("size"), "text")
+    sized = sized.withColumn("h", F.when(F.col("size") > 0, F.xxhash64(*own, F.col("text"))).otherwise(F.xxhash64(*own)))
+    sized = work.save(sized.groupBy("doc_id", *keep, "source", "size", "h").agg(F.count("*").alias("copies")), "sizes")
 
-    totals = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
+    words = F.col("size") * F.col("copies")
+    totals = sized.groupBy("source").agg(F.sum(words).alias("size"), F.count("*").alias("n")).collect()
     totals.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
     sizes = [r["size"] for r in totals]
     wanted = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share * sum(sizes), most)
@@ -142,12 +144,14 @@ def mixture(
     placed = sized.join(small(facts), F.col("source").eqNullSafe(F.col("_source"))).drop("source", "_source")
     rank = F.shiftrightunsigned(F.col("h"), 32)
     placed = placed.withColumn("bucket", F.shiftright(rank * F.col("buckets"), 32))
-    sums = placed.groupBy("k", "bucket").agg(F.sum("size").alias("size"))
+    sums = placed.groupBy("k", "bucket").agg(F.sum(words).alias("size"))
     offsets = work.save(running(sums), "offsets")
     inside = W.Window.partitionBy("k", "bucket").orderBy("h", "doc_id", *keep).rowsBetween(W.Window.unboundedPreceding, -1)
     placed = placed.join(offsets, ["k", "bucket"])
-    placed = placed.withColumn("start", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    placed = work.save(placed.select("doc_id", *keep, "size", "k", "source_size", "target", "start"), "placed")
+    placed = placed.withColumn("start", F.col("before") + F.coalesce(F.sum(words).over(inside), F.lit(0)))
+    units = work.save(placed.select("doc_id", *keep, "h", "copies", "size", "k", "source_size", "target", "start"), "units")
+    placed = each_copy(units).withColumn("start", F.col("start") + F.col("copy") * F.col("size"))
+    placed = work.save(placed.select("doc_id", *keep, "copy", "size", "k", "source_size", "target", "start"), "placed")
 
     slot = F.col("id")
     schedule = spark.range(slots).withColumn("point", van_der_corput(slot))
@@ -169,7 +173,16 @@ def mixture(
     right = F.least(F.col("start") + F.col("size") - F.col("block") * block, F.lit(block))
     length = F.least("take", right) - left
     parts = pieces.join(schedule, ["k", "block"]).withColumns({"length": length, "place": left, "first": F.col("block") * block + left - F.col("start")})
-    return placed, parts.where("length > 0").select("slot", "place", "k", "start", "doc_id", *keep, "size", "source_size", "target", "first", "length")
+    return placed, parts.where("length > 0").select("slot", "place", "k", "start", "doc_id", *keep, "copy", "size", "source_size", "target", "first", "length")
+
+
+def each_copy(rows: DataFrame, most: int = 1000) -> DataFrame:
+    """A row for each of the ``copies`` of a row, numbered by ``copy``; a task makes at most ``most`` of a row's."""
+    groups = rows.withColumn("_group", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / most))))
+    many = groups.where(F.col("copies") > most).repartition("h", "_group")
+    groups = groups.where(F.col("copies") <= most).unionByName(many)
+    first = F.col("_group") * most
+    return groups.withColumn("copy", F.explode(F.sequence(first, F.least(first + most, F.col("copies")) - 1))).drop("_group")
 
 
 def running(sums: DataFrame, width: int = 1024) -> DataFrame:

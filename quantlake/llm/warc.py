@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator
 from typing import BinaryIO
 from urllib.parse import urlsplit
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +20,8 @@ RECORDS_PER_FILE = 4000
 #: Payload bytes of a file, about, and index entries that a task merges.
 FILE_BYTES, ENTRIES = 128 << 20, 100_000
 SHORTEST_REVISIT = 1000
+#: Captures are dated by their page_id, modulo so many seconds from the start of 2024.
+FIRST_SECOND, SECONDS = 1_704_067_200, 1_000_000_000
 INDEX = (
     "urlkey string, captured string, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, "
     "file string, offset long, length long, intact boolean"
@@ -40,7 +42,7 @@ def records(pages: DataFrame, work: Workspace) -> DataFrame:
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n"), F.lit(END))
     block = F.concat(http, F.when(revisit, F.lit("")).otherwise(F.col("html")))
     uri = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\x00-\x20\x7F]", "%20")
-    captured = F.date_format(F.timestamp_seconds(F.lit(1_704_067_200) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    captured = F.date_format(F.timestamp_seconds(F.lit(FIRST_SECOND) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(SECONDS))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     head: list[str | Column] = [
         "WARC/1.1\r\nWARC-Type: ", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")), "\r\nWARC-Record-ID: ", name(F.col("page_id")),
@@ -117,19 +119,22 @@ def runs(spark: SparkSession, path: str) -> DataFrame:
     """The index entries (INDEX) of the archives in ``path``, those of each file sorted by URL key and time."""
     small_batches(spark)
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch["path"], batch["content"], strict=True):
-                found = [index_entry(file, *record) for record in parse(gzip.GzipFile(fileobj=io.BytesIO(content)))]
+                found = [index_entry(file.as_py(), *record) for record in parse(gzip.GzipFile(fileobj=io.BytesIO(content.as_py())))]
                 yield frame(sorted(found, key=order_of))
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
-    return files.mapInPandas(work, INDEX)
+    return files.mapInArrow(work, INDEX)
 
 
-def frame(entries: list[tuple]) -> pd.DataFrame:
-    columns = [c.split()[0] for c in INDEX.split(", ")]
-    return pd.DataFrame(entries, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64"})
+def frame(entries: list[tuple]) -> pa.RecordBatch:
+    """Entries as a batch of INDEX; ids stay whole numbers where some are null."""
+    kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}
+    fields = [c.split() for c in INDEX.split(", ")]
+    columns = zip(*entries, strict=True) if entries else [()] * len(fields)
+    return pa.record_batch([pa.array(x, kinds[kind]) for x, (_, kind) in zip(columns, fields, strict=True)], names=[name for name, _ in fields])
 
 
 def merged(sources: Iterable[list[tuple]]) -> Iterator[tuple]:
@@ -170,35 +175,35 @@ def merge_runs(index: DataFrame) -> DataFrame:
     """All entries in one order of URL key and time: ranges of the keys, of about ENTRIES each, are dealt to tasks, each of
     which merges the runs' parts.
 
-    A range ends between captures, not between URLs, so one URL's history may span tasks. Parts that the shuffle has put
-    out of order are sorted first, which costs a pass over those in order.
+    A range ends between captures, not between URLs, so one URL's history may span tasks. Nothing is sorted again: a run's
+    entries arrive in their order, and where the shuffle brings a run in several pieces, each piece is a run for the tree.
     """
     ranges = max(1, -(-index.count() // ENTRIES))
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts: dict[str, list[tuple]] = {}
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[str, list[list[tuple]]] = {}
         for batch in batches:
-            page, refers = batch["page_id"], batch["refers_to"]
-            batch = batch.astype(object).assign(page_id=page.astype(object).where(page.notna(), None), refers_to=refers.astype(object).where(refers.notna(), None))
-            for entry in batch.itertuples(index=False, name=None):
-                parts.setdefault(entry[7], []).append(entry)
-        for part in parts.values():
-            part.sort(key=order_of)
+            for entry in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                pieces = parts.setdefault(entry[7], [[]])
+                if pieces[-1] and order_of(entry) < order_of(pieces[-1][-1]):
+                    pieces.append([])
+                pieces[-1].append(entry)
         block: list[tuple] = []
-        for entry in merged(parts.values()):
+        for entry in merged(piece for pieces in parts.values() for piece in pieces):
             block.append(entry)
             if len(block) == 5000:
                 yield frame(block)
                 block = []
         yield frame(block)
 
-    return index.repartitionByRange(ranges, "urlkey", "captured", "page_id", "file", "offset").mapInPandas(work, INDEX)
+    return index.repartitionByRange(ranges, "urlkey", "captured", "page_id", "file", "offset").mapInArrow(work, INDEX)
 
 
 def capture_history(spark: SparkSession, pages: DataFrame, path: str | None = None) -> DataFrame:
     """Write ``pages`` (page_id, url, html) as archives to ``path``, read them back and merge their indexes (INDEX).
 
-    See write() for nulls, ties and repeated rows. Times are the page_id's second of 2024, as the table has none. A very
+    See write() for nulls, ties and repeated rows. Times are the page_id's second from 2024 on, modulo SECONDS, as the table has
+    none; so ids of any size and sign have a date of four digits, and text order is time order. A very
     long page is held by itself in the task that reads it; long pages make files of fewer records. An empty table gives an
     empty index; other columns are left out.
     """

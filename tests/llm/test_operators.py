@@ -42,6 +42,33 @@ def test_mixing(spark, docs, none):
     assert mixing.mix(spark, none).count() == 0
 
 
+def test_mixing_of_repeated_rows(spark):
+    """A row for each row, sizes, source sizes and targets as by hand, with hot copies and rows without words or id."""
+    from fractions import Fraction
+
+    rows = [(1, None, "a"), (1, None, "a"), (1, "", "a"), (1, " ", "a"), (None, "", "b"), (None, "", "b"), (None, None, None), (None, "x y", "b"), (None, "x y", "b")]
+    rows += [(7, "one two three", "\U0001f600")] * 2500 + [(i, "w " * (i % 9), "\uffee") for i in range(300)]
+    docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, source string, copy string").repartition(5)
+    have = mixing.mix(spark, docs).collect()
+    size = lambda t: len(re.findall("[^\x20\x09-\x0d]+", t or ""))
+    order = sorted({s for _, _, s in rows}, key=lambda s: (s is None, (s or "").encode()))
+    sizes = [sum(size(t) for _, t, s in rows if s == o) for o in order]
+    want, left, free = {}, Fraction(3, 2) * sum(sizes), list(range(len(order)))
+    while free:
+        share = {i: left * (3, 1, 2)[i % 3] / sum((3, 1, 2)[j % 3] for j in free) for i in free}
+        over = [i for i in free if share[i] > 2 * sizes[i]]
+        for i in over or free:
+            want[i] = Fraction(2 * sizes[i]) if over else share[i]
+        left, free = (left - sum(want[i] for i in over), [i for i in free if i not in over]) if over else (0, [])
+    facts = {o: (sizes[i], float(want[i])) for i, o in enumerate(order)}
+    assert Counter((r["doc_id"], r["size"], r["source_size"], r["target"]) for r in have) == Counter((d, size(t), *facts[s]) for d, t, s in rows)
+    assert all(0 <= r["taken"] <= 2 * r["size"] for r in have)
+    taken = Counter()
+    for r in have:
+        taken[(r["source_size"], r["target"])] += r["taken"]
+    assert all(t - 1 < taken[(n, t)] <= t for n, t in facts.values() if t)
+
+
 def test_mixture_is_the_schedule(spark):
     """The mixed stream against the schedule played slot by slot: whose turn it is, and which words of which document."""
     rows = [(i, " ".join(f"w{i}x{j}" for j in range(5 + i * 7 % 40)), "abc"[i % 3]) for i in range(60)]
@@ -427,3 +454,25 @@ def test_warc(spark, tmp_path):
     for i, h in enumerate(html):
         assert by_id[i]["payload_digest"] == hashlib.sha1((h or "").encode()).hexdigest()
     assert warc.capture_history(spark, pages.limit(0), str(tmp_path / "none")).count() == 0
+
+
+def test_warc_of_ids_of_any_size(spark, tmp_path):
+    """Extreme, negative, null and repeated ids: all dates are of four digits and in order, and revisits name exact ids."""
+    ids = [2**63 - 1, -(2**63), 10**15, 4 * 10**11, -1, 0, None, None, 2**53 + 1, 2**53 + 1, 10**15]
+    rows = [(i, "http://x.example/", "y" * 1200 if k % 2 else "z" * (3 * k)) for k, i in enumerate(ids)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = warc.capture_history(spark, pages, str(tmp_path / "out")).collect()
+    assert [warc.order_of(tuple(r)) for r in found] == sorted(warc.order_of(tuple(r)) for r in found)
+    assert all(re.fullmatch(r"20\d\d-\d\d-\d\dT\d\d:\d\d:\d\dZ", r["captured"]) and r["intact"] for r in found)
+    top = max(i for i, _, h in rows if i is not None and len(h) >= 1000)
+    want = Counter((i, len(h), "revisit" if len(h) >= 1000 and i != top else "response", top if len(h) >= 1000 and i != top else None) for i, _, h in rows)
+    assert Counter((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in found) == want
+
+
+def test_runs_in_pieces_are_merged_without_sorting(spark):
+    """Runs that arrive cut up and out of order are merged into one order."""
+    entry = lambda key, page, file, at: (key, "2024-01-01T00:00:00Z", page, "response", None, 0, "", file, at, 1, True)
+    entries = [entry(f"k{i * 7 % 50:02d}", i, f"f{i % 3}", i) for i in range(200)]
+    index = spark.createDataFrame(entries, warc.INDEX).repartition(4)
+    got = [tuple(r) for r in warc.merge_runs(index).collect()]
+    assert got == sorted(entries, key=warc.order_of)
