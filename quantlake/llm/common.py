@@ -92,6 +92,15 @@ def numbered(docs: DataFrame) -> DataFrame:
     return docs.select(row.alias("row"), F.coalesce(id_, F.lit(LARGEST_ID)).alias("doc"), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
 
 
+def id_text() -> Column:
+    """doc_id as text: pandas would round large ids to doubles where some are null. Cast what comes back with as_long()."""
+    return F.col("doc_id").cast("long").cast("string").alias("doc_id")
+
+
+def as_long(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 def doc_id() -> Column:
     """The doc_id of a row that numbered() made."""
     return F.when(F.col("row") < NO_ID, F.col("doc")).alias("doc_id")

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantlake.llm.common import Workspace, added_up, id_bucket, packed, small_batches
+from quantlake.llm.common import Workspace, added_up, as_long, id_bucket, id_text, packed, small_batches
 
 #: Hash that stands for the token at the end of a text; its symbol is 0.
 END = 0
@@ -222,7 +222,7 @@ def score(
     """
     small_batches(spark)
     work = Workspace(spark, "hmm")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("held_out"))
+    rows = docs.select(id_text(), "text", F.col("held_out"))
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     chunks = max(1, -(-size // chunk_bytes))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
@@ -276,10 +276,9 @@ def score(
             (doc_id, held_out, len(at), int((c[at] > 0).sum()), float(base[at].sum()), float(own[at].sum()), symbol[at].tobytes())
             for doc_id, held_out, at in zip(texts["doc_id"], texts["held_out"], places, strict=True)
         ]
-        columns = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "own", "symbols"]
-        return pd.DataFrame(out, columns=columns).astype({"doc_id": "Int64"})
+        return pd.DataFrame(out, columns=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "own", "symbols"])
 
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, own double, symbols binary"
+    schema = "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, own double, symbols binary"
     coded = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(code, schema)
     coded = work.save(coded, "coded")
     work.sweep()
@@ -291,10 +290,10 @@ def score(
         for frame in batches_of(frames):
             logs = log_likelihoods(model.value, [np.frombuffer(x, np.int16).astype(np.int64) for x in frame["symbols"]])
             out = frame.drop(columns=["symbols", "own"])
-            yield out.assign(score=np.round(logs + frame["own"], 6), base_score=np.round(out["base_score"], 9), train_tokens=n, doc_id=out["doc_id"].astype("Int64"))
+            yield out.assign(score=np.round(logs + frame["own"], 6), base_score=np.round(out["base_score"], 9), train_tokens=n)
 
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return coded.mapInPandas(likelihood, schema)
+    schema = "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return as_long(coded.mapInPandas(likelihood, schema))
 
 
 def op6_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:

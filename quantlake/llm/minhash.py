@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantlake.llm.common import WordHashes, Workspace, components, mix, ngram_hashes, small_batches
+from quantlake.llm.common import WordHashes, Workspace, as_long, components, id_text, mix, ngram_hashes, small_batches
 
 WORDS, SIZE, PERCENT = 5, 60, 75
 #: Coordinates of the signature that make a band: runs of three, and ten more that reach across. A pair of exactly 75 %
@@ -68,10 +68,10 @@ def sketches(spark: SparkSession, docs: DataFrame, n: int = WORDS) -> DataFrame:
                 else:
                     out.append((0, None, None))
             rows = pd.DataFrame(out, columns=["n_shingles", "set_id", "sig"])
-            yield rows.assign(doc_id=batch["doc_id"].astype("Int64"), tag=batch["tag"])
+            yield rows.assign(doc_id=batch["doc_id"], tag=batch["tag"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), "text")
-    return rows.mapInPandas(work, "n_shingles long, set_id binary, sig array<int>, doc_id long, tag long")
+    rows = docs.select(id_text(), F.xxhash64("text").alias("tag"), "text")
+    return as_long(rows.mapInPandas(work, "n_shingles long, set_id binary, sig array<int>, doc_id string, tag long"))
 
 
 def compared(spark: SparkSession, work: Workspace, pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantlake.llm.common import mix, small_batches
+from quantlake.llm.common import as_long, id_text, mix, small_batches
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -322,14 +322,14 @@ def encode(
     under other ids or numbers differently. An empty table gives an empty result; other columns are left out.
     """
     small_batches(spark)
-    schema = "doc_id long, n_pieces int, lossless boolean, " + ("ids_sha string, decoded_sha string" if digest else "ids array<int>")
+    schema = "doc_id string, n_pieces int, lossless boolean, " + ("ids_sha string, decoded_sha string" if digest else "ids array<int>")
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces = coder(vocabulary, dropout, seed)
         for batch in batches:
-            ids = [None if pd.isna(i) else int(i) for i in batch["doc_id"]]
+            ids = batch["doc_id"].tolist()
             texts, numbers = batch["text"].tolist(), batch["copy"].tolist()
-            keys = np.array([keyed(i, t or "", n, seed) for i, t, n in zip(ids, texts, numbers, strict=True)], np.uint64)
+            keys = np.array([keyed(None if i is None else int(i), t or "", n, seed) for i, t, n in zip(ids, texts, numbers, strict=True)], np.uint64)
             out = []
             for doc_id, text, found in zip(ids, texts, pieces.encode_all([t or "" for t in texts], keys), strict=True):
                 if text is None:
@@ -339,10 +339,10 @@ def encode(
                 real = (hashlib.sha1(found.tobytes()).hexdigest(), hashlib.sha1(back).hexdigest()) if digest else (found,)
                 out.append((doc_id, len(found), back == text.encode(), *real))
             columns = ["doc_id", "n_pieces", "lossless", *(["ids_sha", "decoded_sha"] if digest else ["ids"])]
-            yield pd.DataFrame(out, columns=columns).astype({"doc_id": "Int64", "n_pieces": "Int32"})
+            yield pd.DataFrame(out, columns=columns).astype({"n_pieces": "Int32"})
 
     number = F.coalesce(F.col(copy).cast("long"), F.lit(0)) if copy else F.lit(0).cast("long")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", number.alias("copy")).mapInPandas(work, schema)
+    return as_long(docs.select(id_text(), "text", number.alias("copy")).mapInPandas(work, schema))
 
 
 def decode(spark: SparkSession, encoded: DataFrame, *, vocabulary: str = VOCABULARY) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantlake.llm.common import WordHashes, Workspace, added_up, ngram_hashes, packed, small_batches
+from quantlake.llm.common import WordHashes, Workspace, added_up, as_long, id_text, ngram_hashes, packed, small_batches
 
 SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\r\x0b\x0c"
 COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
@@ -46,20 +46,16 @@ def fit_ratio(spark: SparkSession, docs: DataFrame, trusted: DataFrame, *, bucke
     Each task sums its counts; the sums are added up in tasks, so the driver gets a few times the model's size.
     """
     small_batches(spark)
-    good = trusted.select("doc_id", F.lit(True).alias("_trusted")).distinct().hint("merge")  # the same plan at every size
-    marked = docs.select("doc_id", "text").join(good, "doc_id", "left")
+    good = docs.select("doc_id", "text").join(trusted.select("doc_id").distinct(), "doc_id", "left_semi")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, total = WordHashes(), np.zeros((2, buckets), np.int64)
+        words, total = WordHashes(), np.zeros(buckets, np.int64)
         for batch in batches:
-            for text, good in zip(batch["text"], batch["_trusted"], strict=True):
-                counts = np.bincount(ngram_buckets(words.of((text or "").encode().split()), buckets), minlength=buckets)
-                total[0] += counts
-                if good is True or good == 1:
-                    total[1] += counts
+            for text in batch["text"]:
+                np.add.at(total, ngram_buckets(words.of((text or "").encode().split()), buckets), 1)
         yield pd.DataFrame({"v": [packed(total)]})
 
-    counts = added_up(marked.select("text", "_trusted").mapInPandas(count, "v binary"), 2 * buckets).reshape(2, buckets) + 0.5
+    counts = np.array([added_up(rows.select("text").mapInPandas(count, "v binary"), buckets) for rows in (docs, good)]) + 0.5
     if counts[1].sum() == 0.5 * buckets:
         return np.zeros(buckets)
     return np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
@@ -79,9 +75,9 @@ def measure(spark: SparkSession, docs: DataFrame, ratio: np.ndarray) -> DataFram
                 hashes = words.of(text.encode().split())
                 llr = float(table[ngram_buckets(hashes, len(table))].mean()) if len(hashes) else 0.0
                 out.append((*base_rules(text, hashes), round(llr, 9)))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in COLUMNS.split(", ")] + ["llr"]).assign(doc_id=batch["doc_id"].astype("Int64"))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in COLUMNS.split(", ")] + ["llr"]).assign(doc_id=batch["doc_id"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(work, f"{COLUMNS}, llr double, doc_id long")
+    return as_long(docs.select(id_text(), "text").mapInPandas(work, f"{COLUMNS}, llr double, doc_id string"))
 
 
 def judge(spark: SparkSession, docs: DataFrame, trusted: DataFrame, *, spread: float = 6.0) -> DataFrame:

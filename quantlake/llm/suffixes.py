@@ -23,11 +23,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantlake.llm.common import Workspace, mix, small_batches
+from quantlake.llm.common import NO_ID, Workspace, doc_id, mix, numbered, small_batches
 
 LENGTH, Q, START = 50, 16, 8
 WINDOW = LENGTH - Q + 1
@@ -38,7 +37,7 @@ _NONE = np.iinfo(np.int64).max
 HALF = (LENGTH - Q) // 2
 #: Contexts of a q-gram that one task refines, and bytes of text of a bucket.
 HOT, BUCKET_BYTES = 4096, 8 << 20
-ENTRY = np.dtype([("h", "u8"), ("c", "u8"), ("left", "u2"), ("right", "u2"), ("doc", "i8"), ("row", "u4"), ("at", "u4")])
+ENTRY = np.dtype([("h", "u8"), ("c", "u8"), ("left", "u2"), ("right", "u2"), ("doc", "i8"), ("row", "i8"), ("at", "u4")])
 
 
 def rolling(x: np.ndarray, length: int) -> np.ndarray:
@@ -95,12 +94,12 @@ def context_hashes(data: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def settle(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Split anchors into those of a class (h, c) that a smaller document has too, and those of its smallest document."""
-    order = np.lexsort((entries["doc"], entries["c"], entries["h"]))
+    order = np.lexsort((entries["row"] >= NO_ID, entries["doc"], entries["c"], entries["h"]))
     entries = entries[order]
     first = np.ones(len(entries), bool)
     first[1:] = (entries["h"][1:] != entries["h"][:-1]) | (entries["c"][1:] != entries["c"][:-1])
-    least = entries["doc"][first][np.cumsum(first) - 1]
-    own = entries["doc"] == least
+    least = entries[first][np.cumsum(first) - 1]
+    own = (entries["doc"] == least["doc"]) & ((entries["row"] >= NO_ID) == (least["row"] >= NO_ID))
     return entries[~own], entries[own]
 
 
@@ -121,10 +120,6 @@ def unpack(data: bytes) -> np.ndarray:
     return out
 
 
-def row_tag(data: bytes) -> int:
-    return xxhash.xxh32_intdigest(data)
-
-
 def refine(rows: np.ndarray, docs: np.ndarray, groups: np.ndarray) -> np.ndarray:
     """Bit o of an element: the passage that starts o bytes into its context occurs in a smaller document of its group.
 
@@ -160,14 +155,14 @@ def deal(docs: DataFrame, buckets: int, chunk: int = 400_000) -> DataFrame:
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[np.ndarray] = []
         for batch in batches:
-            for doc, data in zip(batch["doc"], batch["data"], strict=True):
+            for row, doc, data in zip(batch["row"], batch["doc"], batch["data"], strict=True):
                 if len(data) < LENGTH:
                     continue
                 at, h = anchors(data)
                 some = np.empty(len(at), ENTRY)
                 c, left, right = context_hashes(data, at)
-                some["h"], some["c"], some["left"], some["right"] = h >> np.uint64(16), c >> np.uint64(16), left >> np.uint64(48), right >> np.uint64(48)
-                some["doc"], some["row"], some["at"] = doc, row_tag(data), at
+                some["h"], some["c"], some["left"], some["right"] = h, c, left >> np.uint64(48), right >> np.uint64(48)
+                some["doc"], some["row"], some["at"] = doc, row, at
                 held.append(some)
             if sum(map(len, held)) > chunk:
                 yield send(held)
@@ -176,13 +171,14 @@ def deal(docs: DataFrame, buckets: int, chunk: int = 400_000) -> DataFrame:
             yield send(held)
 
     def send(held: list[np.ndarray]) -> pd.DataFrame:
-        out = []
-        for settled, entries in zip((True, False), settle(np.concatenate(held)), strict=True):
-            where = entries["h"] % np.uint64(buckets)
-            order = np.argsort(where, kind="stable")
-            entries, where = entries[order], where[order]
-            ends = np.searchsorted(where, np.arange(buckets + 1, dtype=np.uint64))
-            out += [(b, settled, pack(entries[ends[b] : ends[b + 1]])) for b in range(buckets) if ends[b] < ends[b + 1]]
+        settled, entries = settle(np.concatenate(held))
+        done = [settled[i : i + 50_000] for i in range(0, len(settled), 50_000)]  # these go anywhere
+        out = [(int(some["row"][0] * 31 + some["at"][0]) % buckets, True, pack(some)) for some in done]
+        where = entries["h"] % np.uint64(buckets)
+        order = np.argsort(where, kind="stable")
+        entries, where = entries[order], where[order]
+        first = np.flatnonzero(np.r_[True, where[1:] != where[:-1]][: len(where)])
+        out += [(int(where[a]), False, pack(entries[a:b])) for a, b in zip(first, np.r_[first[1:], len(where)], strict=True)]
         return pd.DataFrame(out, columns=["bucket", "settled", "blob"])
 
     return docs.mapInPandas(work, "bucket int, settled boolean, blob binary")
@@ -195,7 +191,7 @@ def classes(dealt: DataFrame, buckets: int) -> DataFrame:
     """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, done, open_ = None, [], []
+        last, open_ = None, []
 
         def finish() -> Iterator[pd.DataFrame]:
             if open_:
@@ -211,21 +207,22 @@ def classes(dealt: DataFrame, buckets: int) -> DataFrame:
                         many[order] |= np.repeat(several, np.diff(np.r_[first, len(own)]))
                 yield from rows(settled, _ALL)
                 yield from rows(own[many], 0)
-            for some in done:
-                yield from rows(some, _ALL)
 
         for batch in batches:
             for bucket, settled, blob in zip(batch["bucket"], batch["settled"], batch["blob"], strict=True):
                 if bucket != last:
                     yield from finish()
-                    last, done, open_ = bucket, [], []
-                (done if settled else open_).append(unpack(blob))
+                    last, open_ = bucket, []
+                if settled:
+                    yield from rows(unpack(blob), _ALL)
+                else:
+                    open_.append(unpack(blob))
         yield from finish()
 
     def rows(entries: np.ndarray, bits: int) -> Iterator[pd.DataFrame]:
         for at in range(0, len(entries), 50_000):
             some = entries[at : at + 50_000]
-            yield pd.DataFrame({"doc": some["doc"], "row": some["row"].astype(np.int64), "at": some["at"].astype(np.int32), "h": some["h"].astype(np.int64), "bits": np.full(len(some), bits, np.int64)})
+            yield pd.DataFrame({"doc": some["doc"], "row": some["row"], "at": some["at"].astype(np.int32), "h": some["h"].astype(np.int64), "bits": np.full(len(some), bits, np.int64)})
 
     spread = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket")
     return spread.mapInPandas(work, "doc long, row long, at int, h long, bits long")
@@ -235,15 +232,11 @@ def repeated(spark: SparkSession, work: Workspace, docs: DataFrame, buckets: int
     """(doc, row, ats, bits): bit o of an element of bits says that the passage from at - BEFORE + o is repeated."""
     dealt = deal(docs, buckets)
     found = work.save(classes(dealt, buckets), "classes")
-    work.sweep()
 
-    asked = found.where("bits = 0").groupBy("doc", "row").agg(F.collect_list("at").alias("ats"), F.collect_list("h").alias("hs"))
+    asked = found.where("bits = 0").groupBy("row").agg(F.collect_list("at").alias("ats"), F.collect_list("h").alias("hs"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch = batch[[row_tag(x) == r for x, r in zip(batch["data"], batch["row"], strict=True)]]
-            if not len(batch):
-                continue
             counts = batch["ats"].map(len).to_numpy()
             around = []
             for data, at in zip(batch["data"], batch["ats"], strict=True):
@@ -253,11 +246,9 @@ def repeated(spark: SparkSession, work: Workspace, docs: DataFrame, buckets: int
             sizes = np.repeat(batch["data"].map(len).to_numpy(), counts)
             yield pd.DataFrame(out | {"at": np.concatenate(batch["ats"].tolist()), "size": sizes, "context": around})
 
-    texts = docs.select("doc", "data").join(asked, "doc")
-    cuts = texts.select("doc", "row", "data", "ats", "hs").mapInPandas(cut, "h long, doc long, row long, at int, size int, context binary")
+    texts = docs.join(asked, "row").select("doc", "row", "data", "ats", "hs")
+    cuts = texts.mapInPandas(cut, "h long, doc long, row long, at int, size int, context binary")
     cuts = work.save(cuts, "cuts")
-    del texts
-    work.sweep()
     hot = work.save(found.where("bits = 0").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("h"), "hot")
 
     def refined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -275,21 +266,26 @@ def repeated(spark: SparkSession, work: Workspace, docs: DataFrame, buckets: int
         rows = np.frombuffer(b"".join(group["context"]), np.uint8).reshape(-1, CONTEXT).astype(np.uint16)
         place = (group["at"].to_numpy() - BEFORE)[:, None] + np.arange(CONTEXT)
         rows[(place < 0) | (place >= group["size"].to_numpy()[:, None])] = 256
-        bits = refine(rows, group["doc"].to_numpy(), group["h"].to_numpy())
+        bits = refine(rows, order_of(group["doc"], group["row"]), group["h"].to_numpy())
         return group[["doc", "row", "at"]].assign(bits=bits)[bits != 0]
 
     answers = cuts.join(hot, "h", "left_anti").repartition(buckets, "h").sortWithinPartitions("h").mapInPandas(refined, "doc long, row long, at int, bits long")
     answers = work.save(answers, "answers")
     passages = work.save(cuts.join(hot, "h", "left_semi").mapInPandas(passages_of, "p1 long, p2 long, doc long, row long, at int, o int"), "passages")
-    first = passages.groupBy("p1", "p2").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
+    passages = passages.withColumn("order", F.struct("doc", (F.col("row") >= NO_ID).alias("unnamed")))
+    first = passages.groupBy("p1", "p2").agg(F.min("order").alias("low"), F.max("order").alias("high")).where("low < high")
     first = work.save(first, "first")  # so that its size is known: where it is small, no hot passage moves
-    again = passages.join(first, ["p1", "p2"]).where("doc > low").groupBy("doc", "row", "at").agg(F.bit_or(F.expr("shiftleft(1L, o)")).alias("bits"))
+    again = passages.join(first, ["p1", "p2"]).where("order > low").groupBy("row", "at").agg(F.bit_or(F.expr("shiftleft(1L, o)")).alias("bits"))
     again = work.save(again, "again")
-    work.keep(found, answers, again)
-    work.sweep()
-    marks = found.where("bits <> 0").select("doc", "row", "at", "bits")
-    marks = marks.union(answers).union(again)
-    return marks.groupBy("doc", "row").agg(F.collect_list("at").alias("ats"), F.collect_list("bits").alias("bits"))
+    work.keep(docs, found, answers, again)
+    marks = found.where("bits <> 0").select("row", "at", "bits")
+    marks = marks.union(answers.select("row", "at", "bits")).union(again)
+    return marks.groupBy("row").agg(F.collect_list("at").alias("ats"), F.collect_list("bits").alias("bits"))
+
+
+def order_of(doc: pd.Series, row: pd.Series) -> np.ndarray:
+    """Numbers that order rows by doc_id, null last."""
+    return np.unique(doc.to_numpy(), return_inverse=True)[1] * 2 + (row.to_numpy() >= NO_ID)
 
 
 def passages_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -332,35 +328,27 @@ def without_repeats(spark: SparkSession, docs: DataFrame, *, digest: bool = Fals
     """
     small_batches(spark)
     work = Workspace(spark, "suffixes")
-    data = F.coalesce("text", F.lit("")).cast("binary")
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("doc"), data.alias("data"))
+    rows = work.save_by(numbered(docs), "texts", "row")  # joins on the row do not move texts
     if buckets is None:  # of BUCKET_BYTES; in a very large corpus of more, so that a task sends fewer parts
         size = rows.agg(F.sum(F.octet_length("data"))).first()[0] or 0
         buckets = max(1, math.ceil(size / max(BUCKET_BYTES, 30 * math.sqrt(size))))
     marks = work.save(repeated(spark, work, rows, buckets), "marks")
-    work.sweep()
+    work.keep(rows, marks)
     out = "kept_sha256 string" if digest else "kept string"
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = []
-            for doc, data, at, bits in zip(batch["doc"], batch["data"], batch["ats"], batch["bits"], strict=True):
+            for row, doc, data, at, bits in zip(batch["row"], batch["doc"], batch["data"], batch["ats"], batch["bits"], strict=True):
                 gone = removed(data, at, bits)
                 kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
                 spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-                found.append((doc, len(data), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest() if digest else kept.decode("utf-8", "ignore")))
-            yield pd.DataFrame(found, columns=["doc", "n_bytes", "n_removed", "n_spans", out.split()[0]])
-
-    tag = F.pandas_udf(lambda x: x.map(row_tag), "long")
-    told = marks.groupBy("doc").agg(F.count("*").alias("k"), F.first("row").alias("row"), F.first("ats").alias("ats"), F.first("bits").alias("bits"))
-    # Where texts share a doc_id, marks are told apart by the text's tag; elsewhere the id is enough.
-    work.keep(marks)
-    shared = work.save(rows.groupBy("doc").agg(F.count("*").alias("k")).where("k > 1").select("doc"), "shared")
-    single = rows.join(shared, "doc", "left_anti").join(told.drop("k", "row"), "doc", "left")
-    several = rows.join(shared, "doc", "left_semi").withColumn("row", tag("data")).join(marks, ["doc", "row"], "left").select(*single.columns)
-    done = single.union(several).mapInPandas(finish, f"doc long, n_bytes long, n_removed long, n_spans long, {out}")
-    doc_id = F.when(F.col("doc") != _NONE, F.col("doc")).alias("doc_id")
-    return done.select(doc_id, "n_bytes", "n_removed", "n_spans", out.split()[0])
+                found.append((row, doc, len(data), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest() if digest else kept.decode("utf-8", "ignore")))
+            yield pd.DataFrame(found, columns=["row", "doc", "n_bytes", "n_removed", "n_spans", out.split()[0]])
+
+    done = rows.join(marks, "row", "left").select("row", "doc", "data", "ats", "bits")
+    done = done.mapInPandas(finish, f"row long, doc long, n_bytes long, n_removed long, n_spans long, {out}")
+    return done.select(doc_id(), "n_bytes", "n_removed", "n_spans", out.split()[0])
 
 
 def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

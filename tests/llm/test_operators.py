@@ -255,6 +255,33 @@ def test_suffixes(spark, docs, none):
     assert suffixes.without_repeats(spark, none).count() == 0
 
 
+@pytest.mark.parametrize("hot", [suffixes.HOT, 1])
+def test_suffixes_of_rows_that_share_or_lack_an_id(spark, monkeypatch, hot):
+    """Against brute force over rows: only a smaller id takes bytes away, null is larger than the largest long."""
+    monkeypatch.setattr(suffixes, "HOT", hot)
+    rng = np.random.default_rng(4)
+    say = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 26, n))
+    shared = [say(70) for _ in range(3)]
+    texts = [say(rng.integers(0, 60)) + shared[k % 3][k % 11 :] + say(rng.integers(0, 60)) for k in range(24)]
+    ids = [None if k % 3 == 0 else [5, 5, -(2**63), 2**63 - 1, 9][k % 5] for k in range(24)]
+    rows = list(zip(ids, texts, strict=True)) + [(None, texts[0])] * 5 + [(5, texts[1])] * 3 + [(None, None), (None, "")]
+    order = lambda i: (i is None, i or 0)
+    first, want = {}, Counter()
+    for i, t in rows:
+        b = (t or "").encode()
+        for s in range(len(b) - 49):
+            first[b[s : s + 50]] = min(order(i), first.get(b[s : s + 50], order(i)))
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = np.zeros(len(b), bool)
+        for s in range(len(b) - 49):
+            gone[s : s + 50] |= first[b[s : s + 50]] < order(i)
+        want[(i, len(b), int(gone.sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest())] += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = suffixes.without_repeats(spark, df, digest=True).collect()
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in found) == want
+
+
 def test_suffixes_of_a_hot_passage(spark, monkeypatch):
     """One q-gram in many contexts, some of which share more, with the bound of a task at 2."""
     monkeypatch.setattr(suffixes, "HOT", 2)
@@ -476,3 +503,21 @@ def test_runs_in_pieces_are_merged_without_sorting(spark):
     index = spark.createDataFrame(entries, warc.INDEX).repartition(4)
     got = [tuple(r) for r in warc.merge_runs(index).collect()]
     assert got == sorted(entries, key=warc.order_of)
+
+
+def test_ids_beyond_doubles_stay_exact_beside_nulls(spark):
+    """Ids of 64 bits, some null, come back as they are from every operator that reads texts in Python."""
+    ids = [None, 2**63 - 1, -(2**63), 2**53 + 1, 2**53 + 3, None, 1]
+    rows = [(i, f"{LONG} {OTHER} number {k}") for k, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    trusted = spark.createDataFrame([(2**53 + 1,), (None,)], "doc_id long")
+    want = Counter(ids)
+    found = {
+        "hmm": hmm.score(spark, docs.selectExpr("*", "doc_id = 1 as held_out").na.fill({"held_out": False})),
+        "pieces": pieces.encode(spark, docs, digest=True),
+        "rules": rules.judge(spark, docs, trusted),
+        "minhash": minhash.near_duplicates(spark, docs),
+        "suffixes": suffixes.without_repeats(spark, docs),
+    }
+    for name, out in found.items():
+        assert Counter(r["doc_id"] for r in out.collect()) == want, name
