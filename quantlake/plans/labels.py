@@ -158,22 +158,3 @@ query(
     .withColumn("a", TRAIN + C("fold") * (TEST + EMBARGO)).groupBy("fold")
     .agg(F.count_if(C("pos") < C("a") - PURGE).alias("n_train"), *(F.expr(x) for x in (f"max(date) FILTER (WHERE pos < a - {PURGE}) AS train_end", "min(date) FILTER (WHERE pos >= a) AS test_start", f"max(date) FILTER (WHERE pos < a + {TEST}) AS test_end")))
 )
-
-PATHS = f"{bars_sql(DAY)}, r AS (SELECT symbol, close / prev_close - 1 AS r FROM bars WHERE prev_close IS NOT NULL), p AS (SELECT symbol, avg(r) / nullif(stddev_samp(r), 0) * sqrt(252) AS sharpe FROM r GROUP BY symbol)"
-
-
-def path_sharpes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = bars(spark, sf_dir, DAY).where("prev_close IS NOT NULL").select("symbol", (C("close") / C("prev_close") - 1).alias("r"))
-    return rows.groupBy("symbol").agg((F.avg("r") / F.nullif(F.stddev_samp("r"), F.lit(0.0)) * F.sqrt(F.lit(252.0))).alias("sharpe"))
-
-
-query("st_sharpe_paths", f"{PATHS} SELECT symbol, round(sharpe, 8) AS sharpe FROM p")(lambda s, d: path_sharpes(s, d).select("symbol", F.round("sharpe", 8).alias("sharpe")))
-query(
-    "st_distribution",
-    f"{PATHS} SELECT round(avg(sharpe), 8) AS mean, round(stddev_pop(sharpe), 8) AS std, round(median(sharpe), 8) AS median, round(quantile_cont(sharpe, 0.05), 8) AS p05, round(quantile_cont(sharpe, 0.95), 8) AS p95, avg(CASE WHEN sharpe < 0 THEN 1.0 ELSE 0.0 END) AS prob_negative FROM p",
-)(
-    lambda s, d: path_sharpes(s, d).agg(
-        F.round(F.avg("sharpe"), 8).alias("mean"), F.round(F.stddev_pop("sharpe"), 8).alias("std"), *(F.round(F.percentile("sharpe", F.lit(q)), 8).alias(k) for k, q in {"median": 0.5, "p05": 0.05, "p95": 0.95}.items()),
-        F.avg(F.when(C("sharpe") < 0, 1.0).otherwise(0.0)).alias("prob_negative"),
-    )
-)

@@ -213,45 +213,6 @@ def snk_model_artifact(spark: SparkSession, sf_dir: str) -> DataFrame:
 query("snk_model_artifact", "SELECT true AS same")(snk_model_artifact)
 QUERIES |= {"top_feature_importance_gain": top_feature_importance_gain, "mdl_meta_label": mdl_meta_label, "mdl_serving": mdl_serving}
 
-# Backtest on fold predictions: a position is set every few bars of a fold and held between, also into the next fold
-
-COST, EVERY = 0.001, {"weekly": 5, "daily": 1}
-
-
-def predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Test bars of the expanding folds with a prediction by arithmetic on the key, in place of a model's."""
-    rows, days = dated(spark, sf_dir)
-    test = purged_panel(days).where("role = 'test'").select("date", "fold")
-    return rows.join(test, "date").withColumn("p", (C("pos") * 37 + F.substring("symbol", 7, 2).cast("int") * 11) % 100 / 100.0)
-
-
-def backtest(rows: DataFrame, prices: DataFrame, frequency: str = "weekly") -> DataFrame:
-    """symbol, date, fold, position and strategy_return (of the next bar, less costs) of ``rows`` (symbol, date, fold, p)."""
-    if frequency not in EVERY:
-        raise ValueError(f"frequency {frequency} is none of {sorted(EVERY)}")
-    prices = prices.select("symbol", "date", (F.lead("close").over(by_symbol()) / C("close") - 1).alias("next_return"))
-    rows = rows.join(prices, ["symbol", "date"])
-    place = F.row_number().over(Window.partitionBy("symbol", "fold").orderBy("date")) - 1
-    rows = rows.withColumn("wanted", F.when(place % EVERY[frequency] == 0, F.when(C("p") >= BUY, 1).when(C("p") <= SELL, -1).otherwise(0)))
-    rows = rows.withColumn("position", F.last("wanted", ignorenulls=True).over(so_far()))
-    cost = F.abs(C("position") - F.coalesce(F.lag("position").over(by_symbol()), F.lit(0))) * COST
-    return rows.select("symbol", "date", "fold", "position", (C("position") * C("next_return") - cost).alias("strategy_return"))
-
-
-BACKTEST = f"""{ROLES}, tests AS (SELECT symbol, date, fold, (pos * 37 + CAST(substr(symbol, 7, 2) AS INTEGER) * 11) % 100 / 100.0 AS p FROM g WHERE pos >= a AND pos <= b),
-    nx AS (SELECT symbol, date, lead(close) OVER (PARTITION BY symbol ORDER BY date) / close - 1 AS nr FROM bars), tp AS (SELECT *, row_number() OVER (PARTITION BY symbol, fold ORDER BY date) - 1 AS k FROM tests JOIN nx USING (symbol, date)),
-    wn AS (SELECT *, CASE WHEN k % {{every}} = 0 THEN CASE WHEN p >= {BUY} THEN 1 WHEN p <= {SELL} THEN -1 ELSE 0 END END AS wanted FROM tp),
-    ps AS (SELECT *, last_value(wanted IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING) AS position FROM wn),
-    bt AS (SELECT symbol, date, fold, position, position * nr - abs(position - coalesce(lag(position) OVER (PARTITION BY symbol ORDER BY date), 0)) * {COST} AS strategy_return FROM ps)"""
-query("bt_run", f"{BACKTEST.format(every=5)} SELECT symbol, date, CAST(fold AS INTEGER) AS fold, position, round(strategy_return, 8) AS strategy_return FROM bt")(
-    lambda s, d: backtest(predicted(s, d), bars(s, d, DAY)).select("symbol", "date", "fold", "position", F.round("strategy_return", 8).alias("strategy_return"))
-)
-query("bt_config", " UNION ALL ".join(f"(SELECT '{k}' AS frequency, count(*) AS n, round(sum(strategy_return), 6) AS total FROM ({BACKTEST.format(every=n)} SELECT * FROM bt))" for k, n in EVERY.items()))(
-    lambda s, d: (lambda one: one("weekly").unionByName(one("daily")))(
-        lambda k: backtest(predicted(s, d), bars(s, d, DAY), k).agg(F.lit(k).alias("frequency"), F.count("*").alias("n"), F.round(F.sum("strategy_return"), 6).alias("total"))
-    )
-)
-
 # Shuffled labels: row i of a group meets row j on (shuffle, group, place); no row carries its group
 
 
