@@ -20,6 +20,7 @@ from quantlake.functions.windows import so_far
 from quantlake.plans.labels import EMBARGO, GROUPS, LABELLED, PURGE, ROLES, TESTED, combinatorial, dated, labelled, purged_panel
 from quantlake.plans.market import QUERIES, SCORED, C, query, scored
 from quantlake.plans.models import EDGES, EULER, MOMENTS, NAMES, current_names, learners, moments, out_of_fold, panel, roles
+from quantlake.plans.permute import fixed_scores, verdicts
 from quantlake.plans.serving import BUY, SELL
 from quantlake.sources.bars import DAY, bars, bars_sql, by_symbol
 
@@ -213,65 +214,6 @@ def snk_model_artifact(spark: SparkSession, sf_dir: str) -> DataFrame:
 query("snk_model_artifact", "SELECT true AS same")(snk_model_artifact)
 QUERIES |= {"top_feature_importance_gain": top_feature_importance_gain, "mdl_meta_label": mdl_meta_label, "mdl_serving": mdl_serving}
 
-# Shuffled labels: row i of a group meets row j on (shuffle, group, place); no row carries its group
-
-
-SHUFFLES = 50
-SHUFFLE_KEY = "({0} * 7919 + {1} * 104729 + shuffle * 1299709) * 48271 % 2147483647 * 16807 % 2147483647"
-
-
-def shuffled(rows: DataFrame, group: str, order: str, key: str, shuffles: int = SHUFFLES) -> DataFrame:
-    """shuffle and score (mean of position * r) of ``rows`` (group, order, position, r); shuffle 0 leaves the rows as they are.
-    Within a group, the places by ``order`` are matched with those by a hash."""
-    rows = rows.withColumn("shuffle", F.explode(F.sequence(F.lit(0), F.lit(shuffles)))).withColumn("h", F.expr(key))
-    within = Window.partitionBy("shuffle", group)
-    rows = rows.withColumn("i", F.row_number().over(within.orderBy(order)))
-    rows = rows.withColumn("j", F.when(C("shuffle") == 0, C("i")).otherwise(F.row_number().over(within.orderBy("h", order))))
-    found = rows.select("shuffle", group, "position", C("j").alias("i")).join(rows.select("shuffle", group, "i", "r"), ["shuffle", group, "i"])
-    return found.groupBy("shuffle").agg(F.avg(C("position") * C("r")).alias("score"))
-
-
-def result(scores: DataFrame) -> DataFrame:
-    """observed, p_value, null_mean, null_std, null_95pct, z_score and a verdict; shuffles without a score are left out."""
-    rows = scores.withColumn("observed", F.max(F.when(C("shuffle") == 0, C("score"))).over(Window.partitionBy()))  # one row a shuffle
-    null = rows.where("shuffle > 0 AND score IS NOT NULL").groupBy("observed")
-    out = null.agg(
-        ((F.count_if(C("score") >= C("observed")) + 1) / (F.count("*") + 1)).alias("p_value"), F.avg("score").alias("null_mean"), F.stddev_samp("score").alias("null_std"), F.percentile("score", F.lit(0.95)).alias("null_95pct"),
-    )
-    z = (C("observed") - C("null_mean")) / F.nullif(C("null_std"), F.lit(0.0))
-    good = F.format_string("The result survives label shuffling (p=%.4f): fewer than 1 in 20 random relabellings did this well.", "p_value")
-    bad = F.format_string("The result does NOT survive label shuffling (p=%.4f). Randomly reshuffled labels produced a score this good %.1f%% of the time, so this edge is not distinguishable from chance.", "p_value", C("p_value") * 100)
-    digits = ("observed", "p_value", "null_mean", "null_std", "null_95pct")
-    return out.select(*(F.round(x, 8).alias(x) for x in digits), F.round(z, 6).alias("z_score"), (C("p_value") < 0.05).alias("significant"), F.when(C("p_value") < 0.05, good).otherwise(bad).alias("verdict"))
-
-
-RESULT = """z AS (SELECT score AS observed FROM sh WHERE shuffle = 0), n AS (SELECT any_value(observed) AS observed, (count(*) FILTER (score >= observed) + 1) / (count(*) + 1.0) AS p_value, avg(score) AS null_mean, stddev_samp(score) AS null_std, quantile_cont(score, 0.95) AS null_95pct FROM sh, z WHERE shuffle > 0)
-    SELECT round(observed, 8) AS observed, round(p_value, 8) AS p_value, round(null_mean, 8) AS null_mean, round(null_std, 8) AS null_std, round(null_95pct, 8) AS null_95pct, round((observed - null_mean) / nullif(null_std, 0), 6) AS z_score, p_value < 0.05 AS significant,
-      CASE WHEN p_value < 0.05 THEN format('The result survives label shuffling (p={:.4f}): fewer than 1 in 20 random relabellings did this well.', p_value) ELSE format('The result does NOT survive label shuffling (p={:.4f}). Randomly reshuffled labels produced a score this good {:.1f}% of the time, so this edge is not distinguishable from chance.', p_value, p_value * 100) END AS verdict FROM n"""
-TRADED = f"{bars_sql()}, m AS (SELECT symbol, date, sign(close - lag(close, 4) OVER w) AS position, lead(close) OVER w / close - 1 AS r, CAST(substr(symbol, 7) AS BIGINT) AS sk, date - DATE '1970-01-01' AS dk FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date)), t AS (SELECT * FROM m WHERE position IS NOT NULL AND r IS NOT NULL)"
-
-
-def traded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = bars(spark, sf_dir).select("symbol", "date", F.signum(C("close") - F.lag("close", 4).over(by_symbol())).alias("position"), (F.lead("close").over(by_symbol()) / C("close") - 1).alias("r"), F.substring("symbol", 7, 9).cast("long").alias("sk"), F.unix_date("date").cast("long").alias("dk"))
-    return rows.where("position IS NOT NULL AND r IS NOT NULL")
-
-
-def shuffled_sql(group: str, order: str) -> str:
-    return f"""e AS (SELECT *, {SHUFFLE_KEY.format("sk", "dk")} AS h FROM t, range({SHUFFLES + 1}) AS g(shuffle)),
-    o AS (SELECT *, row_number() OVER (PARTITION BY shuffle, {group} ORDER BY {order}) AS i, row_number() OVER (PARTITION BY shuffle, {group} ORDER BY h, {order}) AS j FROM e),
-    sh AS (SELECT a.shuffle, avg(a.position * b.r) AS score FROM o a JOIN o b ON a.shuffle = b.shuffle AND a.{group} = b.{group} AND b.i = CASE WHEN a.shuffle = 0 THEN a.i ELSE a.j END GROUP BY a.shuffle)"""
-
-
-for _name, _group, _order in (("perm_run", "date", "symbol"), ("perm_ticker", "symbol", "date")):
-    query(_name, f"{TRADED}, {shuffled_sql(_group, _order)}, {RESULT}")(lambda s, d, g=_group, o=_order: result(shuffled(traded(s, d), g, o, SHUFFLE_KEY.format("sk", "dk"))))
-query("perm_shuffle", f"{TRADED}, {shuffled_sql('date', 'symbol')} SELECT shuffle, round(score, 8) AS score FROM sh")(
-    lambda s, d: shuffled(traded(s, d), "date", "symbol", SHUFFLE_KEY.format("sk", "dk")).select(C("shuffle").cast("long").alias("shuffle"), F.round("score", 8).alias("score"))
-)
-query("cmp_model", f"{TRADED}, {shuffled_sql('date', 'symbol')}, r AS ({RESULT.replace('z AS', 'WITH z AS', 1)}) SELECT (SELECT count(DISTINCT symbol) FROM t) AS universe_size, p_value, significant AS is_significant, {SHUFFLES} AS permutations FROM r")(
-    lambda s, d: (lambda t: result(shuffled(t, "date", "symbol", SHUFFLE_KEY.format("sk", "dk"))).join(F.broadcast(t.agg(F.countDistinct("symbol").alias("universe_size"))), how="cross"))(traded(s, d))
-    .select("universe_size", "p_value", C("significant").alias("is_significant"), F.lit(SHUFFLES).alias("permutations"))
-)
-
 # Sharpe ratios against chance
 
 SPREAD = "(1 - skew * sr + (kurt - 1) / 4 * sr * sr)"
@@ -384,7 +326,8 @@ query("join_asof_prev_day", f"{bars_sql(DAY)}, d AS (SELECT DISTINCT date FROM b
 
 def mdl_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row of figures of a run: rows, folds, AUC of the linear baseline and of the stack over out-of-fold scores, and the
-    permutation's p-value. The stack's level is fitted in sample, as its name says."""
+    p-value of the stack's scores when labels change hands within a day. The stack's level is fitted in sample, as its
+    name says."""
     from quantlake.plans.models import mdl_meta_scores, mdl_oof
     from quantlake.sources.files import scratch
 
@@ -392,8 +335,9 @@ def mdl_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     mdl_oof(spark, sf_dir).write.parquet(path)
     held = spark.read.parquet(path)
     stacked = mdl_meta_scores(spark, sf_dir, held).select("symbol", "date", "fold", C("meta_in_sample").alias("stack"))
-    figures = compared(held.select("symbol", "date", "fold", C("linear").alias("base"), "y").join(stacked, ["symbol", "date", "fold"]))
-    chance = result(shuffled(traded(spark, sf_dir), "date", "symbol", SHUFFLE_KEY.format("sk", "dk"))).select("p_value", "significant")
+    both = held.select("symbol", "date", "fold", C("linear").alias("base"), "y").join(stacked, ["symbol", "date", "fold"])
+    figures = compared(both)
+    chance = verdicts(fixed_scores(both.withColumnRenamed("stack", "p"))).select("p_value", "significant")
     folds = held.agg(F.countDistinct("fold").alias("folds"), F.countDistinct("symbol").alias("universe_size"))
     for one in (chance, folds):
         figures = figures.join(F.broadcast(one), how="cross")  # one row each
