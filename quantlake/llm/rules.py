@@ -46,7 +46,8 @@ def fit_ratio(spark: SparkSession, docs: DataFrame, trusted: DataFrame, *, bucke
     Each task sums its counts; the sums are added up in tasks, so the driver gets a few times the model's size.
     """
     small_batches(spark)
-    good = docs.select("doc_id", "text").join(trusted.select("doc_id").distinct(), "doc_id", "left_semi")
+    # Texts move by id at every size, as they must once the ids are many; rows without an id never do.
+    good = docs.select("doc_id", "text").join(trusted.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, total = WordHashes(), np.zeros(buckets, np.int64)
