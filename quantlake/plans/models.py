@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quantlake.functions import windows as fw
+from quantlake.operators.descent import Descent
 from quantlake.plans.labels import purged_panel
 from quantlake.plans.market import QUERIES, C, query
 from quantlake.sources.bars import bars, bars_sql, by_symbol
+from quantlake.sources.files import scratch
 
 # Out-of-fold scores: every fold's models see only days before its test days, less the purged ones
 
@@ -49,13 +51,16 @@ def learners() -> dict:
         "linear": LogisticRegression(featuresCol="x", labelCol="y", regParam=0.01, elasticNetParam=0.15),
         "forest": RandomForestClassifier(featuresCol="x", labelCol="y", numTrees=20, maxDepth=6, minInstancesPerNode=50, seed=1),
         "network": MultilayerPerceptronClassifier(featuresCol="x", labelCol="y", layers=[len(FEATURES), 32, 16, 2], maxIter=15, seed=1),
+        "descent": Descent(featuresCol="x", labelCol="y", maxIter=15, stepSize=1.0),
         "boosted": GBTClassifier(featuresCol="x", labelCol="y", maxDepth=4, maxIter=10, stepSize=0.05, seed=1),
     }
 
 
 def out_of_fold(rows: DataFrame, folds: DataFrame, least_rows: int = 500) -> DataFrame:
-    """symbol, date, fold, y and one column a learner. A fold with too few rows or one class is left out."""
-    placed, out, held = rows.join(folds, "date").persist(), None, []
+    """symbol, date, fold, y and one column a learner. A fold with too few rows or one class is left out. The scores are written
+    out, so nothing stays in memory."""
+    spark, out, held = rows.sparkSession, None, [rows.join(folds, "date").persist()]
+    placed = held[0]
     sizes = placed.where("role = 'train'").groupBy("fold").agg(F.count("*").alias("n"), F.countDistinct("y").alias("kinds")).collect()
     for fold in sorted(r["fold"] for r in sizes if r["n"] >= least_rows and r["kinds"] == 2):
         part = placed.where(C("fold") == fold)
@@ -68,6 +73,10 @@ def out_of_fold(rows: DataFrame, folds: DataFrame, least_rows: int = 500) -> Dat
         for name, learner in learners().items():
             scored = learner.fit(known).transform(scored).withColumn(name, vector_second("probability")).drop("probability", "rawPrediction", "prediction")
         out = scored.drop("x") if out is None else out.unionByName(scored.drop("x"))
+    if out is not None:
+        path = scratch(spark, "out-of-fold")
+        out.write.parquet(path)
+        out = spark.read.parquet(path)
     for known in held:
         known.unpersist()
     if out is None:

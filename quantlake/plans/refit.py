@@ -63,15 +63,16 @@ def normal_sums(rows: DataFrame, days: DataFrame, keys: tuple[str, ...] = ()) ->
 
 
 def solved(a: np.ndarray, b: np.ndarray, n: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
-    """Coefficients of each system (…, k, k) and (…, k, m); the constant is not shrunk."""
-    shrink = np.eye(len(X)) * ridge
+    """Coefficients of each system (…, k, k) and (…, k, m); the constant, which is first, is not shrunk."""
+    shrink = np.eye(a.shape[-1]) * ridge
     shrink[0, 0] = 0
     return np.linalg.solve(a + np.asarray(n, float)[..., None, None] * shrink, b)
 
 
-def coefficients(sums: DataFrame, keys: tuple[str, ...] = (), least: int = LEAST_ROWS) -> DataFrame:
-    """``keys``, fold, n and beta of each fold with at least ``least`` training rows; one small system a row."""
-    types = dict(sums.dtypes)
+def coefficients(sums: DataFrame, keys: tuple[str, ...] = (), least: int = LEAST_ROWS, of: tuple[int, ...] = tuple(range(len(X)))) -> DataFrame:
+    """``keys``, fold, n and beta (0 for features that are not ``of`` the model) of each fold with at least ``least`` training rows;
+    one small system a row."""
+    types, of = dict(sums.dtypes), list(of)
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -79,7 +80,9 @@ def coefficients(sums: DataFrame, keys: tuple[str, ...] = (), least: int = LEAST
             for i, j in PAIRS:
                 a[:, i, j] = a[:, j, i] = batch[f"a{i}{j}"]
             b = batch[[f"b{i}" for i in range(len(X))]].to_numpy()[:, :, None]
-            yield batch[[*keys, "fold", "n"]].assign(beta=list(solved(a, b, batch["n"].to_numpy())[:, :, 0]))
+            beta = np.zeros((len(batch), len(X)))
+            beta[:, of] = solved(a[:, of][:, :, of], b[:, of], batch["n"].to_numpy())[:, :, 0]
+            yield batch[[*keys, "fold", "n"]].assign(beta=list(beta))
 
     schema = ", ".join(f"{k} {types[k]}" for k in (*keys, "fold", "n")) + ", beta array<double>"
     return sums.where(C("n") >= least).mapInPandas(solve, schema)
@@ -88,8 +91,13 @@ def coefficients(sums: DataFrame, keys: tuple[str, ...] = (), least: int = LEAST
 def predicted(rows: DataFrame, days: DataFrame, betas: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """The rows of each fold's test days with fold and p, cut to 0..1."""
     tests = rows.join(days.select("date", F.explode("tests").alias("fold")), "date").join(betas.select(*keys, "fold", "beta"), [*keys, "fold"])
-    p = sum((C("beta")[i] * C(x) for i, x in enumerate(X)), F.lit(0.0))
-    return tests.withColumn("p", F.greatest(F.lit(0.0), F.least(F.lit(1.0), p))).drop("beta")
+    return tests.withColumn("p", cut(C("beta"))).drop("beta")
+
+
+def cut(beta: Column, names: tuple[str, ...] = X) -> Column:
+    """The prediction of the coefficients ``beta`` for the features ``names``, cut to 0..1."""
+    p = sum((beta[i] * C(x) for i, x in enumerate(names)), F.lit(0.0))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), p))
 
 
 def traded(rows: DataFrame, frequency: str = "weekly", by: tuple[str, ...] = ("symbol",)) -> DataFrame:
@@ -132,26 +140,29 @@ FOLDS = f"""mdays AS MATERIALIZED (SELECT DISTINCT date, pos, n_days FROM d), f0
     f AS (SELECT fold, a, CASE WHEN fold = {SPLITS - 1} THEN n_days - 1 ELSE a + (n_days - {LEAST_TRAIN}) // {SPLITS} - 1 END AS b FROM f0)"""
 
 
-def sums_sql(rows: str, keys: str, y: str = "y") -> str:
-    """CTE e0: the sums over ``rows``, a join that gives x0.., y and ``keys``."""
-    sums = [f"sum({X[i]} * {X[j]}) AS a{i}{j}" for i, j in PAIRS] + [f"sum({x} * {y}) AS b{i}" for i, x in enumerate(X)]
-    return f"e0 AS (SELECT {keys}, count(*) AS n, {', '.join(sums)} FROM {rows} WHERE {y} IS NOT NULL GROUP BY {keys})"
+def sums_sql(rows: str, keys: str, y: str = "y", x: tuple[str, ...] = X, e: str = "e") -> str:
+    """CTE e0: the sums over ``rows``, a join that gives ``x``, y and ``keys``."""
+    sums = [f"sum({x[i]} * {x[j]}) AS a{i}{j}" for i in range(len(x)) for j in range(i, len(x))] + [f"sum({c} * {y}) AS b{i}" for i, c in enumerate(x)]
+    return f"{e}0 AS (SELECT {keys}, count(*) AS n, {', '.join(sums)} FROM {rows} WHERE {y} IS NOT NULL GROUP BY {keys})"
 
 
-def solve_sql(keys: str, least: int) -> str:
+def solve_sql(keys: str, least: int, k: int = len(X), e: str = "e", beta: str = "beta", c: str = "c") -> str:
     """CTEs e1.. that eliminate the system of each row of e0, and beta with the coefficients c0..; no pivots are needed, as the
     matrix is positive definite."""
-    k = len(X)
     entry = lambda i, j: f"a{min(i, j)}{max(i, j)}" + (f" + n * {RIDGE!r}" if i == j and i else "")
-    out = [f"e1 AS (SELECT {keys}, n, {', '.join(f'{entry(i, j)} AS m{i}{j}' for i in range(k) for j in range(k))}, {', '.join(f'b{i}' for i in range(k))} FROM e0 WHERE n >= {least})"]
+    out = [f"{e}1 AS (SELECT {keys}, n, {', '.join(f'{entry(i, j)} AS m{i}{j}' for i in range(k) for j in range(k))}, {', '.join(f'b{i}' for i in range(k))} FROM {e}0 WHERE n >= {least})"]
     for s in range(k):  # row s is made to lead with 1, and taken from all other rows
         cells = [f"m{s}{j} / m{s}{s} AS m{s}{j}" if i == s else f"m{i}{j} - m{i}{s} / m{s}{s} * m{s}{j} AS m{i}{j}" for i in range(k) for j in range(k)]
         rights = [f"b{s} / m{s}{s} AS b{s}" if i == s else f"b{i} - m{i}{s} / m{s}{s} * b{s} AS b{i}" for i in range(k)]
-        out.append(f"e{s + 2} AS (SELECT {keys}, n, {', '.join(cells)}, {', '.join(rights)} FROM e{s + 1})")
-    return ", ".join([*out, f"beta AS (SELECT {keys}, n, {', '.join(f'b{i} AS c{i}' for i in range(k))} FROM e{k + 1})"])
+        out.append(f"{e}{s + 2} AS (SELECT {keys}, n, {', '.join(cells)}, {', '.join(rights)} FROM {e}{s + 1})")
+    return ", ".join([*out, f"{beta} AS (SELECT {keys}, n, {', '.join(f'b{i} AS {c}{i}' for i in range(k))} FROM {e}{k + 1})"])
+
+
+def cut_sql(x: tuple[str, ...] = X, c: str = "c") -> str:
+    return "greatest(0.0, least(1.0, " + " + ".join(f"{c}{i} * {name}" for i, name in enumerate(x)) + "))"
 
 
-P = "greatest(0.0, least(1.0, " + " + ".join(f"c{i} * {x}" for i, x in enumerate(X)) + "))"
+P = cut_sql()
 
 
 def trade_sql(rows: str, by: str, every: int) -> str:

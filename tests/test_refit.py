@@ -120,3 +120,17 @@ def test_sharpe_of_flat_and_short_series(spark):
     df = spark.createDataFrame([("flat", 0.1), ("flat", 0.1), ("one", 0.3), ("two", 0.1), ("two", 0.3)], "k string, r double").groupBy("k")
     got = {r["k"]: (r["a"], r["b"]) for r in df.agg(refit.sharpe(F.col("r")).alias("a"), refit.sharpe(F.col("r"), 0).alias("b")).collect()}
     assert got["flat"] == (None, 0.0) and got["one"] == (None, 0.0) and math.isclose(got["two"][0], 0.2 / math.sqrt(0.02) * math.sqrt(252))
+
+
+def test_no_row_of_the_nested_stack_depends_on_its_own_label(planted):
+    from quantlake.plans.stacked import BASES, nested, nested_roles
+
+    day = planted.where("pos = 450").select("date").first()[0]
+    flipped = planted.withColumn("y", F.when((F.col("date") == day) & F.col("y").isNotNull(), 1 - F.col("y")).otherwise(F.col("y")))
+    said = lambda rows: {(r["symbol"], r["date"]): (r["p"], *(r[b] for b in BASES)) for r in nested(rows).collect()}
+    one, two = said(planted), said(flipped)
+    assert one.keys() == two.keys() and sum(d == day for _, d in one) == 4
+    assert all(one[k] == two[k] for k in one if k[1] <= day) and any(one[k] != two[k] for k in one if k[1] > day)
+    roles = nested_roles(refit.days_of(planted)).join(refit.days_of(planted), "date").groupBy("fold", "inner", "role").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi")).collect()
+    at = {(r["fold"], r["inner"], r["role"]): (r["lo"], r["hi"]) for r in roles}
+    assert all(at[f, i, "train"][1] < at[f, i, "test"][0] - PURGE for f, i, role in at if role == "train")
