@@ -17,61 +17,71 @@ from quantlake.llm import language, minhash, mixing, pieces, suffixes
 from quantlake.llm.common import Workspace, small_batches
 
 LEAST_SCORE = 0.5
-#: The number of a row inside a stage; doc_ids can repeat or be null, so no stage joins on them.
-ROW = "_pipeline_row"
 
 
-def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language of at least LEAST_SCORE; those without a letter, or between languages, go."""
-    small_batches(spark)
-    model = language.fit(spark, language.training_rows(docs))
-    found = docs.withColumn("_language", language.predictor(spark, model)(F.col("text")))
-    kept = (F.col("_language.lang_pred") != language.UNDETERMINED) & (F.col("_language.score") >= LEAST_SCORE)
-    return found.where(kept).drop("_language")
+def packed(docs: DataFrame) -> DataFrame:
+    """All columns of ``docs`` in one, d: no name of theirs can meet one of a stage's own."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"))
 
 
 def numbered(work: Workspace, docs: DataFrame) -> DataFrame:
-    """``docs`` with ROW, a number of each row's own: ascending with doc_id, nulls last, and then with a hash of the row.
+    """row, a number of each row's own (ascending with doc_id, nulls last, and then with a hash of the row), and d.
 
     It is written out, so that every later read sees the same numbers; hash and doc_id together spread a doc_id that many
     rows share, or lack, over the sorted parts.
     """
-    rows = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64(*docs.columns)).withColumn(ROW, F.monotonically_increasing_id())
-    return work.save(rows, "numbered")
+    rows = packed(docs).orderBy(F.col("d.doc_id").asc_nulls_last(), F.xxhash64("d"))
+    return work.save(rows.select(F.monotonically_increasing_id().alias("row"), "d"), "numbered")
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language of at least LEAST_SCORE; those without a letter, or between languages, go."""
+    small_batches(spark)
+    model = language.fit(spark, language.training_rows(docs))
+    found = packed(docs).withColumn("language", language.predictor(spark, model)(F.col("d.text")))
+    kept = (F.col("language.lang_pred") != language.UNDETERMINED) & (F.col("language.score") >= LEAST_SCORE)
+    return found.where(kept).select("d.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates, repeated rows included: the first by doc_id."""
-    work = Workspace(spark, "pipeline-minhash")
-    rows = numbered(work, docs)
-    work.sweep()
-    kept = minhash.near_duplicates(spark, rows.select(F.col(ROW).alias("doc_id"), "text")).where("kept")
-    return rows.join(kept.select(F.col("doc_id").alias(ROW)), ROW, "left_semi").select(*docs.columns)
+    rows = numbered(Workspace(spark, "pipeline-minhash"), docs)
+    kept = minhash.near_duplicates(spark, rows.select(F.col("row").alias("doc_id"), "d.text")).where("kept")
+    return rows.join(kept.select(F.col("doc_id").alias("row")), "row", "left_semi").select("d.*")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that an earlier row by doc_id has; documents with nothing left go."""
-    work = Workspace(spark, "pipeline-suffixes")
-    rows = numbered(work, docs)
-    work.sweep()
-    kept = suffixes.without_repeats(spark, rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), F.col("kept").alias("text"))
-    changed = rows.drop("text").join(kept.where("text <> ''"), ROW)
-    return changed.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    rows = numbered(Workspace(spark, "pipeline-suffixes"), docs)
+    kept = suffixes.without_repeats(spark, rows.select(F.col("row").alias("doc_id"), "d.text")).select(F.col("doc_id").alias("row"), "kept")
+    changed = rows.select("row", F.col("d").dropFields("text").alias("d")).join(kept.where("kept <> ''"), "row")
+    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return changed.select(*(new.get(c, F.col(f"d.`{c}`")).alias(c) for c in docs.columns))
+
+
+def copy_column(docs: DataFrame) -> str:
+    """A name that is free in ``docs``: copy, or that with underscores."""
+    name, taken = "copy", {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix takes it, to the nearest whole number; sources get their target weights. ``copy`` numbers them."""
-    work = Workspace(spark, "pipeline-mixing")
-    rows = numbered(work, docs)
-    work.sweep()
-    taken = mixing.mix(spark, rows, keep=(ROW,)).where("size > 0")
-    copies = taken.select(ROW, F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_copies")).where("_copies > 0")
-    return rows.join(copies, ROW).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns, "copy")
+    """Each row as often as the mix takes it, to the nearest whole number; sources get their target weights. A last column, copy (or
+    the name that copy_column() finds), numbers them."""
+    rows = numbered(Workspace(spark, "pipeline-mixing"), docs)
+    taken = mixing.mix(spark, rows.select("row", "d.doc_id", "d.text", "d.source"), keep=("row",)).where("size > 0")
+    copies = taken.select("row", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("copies")).where("copies > 0")
+    many = rows.join(copies, "row").withColumn("n", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return many.select("d.*", F.col("n").alias(copy_column(docs)))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every document: doc_id, n_pieces, lossless and ids."""
-    return pieces.encode(spark, docs, copy="copy" if "copy" in docs.columns else None)
+    """Piece ids of every document: doc_id, n_pieces, lossless and ids. The last column numbers copies, if mix_sources() made it."""
+    last = docs.columns[-1]
+    made = last.rstrip("_") == "copy" and dict(docs.dtypes)[last] == "int"
+    return pieces.encode(spark, docs, copy=last if made else None)
 
 
 STAGES = [
