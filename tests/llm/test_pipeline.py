@@ -121,3 +121,19 @@ def test_stages_of_an_empty_table(spark):
     assert corpus_pipeline.mix_sources(spark, empty, "").count() == 0
     clash = frame(spark, [(1, A, "en", "s1"), (2, A, "en", "s1")]).selectExpr("*", "'x' AS component_id", "'y' AS kept")
     assert corpus_pipeline.drop_near_duplicates(spark, clash, "").select("component_id", "kept").collect() == [("x", "y")]
+
+
+def test_extra_columns_of_any_name_pass_through_every_stage(spark, tmp_path):
+    names = ["copy", "copy_", "language", "d", "row", "kept", "n", "copies", "taken", "_language", "_copies", "size", "h"]
+    docs = frame(spark, [(1, A, "en", "s1"), (2, A + " end", "en", "s1"), (3, B, "en", "s2"), (None, C, None, None)])
+    docs = docs.selectExpr("*", *(f"concat('{c}', doc_id) AS `{c}`" for c in names))
+    mine = lambda df: Counter(tuple(r[c] for c in names) for r in df.collect())
+    whole = mine(docs)
+    near, cut, mixed = (f(spark, docs, "") for f in (corpus_pipeline.drop_near_duplicates, corpus_pipeline.cut_repeats, corpus_pipeline.mix_sources))
+    assert corpus_pipeline.identify_language(spark, docs, "").columns == docs.columns == near.columns == cut.columns
+    assert mine(near) <= whole and sum(mine(near).values()) == 3 and mine(cut) <= whole
+    mixed.write.parquet(str(tmp_path / "mixed"))
+    back = spark.read.parquet(str(tmp_path / "mixed"))
+    assert back.columns == [*docs.columns, "copy__"] and set(mine(back)) <= set(whole)
+    encoded = corpus_pipeline.encode_pieces(spark, back, "")
+    assert encoded.count() == back.count() and encoded.where("not lossless").count() == 0
