@@ -17,6 +17,7 @@ from quantlake.sources.bars import DAY, bars, bars_sql, by_symbol, dirty_bars
 CANONICAL = ("date", "symbol", "series", "open", "high", "low", "close", "prev_close", "volume", "turnover", "trades", "delivery_qty", "delivery_pct", "isin")
 SEVERITY = dict.fromkeys(("T1_structural_schema", "T1_structural_non_empty", "T1_structural_date_match", *ROW_RULES), "FATAL") | {
     "T2_validity_turnover_reconciles": "ERROR",
+    "T3_completeness_trading_day": "WARNING",
     "T3_completeness_row_count": "ERROR",
     "T3_completeness_missing_symbols": "WARNING",
     "T3_completeness_expected_constituents": "ERROR",
@@ -26,8 +27,9 @@ SEVERITY = dict.fromkeys(("T1_structural_schema", "T1_structural_non_empty", "T1
     "T5_plausibility_staleness": "INFO",
     "T5_plausibility_zero_volume_move": "WARNING",
     "T5_plausibility_volume_spike": "WARNING",
+    "T6_cross_source_close_agreement": "WARNING",
 }
-TOLERANCE, CIRCUIT, SIGMA, SPIKE, SAMPLE, LATEST = 0.005, 20, 6, 50, 20, 50
+TOLERANCE, CIRCUIT, SIGMA, SPIKE = 0.005, 20, 6, 50
 HISTORY = "OVER (PARTITION BY symbol ORDER BY date RANGE BETWEEN INTERVAL 120 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING)"
 BEFORE = "OVER (PARTITION BY symbol ORDER BY date)"
 FIVE = "OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)"
@@ -141,40 +143,7 @@ query("join_action_lookup", f"{GATED}, {PARSED_SQL} SELECT ok.symbol, date, rati
     lambda s, d: with_actions(accepted(s, d), price_actions(s)).where("ratio IS NOT NULL").select("symbol", "date", "ratio")
 )
 
-# The report: one row a file and rule
-
-
-def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(date, rule, symbol) of everything that the rules of rows and histories object to: held rows under the rule that owns
-    them, accepted ones under each rule that they break."""
-    held = gated(spark, sf_dir).where("held_by IS NOT NULL").select("date", C("held_by").alias("rule"), "symbol")
-    broken = F.array_compact(F.array(*(F.when(C(k), F.lit(k)) for k in HISTORICAL)))
-    return held.unionByName(judged(spark, sf_dir).select("date", F.explode(broken).alias("rule"), "symbol"))
-
-
-def severity(rule: Column) -> Column:
-    return F.element_at(F.create_map(*(F.lit(x) for k in SEVERITY.items() for x in k)), rule)
-
-
-def report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """date, rule, severity, affected_rows, symbols (all, sorted) and evidence (JSON with a sample of SAMPLE) of each failure."""
-    rows = found(spark, sf_dir).groupBy("date", "rule").agg(F.count("*").alias("affected_rows"), F.sort_array(F.collect_set("symbol")).alias("all"))
-    evidence = F.to_json(F.struct(C("affected_rows").alias("count"), F.slice("all", 1, SAMPLE).alias("sample")))
-    return rows.select("date", "rule", severity(C("rule")).alias("severity"), "affected_rows", F.array_join("all", ",").alias("symbols"), evidence.alias("evidence"))
-
-
-SEVERITY_SQL = "CASE rule " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SEVERITY.items()) + " END"
-FOUND = f"{JUDGED}, found AS (SELECT date, held_by AS rule, symbol FROM gated WHERE held_by IS NOT NULL" + "".join(f" UNION ALL SELECT date, '{k}', symbol FROM judged WHERE {k}" for k in HISTORICAL) + ")"
-REPORT = f"""{FOUND}, k AS (SELECT date, rule, count(*) AS affected_rows, list_sort(list_distinct(list(symbol))) AS l FROM found GROUP BY date, rule),
-    report AS (SELECT date, rule, {SEVERITY_SQL} AS severity, affected_rows, array_to_string(l, ',') AS symbols, '{{"count":' || affected_rows || ',"sample":["' || array_to_string(l[1:{SAMPLE}], '","') || '"]}}' AS evidence FROM k)"""
-query("gate_report", f"{REPORT} SELECT * FROM report")(report)
-query("gate_row_rule", f"{REPORT} SELECT date, rule, affected_rows, symbols FROM report WHERE severity = 'FATAL'")(
-    lambda s, d: report(s, d).where("severity = 'FATAL'").select("date", "rule", "affected_rows", "symbols")
-)
-query("gate_failures", f"{REPORT} SELECT date, rule, severity, affected_rows FROM report ORDER BY date DESC, rule LIMIT {LATEST}")(
-    lambda s, d: report(s, d).select("date", "rule", "severity", "affected_rows").orderBy(F.desc("date"), "rule").limit(LATEST)
-)
-query("fn_to_json", f"{REPORT} SELECT date, rule, evidence FROM report")(lambda s, d: report(s, d).select("date", "rule", "evidence"))
+# Held rows by their place in the file
 
 
 def offending(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,26 +158,6 @@ query(
 )(offending)
 
 
-def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """date, verdict, rows_in, rows_accepted, rows_quarantined and failures: REJECTED where the file's dates differ, else
-    QUARANTINED if a row is held, else PASS_WITH_WARNINGS if any rule fails, else PASS."""
-    rows = gated(spark, sf_dir).groupBy("date").agg(F.count("*").alias("rows_in"), F.count("held_by").alias("held"), F.max(C("t") % 149 == 7).alias("blocked"))
-    failures = found(spark, sf_dir).groupBy("date").agg(F.countDistinct("rule").alias("failures"))
-    rows = rows.join(failures, "date", "left").withColumn("failures", F.coalesce("failures", F.lit(0)))
-    verdict = F.when(C("blocked"), "REJECTED").when(C("held") > 0, "QUARANTINED").when(C("failures") > 0, "PASS_WITH_WARNINGS").otherwise("PASS")
-    kept = F.when(C("blocked"), 0).otherwise(C("rows_in") - C("held")).cast("long")
-    return rows.select("date", verdict.alias("verdict"), "rows_in", kept.alias("rows_accepted"), (C("rows_in") - kept).alias("rows_quarantined"), "failures")
-
-
-VERDICTS = f"""{FOUND}, v AS (SELECT date, count(*) AS rows_in, count(held_by) AS held, bool_or(t % 149 = 7) AS blocked FROM gated GROUP BY date), c AS (SELECT date, count(DISTINCT rule) AS failures FROM found GROUP BY date),
-    verdicts AS (SELECT date, CASE WHEN blocked THEN 'REJECTED' WHEN held > 0 THEN 'QUARANTINED' WHEN failures > 0 THEN 'PASS_WITH_WARNINGS' ELSE 'PASS' END AS verdict, rows_in,
-      CASE WHEN blocked THEN 0 ELSE rows_in - held END AS rows_accepted, CASE WHEN blocked THEN rows_in ELSE held END AS rows_quarantined, coalesce(failures, 0) AS failures FROM v LEFT JOIN c USING (date))"""
-query("gate_verdict", f"{VERDICTS} SELECT * FROM verdicts")(verdicts)
-query(
-    "agg_verdict_counts",
-    f"{VERDICTS} SELECT verdict, count(*) AS files, CAST(sum(rows_in) AS BIGINT) AS rows_in, CAST(sum(rows_accepted) AS BIGINT) AS rows_accepted, CAST(sum(rows_quarantined) AS BIGINT) AS rows_quarantined FROM verdicts GROUP BY verdict",
-)(lambda s, d: verdicts(s, d).groupBy("verdict").agg(F.count("*").alias("files"), *(F.sum(x).alias(x) for x in ("rows_in", "rows_accepted", "rows_quarantined"))))
-
 # Replay: held rows meet the gate again, without the rules that have been relaxed. Released rows have no rule.
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quantlake.plans.calendar import CLOSED
-from quantlake.plans.gate import REPORT, VERDICTS, report, verdicts
+from quantlake.plans.daygate import BOTH, VERDICTS, all_files, judged, reported, verdicts
 from quantlake.plans.market import ACTIONS, ADJUSTED_SQL, GATED, PARSED_SQL, C, adjusted, gated, parse_purpose, query
 from quantlake.plans.universe import AS_OF, REGISTRY, SCORES, market, registry, universe
 from quantlake.sources import lake
@@ -254,12 +254,15 @@ query("snk_quarantine", f"{GATED} SELECT symbol, date, held_by, 'run-' || year(d
 
 
 def stored_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch(spark, "reports")
-    lake.write_partition(report(spark, sf_dir).join(verdicts(spark, sf_dir).select("date", "verdict"), "date").withColumn("year", F.year("date")), path, "year")
+    """The report of every file, with its verdict, written by year and read back; files are judged once and kept for both."""
+    judged_path, path = scratch(spark, "judged"), scratch(spark, "reports")
+    all_files(spark, sf_dir).write.parquet(judged_path)
+    files = spark.read.parquet(judged_path)
+    lake.write_partition(reported(files).join(judged(files).select("date", "verdict"), "date").withColumn("year", F.year("date")), path, "year")
     return spark.read.parquet(path)
 
 
-query("snk_quality_report", f"{REPORT}, {VERDICTS[VERDICTS.index('v AS ('):]} SELECT report.*, verdict, year(date)::INTEGER AS year FROM report JOIN verdicts USING (date)")(stored_report)
+query("snk_quality_report", f"{BOTH} SELECT report.*, verdict, year(date)::INTEGER AS year FROM report JOIN verdicts USING (date)")(stored_report)
 
 
 def left_to_do(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,11 +94,11 @@ def dirty_select() -> str:
     return ", ".join(f"CASE {' '.join(by_column[c])} ELSE {c} END AS {c}" if c in by_column else c for c in names) + ", t"
 
 
-def dirty_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    numbered = bars(spark, sf_dir).withColumn("t", F.row_number().over(by_symbol()))
+def dirty_bars(spark: SparkSession, sf_dir: str, period: str = WEEK) -> DataFrame:
+    numbered = bars(spark, sf_dir, period).withColumn("t", F.row_number().over(by_symbol()))
     return numbered.selectExpr(*dirty_select().split(", "))
 
 
-def dirty_sql() -> str:
-    return f"""{bars_sql()}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS t FROM bars),
+def dirty_sql(period: str = WEEK) -> str:
+    return f"""{bars_sql(period)}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS t FROM bars),
     dirty AS (SELECT {dirty_select()} FROM n)"""
