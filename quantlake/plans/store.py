@@ -17,7 +17,8 @@ from quantlake.plans.market import ACTIONS, ADJUSTED_SQL, GATED, PARSED_SQL, C,
 from quantlake.plans.universe import AS_OF, REGISTRY, SCORES, market, registry, universe
 from quantlake.sources import lake
 from quantlake.sources.bars import DAY, bars, bars_sql
-from quantlake.sources.files import candidates, decode, delivery_url, equity_url, has_data, local_days, put, scratch, unified_url
+from quantlake.sources.dayfiles import read_days, write_days
+from quantlake.sources.files import candidates, decode, delivery_url, equity_url, has_data, put, scratch, unified_url
 from quantlake.sources.layouts import era
 
 BASE = "https://archive.example"
@@ -50,7 +51,7 @@ TEXT = ["SYMBOL", "DATE", "CLOSE", "NOTE"]
 
 
 def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """year and content of one file a year of the weekly bars of two symbols."""
+    """year and content of one file a year of the weekly bars."""
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         year = int(group["year"].iloc[0])
@@ -64,34 +65,33 @@ def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
             content = held.getvalue()
         return pd.DataFrame({"year": [year], "content": [content]})
 
-    rows = bars(spark, sf_dir).where("symbol IN ('Brand#11', 'Brand#12')").select("symbol", "date", C("close").cast("string").alias("close"), F.year("date").alias("year"))
+    rows = bars(spark, sf_dir).select("symbol", "date", C("close").cast("string").alias("close"), F.year("date").alias("year"))
     return rows.groupBy("year").applyInPandas(pack, "year int, content binary")
 
 
-query("src_decode_csv", f"{bars_sql()} SELECT symbol, date, round(close, 8) AS close, CASE WHEN day(date) % 2 = 1 THEN 'NA' END AS note, year(date)::INTEGER AS year FROM bars WHERE symbol IN ('Brand#11', 'Brand#12')")(
+query("src_decode_csv", f"{bars_sql()} SELECT symbol, date, round(close, 8) AS close, CASE WHEN day(date) % 2 = 1 THEN 'NA' END AS note, year(date)::INTEGER AS year FROM bars")(
     lambda s, d: decode(archives(s, d), TEXT, ("year",)).select(C("SYMBOL").alias("symbol"), C("DATE").cast("date").alias("date"), F.round(C("CLOSE").try_cast("double"), 8).alias("close"), C("NOTE").alias("note"), "year")
 )
 
 
 def day_folder(spark: SparkSession, sf_dir: str) -> str:
-    """A folder of a few day files, some days with two kinds: 20 days of the smallest symbol, as a run of the archive leaves them."""
-    folder = scratch(spark, "days")
-    days = [r["date"] for r in bars(spark, sf_dir, DAY).select("date").distinct().where("date < DATE '1995-02-01' AND date >= DATE '1995-01-02'").orderBy("date").limit(20).collect()]
-    for k, day in enumerate(days):
-        names = {"delivery": f"sec_bhavdata_full_{day:%d%m%Y}.csv", "equity": f"cm{day:%d}{day:%b}{day:%Y}bhav.csv".replace(f"{day:%b}", f"{day:%b}".upper())}
-        for kind in (("delivery", "equity"), ("delivery",), ("equity",))[k % 3]:
-            put(spark, f"{folder}/{names[kind]}", f"SYMBOL,KIND\nBRAND,{kind}\n".encode())
+    """A folder with a file of every day's bars, for some days of two kinds; each says what kind it is."""
+    folder, rows = scratch(spark, "days"), bars(spark, sf_dir, DAY).select("date", C("symbol").alias("SYMBOL"), C("close").alias("CLOSE"))
+    days = rows.select("date").distinct().withColumn("k", (F.row_number().over(Window.orderBy("date")) - 1) % 3)  # one row a day
+    kinds = F.when(C("k") == 0, F.array(F.lit("delivery"), F.lit("equity"))).when(C("k") == 1, F.array(F.lit("delivery"))).otherwise(F.array(F.lit("equity")))
+    files = rows.join(days.withColumn("kind", F.explode(kinds)).drop("k"), "date").withColumn("KIND_", C("kind"))
+    write_days(files, folder, ["SYMBOL", "CLOSE", "KIND_"])
     return folder
 
 
 def local_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = local_days(spark, day_folder(spark, sf_dir)).withColumnRenamed("kind", "picked")
-    return decode(files, ["SYMBOL", "KIND"], ("date", "picked")).select("date", C("picked").alias("kind"), C("KIND").alias("said"))
+    rows = read_days(spark, day_folder(spark, sf_dir), daysPerPartition="100")
+    return rows.select("date", "kind", C("row")["SYMBOL"].alias("symbol"), F.round(C("row")["CLOSE"].cast("double"), 8).alias("close"), C("row")["KIND_"].alias("said"))
 
 
 query(
     "src_local_dir",
-    f"{bars_sql(DAY)}, d AS (SELECT DISTINCT date FROM bars WHERE date >= DATE '1995-01-02' AND date < DATE '1995-02-01' ORDER BY date LIMIT 20), n AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS k FROM d) SELECT date, CASE WHEN k % 3 = 2 THEN 'equity' ELSE 'delivery' END AS kind, CASE WHEN k % 3 = 2 THEN 'equity' ELSE 'delivery' END AS said FROM n",
+    f"{bars_sql(DAY)}, n AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS k FROM (SELECT DISTINCT date FROM bars)), w AS (SELECT date, CASE WHEN k % 3 = 2 THEN 'equity' ELSE 'delivery' END AS kind FROM n) SELECT date, kind, symbol, round(close, 8) AS close, kind AS said FROM bars JOIN w USING (date)",
 )(local_rows)
 
 

@@ -13,7 +13,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 # The first day of the unified layout, and the names of day files.
 UNIFIED_FROM = "2024-07-08"
@@ -77,22 +76,6 @@ def decode(files: DataFrame, columns: list[str], keep: tuple[str, ...] = ()) ->
     return files.select(*keep, "content").mapInPandas(work, schema)
 
 
-def local_days(spark: SparkSession, folder: str) -> DataFrame:
-    """date, kind and content of the preferred file of each day in ``folder``."""
-    names = {"unified": r"BhavCopy_.*_(\d{8})_F_0000\.csv", "delivery": r"sec_bhavdata_full_(\d{8})\.csv", "equity": r"cm(\d{2}[A-Z]{3}\d{4})bhav\.csv"}
-    formats = {"unified": "yyyyMMdd", "delivery": "ddMMyyyy", "equity": "ddMMMyyyy"}
-    rows = spark.read.format("binaryFile").load(folder).select(F.col("path"), "content")
-    kind, day = F.lit(None), F.lit(None).cast("date")
-    for name, pattern in names.items():
-        found = F.regexp_extract("path", pattern, 1)
-        kind = F.when(found != "", name).otherwise(kind)
-        day = F.when(found != "", F.to_date(F.initcap(found), formats[name])).otherwise(day)
-    rows = rows.select(day.alias("date"), kind.alias("kind"), "content").where("kind IS NOT NULL")
-    rows = rows.withColumn("place", F.array_position(candidates(F.col("date")), F.col("kind"))).where("place > 0")
-    best = Window.partitionBy("date").orderBy("place")
-    return rows.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("date", "kind", "content")
-
-
 def put(spark: SparkSession, path: str, content: bytes) -> None:
     """Write one small file to any file system that Spark reaches."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
