@@ -12,16 +12,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quantlake.plans.gate import BEFORE, CANONICAL, CIRCUIT, FIVE, HISTORY, SEVERITY, SIGMA, SPIKE, TOLERANCE, missing_columns
+from quantlake.plans.gate import BEFORE, CIRCUIT, FIVE, HISTORY, SEVERITY, SIGMA, SPIKE, TOLERANCE, missing_columns
 from quantlake.plans.market import BATCH_RULES, OWNER, PARSED_SQL, ROW_RULES, C, price_actions, query
-from quantlake.sources.bars import DAY, bars, bars_sql, by_symbol, dirty_bars, dirty_sql
+from quantlake.sources.bars import DAY, bars, by_symbol, dirty_bars, dirty_sql
 
 # Thresholds of rows and closes, days looked back, holidays (month and day), rows shown.
 ROW_COUNT, CLOSES, LOOK_BACK, HISTORY_DAYS, SAMPLE, LATEST = 0.25, 1.0, 20, 120, 20, 50
 HOLIDAYS = ("01-26", "05-01", "08-15", "10-02", "12-25")
 EXPECTED_BARS = 200
 ANNOTATING = [k for k in SEVERITY if k.startswith(("T2_validity_turnover", "T4", "T5", "T6"))]
-FILE_RULES = ("T1_structural_non_empty", "T1_structural_date_match", "T3_completeness_trading_day", "T3_completeness_row_count", "T3_completeness_missing_symbols", "T3_completeness_expected_constituents")
 
 
 def examined(rows: DataFrame, actions: DataFrame, other: DataFrame) -> DataFrame:

@@ -48,9 +48,6 @@ def missing_columns(rows: DataFrame) -> list[str]:
     return [c for c in CANONICAL if c not in rows.columns]
 
 
-query("T1_structural_schema", f"SELECT unnest({list(CANONICAL)}) AS column_name, unnest({[c not in ('series', 'delivery_pct', 'isin') for c in CANONICAL]}) AS present")(
-    lambda s, d: s.createDataFrame([(c, c not in missing_columns(dirty_bars(s, d))) for c in CANONICAL], "column_name string, present boolean")
-)
 query(
     "T1_structural_non_empty",
     f"""{bars_sql(DAY)}, one AS (SELECT date FROM bars WHERE symbol = 'Brand#11'), days AS (SELECT CAST(unnest(generate_series((SELECT min(date) FROM one), (SELECT max(date) FROM one), INTERVAL 1 DAY)) AS DATE) AS date)
@@ -126,7 +123,6 @@ def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("symbol", "date", *(F.coalesce(x, F.lit(False)).alias(k) for k, x in flags.items()))
 
 
-HISTORICAL = [k for k in SEVERITY if k.startswith(("T4", "T5", "T2_validity_turnover"))]
 JUDGED = f"""{GATED}, {PARSED_SQL}, h AS (SELECT *, lag(close) {BEFORE} AS prior, ln(close / prev_close) AS r, count(close) {FIVE} AS n5, min(close) {FIVE} AS low5, max(close) {FIVE} AS high5, median(volume) {HISTORY} AS med FROM ok),
     g AS (SELECT *, stddev_samp(r) {HISTORY} AS sd FROM h),
     judged AS (SELECT g.symbol, g.date,

@@ -6,8 +6,7 @@ written apart, with iterations unrolled.
 
 from __future__ import annotations
 
-from itertools import combinations
-from math import comb, e
+from math import e
 
 import numpy as np
 import pandas as pd
@@ -16,13 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quantlake.functions import normal
-from quantlake.functions.windows import so_far
-from quantlake.plans.labels import EMBARGO, GROUPS, LABELLED, PURGE, ROLES, TESTED, combinatorial, dated, labelled, purged_panel
+from quantlake.plans.labels import EMBARGO, LABELLED, PURGE, ROLES, combinatorial, dated, labelled, purged_panel
 from quantlake.plans.market import QUERIES, SCORED, C, query, scored
-from quantlake.plans.models import EDGES, EULER, MOMENTS, NAMES, current_names, learners, moments, out_of_fold, panel, roles
+from quantlake.plans.models import EULER, MOMENTS, learners, moments, out_of_fold, panel, roles
 from quantlake.plans.permute import fixed_scores, verdicts
-from quantlake.plans.serving import BUY, SELL
-from quantlake.sources.bars import DAY, bars, bars_sql, by_symbol
+from quantlake.sources.bars import DAY, bars, bars_sql
 
 # Logistic regression by gradient descent: standardised features, a penalty on the weights but not on the constant
 
@@ -245,11 +242,8 @@ query("st_dsr_trials", f"{MOMENTS}, {TRIALS}, b AS (SELECT {MOST} AS best FROM t
     lambda s, d: (lambda m: m.join(F.broadcast(trials(m).select(F.expr(MOST).alias("best"))), how="cross"))(moments(s, d)).agg(F.count("*").alias("trials"), F.count_if(F.expr(psr("best")) > 0.95).alias("beyond_chance"))
 )
 
-# Splits: how many, and that no day is both in training and in test
+# Splits: no day is both in training and in test
 
-query("cv_cpcv_counts", f"SELECT {comb(GROUPS, TESTED)} AS splits, {comb(GROUPS - 1, TESTED - 1)} AS paths")(
-    lambda s, d: (lambda c: s.createDataFrame([(len(c), sum(0 in x for x in c))], "splits int, paths int"))(list(combinations(range(GROUPS), TESTED)))
-)
 query("cv_no_overlap", f"{ROLES} SELECT 'panel' AS kind, CAST(fold AS INTEGER) AS fold, 0 AS in_both, count(DISTINCT date) FILTER (pos >= a AND pos <= b) AS test_days FROM g GROUP BY fold")(
     lambda s, d: purged_panel(dated(s, d)[1]).groupBy("fold", "date").agg(F.max((C("role") == "train").cast("int")).alias("a"), F.max((C("role") == "test").cast("int")).alias("b"))
     .groupBy("fold").agg(F.count_if((C("a") == 1) & (C("b") == 1)).cast("int").alias("in_both"), F.sum("b").alias("test_days")).select(F.lit("panel").alias("kind"), "fold", "in_both", "test_days")
@@ -294,16 +288,6 @@ def sequential_bootstrap(labels: DataFrame, draws: int = 100, seed: int = 7) ->
 QUERIES["wgt_seq_bootstrap"] = lambda s, d: sequential_bootstrap(labelled(s, d))
 query("lab_panel", f"{LABELLED} SELECT date, symbol, label FROM lab ORDER BY date, symbol")(lambda s, d: labelled(s, d).select("date", "symbol", "label").orderBy("date", "symbol"))
 
-# Names back and forth
-
-query("join_rename_chain", f"{NAMES} SELECT new AS symbol, array_to_string(list_sort(list(old)), ',') AS earlier FROM names WHERE new <> old GROUP BY new")(
-    lambda s, d: current_names(s).where("new <> old").groupBy(C("new").alias("symbol")).agg(F.array_join(F.sort_array(F.collect_set("old")), ",").alias("earlier"))
-)
-query("join_canonicalise", f"{NAMES}, asked AS (SELECT unnest(['Brand#5', 'Brand#1', 'Brand#3N', 'Brand#9', 'Brand#1']) AS symbol, unnest(range(5)) AS k) SELECT symbol FROM (SELECT coalesce(new, symbol) AS symbol, min(k) AS k FROM asked LEFT JOIN names ON old = symbol GROUP BY 1) ORDER BY k")(
-    lambda s, d: s.createDataFrame(list(enumerate(["Brand#5", "Brand#1", "Brand#3N", "Brand#9", "Brand#1"])), "k int, symbol string").join(current_names(s), C("symbol") == C("old"), "left")
-    .groupBy(F.coalesce("new", "symbol").alias("symbol")).agg(F.min("k").alias("k")).orderBy("k").select("symbol")
-)
-_ = EDGES
 
 # The market day before each order's day: both in one order, the last day seen
 

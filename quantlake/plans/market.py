@@ -231,20 +231,6 @@ ADJUSTED_SQL = f"""{bars_sql()}, {PARSED_SQL}, f AS (SELECT b.symbol, b.date, co
     adj AS (SELECT b.* REPLACE (open * factor AS open, high * factor AS high, low * factor AS low, close * factor AS close, prev_close * coalesce(lag(factor) OVER (PARTITION BY b.symbol ORDER BY b.date), factor) AS prev_close,
       CAST(round_even(volume / factor, 0) AS BIGINT) AS volume), factor AS adj_factor, close * factor AS adj_close FROM bars b JOIN f USING (symbol, date))"""
 ADJUSTED = ("open", "high", "low", "close", "prev_close", "adj_factor", "adj_close")
-query("fn_parse_purpose", f"WITH {PARSED_SQL} SELECT * FROM parsed")(lambda s, d: parsed(s))
-query("fn_regex_set", f"WITH {PARSED_SQL} SELECT kind, count(*) AS n, count(*) FILTER (confident) AS confident FROM parsed GROUP BY kind")(
-    lambda s, d: parsed(s).groupBy("kind").agg(F.count("*").alias("n"), F.count_if("confident").alias("confident"))
-)
-query("fn_affects_price", f"WITH {PARSED_SQL} SELECT symbol, ex_date, purpose, kind IN {PRICE_KINDS} AND ratio <> 1 AS affects_price FROM parsed")(
-    lambda s, d: parsed(s).select("symbol", "ex_date", "purpose", (C("kind").isin(*PRICE_KINDS) & (C("ratio") != 1)).alias("affects_price"))
-)
-query("fn_actions_from_frame", f"WITH {PARSED_SQL} SELECT upper(trim(symbol)) AS symbol, ex_date, kind, ratio FROM parsed WHERE confident")(
-    lambda s, d: parsed(s).where("confident").select(F.upper(F.trim("symbol")).alias("symbol"), "ex_date", "kind", "ratio")
-)
-query("fn_rename_events", f"WITH {PARSED_SQL} SELECT symbol AS old_symbol, CAST(NULL AS VARCHAR) AS new_symbol, ex_date AS effective_date, true AS needs_review FROM parsed WHERE kind = 'symbol_change'")(
-    lambda s, d: parsed(s).where("kind = 'symbol_change'").select(C("symbol").alias("old_symbol"), F.lit(None).cast("string").alias("new_symbol"), C("ex_date").alias("effective_date"), F.lit(True).alias("needs_review"))
-)
-query("gate_action_index", f"WITH {PARSED_SQL} SELECT symbol, ex_date, ratio FROM act")(lambda s, d: price_actions(s))
 query("agg_cumulative_factor", f"{ADJUSTED_SQL} SELECT symbol, date, round(factor, 8) AS adj_factor FROM f")(lambda s, d: adjusted(s, d).select("symbol", "date", F.round("adj_factor", 8).alias("adj_factor")))
 query("agg_adjust_symbol", f"{ADJUSTED_SQL} SELECT symbol, date, {', '.join(f'round({c}, 6) AS {c}' for c in ADJUSTED)}, volume, turnover FROM adj")(
     lambda s, d: adjusted(s, d).select("symbol", "date", *(F.round(c, 6).alias(c) for c in ADJUSTED), "volume", "turnover")

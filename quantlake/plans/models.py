@@ -148,7 +148,6 @@ def current_names(spark: SparkSession) -> DataFrame:
 
 
 NAMES = f"WITH RECURSIVE {EDGES}, c(old, new, path) AS (SELECT old, new, [old, new] FROM edges UNION ALL SELECT c.old, e.new, list_append(c.path, e.new) FROM c JOIN edges e ON e.old = c.new WHERE NOT list_contains(c.path, e.new)), names AS (SELECT old, arg_max(new, len(path)) AS new FROM c GROUP BY old)"
-query("join_rename_forward", f"{NAMES} SELECT old, new FROM names")(lambda s, d: current_names(s))
 query("join_apply_map", f"{NAMES}, {bars_sql().removeprefix('WITH ')} SELECT coalesce(new, symbol) AS symbol, symbol AS original_symbol, date, close FROM bars LEFT JOIN names ON old = symbol")(
     lambda s, d: bars(s, d).join(current_names(s), C("symbol") == C("old"), "left").select(F.coalesce("new", "symbol").alias("symbol"), C("symbol").alias("original_symbol"), "date", "close")
 )

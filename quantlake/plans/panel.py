@@ -127,9 +127,6 @@ query(
 query("win_panel_features", f"{bars_sql(DAY)} SELECT symbol, format('{{}} rows, below {{}}', count(*), 1500) AS reason FROM bars GROUP BY symbol HAVING count(*) < 1500")(
     lambda s, d: skipped(bars(s, d, DAY), 1500)
 )
-query("prj_feature_cols", "SELECT unnest([" + ", ".join(f"'{x}'" for x in ["delivery_pct", *FEATURES]) + "]) AS feature")(
-    lambda s, d: s.createDataFrame([(x,) for x in feature_columns(with_features(bars(s, d, DAY)))], "feature string")
-)
 
 # Preparing bars: types, gaps, outliers, returns, normal columns. A later step sees what an earlier one left.
 

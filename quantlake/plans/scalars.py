@@ -12,7 +12,7 @@ from quantlake.plans.serving import direction
 from quantlake.plans.store import LATER, LATER_SQL
 from quantlake.plans.universe import MARKET, clean, market, saturating
 from quantlake.sources.bars import DAY, bars, bars_sql, by_symbol
-from quantlake.sources.layouts import DELIVERY, EQUITY, UNIFIED, cash_equity, normalise
+from quantlake.sources.layouts import EQUITY, cash_equity, normalise
 
 # Series that have a meaning of their own.
 SERIES = ("EQ", "BE", "BZ", "SM", "ST")
@@ -38,9 +38,6 @@ def expected_range(spark: SparkSession, start: str, end: str) -> DataFrame:
     return spark.range(1).select(days(F.lit(start).cast("date"), F.lit(end).cast("date"))).where(expected("date"))
 
 
-query("fn_expected_range", f"SELECT CAST(d AS DATE) AS date FROM generate_series(DATE '1995-01-01', DATE '1997-12-31', INTERVAL 1 DAY) AS t(d) WHERE isodow(d) < 6 AND strftime(d, '%m-%d') NOT IN {CLOSED}")(
-    lambda s, d: expected_range(s, "1995-01-01", "1997-12-31")
-)
 query("nrm_as_date", f"{bars_sql(DAY)}, x AS (SELECT DISTINCT {LATER_SQL} AS date FROM bars) SELECT date, CAST(date AS VARCHAR) || ' 09:15:00' AS said, date AS read FROM x")(
     lambda s, d: bars(s, d, DAY).select(F.expr(LATER).alias("date")).distinct().withColumn("said", F.concat(C("date").cast("string"), F.lit(" 09:15:00"))).withColumn("read", F.to_date(C("said").try_cast("timestamp")))
 )
@@ -69,14 +66,6 @@ SPOILT = "CASE WHEN t % 5 = 0 THEN 'n/a' WHEN t % 7 = 0 THEN ' ' ELSE CAST(volum
 query("fn_cast_dtypes", f"{NUMBERED} SELECT symbol, date, CASE WHEN t % 5 <> 0 AND t % 7 <> 0 THEN CAST(volume AS DOUBLE) END AS volume FROM n")(
     lambda s, d: numbered(s, d).select("symbol", "date", F.expr(SPOILT).try_cast("double").alias("volume"))
 )
-query("nrm_is_delivery", "SELECT * FROM (VALUES ('equity', false), ('delivery', true), ('unified', false)) AS v(layout, is_delivery)")(
-    lambda s, d: s.createDataFrame(
-        [(k, "TURNOVER_LACS" in [c.strip().upper() for c in as_raw(s, d, names).columns]) for k, names in {"equity": EQUITY, "delivery": DELIVERY, "unified": UNIFIED}.items()], "layout string, is_delivery boolean",
-    )
-)
-query("nrm_header_clean", f"SELECT unnest({sorted(DELIVERY)}) AS header")(
-    lambda s, d: s.createDataFrame([(c.strip().upper(),) for c in as_raw(s, d, DELIVERY).columns if c != "date"], "header string")
-)
 query("nrm_cash_filter", f"{bars_sql()} SELECT symbol, date FROM bars WHERE day(date) % 5 <> 0 AND day(date) % 7 <> 0 AND day(date) % 11 <> 0 AND day(date) % 13 <> 0")(
     lambda s, d: cash_equity(
         bars(s, d).withColumns({

@@ -291,12 +291,8 @@ def value_text(feature: Column, x: Column) -> Column:
     return F.when(feature.rlike("(_xs|_sect)$"), percentile_text(x)).otherwise(out)
 
 
-_names = [*FEATURES, *(f"{x}_xs" for x in FEATURES[:8]), *(f"{x}_sect" for x in FEATURES[-8:]), "fundamental_book__value"]
 _label = {k: v[0] for k, v in DISPLAY.items()}
 _plain = lambda x: next((x[len(p) :] for p in PREFIXES if x.startswith(p)), x).replace("__", "_").replace("_", " ")
-_cut = lambda x: x.removesuffix("_xs").removesuffix("_sect")
-_said = [_label.get(_cut(x), _plain(_cut(x))) + next((v for k, v in SUFFIXES.items() if x.endswith(k)), "") for x in _names]
-query("fn_describe", f"SELECT unnest({_names}) AS feature, unnest({_said}) AS name")(lambda s, d: s.createDataFrame([(x,) for x in _names], "feature string").select("feature", described(C("feature")).alias("name")))
 query(
     "fn_feature_format",
     f"""{FEATURES_SQL} SELECT symbol, date, CASE WHEN momentum_roc_1m IS NULL THEN 'unavailable' ELSE format('{{:+.1f}}%', momentum_roc_1m) END AS roc, CASE WHEN volatility_atr_14 IS NULL THEN 'unavailable' ELSE format('{{:.2f}}', volatility_atr_14) END AS atr,
@@ -319,9 +315,6 @@ def horizon_text(months: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in HORIZON.items() for x in kv)), months), F.concat(months.cast("string"), F.lit(" months")))
 
 
-query("fn_horizon_text", f"SELECT m AS months, CASE m {' '.join(f'WHEN {k} THEN {chr(39)}{v}{chr(39)}' for k, v in HORIZON.items())} ELSE m || ' months' END AS text FROM range(1, 25) AS r(m)")(
-    lambda s, d: s.range(1, 25).select(C("id").alias("months"), horizon_text(C("id").cast("int")).alias("text"))
-)
 
 # Drivers: shares of a linear model, coefficient times distance from the mean, for the newest bar of each symbol
 

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from quantlake.plans.calendar import CLOSED
 from quantlake.plans.daygate import BOTH, VERDICTS, all_files, judged, reported, verdicts
-from quantlake.plans.market import ACTIONS, ADJUSTED_SQL, GATED, PARSED_SQL, C, adjusted, gated, parse_purpose, query
+from quantlake.plans.market import ACTIONS, ADJUSTED_SQL, GATED, C, adjusted, gated, parse_purpose, query
 from quantlake.plans.universe import AS_OF, REGISTRY, SCORES, market, registry, universe
 from quantlake.sources import lake
 from quantlake.sources.bars import DAY, bars, bars_sql
@@ -98,12 +98,6 @@ query(
 # Actions and holidays as files
 
 
-def actions_file(spark: SparkSession) -> str:
-    path = f"{scratch(spark, 'actions')}/actions.csv"
-    put(spark, path, ("\n".join([" Symbol ,EX_DATE, Purpose", *(f"{a.lower()},{b},{c}" for a, b, c in ACTIONS)])).encode())
-    return path
-
-
 def read_actions(spark: SparkSession, path: str) -> DataFrame:
     """A CSV file of actions, parsed; headers are trimmed and in any case, symbols in any case."""
     rows = spark.read.csv(path, header=True)
@@ -113,15 +107,6 @@ def read_actions(spark: SparkSession, path: str) -> DataFrame:
     return parse_purpose(rows.select(F.upper(F.trim("symbol")).alias("symbol"), C("ex_date").cast("date").alias("ex_date"), "purpose"))
 
 
-def reloaded(spark: SparkSession) -> DataFrame:
-    """Actions as stored, parsed anew from their text; only confident ones."""
-    path = scratch(spark, "stored-actions")
-    read_actions(spark, actions_file(spark)).select("symbol", "ex_date", "purpose").write.parquet(path)
-    return parse_purpose(spark.read.parquet(path)).where("confident")
-
-
-query("src_actions_csv", f"WITH {PARSED_SQL} SELECT upper(symbol) AS symbol, ex_date, kind, ratio, confident FROM parsed")(lambda s, d: read_actions(s, actions_file(s)).drop("purpose"))
-query("src_actions_reload", f"WITH {PARSED_SQL} SELECT upper(symbol) AS symbol, ex_date, kind, ratio FROM parsed WHERE confident")(lambda s, d: reloaded(s).select("symbol", "ex_date", "kind", "ratio"))
 HOLIDAYS = {"1993": ["1993-03-08", "1993-11-15"], "1995": ["1995-03-27", "1995-10-24", "1995-12-26"], "1996": ["1996-03-05"]}
 
 
@@ -134,7 +119,6 @@ def holidays(spark: SparkSession) -> DataFrame:
 
 
 _listed = ", ".join(f"({y}, DATE '{x}')" for y, xs in HOLIDAYS.items() for x in xs)
-query("src_holidays_json", f"SELECT * FROM (VALUES {_listed}) AS v(year, date)")(lambda s, d: holidays(s))
 query(
     "fn_is_holiday",
     f"{bars_sql(DAY)}, h AS (SELECT * FROM (VALUES {_listed}) AS v(year, date)) SELECT DISTINCT date, strftime(date, '%m-%d') IN {CLOSED} OR date IN (SELECT date FROM h) AS holiday, year(date) NOT IN (SELECT year FROM h) AS uncurated FROM bars",
@@ -165,7 +149,6 @@ query("snk_group_by_year", f"{WRITTEN} SELECT year, count(*) AS n FROM l GROUP B
 query("fn_by_year", f"{bars_sql(DAY)} SELECT year(date)::INTEGER AS year, min(date) AS first_day, max(date) AS last_day FROM bars GROUP BY 1")(
     lambda s, d: bars(s, d, DAY).groupBy(F.year("date").alias("year")).agg(F.min("date").alias("first_day"), F.max("date").alias("last_day"))
 )
-query("src_has_data", "SELECT true AS before_delete, false AS elsewhere")(lambda s, d: (lambda p: s.createDataFrame([(has_data(s, p), has_data(s, p + "-none"))], "before_delete boolean, elsewhere boolean"))(corrected(s, d)))
 
 
 def day_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
