@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantlake.llm.common import Workspace, added_up, as_long, id_bucket, id_text, packed, small_batches
+from quantlake.llm.common import Workspace, added_up, as_long, id_bucket, id_text, packed, small_batches, tidy
 
 #: Hash that stands for the token at the end of a text; its symbol is 0.
 END = 0
@@ -206,14 +206,20 @@ def train(coded: DataFrame, symbols: int, frequency: np.ndarray, *, states: int,
     return chain
 
 
-def score(
+def score(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
+    """See scored()."""
+    with tidy(spark):
+        return scored(spark, docs, **options)
+
+
+def scored(
     spark: SparkSession, docs: DataFrame, *, states: int = 6, frequent: int = 2000, rounds: int = 3, seed: int = 1, chunk_bytes: int = 6 << 20
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs`` (doc_id, text,
-    held_out); what is learned, and the counts, come from all rows that are not held out.
+    held_out); what is learned, and the counts, come from all rows that are not held out. Intermediate files go as it proceeds.
 
     A token is a word in lower case (A-Z only), or the end of a text. base_score sums log10((c + 1) / (N + V + 1)); score
-    is the model's log10 probability. Words are known by a 64-bit hash. Texts are dealt to chunks by hash, and a chunk
+    is the model's log10 probability. Words are known by a 64-bit hash. Rows are dealt to chunks one by one, repeats too, and a chunk
     asks once for the count of each of its words, so neither the vocabulary nor a frequent word's texts meet in a task.
 
     Null and empty texts are one token, the end. Very long texts go through the recursions in parts of PART tokens. Repeated
@@ -225,7 +231,8 @@ def score(
     rows = docs.select(id_text(), "text", F.col("held_out"))
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     chunks = max(1, -(-size // chunk_bytes))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
+    chunk = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks)).cast("int")
+    rows = work.save(rows.withColumn("chunk", chunk), "texts")  # written, so that both passes see a row in the same chunk
 
     def vocabulary(group: pd.DataFrame) -> pd.DataFrame:
         seen, learned = Counter(), Counter()
@@ -238,7 +245,6 @@ def score(
         return pd.DataFrame({"chunk": group["chunk"].iloc[0], "word": np.r_[END, word_ids(words)], "ending": np.r_[0, endings(words)], "n": n})
 
     asked = work.save(rows.groupBy("chunk").applyInPandas(vocabulary, "chunk int, word long, ending int, n long"), "asked")
-    work.sweep()
     counts = work.save(asked.groupBy("word").agg(F.sum("n").alias("c"), F.first("ending").alias("ending")), "counts")
     n, v = counts.where("c > 0").agg(F.sum("c"), F.count("*")).first()
     n, v = n or 0, v or 0
@@ -281,7 +287,7 @@ def score(
     schema = "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, own double, symbols binary"
     coded = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(code, schema)
     coded = work.save(coded, "coded")
-    work.sweep()
+    work.keep(coded)
     learned = coded.where("not held_out")
     chain = train(learned, len(weight), frequency, states=states, rounds=rounds, seed=seed) if n else Chain.initial(states, frequency, seed)
     model = spark.sparkContext.broadcast(chain)
