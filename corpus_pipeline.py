@@ -10,15 +10,29 @@ through every stage whole. An empty table gives an empty one; extra columns stay
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantlake.llm import language, minhash, mixing, pieces, suffixes
-from quantlake.llm.common import Workspace, small_batches
+from quantlake.llm.common import Workspace, small_batches, tidy
 
 LEAST_SCORE = 0.5
 
 
+def tidied(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage whose intermediate tables leave no shuffle files behind."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with tidy(spark):
+            return stage(spark, docs, sf_dir)
+
+    return run
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """All columns of ``docs`` in one, d: no name of theirs can meet one of a stage's own."""
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"))
@@ -34,6 +48,7 @@ def numbered(work: Workspace, docs: DataFrame) -> DataFrame:
     return work.save(rows.select(F.monotonically_increasing_id().alias("row"), "d"), "numbered")
 
 
+@tidied
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language of at least LEAST_SCORE; those without a letter, or between languages, go."""
     small_batches(spark)
@@ -43,6 +58,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.where(kept).select("d.*")
 
 
+@tidied
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates, repeated rows included: the first by doc_id."""
     rows = numbered(Workspace(spark, "pipeline-minhash"), docs)
@@ -50,6 +66,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return rows.join(kept.select(F.col("doc_id").alias("row")), "row", "left_semi").select("d.*")
 
 
+@tidied
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that an earlier row by doc_id has; documents with nothing left go."""
     rows = numbered(Workspace(spark, "pipeline-suffixes"), docs)
@@ -67,6 +84,7 @@ def copy_column(docs: DataFrame) -> str:
     return name
 
 
+@tidied
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes it, to the nearest whole number; sources get their target weights. A last column, copy (or
     the name that copy_column() finds), numbers them."""
@@ -77,6 +95,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return many.select("d.*", F.col("n").alias(copy_column(docs)))
 
 
+@tidied
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every document: doc_id, n_pieces, lossless and ids. The last column numbers copies, if mix_sources() made it."""
     last = docs.columns[-1]
