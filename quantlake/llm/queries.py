@@ -19,7 +19,7 @@ QUERIES = {
     "op12_debruijn": debruijn.op12_debruijn,
     "op13_centroids": centroids.op13_centroids,
 }
-ORACLE_SQL = {"op4_warc": warc.OP4_SQL, "op5_suffixes": suffixes.OP5_SQL, "op11_infill": infill.OP11_SQL, "op12_debruijn": debruijn.OP12_SQL, "op13_centroids": centroids.OP13_SQL}
+ORACLE_SQL = {"op2_vectors": vectors.OP2_SQL, "op10_minhash": minhash.OP10_SQL, "op4_warc": warc.OP4_SQL, "op5_suffixes": suffixes.OP5_SQL, "op11_infill": infill.OP11_SQL, "op12_debruijn": debruijn.OP12_SQL, "op13_centroids": centroids.OP13_SQL}
 
 
 def pipeline(spark, sf_dir: str):

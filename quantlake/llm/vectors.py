@@ -219,3 +219,16 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, *, least: float = 0
 
 def op2_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+OP2_SQL = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings
+    WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding) AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+e AS MATERIALIZED (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.98),
+n AS (SELECT vec_id, count(*) AS n FROM (SELECT a AS vec_id FROM e UNION ALL SELECT b FROM e) GROUP BY vec_id),
+r(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, CASE WHEN r.b = e.a THEN e.b ELSE e.a END FROM r JOIN e ON r.b = e.a OR r.b = e.b),
+m AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept FROM m LEFT JOIN n USING (vec_id)
+"""
