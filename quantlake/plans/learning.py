@@ -168,9 +168,10 @@ def mdl_meta_label(spark: SparkSession, sf_dir: str, threshold: float = 0.5, lea
     return model.transform(fired).select("symbol", "date", vector_second("probability").alias("conviction"))
 
 
-def mdl_serving(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """symbol, date and p of each symbol's newest bar, by a stack refitted on all labelled rows, saved and loaded as a pipeline.
-    A missing feature is 0, a missing base score 0.5."""
+def served(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(symbol, date, features, a column for each base model and p, of each symbol's newest bar) and (feature, weight, mean): the linear
+    base by feature. A stack refitted on all labelled rows, whose base models are saved and loaded as pipelines. A missing feature is 0,
+    a missing base score 0.5."""
     from pyspark.ml import PipelineModel
     from pyspark.ml.classification import LogisticRegression
 
@@ -178,18 +179,36 @@ def mdl_serving(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quantlake.plans.models import features_of, vector_second
     from quantlake.sources.files import scratch
 
-    rows = panel(spark, sf_dir)
+    rows, drop = panel(spark, sf_dir), ("x0", "x", "rawPrediction", "probability", "prediction")
     newest = Window.partitionBy("symbol").orderBy(F.desc("date"))
     asked = features_of(bars(spark, sf_dir)).withColumn("_r", F.row_number().over(newest)).where("_r = 1").select("symbol", "date", *names).na.fill(0.0)
-    inner = rows
+    inner, linear = rows, None
     for name, learner in learners().items():
         path = f"{scratch(spark, 'model')}/{name}"
         fitted(rows, learner, list(names)).write().overwrite().save(path)
         model = PipelineModel.load(path)
-        add = lambda df, m=model, k=name: m.transform(df).withColumn(k, vector_second("probability")).drop("x0", "x", "rawPrediction", "probability", "prediction")
+        if name == "linear":
+            _, scale, base = model.stages
+            weights = base.coefficients.toArray() / scale.std.toArray()
+            linear = spark.createDataFrame([(k, float(w), float(m)) for k, w, m in zip(names, weights, scale.mean.toArray(), strict=True)], "feature string, weight double, mean double")
+        add = lambda df, m=model, k=name: m.transform(df).withColumn(k, vector_second("probability")).drop(*drop)
         inner, asked = add(inner), add(asked)
     stack = fitted(inner, LogisticRegression(featuresCol="x", labelCol="y"), list(learners()))
-    return stack.transform(asked.na.fill(0.5, list(learners()))).select("symbol", "date", vector_second("probability").alias("p"))
+    return stack.transform(asked.na.fill(0.5, list(learners()))).withColumn("p", vector_second("probability")).drop(*drop), linear
+
+
+def mdl_serving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """symbol, date and p of each symbol's newest bar."""
+    return served(spark, sf_dir)[0].select("symbol", "date", "p")
+
+
+def shares(rows: DataFrame, linear: DataFrame) -> DataFrame:
+    """symbol, date, feature, value and share of each of ``rows``: weight times distance from the training mean, which add up, with the
+    constant, to the linear base's log-odds."""
+    from quantlake.plans.models import FEATURES as names
+
+    long = rows.select("symbol", "date", F.explode(F.array(*(F.struct(F.lit(k).alias("feature"), C(k).alias("value")) for k in names))).alias("f")).select("symbol", "date", "f.*")
+    return long.join(F.broadcast(linear), "feature").select("symbol", "date", "feature", "value", (C("weight") * (C("value") - C("mean"))).alias("share"))  # one row a feature
 
 
 def snk_model_artifact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -329,12 +348,19 @@ def mdl_train(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def srv_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """symbol, date, p, signal, confidence, size and the drivers of each symbol's newest bar."""
-    from quantlake.plans.serving import driver_facts, signal, split
+    """symbol, date, p, signal, confidence, size and the drivers of each symbol's newest bar: those of the linear base of the stack that
+    is served."""
+    from quantlake.plans.serving import facts, signal, split
+    from quantlake.sources.files import scratch
 
-    rows = mdl_serving(spark, sf_dir).withColumn("sig", signal(C("p"))).withColumn("confidence", F.greatest(C("p"), 1 - C("p")))
+    rows, linear = served(spark, sf_dir)
+    path = scratch(spark, "served")
+    rows.write.parquet(path)
+    rows = spark.read.parquet(path)
+    drivers = split(facts(shares(rows, linear)))
+    rows = rows.select("symbol", "date", "p").withColumn("sig", signal(C("p"))).withColumn("confidence", F.greatest(C("p"), 1 - C("p")))
     size = F.when(C("sig") == "HOLD", 0.0).otherwise(F.least(F.lit(10.0), 2 * F.abs(C("p") - 0.5) * C("confidence") * 10))
-    return rows.withColumn("size_pct", F.round(size, 2)).join(split(driver_facts(spark, sf_dir)), "symbol", "left")
+    return rows.withColumn("size_pct", F.round(size, 2)).join(drivers, "symbol", "left")
 
 
 QUERIES |= {"mdl_train": mdl_train, "srv_predict": srv_predict}

@@ -68,3 +68,20 @@ def test_sequential_bootstrap(spark):
     rows = spark.createDataFrame([(s, i, int(e) if e >= 0 else None) for s in "AB" for i, e in enumerate(exits)], "symbol string, t int, exit_t int")
     found = learning.sequential_bootstrap(rows, 7).collect()
     assert len(found) == 14 and all(exits[r["t"]] >= 0 for r in found)
+
+
+def test_served_drivers_are_those_of_the_served_model(spark):
+    """Shares and the constant add up to the linear base's log-odds, and the newest bar of every symbol is served once."""
+    import math
+
+    from quantlake.plans import learning
+
+    rows, linear = learning.served(spark, "/root/testdata/sf0.001")
+    rows = rows.persist()
+    said = {(r["symbol"], r["date"]): (math.log(r["linear"] / (1 - r["linear"])), r["p"]) for r in rows.collect()}
+    total = {}
+    for r in learning.shares(rows, linear).collect():
+        total[r["symbol"], r["date"]] = total.get((r["symbol"], r["date"]), 0.0) + r["share"]
+    rests = [said[k][0] - total[k] for k in said]
+    assert said.keys() == total.keys() and max(rests) - min(rests) < 1e-9 and all(0 <= p <= 1 for _, p in said.values())
+    rows.unpersist()
