@@ -45,9 +45,9 @@ class Workspace:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         path = self.path(f"{name}-{uuid.uuid4().hex[:8]}")
-        df.write.option("parquet.block.size", BLOCK_BYTES).parquet(path)
+        df.write.option("parquet.block.size", BLOCK_BYTES).option("compression", compression).parquet(path)
         self.saved[path] = out = self.spark.read.schema(df.schema).parquet(path)
         return out
 

@@ -326,9 +326,16 @@ def without_repeats(spark: SparkSession, docs: DataFrame, *, digest: bool = Fals
     other. Passages are judged on the input. A very long text costs memory in proportion to it in the task that reads it. An
     empty table gives an empty result; other columns are left out.
     """
-    small_batches(spark)
     work = Workspace(spark, "suffixes")
     rows = work.save_by(numbered(docs), "texts", "row")  # joins on the row do not move texts
+    done = cut(spark, work, rows, digest=digest, buckets=buckets)
+    return done.select(doc_id(), "n_bytes", "n_removed", "n_spans", "kept_sha256" if digest else "kept")
+
+
+def cut(spark: SparkSession, work: Workspace, rows: DataFrame, *, keep: tuple[str, ...] = (), digest: bool = False, buckets: int | None = None) -> DataFrame:
+    """row, doc, ``keep``, n_bytes, n_removed, n_spans and kept or kept_sha256, as without_repeats(), of ``rows`` (row, a number of its own;
+    doc, its order; data), which ``work`` has saved by row."""
+    small_batches(spark)
     if buckets is None:  # of BUCKET_BYTES; in a very large corpus of more, so that a task sends fewer parts
         size = rows.agg(F.sum(F.octet_length("data"))).first()[0] or 0
         buckets = max(1, math.ceil(size / max(BUCKET_BYTES, 30 * math.sqrt(size))))
@@ -348,7 +355,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, *, digest: bool = Fals
 
     done = rows.join(marks, "row", "left").select("row", "doc", "data", "ats", "bits")
     done = done.mapInPandas(finish, f"row long, doc long, n_bytes long, n_removed long, n_spans long, {out}")
-    return done.select(doc_id(), "n_bytes", "n_removed", "n_spans", out.split()[0])
+    return done.join(rows.select("row", *keep), "row") if keep else done
 
 
 def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
