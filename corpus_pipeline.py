@@ -38,14 +38,16 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"))
 
 
-def numbered(work: Workspace, docs: DataFrame) -> DataFrame:
-    """row, a number of each row's own (ascending with doc_id, nulls last, and then with a hash of the row), and d.
-
-    It is written out, so that every later read sees the same numbers; hash and doc_id together spread a doc_id that many
-    rows share, or lack, over the sorted parts.
-    """
+def in_order(docs: DataFrame) -> DataFrame:
+    """row, a number of each row's own (ascending with doc_id, nulls last, and then with a hash of the row), and d. Hash and doc_id
+    together spread a doc_id that many rows share, or lack, over the sorted parts."""
     rows = packed(docs).orderBy(F.col("d.doc_id").asc_nulls_last(), F.xxhash64("d"))
-    return work.save(rows.select(F.monotonically_increasing_id().alias("row"), "d"), "numbered")
+    return rows.select(F.monotonically_increasing_id().alias("row"), "d")
+
+
+def numbered(work: Workspace, docs: DataFrame) -> DataFrame:
+    """in_order(), written out, so that every later read sees the same numbers."""
+    return work.save(in_order(docs), "numbered", "zstd")
 
 
 @tidied
@@ -69,11 +71,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 @tidied
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that an earlier row by doc_id has; documents with nothing left go."""
-    rows = numbered(Workspace(spark, "pipeline-suffixes"), docs)
-    kept = suffixes.without_repeats(spark, rows.select(F.col("row").alias("doc_id"), "d.text")).select(F.col("doc_id").alias("row"), "kept")
-    changed = rows.select("row", F.col("d").dropFields("text").alias("d")).join(kept.where("kept <> ''"), "row")
+    work = Workspace(spark, "pipeline-suffixes")
+    data = F.coalesce("d.text", F.lit("")).cast("binary").alias("data")
+    rows = in_order(docs).select("row", F.col("row").alias("doc"), data, F.col("d").dropFields("text").alias("d"))
+    kept = suffixes.cut(spark, work, work.save_by(rows, "texts", "row"), keep=("d",)).where("kept <> ''")
     new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
-    return changed.select(*(new.get(c, F.col(f"d.`{c}`")).alias(c) for c in docs.columns))
+    return kept.select(*(new.get(c, F.col(f"d.`{c}`")).alias(c) for c in docs.columns))
 
 
 def copy_column(docs: DataFrame) -> str:
