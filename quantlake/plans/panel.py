@@ -5,6 +5,7 @@ All columns of a symbol come from windows in one order (one exchange by symbol);
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -85,9 +86,18 @@ def feature_columns(rows: DataFrame) -> list[str]:
 
 
 def panel(rows: DataFrame, least_rows: int = LEAST_ROWS, least_symbols: int = LEAST_SYMBOLS) -> DataFrame:
-    """Features and their ranks (_xs) of every bar that has a year of history; symbols with less are left out."""
-    rows = with_features(rows).where(C("t") >= least_rows - 1)
-    return rows.select("symbol", "date", *FEATURES, *(fw.rank_pct(C(x), "date", least_symbols, "symbol").alias(f"{x}_xs") for x in FEATURES))
+    """Features and their ranks (_xs: the average rank within the day as a share of the values) of every bar that has a year of history;
+    symbols with less are left out, and days with fewer than ``least_symbols`` have no ranks. All features of a day, whose size the
+    universe bounds, are ranked together: one exchange, where a window for each would sort the wide rows as often as there are."""
+    rows = with_features(rows).where(C("t") >= least_rows - 1).select("symbol", "date", *(C(x).cast("double").alias(x) for x in FEATURES))
+
+    def ranks(day: pd.DataFrame) -> pd.DataFrame:
+        values = day[FEATURES].astype(float)
+        found = values.rank() / values.count() if len(day) >= least_symbols else values * float("nan")
+        return pd.concat([day, found.add_suffix("_xs")], axis=1)
+
+    schema = "symbol string, date date, " + ", ".join(f"{x} double" for x in [*FEATURES, *(f"{x}_xs" for x in FEATURES)])
+    return rows.groupBy("date").applyInPandas(ranks, schema)
 
 
 def skipped(rows: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
