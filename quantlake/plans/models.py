@@ -5,6 +5,7 @@ Queries without SQL: mdl_oof and mdl_meta_scores (iterative fits).
 
 from __future__ import annotations
 
+import math
 from statistics import NormalDist
 
 from pyspark.ml import Pipeline
@@ -25,6 +26,8 @@ from quantlake.sources.files import scratch
 
 FEATURES = ("roc", "range", "volume_ratio", "vs_sma")
 SPLITS, LEAST_TRAIN, PURGE = 3, 150, 4
+#: Rows of a part of what a fit reads. Each of its many jobs sends the driver a result from every part.
+PART_ROWS = 200_000
 
 
 def features_of(rows: DataFrame) -> DataFrame:
@@ -56,32 +59,44 @@ def learners() -> dict:
     }
 
 
-def out_of_fold(rows: DataFrame, folds: DataFrame, least_rows: int = 500) -> DataFrame:
-    """symbol, date, fold, y and one column a learner. A fold with too few rows or one class is left out. The scores are written
-    out, so nothing stays in memory."""
-    spark, out, held = rows.sparkSession, None, [rows.join(folds, "date").persist()]
-    placed = held[0]
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` as a table of their own, so that later passes do not go back to the trades."""
+    path = scratch(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
+def prepared(rows: DataFrame, names: list[str]):
+    """``names`` assembled and standardised, as x."""
+    return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="x0"), StandardScaler(inputCol="x0", outputCol="x", withMean=True)]).fit(rows)
+
+
+def in_parts(rows: DataFrame, n: int) -> DataFrame:
+    """x and y of ``n`` rows (symbol, date, x, y), in as many parts as they need and in an order of their own: seeded learners see
+    the same rows in the same places however the trades were read."""
+    spread = rows.select("symbol", "date", "x", "y").repartition(max(1, math.ceil(n / PART_ROWS)), "symbol", "date")
+    return spread.sortWithinPartitions("symbol", "date").select("x", "y")
+
+
+def out_of_fold(rows: DataFrame, folds: DataFrame, least_rows: int = 500, chosen: dict | None = None) -> DataFrame:
+    """symbol, date, fold, y and one column a learner of ``chosen`` (all by default). A fold with too few rows or one class is left
+    out. The scores are written out, so nothing stays in memory. ``rows`` are read once for each fold: see written()."""
+    out, chosen = None, chosen or learners()
+    placed = rows.join(folds, "date")
     sizes = placed.where("role = 'train'").groupBy("fold").agg(F.count("*").alias("n"), F.countDistinct("y").alias("kinds")).collect()
-    for fold in sorted(r["fold"] for r in sizes if r["n"] >= least_rows and r["kinds"] == 2):
+    for fold, n in sorted((r["fold"], r["n"]) for r in sizes if r["n"] >= least_rows and r["kinds"] == 2):
         part = placed.where(C("fold") == fold)
-        prepare = Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="x0"), StandardScaler(inputCol="x0", outputCol="x", withMean=True)])
         train, test = part.where("role = 'train'"), part.where("role = 'test'")
-        prepared = prepare.fit(train)
-        scored = prepared.transform(test).select("symbol", "date", "fold", "y", "x")
-        known = prepared.transform(train).select("x", "y").persist()
-        held.append(known)
-        for name, learner in learners().items():
+        ready = prepared(train, list(FEATURES))
+        scored = ready.transform(test).select("symbol", "date", "fold", "y", "x")
+        known = in_parts(ready.transform(train), n).persist()
+        for name, learner in chosen.items():
             scored = learner.fit(known).transform(scored).withColumn(name, vector_second("probability")).drop("probability", "rawPrediction", "prediction")
-        out = scored.drop("x") if out is None else out.unionByName(scored.drop("x"))
-    if out is not None:
-        path = scratch(spark, "out-of-fold")
-        out.write.parquet(path)
-        out = spark.read.parquet(path)
-    for known in held:
         known.unpersist()
+        out = scored.drop("x") if out is None else out.unionByName(scored.drop("x"))
     if out is None:
-        out = rows.where("false").selectExpr("symbol", "date", "0 AS fold", "y", *(f"0e0 AS {name}" for name in learners()))
-    return out
+        return rows.where("false").selectExpr("symbol", "date", "0 AS fold", "y", *(f"0e0 AS {name}" for name in chosen))
+    return written(out, "out-of-fold")
 
 
 def vector_second(name: str) -> Column:
@@ -91,8 +106,8 @@ def vector_second(name: str) -> Column:
 
 
 def mdl_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = panel(spark, sf_dir)
-    return out_of_fold(rows, roles(rows))
+    rows = written(panel(spark, sf_dir), "panel")
+    return out_of_fold(rows, written(roles(rows), "roles"))
 
 
 def mdl_meta_scores(spark: SparkSession, sf_dir: str, oof: DataFrame | None = None) -> DataFrame:
