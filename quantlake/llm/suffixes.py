@@ -11,7 +11,8 @@ same q-grams (its anchors) are chosen. So only suffixes at anchors are put in bu
    contexts, refined by sorting on the pairs (own identifier, identifier at the later offset), doubling the length and
    reusing the new identifiers, until they tell apart passages of LENGTH bytes. A passage is repeated in the smallest
    document of a class if a smaller document has the same identifier. A bucket of more than HOT contexts is not refined in
-   one task: the identifiers of its passages become rows, whose least document is an aggregate.
+   one task: it is dealt to tasks by SHARE contexts, each marks what it sees repeated, and only the passages of the least
+   document that it has seen become rows, whose least document is an aggregate.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ _NONE = np.iinfo(np.int64).max
 HALF = (LENGTH - Q) // 2
 #: Contexts of a q-gram that one task refines, and bytes of text of a bucket.
 HOT, BUCKET_BYTES = 4096, 8 << 20
+#: Contexts of a hot q-gram that go to one task together, and contexts whose passages a task compares at once.
+SHARE, TOGETHER = 1024, 4096
 ENTRY = np.dtype([("h", "u8"), ("c", "u8"), ("left", "u2"), ("right", "u2"), ("doc", "i8"), ("row", "i8"), ("at", "u4")])
 
 
@@ -249,7 +252,7 @@ def repeated(spark: SparkSession, work: Workspace, docs: DataFrame, buckets: int
     texts = docs.join(asked, "row").select("doc", "row", "data", "ats", "hs")
     cuts = texts.mapInPandas(cut, "h long, doc long, row long, at int, size int, context binary")
     cuts = work.save(cuts, "cuts")
-    hot = work.save(found.where("bits = 0").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("h"), "hot")
+    hot = work.save(found.where("bits = 0").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HOT), "hot")
 
     def refined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -271,11 +274,14 @@ def repeated(spark: SparkSession, work: Workspace, docs: DataFrame, buckets: int
 
     answers = cuts.join(hot, "h", "left_anti").repartition(buckets, "h").sortWithinPartitions("h").mapInPandas(refined, "doc long, row long, at int, bits long")
     answers = work.save(answers, "answers")
-    passages = work.save(cuts.join(hot, "h", "left_semi").mapInPandas(passages_of, "p1 long, p2 long, doc long, row long, at int, o int"), "passages")
-    passages = passages.withColumn("order", F.struct("doc", (F.col("row") >= NO_ID).alias("unnamed")))
-    first = passages.groupBy("p1", "p2").agg(F.min("order").alias("low"), F.max("order").alias("high")).where("low < high")
+    share = F.pmod(F.xxhash64("row", "at"), F.ceil(F.col("n") / SHARE)).alias("share")
+    dense = cuts.join(hot, "h").select("h", share, "doc", "row", "at", "size", "context").repartition(buckets, "h", "share").sortWithinPartitions("h", "share")
+    passages = work.save(dense.mapInPandas(passages_of, "p1 long, p2 long, doc long, row long, at int, o int, bits long"), "passages")
+    open_ = passages.where("bits = 0").withColumn("order", F.struct("doc", (F.col("row") >= NO_ID).alias("unnamed")))
+    first = open_.groupBy("p1", "p2").agg(F.min("order").alias("low"), F.max("order").alias("high")).where("low < high")
     first = work.save(first, "first")  # so that its size is known: where it is small, no hot passage moves
-    again = passages.join(first, ["p1", "p2"]).where("order > low").groupBy("row", "at").agg(F.bit_or(F.expr("shiftleft(1L, o)")).alias("bits"))
+    again = open_.join(first, ["p1", "p2"]).where("order > low").groupBy("row", "at").agg(F.bit_or(F.expr("shiftleft(1L, o)")).alias("bits"))
+    again = again.union(passages.where("bits <> 0").select("row", "at", "bits"))
     again = work.save(again, "again")
     work.keep(docs, found, answers, again)
     marks = found.where("bits <> 0").select("row", "at", "bits")
@@ -289,18 +295,41 @@ def order_of(doc: pd.Series, row: pd.Series) -> np.ndarray:
 
 
 def passages_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The passages inside a text of each context, by two 64-bit hashes: (p1, p2, doc, row, at, o)."""
-    count = CONTEXT - LENGTH + 1
+    """The passages inside a text of each context, by two 64-bit hashes: (p1, p2, doc, row, at, o, bits). Of TOGETHER contexts those that a
+    smaller document has too become bits of their context (o is 0 there, as are p1 and p2), those of the least document rows with
+    bits 0."""
+    held: list[pd.DataFrame] = []
     for batch in batches:
-        for at in range(0, len(batch), 2000):
-            some = batch.iloc[at : at + 2000]
-            bytes_ = np.frombuffer(b"".join(some["context"]), np.uint8).astype(np.uint64) + np.uint64(1)
-            start = (np.arange(len(some)) * CONTEXT)[:, None] + np.arange(count)
-            place = (some["at"].to_numpy() - BEFORE)[:, None] + np.arange(count)
-            r, o = np.nonzero((place >= 0) & (place + LENGTH <= some["size"].to_numpy()[:, None]))
-            ids = [rolling(x, LENGTH)[start[r, o]].view(np.int64) for x in (bytes_, mix(bytes_))]
-            columns = {c: some[c].to_numpy()[r] for c in ("doc", "row", "at")}
-            yield pd.DataFrame({"p1": ids[0], "p2": ids[1], **columns, "o": o.astype(np.int32)})
+        held.append(batch)
+        if sum(map(len, held)) >= TOGETHER:
+            yield from compared(pd.concat(held, ignore_index=True))
+            held = []
+    if held:
+        yield from compared(pd.concat(held, ignore_index=True))
+
+
+def compared(some: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """passages_of() these contexts."""
+    count = CONTEXT - LENGTH + 1
+    bytes_ = np.frombuffer(b"".join(some["context"]), np.uint8).astype(np.uint64) + np.uint64(1)
+    start = (np.arange(len(some)) * CONTEXT)[:, None] + np.arange(count)
+    place = (some["at"].to_numpy() - BEFORE)[:, None] + np.arange(count)
+    r, o = np.nonzero((place >= 0) & (place + LENGTH <= some["size"].to_numpy()[:, None]))
+    if not len(r):
+        return
+    p1, p2 = (rolling(x, LENGTH)[start[r, o]].view(np.int64) for x in (bytes_, mix(bytes_)))
+    number = order_of(some["doc"], some["row"])[r]
+    order = np.lexsort((number, p2, p1))
+    r, o, p1, p2, number = r[order], o[order], p1[order], p2[order], number[order]
+    first = np.r_[True, (p1[1:] != p1[:-1]) | (p2[1:] != p2[:-1])]
+    later = number > number[first][np.cumsum(first) - 1]
+    bits = np.zeros(len(some), np.int64)
+    np.bitwise_or.at(bits, r[later], np.int64(1) << o[later])
+    mine = ["doc", "row", "at"]
+    done = some.loc[bits != 0, mine]
+    yield pd.DataFrame({"p1": 0, "p2": 0, **{c: done[c].to_numpy() for c in mine}, "o": np.int32(0), "bits": bits[bits != 0]}, columns=["p1", "p2", *mine, "o", "bits"])
+    rest = ~later
+    yield pd.DataFrame({"p1": p1[rest], "p2": p2[rest], **{c: some[c].to_numpy()[r[rest]] for c in mine}, "o": o[rest].astype(np.int32), "bits": np.int64(0)})
 
 
 def removed(data: bytes, at: np.ndarray | None, bits: np.ndarray | None) -> np.ndarray:

@@ -521,3 +521,28 @@ def test_ids_beyond_doubles_stay_exact_beside_nulls(spark):
     }
     for name, out in found.items():
         assert Counter(r["doc_id"] for r in out.collect()) == want, name
+
+
+def test_suffixes_settle_hot_passages_inside_a_task(spark, monkeypatch):
+    """Of the contexts that a task compares, a repeated passage goes on as a row of its least document alone; results as by brute force."""
+    import pandas as pd
+
+    passage = "a passage of some sixty bytes that occurs in many texts, again"
+    texts = [f"{i:05d} {'xyz'[i % 3] * (i % 7)} {passage} {i * 7919:06d}" for i in range(60)]
+    at = [t.encode().index(b"sixty bytes that") for t in texts]
+    pad = b"\0" * suffixes.CONTEXT
+    contexts = [(pad + t.encode() + pad)[suffixes.CONTEXT - suffixes.BEFORE + k :][: suffixes.CONTEXT] for t, k in zip(texts, at, strict=True)]
+    frame = pd.DataFrame({"h": 1, "share": 0, "doc": range(60), "row": range(60), "at": at, "size": [len(t.encode()) for t in texts], "context": contexts})
+    found = pd.concat(suffixes.passages_of(iter([frame[:25], frame[25:]])))
+    shared = found[(found["bits"] == 0) & found.duplicated(["p1", "p2"], keep=False)]
+    assert not len(shared) and set(found.loc[found["bits"] != 0, "doc"]) == set(range(1, 60))
+    for name, value in {"HOT": 2, "SHARE": 3, "TOGETHER": 4}.items():
+        monkeypatch.setattr(suffixes, name, value)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    have = {r["doc_id"]: r["n_removed"] for r in suffixes.without_repeats(spark, df, digest=True, buckets=3).collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        earlier = {u[k : k + 50] for u in texts[:i] for k in range(len(u) - 49)}
+        gone = {k + j for k in range(len(t) - 49) if t[k : k + 50] in earlier for j in range(50)}
+        want[i] = len(gone)
+    assert have == want
