@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 from quantlake.functions import normal
 from quantlake.plans.labels import EMBARGO, LABELLED, PURGE, ROLES, combinatorial, dated, labelled, purged_panel
 from quantlake.plans.market import QUERIES, SCORED, C, query, scored
-from quantlake.plans.models import EULER, MOMENTS, learners, moments, out_of_fold, panel, roles
+from quantlake.plans.models import EULER, MOMENTS, in_parts, learners, moments, out_of_fold, panel, prepared, roles, written
 from quantlake.plans.permute import fixed_scores, verdicts
 from quantlake.sources.bars import DAY, bars, bars_sql
 
@@ -179,13 +179,15 @@ def served(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     from quantlake.plans.models import features_of, vector_second
     from quantlake.sources.files import scratch
 
-    rows, drop = panel(spark, sf_dir), ("x0", "x", "rawPrediction", "probability", "prediction")
+    every, drop = written(features_of(bars(spark, sf_dir)), "features"), ("x0", "x", "rawPrediction", "probability", "prediction")
+    rows = every.dropna(subset=[*names, "y"])
     newest = Window.partitionBy("symbol").orderBy(F.desc("date"))
-    asked = features_of(bars(spark, sf_dir)).withColumn("_r", F.row_number().over(newest)).where("_r = 1").select("symbol", "date", *names).na.fill(0.0)
-    inner, linear = rows, None
+    asked = every.withColumn("_r", F.row_number().over(newest)).where("_r = 1").select("symbol", "date", *names).na.fill(0.0)
+    inner, linear, ready = rows, None, prepared(rows, list(names))
+    known = in_parts(ready.transform(rows), rows.count()).persist()
     for name, learner in learners().items():
         path = f"{scratch(spark, 'model')}/{name}"
-        fitted(rows, learner, list(names)).write().overwrite().save(path)
+        PipelineModel(stages=[*ready.stages, learner.fit(known)]).write().overwrite().save(path)
         model = PipelineModel.load(path)
         if name == "linear":
             _, scale, base = model.stages
@@ -193,7 +195,8 @@ def served(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
             linear = spark.createDataFrame([(k, float(w), float(m)) for k, w, m in zip(names, weights, scale.mean.toArray(), strict=True)], "feature string, weight double, mean double")
         add = lambda df, m=model, k=name: m.transform(df).withColumn(k, vector_second("probability")).drop(*drop)
         inner, asked = add(inner), add(asked)
-    stack = fitted(inner, LogisticRegression(featuresCol="x", labelCol="y"), list(learners()))
+    known.unpersist()
+    stack = fitted(written(inner, "inner"), LogisticRegression(featuresCol="x", labelCol="y"), list(learners()))
     return stack.transform(asked.na.fill(0.5, list(learners()))).withColumn("p", vector_second("probability")).drop(*drop), linear
 
 

@@ -105,6 +105,7 @@ def test_fits_read_a_table_of_their_own(spark, monkeypatch):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         assert models.mdl_oof(spark, DATA).count() and len(seen) == 2 * models.SPLITS
+        assert learning.mdl_serving(spark, DATA).count() and len(seen) == 2 * models.SPLITS + 2
         assert set(seen) == {(False, 1)}
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", parts)
