@@ -153,13 +153,11 @@ def mdl_meta_label(spark: SparkSession, sf_dir: str, threshold: float = 0.5, lea
 
     from quantlake.plans.models import FEATURES as names
     from quantlake.plans.models import vector_second
-    from quantlake.sources.files import scratch
 
-    rows = panel(spark, sf_dir)
-    primary = out_of_fold(rows, roles(rows)).select("symbol", "date", C("linear").alias("primary"))
-    path = scratch(spark, "fired")
-    rows.join(primary, ["symbol", "date"]).where(C("primary") >= threshold).write.parquet(path)
-    fired = spark.read.parquet(path)
+    rows = written(panel(spark, sf_dir), "panel")
+    linear = {"linear": learners()["linear"]}  # the primary; no other learner's scores are read here
+    primary = out_of_fold(rows, written(roles(rows), "roles"), chosen=linear).select("symbol", "date", C("linear").alias("primary"))
+    fired = written(rows.join(primary, ["symbol", "date"]).where(C("primary") >= threshold), "fired")
     n, right = fired.agg(F.count("*"), F.sum("y")).first()
     if n < least or not 0 < right < n:
         return fired.select("symbol", "date", F.lit(None).cast("double").alias("conviction")).limit(0)

@@ -106,6 +106,7 @@ def test_fits_read_a_table_of_their_own(spark, monkeypatch):
     try:
         assert models.mdl_oof(spark, DATA).count() and len(seen) == 2 * models.SPLITS
         assert learning.mdl_serving(spark, DATA).count() and len(seen) == 2 * models.SPLITS + 2
+        assert learning.mdl_meta_label(spark, DATA).count() and len(seen) == 3 * models.SPLITS + 2  # the primary alone
         assert set(seen) == {(False, 1)}
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", parts)
