@@ -333,13 +333,10 @@ def mdl_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     p-value of the stack's scores when labels change hands within a day. The stack's level is fitted in sample, as its
     name says."""
     from quantlake.plans.models import mdl_meta_scores, mdl_oof
-    from quantlake.sources.files import scratch
 
-    path = scratch(spark, "oof")
-    mdl_oof(spark, sf_dir).write.parquet(path)
-    held = spark.read.parquet(path)
+    held = mdl_oof(spark, sf_dir)
     stacked = mdl_meta_scores(spark, sf_dir, held).select("symbol", "date", "fold", C("meta_in_sample").alias("stack"))
-    both = held.select("symbol", "date", "fold", C("linear").alias("base"), "y").join(stacked, ["symbol", "date", "fold"])
+    both = written(held.select("symbol", "date", "fold", C("linear").alias("base"), "y").join(stacked, ["symbol", "date", "fold"]), "both")
     figures = compared(both)
     chance = verdicts(fixed_scores(both.withColumnRenamed("stack", "p"))).select("p_value", "significant")
     folds = held.agg(F.countDistinct("fold").alias("folds"), F.countDistinct("symbol").alias("universe_size"))
