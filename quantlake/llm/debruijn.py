@@ -191,10 +191,14 @@ def branches(work: Workspace, texts: DataFrame, asked: DataFrame, k: int) -> Dat
         hashes, spans = WordHashes(), Spans()
         for batch in batches:
             for row, doc, data, ats, ns in zip(batch["row"], batch["doc"], batch["data"], batch["ats"], batch["ns"], strict=True):
-                words = hashes.of(data.split())
-                at = np.repeat(ats - np.cumsum(ns) + ns, ns) + np.arange(ns.sum())
+                words, begin = data.split(), ats
+                if (ns + k - 1).sum() < len(words):  # only the words of these runs, one run after the other
+                    words = [w for a, n in zip(ats.tolist(), ns.tolist(), strict=True) for w in words[a : a + n + k - 1]]
+                    begin = np.cumsum(ns + k - 1) - (ns + k - 1)
+                words, step = hashes.of(words), np.arange(ns.sum()) - np.repeat(np.cumsum(ns) - ns, ns)
+                at = np.repeat(begin, ns) + step
                 first = spans.of(words, at, at + k).view(np.int64)
-                yield pd.DataFrame({"w1": first, "w2": ngram_hashes(words, k)[at].view(np.int64), "doc": doc, "row": row, "at": at})
+                yield pd.DataFrame({"w1": first, "w2": ngram_hashes(words, k)[at].view(np.int64), "doc": doc, "row": row, "at": np.repeat(ats, ns) + step})
 
     asked = asked.groupBy("row").agg(F.collect_list("at").alias("ats"), F.collect_list("n").alias("ns"))
     found = texts.join(asked, "row").select("row", "doc", "data", "ats", "ns").mapInPandas(windows, "w1 long, w2 long, doc long, row long, at long")

@@ -106,3 +106,17 @@ def test_a_join_on_the_row_does_not_move_texts(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+
+
+def test_windows_of_a_part_of_a_text(spark):
+    """Of a long text of which few runs are asked for, only their words are hashed; the pointers are those of the whole text."""
+    from quantlake.llm import debruijn
+    from quantlake.llm.common import Workspace
+
+    words = [f"w{i * i % 1009}x{i % 7}" for i in range(3000)]
+    words[2000:2040] = words[100:140]
+    rows = [(1, 1, bytearray(" ".join(words).encode()))]
+    texts = spark.createDataFrame(rows, "row long, doc long, data binary")
+    asked = spark.createDataFrame([(1, 100, 5), (1, 104, 4), (1, 2000, 8)], "row long, at long, n long")
+    found = debruijn.branches(Workspace(spark, "test"), texts, asked, debruijn.K).collect()
+    assert {(r["at"], r["src_at"]) for r in found if r["at"] >= 2000} == {(2000 + i, 100 + i) for i in range(8)}
