@@ -11,8 +11,11 @@ same q-grams (its anchors) are chosen. So only suffixes at anchors are put in bu
    contexts, refined by sorting on the pairs (own identifier, identifier at the later offset), doubling the length and
    reusing the new identifiers, until they tell apart passages of LENGTH bytes. A passage is repeated in the smallest
    document of a class if a smaller document has the same identifier. A bucket of more than HOT contexts is not refined in
-   one task: it is dealt to tasks by SHARE contexts, each marks what it sees repeated, and only the passages of the least
-   document that it has seen become rows, whose least document is an aggregate.
+   one task but halved: passages with at most so many bytes before the q-gram share more bytes after it, the others more
+   before it, so each half falls into smaller buckets by these bytes. Contexts with the same bytes in all passages of a half
+   are one class again, settled by its least document. Buckets of a half with up to HOT contexts are refined, the others
+   halved again, HALVINGS times. What then is left is dealt to tasks by SHARE contexts, each marks what it sees repeated, and
+   only the passages of the least document that it has seen become rows, whose least document is an aggregate.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -38,6 +42,8 @@ _NONE = np.iinfo(np.int64).max
 HALF = (LENGTH - Q) // 2
 #: Contexts of a q-gram that one task refines, and bytes of text of a bucket.
 HOT, BUCKET_BYTES = 4096, 8 << 20
+#: Times that the passages of a hot q-gram are halved; after three a half has five passages at most.
+HALVINGS = 3
 #: Contexts of a hot q-gram that go to one task together, and contexts whose passages a task compares at once.
 SHARE, TOGETHER = 1024, 4096
 ENTRY = np.dtype([("h", "u8"), ("c", "u8"), ("left", "u2"), ("right", "u2"), ("doc", "i8"), ("row", "i8"), ("at", "u4")])
@@ -149,6 +155,9 @@ def ranks(values: np.ndarray) -> np.ndarray:
     return np.unique(values, return_inverse=True)[1].reshape(values.shape).astype(np.int64)
 
 
+#: A context as a row: of an anchor at a place of a text of that size.
+CUTS = "h long, doc long, row long, at int, size int, context binary"
+CUT = [c.split()[0] for c in CUTS.split(", ")]
 _ALL = (1 << (CONTEXT - LENGTH + 1)) - 1
 
 
@@ -250,9 +259,13 @@ def repeated(spark: SparkSession, work: Workspace, docs: DataFrame, buckets: int
             yield pd.DataFrame(out | {"at": np.concatenate(batch["ats"].tolist()), "size": sizes, "context": around})
 
     texts = docs.join(asked, "row").select("doc", "row", "data", "ats", "hs")
-    cuts = texts.mapInPandas(cut, "h long, doc long, row long, at int, size int, context binary")
+    cuts = texts.mapInPandas(cut, CUTS)
     cuts = work.save(cuts, "cuts")
-    hot = work.save(found.where("bits = 0").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HOT), "hot")
+    order = F.struct("doc", (F.col("row") >= NO_ID).alias("unnamed"))
+
+    def crowded(contexts: DataFrame) -> DataFrame:
+        many = (F.min("doc") < F.max("doc")) | F.max(F.col("row") >= NO_ID)  # else of one document, which repeats none before it
+        return work.save(contexts.groupBy("h").agg(F.count("*").alias("n"), many.alias("many")).where(F.col("n") > HOT), "hot")
 
     def refined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -270,23 +283,74 @@ def repeated(spark: SparkSession, work: Workspace, docs: DataFrame, buckets: int
         place = (group["at"].to_numpy() - BEFORE)[:, None] + np.arange(CONTEXT)
         rows[(place < 0) | (place >= group["size"].to_numpy()[:, None])] = 256
         bits = refine(rows, order_of(group["doc"], group["row"]), group["h"].to_numpy())
-        return group[["doc", "row", "at"]].assign(bits=bits)[bits != 0]
+        return group[["row", "at"]].assign(bits=bits)[bits != 0]
+
+    def refine_all(contexts: DataFrame) -> DataFrame:
+        spread = contexts.select(*CUT).repartition(buckets, "h").sortWithinPartitions("h")
+        return work.save(spread.mapInPandas(refined, "row long, at int, bits long"), "answers")
+
+    hot = crowded(found.where("bits = 0"))
+    answers, again = [refine_all(cuts.join(hot, "h", "left_anti"))], []
+    open_ = cuts.select(*CUT, F.lit(0).alias("low"), F.lit(BEFORE).alias("high"))
+    for _ in range(HALVINGS):
+        if hot.where("many").isEmpty():
+            break
+        halves = open_.join(hot.where("many").select("h"), "h").select(*CUT, "low", "high")
+        halves = work.save(halves.mapInPandas(halved, f"{CUTS}, low int, high int, p1 long, p2 long, bits long"), "halves")
+        several = halves.groupBy("low", "p1", "p2").agg(F.min(order).alias("least"), F.max(order).alias("most")).where("least < most").drop("most")
+        several = work.save(several, "several")  # so that its size is known: where it is small, no context moves
+        halves = halves.join(several, ["low", "p1", "p2"], "left").withColumn("again", F.coalesce(order > F.col("least"), F.lit(False)))
+        halves = work.save(halves.select(*CUT, "low", "high", "bits", "again"), "settled")
+        open_ = halves.where("not again").select(*CUT, "low", "high")
+        hot = crowded(open_)
+        again.append(halves.where("again").select("row", "at", "bits"))
+        answers.append(refine_all(open_.join(hot, "h", "left_anti")))
+    dense = hot.where("many").select("h", "n")
+    if not dense.isEmpty():
+        again += shared(work, open_.join(dense, "h"), buckets)
+    if again:
+        answers.append(work.save(reduce(DataFrame.union, again), "again"))
+    work.keep(docs, found, *answers)
+    marks = reduce(DataFrame.union, answers, found.where("bits <> 0").select("row", "at", "bits"))
+    return marks.groupBy("row").agg(F.collect_list("at").alias("ats"), F.collect_list("bits").alias("bits"))
+
 
-    answers = cuts.join(hot, "h", "left_anti").repartition(buckets, "h").sortWithinPartitions("h").mapInPandas(refined, "doc long, row long, at int, bits long")
-    answers = work.save(answers, "answers")
+def shared(work: Workspace, dense: DataFrame, buckets: int) -> list[DataFrame]:
+    """(row, at, bits) of contexts of ``n`` that share a q-gram, more than a task refines."""
     share = F.pmod(F.xxhash64("row", "at"), F.ceil(F.col("n") / SHARE)).alias("share")
-    dense = cuts.join(hot, "h").select("h", share, "doc", "row", "at", "size", "context").repartition(buckets, "h", "share").sortWithinPartitions("h", "share")
+    dense = dense.select("h", share, "doc", "row", "at", "size", "context", "low", "high").repartition(buckets, "h", "share").sortWithinPartitions("h", "share")
     passages = work.save(dense.mapInPandas(passages_of, "p1 long, p2 long, doc long, row long, at int, o int, bits long"), "passages")
     open_ = passages.where("bits = 0").withColumn("order", F.struct("doc", (F.col("row") >= NO_ID).alias("unnamed")))
     first = open_.groupBy("p1", "p2").agg(F.min("order").alias("low"), F.max("order").alias("high")).where("low < high")
     first = work.save(first, "first")  # so that its size is known: where it is small, no hot passage moves
     again = open_.join(first, ["p1", "p2"]).where("order > low").groupBy("row", "at").agg(F.bit_or(F.expr("shiftleft(1L, o)")).alias("bits"))
-    again = again.union(passages.where("bits <> 0").select("row", "at", "bits"))
-    again = work.save(again, "again")
-    work.keep(docs, found, answers, again)
-    marks = found.where("bits <> 0").select("row", "at", "bits")
-    marks = marks.union(answers.select("row", "at", "bits")).union(again)
-    return marks.groupBy("row").agg(F.collect_list("at").alias("ats"), F.collect_list("bits").alias("bits"))
+    return [again, passages.where("bits <> 0").select("row", "at", "bits")]
+
+
+def halved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Contexts for the passages with ``low`` to ``high`` bytes before the q-gram, once for each half of these that lies inside the text.
+
+    h becomes a hash of the bytes that all passages of the half share; p1 and p2 are hashes of those that any of them has, beyond the
+    text as a sign of its own; bits are the passages inside the text.
+    """
+    for batch in batches:
+        for (low, high), at in batch.groupby(["low", "high"]).indices.items():
+            some, middle = batch.iloc[at], (low + high) // 2
+            x = np.frombuffer(b"".join(some["context"]), np.uint8).reshape(-1, CONTEXT).astype(np.uint64) + np.uint64(1)
+            start = some["at"].to_numpy() - BEFORE
+            place = start[:, None] + np.arange(CONTEXT)
+            x[(place < 0) | (place >= some["size"].to_numpy()[:, None])] = 0
+            of_row = np.arange(len(some)) * CONTEXT
+            for a, b in ((low, middle), (middle + 1, high)):
+                o = np.arange(BEFORE - b, BEFORE - a + 1)
+                inside = (start[:, None] + o >= 0) & (start[:, None] + o + LENGTH <= some["size"].to_numpy()[:, None])
+                bits = (inside * (np.int64(1) << o)).sum(1)
+                keep = bits != 0
+                if keep.any():
+                    all_, common = of_row[keep] + BEFORE - b, of_row[keep] + BEFORE - a
+                    p1, p2 = (rolling(y, LENGTH + b - a)[all_].view(np.int64) for y in (x.ravel(), mix(x.ravel())))
+                    h = mix(rolling(x.ravel(), LENGTH - b + a)[common] * _BASE + np.uint64(a)).view(np.int64)
+                    yield some[keep].assign(h=h, low=np.int32(a), high=np.int32(b), p1=p1, p2=p2, bits=bits[keep])
 
 
 def order_of(doc: pd.Series, row: pd.Series) -> np.ndarray:
@@ -314,7 +378,11 @@ def compared(some: pd.DataFrame) -> Iterator[pd.DataFrame]:
     bytes_ = np.frombuffer(b"".join(some["context"]), np.uint8).astype(np.uint64) + np.uint64(1)
     start = (np.arange(len(some)) * CONTEXT)[:, None] + np.arange(count)
     place = (some["at"].to_numpy() - BEFORE)[:, None] + np.arange(count)
-    r, o = np.nonzero((place >= 0) & (place + LENGTH <= some["size"].to_numpy()[:, None]))
+    inside = (place >= 0) & (place + LENGTH <= some["size"].to_numpy()[:, None])
+    if "low" in some:  # bytes before the q-gram
+        before = BEFORE - np.arange(count)
+        inside &= (before >= some["low"].to_numpy()[:, None]) & (before <= some["high"].to_numpy()[:, None])
+    r, o = np.nonzero(inside)
     if not len(r):
         return
     p1, p2 = (rolling(x, LENGTH)[start[r, o]].view(np.int64) for x in (bytes_, mix(bytes_)))

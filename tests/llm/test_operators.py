@@ -546,3 +546,40 @@ def test_suffixes_settle_hot_passages_inside_a_task(spark, monkeypatch):
         gone = {k + j for k in range(len(t) - 49) if t[k : k + 50] in earlier for j in range(50)}
         want[i] = len(gone)
     assert have == want
+
+
+@pytest.mark.parametrize("kind", ["line", "mixed"])
+def test_suffixes_halve_a_hot_q_gram(spark, monkeypatch, kind):
+    """Contexts of a hot q-gram become a few rows, not one a passage; results as by brute force, with texts that end inside a context."""
+    made = Counter()
+
+    def counted(self, df, name, compression="snappy"):
+        out = save(self, df, name, compression)
+        made[name] += out.count()
+        return out
+
+    save = suffixes.Workspace.save
+    monkeypatch.setattr(suffixes.Workspace, "save", counted)
+    monkeypatch.setattr(suffixes, "HOT", 8)
+    rng = np.random.default_rng(6)
+    say = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 26, n))
+    if kind == "line":
+        line = say(90)
+        texts = [say(40) + line + say(40) for _ in range(200)]
+    else:
+        gram, tails = say(16), [say(40) for _ in range(6)]
+        texts = [say(k % 50) + tails[k % 5][: k % 37] + gram + tails[k % 6][: k % 41] + (say(30) if k % 4 else "") for k in range(300)]
+        texts += ["the " * (12 + k % 20) + say(k % 23) for k in range(60)] + [say(k) + "e" * 70 + say(9) for k in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    have = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in suffixes.without_repeats(spark, df, digest=True, buckets=3).collect()}
+    assert have == brute_passages([(i, t.encode()) for i, t in enumerate(texts)])
+    assert kind != "line" or (made["halves"] <= 6 * made["cuts"] and made["passages"] <= 5 * made["cuts"]), made
+
+
+def test_halves_of_a_context():
+    import pandas as pd
+
+    context = (b"\0" * suffixes.CONTEXT + b"q" * 60 + b"\0" * suffixes.CONTEXT)[suffixes.CONTEXT + 30 - suffixes.BEFORE :][: suffixes.CONTEXT]
+    frame = pd.DataFrame({"h": 1, "doc": 1, "row": 1, "at": 30, "size": 60, "context": [context], "low": 0, "high": suffixes.BEFORE})
+    halves = pd.concat(suffixes.halved(iter([frame])))
+    assert dict(zip(halves["low"], halves["bits"], strict=True)) == {18: sum(1 << suffixes.BEFORE - k for k in range(20, 31))}
